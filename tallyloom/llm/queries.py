@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.contamination import op3_benchmark_decontamination
+from tallyloom.llm.near_dedup import op7_minhash_near_dedup
 from tallyloom.llm.packing import op10_best_fit_packing
+from tallyloom.llm.pages import op8_html_extraction
+from tallyloom.llm.substring_dedup import op1_substring_dedup
 from tallyloom.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op10_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_token_counts,
+        op3_benchmark_decontamination,
+        op7_minhash_near_dedup,
+        op8_html_extraction,
+        op10_best_fit_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {}
