@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import by_bytes, stored, table
 from tallyloom.llm.components import components
+from tallyloom.llm.hashing import mix64, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -30,31 +31,12 @@ SLICE_BYTES = 4 << 20
 _U32 = np.uint32
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; fewer words than ``size`` are one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     size = min(size, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.contamination import op3_benchmark_decontamination
+from tallyloom.llm.lm_scoring import op6_lm_scoring
 from tallyloom.llm.near_dedup import op7_minhash_near_dedup
 from tallyloom.llm.packing import op10_best_fit_packing
 from tallyloom.llm.pages import op8_html_extraction
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_token_counts,
         op3_benchmark_decontamination,
+        op6_lm_scoring,
         op7_minhash_near_dedup,
         op8_html_extraction,
         op10_best_fit_packing,

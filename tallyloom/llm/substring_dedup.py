@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import by_bytes, stored, table
-from tallyloom.llm.near_dedup import mix64
+from tallyloom.llm.hashing import mix64
 
 RUN = 3
 MIN_CHARS = 100
