@@ -13,6 +13,7 @@ from tallyloom.llm.packing import op10_best_fit_packing
 from tallyloom.llm.pages import op8_html_extraction
 from tallyloom.llm.substring_dedup import op1_substring_dedup
 from tallyloom.llm.token_counts import op2_token_counts
+from tallyloom.llm.vector_dedup import op9_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_lm_scoring,
         op7_minhash_near_dedup,
         op8_html_extraction,
+        op9_embedding_near_dedup,
         op10_best_fit_packing,
     )
 }
