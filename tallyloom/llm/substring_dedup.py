@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import by_bytes, stored, table
 from tallyloom.llm.hashing import mix64
 
-RUN = 3
+RUN = 2
 MIN_CHARS = 100
 LONG_SENTENCE = 90
+SHORT_SENTENCE = 24
 SLICE_BYTES = 4 << 20
 NULL_ID = -(2**63)
 _END = re.compile(r"\n\s*|(?<=[.!?…。！？])\s+")
@@ -28,23 +29,28 @@ _WORD = re.compile(r"\S+")
 def _long(text: str, start: int, end: int) -> Iterator[int]:
     """Cuts inside a long sentence, after words chosen by their own hash, so that copies are cut alike."""
     for m in _WORD.finditer(text, start, end):
-        if m.end() < end and zlib.crc32(m[0].lower().encode()) & 3 == 0:
+        if m.end() < end and zlib.crc32(m[0].lower().encode()) & 7 == 0:
             yield m.end()
 
 
 def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of a text's sentences (with the text's length last), 128-bit hashes (two columns) and lengths in characters.
 
-    A sentence ends at a line end or after a full stop, question or exclamation mark; one of over ``LONG_SENTENCE``
-    characters is cut further. Case and amounts of white space don't count.
+    A sentence ends at a line end or after a full stop, question or exclamation mark. One of less than
+    ``SHORT_SENTENCE`` characters goes with the next (but for those that their own hash picks), one of over
+    ``LONG_SENTENCE`` is cut after words that theirs picks: copies are parted alike wherever they stand. Case and
+    amounts of white space don't count.
     """
-    bounds, at = [], 0
+    bounds, start, at = [], 0, 0
     for m in _END.finditer(text):
-        bounds.append((at, m.start(), m.end()))
+        size, line = m.start() - at, text[m.start()] == "\n"
+        if size >= SHORT_SENTENCE or line or zlib.crc32(text[at : m.start()].lower().encode()) & 3 == 0:
+            bounds.append((start, m.start()))
+            start = m.end()
         at = m.end()
-    bounds.append((at, len(text), len(text)))
+    bounds.append((start, len(text)))
     starts, digests, sizes = [], [], []
-    for start, end, after in bounds:
+    for start, end in bounds:
         cuts = [start, *_long(text, start, end), end] if end - start > LONG_SENTENCE else [start, end]
         for a, b in zip(cuts, cuts[1:], strict=False):
             norm = " ".join(text[a:b].lower().split())
@@ -85,8 +91,8 @@ def _emit(src: DataFrame, run: int, min_chars: int) -> DataFrame:
             rows, parts, agains = [], [np.zeros((0, 2), np.uint64)], [np.zeros(0, bool)]
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = spans(text, run, min_chars)[3]
-                hashes, n = np.unique(hashes, axis=0, return_counts=True) if len(hashes) > 1 else (hashes, np.ones(len(hashes)))
-                rows.append(np.full(len(hashes), i)), parts.append(hashes), agains.append(n > 1)
+                first, n = np.unique(hashes[:, 0], return_index=True, return_counts=True)[1:]
+                rows.append(np.full(len(first), i)), parts.append(hashes[first]), agains.append(n > 1)
             row, both = np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate(parts).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column("key").take(pa.array(row)), pa.array(np.concatenate(agains))], names=schema.names)
 
