@@ -11,6 +11,7 @@ from tallyloom.llm.lm_scoring import op6_lm_scoring
 from tallyloom.llm.near_dedup import op7_minhash_near_dedup
 from tallyloom.llm.packing import op10_best_fit_packing
 from tallyloom.llm.pages import op8_html_extraction
+from tallyloom.llm.quality import op5_quality_classifier
 from tallyloom.llm.substring_dedup import op1_substring_dedup
 from tallyloom.llm.token_counts import op2_token_counts
 from tallyloom.llm.vector_dedup import op9_embedding_near_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_token_counts,
         op3_benchmark_decontamination,
+        op5_quality_classifier,
         op6_lm_scoring,
         op7_minhash_near_dedup,
         op8_html_extraction,
