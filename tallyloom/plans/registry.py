@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+from tallyloom.plans import relations, scores, tables  # noqa: E402
+
+MODULES: tuple = (scores, tables, relations)
 
 
 def queries() -> dict[str, Query]:
