@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,14 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts_for(df: DataFrame, target_bytes: int, least: int = 1) -> int:
-    """Number of partitions so that each holds about ``target_bytes`` of the optimizer's size estimate of ``df``."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(200_000, max(least, math.ceil(size / target_bytes))))
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of all texts of a column: one pass that moves nothing."""
+    return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:

@@ -13,16 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyloom.llm.common import parts_for, stored, table
+from tallyloom.llm.common import stored, table, text_bytes
 from tallyloom.llm.hashing import mix64, packed, unpacked, word_hashes
 
 FOLDS, HELD = 7, 2
-CHUNK_BYTES = 6 << 20  # of the stored table; text is about twice that
-MAX_ROUNDS, ENOUGH = 25, 1e-5
+CHUNK_BYTES = 10 << 20
+MAX_ROUNDS, ENOUGH = 25, 1e-4
 END = np.uint64(0x5851F42D4C957F2D)
 BUCKETS = 64
 _ONE, _KIND, _TRAIN = np.uint64(1), np.uint64(1), np.uint64(2)
@@ -37,6 +39,22 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes((text or "").encode().lower().split()), END)
 
 
+def _packed_texts(src: DataFrame) -> DataFrame:
+    """Texts compressed one by one, so that dealing them out moves less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data = [pack.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "data"])
+
+    return src.mapInArrow(run, T.StructType([src.schema["doc_id"], T.StructField("data", T.BinaryType())]))
+
+
+def _dealt_tokens(group: pa.Table) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor()
+    return [tokens(unpack.decompress(x).decode()) for x in group.column("data").to_pylist()]
+
 def chunk_keys(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each token and of each token after its predecessor (at first: the end). The lowest bit tells them apart."""
     flat = np.concatenate(docs)
@@ -63,8 +81,7 @@ def _answers(spark: SparkSession, dealt: DataFrame, n_buckets: int) -> DataFrame
     """
 
     def ask(group: pa.Table) -> pa.Table:
-        ids, text = group.column("doc_id").to_pylist(), group.column("text").to_pylist()
-        docs = [tokens(x) for x in text]
+        ids, docs = group.column("doc_id").to_pylist(), _dealt_tokens(group)
         train = np.repeat(np.array([not is_held_out(i) for i in ids]), [len(d) for d in docs])
         # Sorted with the training bit below the others, so that both kinds of a key lie together.
         both = np.concatenate(chunk_keys(docs)) | np.where(np.concatenate([train, train]), _TRAIN, np.uint64(0))
@@ -95,38 +112,50 @@ def _answers(spark: SparkSession, dealt: DataFrame, n_buckets: int) -> DataFrame
 
 
 def _counted(spark: SparkSession, src: DataFrame) -> DataFrame:
-    """One row per chunk: ids and token numbers of its documents, and each token's count and bigram count, packed."""
-    n = parts_for(src, CHUNK_BYTES)
-    dealt = src.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "chunk")
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(src.schema["doc_id"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("single", T.BinaryType()), T.StructField("double", T.BinaryType()), T.StructField("types", T.LongType()), T.StructField("n", T.LongType())])
+    """One row per chunk, packed: ids and token numbers of its documents, each token's count and bigram count, and the
+    distinct cases of predicting a training token without itself, with their frequency."""
+    n = text_bytes(src, "text") // CHUNK_BYTES + 1
+    dealt = _packed_texts(src).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "data"), F.lit(n))).repartition(n, "chunk")
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(src.schema["doc_id"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("single", T.BinaryType()), T.StructField("double", T.BinaryType()), T.StructField("cases", T.BinaryType()), T.StructField("types", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(group: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = (group if group.num_rows else replies).column("chunk")[0].as_py()
         if not group.num_rows:
-            row = [[chunk], [[]], [b""], [b""], [b""], [sum(replies.column("types").to_pylist())], [sum(replies.column("n").to_pylist())]]
+            row = [[chunk], [[]], [b""], [b""], [b""], [b""], [sum(replies.column("types").to_pylist())], [sum(replies.column("n").to_pylist())]]
         else:
-            docs = [tokens(x) for x in group.column("text").to_pylist()]
+            ids, docs = group.column("doc_id").to_pylist(), _dealt_tokens(group)
             unigram, bigram = chunk_keys(docs)
             at = np.unique(np.concatenate([unigram, bigram]), return_inverse=True)[1]
             parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True))
             counts = np.concatenate([unpacked(x, np.int64) for _, x in parts])[at]
             sizes = np.array([len(d) for d in docs], np.int64)
-            row = [[chunk], [group.column("doc_id").to_pylist()], [packed(sizes)], [packed(counts[: len(unigram)])], [packed(counts[len(unigram) :])], [0], [0]]
+            single, double = counts[: len(unigram)], counts[len(unigram) :]
+            cases = deleted_cases(ids, sizes, single, double)
+            row = [[chunk], [ids], [packed(sizes)], [packed(single)], [packed(double)], [packed(cases.ravel())], [0], [0]]
         return pa.table([pa.array(x, pa.list_(group.schema.field("doc_id").type) if f.name == "ids" else pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.int64()) for x, f in zip(row, schema.fields, strict=True)], names=schema.names)
 
     return stored(spark, dealt.groupBy("chunk").cogroup(_answers(spark, dealt, n).groupBy("chunk")).applyInArrow(count, schema), "counted")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk: ids, starts of documents, and for each token its count, its predecessor's and their bigram's."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["chunk"] >= 0:
-                sizes, single, double = (unpacked(row[x], np.int64) for x in ("sizes", "single", "double"))
-                ends = np.cumsum(sizes)
-                context = np.concatenate([[0], single[:-1]])
-                context[ends - sizes] = single[-1]  # a text's first token follows an end; every chunk closes with one
-                yield row["ids"], ends - sizes, single, context, double
+def contexts(sizes: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """The count of each token's predecessor; a text's first token follows an end, and every text closes with one."""
+    context = np.concatenate([[0], single[:-1]])
+    context[np.cumsum(sizes) - sizes] = single[-1]
+    return context
+
+
+def deleted_cases(ids: list, sizes: np.ndarray, single: np.ndarray, double: np.ndarray) -> np.ndarray:
+    """Columns (context, token and bigram counts without the token itself, how often) over a chunk's training tokens.
+
+    Where the bigram occurs nowhere else only the context's frequency bucket matters; its lowest count stands for it.
+    """
+    train = np.repeat([not is_held_out(i) for i in ids], sizes)
+    context, single, double = contexts(sizes, single)[train] - 1, single[train] - 1, double[train] - 1
+    bucket = frequency_bucket(context)
+    context = np.where(double > 0, context, np.where(bucket > 0, np.int64(1) << np.maximum(bucket - 1, 0), 0))
+    name = mix64(mix64(mix64(context.view(np.uint64)) + single.view(np.uint64)) + double.view(np.uint64))
+    first, times = np.unique(name, return_index=True, return_counts=True)[1:]
+    return np.stack([context[first], single[first], double[first], times])
 
 
 def mixture_weights(spark: SparkSession, counted: DataFrame, n: int, types: int) -> np.ndarray:
@@ -138,22 +167,21 @@ def mixture_weights(spark: SparkSession, counted: DataFrame, n: int, types: int)
 
     def expectation(now: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, starts, single, context, double in _chunks(batches):
-                keep = np.repeat([not is_held_out(i) for i in ids], np.diff(np.r_[starts, len(single)]))
-                single, context, double = single[keep] - 1, context[keep] - 1, double[keep] - 1
+            for data in (x for batch in batches for x in batch.column("cases").to_pylist()):
+                context, single, double, times = unpacked(data, np.int64).reshape(4, -1)
                 bucket = frequency_bucket(context)
                 share = now[bucket] * np.stack([double / np.maximum(context, 1), single / (n - 1), np.full(len(single), uniform)], axis=1)
                 total = share.sum(axis=1)
-                share /= total[:, None]
+                share *= (times / total)[:, None]
                 sums = [np.bincount(bucket, share[:, i], BUCKETS) for i in range(3)]
-                gain = np.bincount(bucket, np.log(total), BUCKETS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *(pa.array(x) for x in sums), pa.array(gain)], names=["bucket", "g2", "g1", "g0", "gain"])
+                gain = np.bincount(bucket, np.log(total) * times, BUCKETS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *(pa.array(x.astype(np.float64)) for x in (*sums, gain))], names=["bucket", "g2", "g1", "g0", "gain"])
 
         return run
 
     before = -np.inf
     for _ in range(MAX_ROUNDS):
-        sums = counted.mapInArrow(expectation(weights), "bucket long, g2 double, g1 double, g0 double, gain double").groupBy("bucket").agg(*(F.sum(x).alias(x) for x in ("g2", "g1", "g0", "gain"))).collect()
+        sums = counted.select("cases").mapInArrow(expectation(weights), "bucket long, g2 double, g1 double, g0 double, gain double").groupBy("bucket").agg(*(F.sum(x).alias(x) for x in ("g2", "g1", "g0", "gain"))).collect()
         gathered = np.zeros((BUCKETS, 3))
         for r in sums:
             gathered[r["bucket"]] = r["g2"], r["g1"], r["g0"]
@@ -187,15 +215,19 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     weights = mixture_weights(spark, counted.where("chunk >= 0"), n, types)
     schema = T.StructType([src.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
+    id_type = to_arrow_type(src.schema["doc_id"].dataType)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, starts, single, context, double in _chunks(batches):
+        for row in (x for batch in batches for x in batch.to_pylist()):
+            ids, (sizes, single, double) = row["ids"], (unpacked(row[x], np.int64) for x in ("sizes", "single", "double"))
+            context, starts = contexts(sizes, single), np.cumsum(sizes) - sizes
             base = np.log10((single + 1) / (n + types + 1))
             w = weights[frequency_bucket(context)]
             mixed = w[:, 0] * double / np.maximum(context, 1) + w[:, 1] * single / max(n, 1) + w[:, 2] / (types + 1)
             sums = [np.add.reduceat(x, starts) for x in (np.ones(len(single), np.int64), (single > 0).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.from_numpy_dtype(np.int64) if all(isinstance(i, int) or i is None for i in ids) else None), pa.array([is_held_out(i) for i in ids]), *(pa.array(x) for x in sums), pa.array(np.full(len(ids), n, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(mixed), starts))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([is_held_out(i) for i in ids]), *(pa.array(x) for x in sums), pa.array(np.full(len(ids), n, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(mixed), starts))], names=schema.names)
 
-    return counted.where("chunk >= 0").mapInArrow(score, schema)
+    return counted.where("chunk >= 0").select("ids", "sizes", "single", "double").mapInArrow(score, schema)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
