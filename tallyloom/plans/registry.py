@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-from tallyloom.plans import relations, scores, tables, texts  # noqa: E402
+from tallyloom.plans import relations, reviews, scores, tables, texts  # noqa: E402
 
-MODULES: tuple = (scores, tables, relations, texts)
+MODULES: tuple = (scores, tables, relations, texts, reviews)
 
 
 def queries() -> dict[str, Query]:
