@@ -15,6 +15,7 @@ from tallyloom.llm.quality import op5_quality_classifier
 from tallyloom.llm.substring_dedup import op1_substring_dedup
 from tallyloom.llm.token_counts import op2_token_counts
 from tallyloom.llm.vector_dedup import op9_embedding_near_dedup
+from tallyloom.llm.warc import op4_warc_derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_token_counts,
         op3_benchmark_decontamination,
+        op4_warc_derivatives,
         op5_quality_classifier,
         op6_lm_scoring,
         op7_minhash_near_dedup,
