@@ -1,4 +1,4 @@
-"""MinHash near-dedup: circulant signatures, banding, leader rounds and exact Jaccard verification.
+"""MinHash near-dedup: circulant signatures, banding, leaders, and exact Jaccard verification.
 
 Documents with equal shingle sets become one node first. A signature's coordinates all come from two permutations of
 the 32-bit universe: the first scatters the items, the second is applied after a circular shift by the coordinate's
@@ -19,14 +19,15 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import by_bytes, stored, table
 from tallyloom.llm.components import components
-from tallyloom.llm.hashing import mix64, word_hashes
+from tallyloom.llm.hashing import mix64, packed, unpacked, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-#: Signatures that agree in less than this share are not compared as sets. For a similarity of 0.75 the share lies
-#: under it with a probability of less than 1e-9 (Hoeffding, 128 coordinates), far below that of sharing no band.
-AGREE = 0.45
-LEADERS = 16
+#: Signatures that agree in less than this share are not compared as sets. At a similarity of 0.75 the share lies under
+#: it with a probability of about 1e-7 (128 coordinates), less than that of sharing no band (5e-6).
+AGREE = 0.55
+SLICE_ROWS = 1024
+BIN_ROWS = 4096
 SLICE_BYTES = 4 << 20
 _U32 = np.uint32
 
@@ -99,16 +100,19 @@ def _described(src: DataFrame) -> DataFrame:
 
 
 def _sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, items) of each wanted node, from one row that has it: ``wanted`` holds fp and such a row's key."""
+    """(fp, items, short) of each wanted node, from one row that has it: ``wanted`` holds fp and such a row's key.
+
+    ``short`` has 48 bits of each item, packed.
+    """
     texts = src.join(wanted, "row_key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             items = [shingle_set(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], names=["fp", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary()), pa.array([packed(x >> np.uint64(16)) for x in items], pa.binary())], names=["fp", "items", "short"])
 
     # Equal texts share a row key; one row of each is enough.
-    return texts.mapInArrow(run, "fp binary, items binary").groupBy("fp").agg(F.first("items").alias("items"))
+    return texts.mapInArrow(run, "fp binary, items binary, short binary").groupBy("fp").agg(F.first("items").alias("items"), F.first("short").alias("short"))
 
 
 def _confirm(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,6 +138,90 @@ def _confirm(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, sets: Data
     return stored(spark, whole.select("a", "b", "items_a", "items_b").mapInArrow(exact, "a binary, b binary"), "links")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, as products of membership matrices."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, len(common), width):
+        part = common[i : i + width]
+        marks = []
+        for side in (left, right):
+            flat, size = np.concatenate(side), np.array([len(x) for x in side])
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            there = part[at] == flat
+            mark = np.zeros((len(side), len(part)), np.float32)
+            mark[np.repeat(np.arange(len(side)), size)[there], at[there]] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return out
+
+
+def _across(spark: SparkSession, member: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of labels whose components link within a bucket, enough of them to join all that links join.
+
+    A bucket's nodes outside its largest component are sliced, and so are all its nodes; every two slices meet in a
+    block of bounded size, where sketches and then whole sets are compared as matrices. Pairs don't leave their block:
+    only what joins components does, so the result is smaller than the blocks' rows. (Items have 48 bits here: two sets
+    of 300 meet a false match once in 10**9 times.)
+    """
+    known = member.select("key", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    known = stored(spark, known.join(mixed, "key"), "mixed")
+    sizes = known.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("total") / SLICE_ROWS)).withColumn("minor_parts", F.ceil((F.col("total") - F.col("most")) / SLICE_ROWS))
+    sizes = stored(spark, sizes, "sizes")
+    work = sizes.agg(F.sum(F.expr("total * minor_parts + (total - most) * parts")).alias("n")).first()["n"] or 0
+    rows = known.join(sizes, "key").join(nodes.select("fp", "sketch", "n_shingles"), "fp").join(sets.select("fp", "short"), "fp")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    common = ["key", "fp", "label", "sketch", "n_shingles", "short"]
+    every = rows.select(*common, F.pmod(F.xxhash64("fp"), F.col("parts")).alias("i"), upto("minor_parts").alias("j"), F.lit(False).alias("minor"))
+    minor = rows.where("label <> major").select(*common, F.pmod(F.xxhash64("fp", F.lit(1)), F.col("minor_parts")).alias("j"), upto("parts").alias("i"), F.lit(True).alias("minor"))
+    blocks = every.unionByName(minor).withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, work // BIN_ROWS))))
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys = np.stack([group.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "minor")])
+        order = np.lexsort(keys[::-1])
+        keys = keys[:, order]
+        group = group.take(pa.array(order))
+        cuts = np.flatnonzero(np.r_[True, (keys[:3, 1:] != keys[:3, :-1]).any(axis=0)]).tolist()
+        label, sketch, short = (group.column(c).to_pylist() for c in ("label", "sketch", "short"))
+        size = group.column("n_shingles").to_numpy()
+        text, code = np.unique(np.array(label, object), return_inverse=True)
+        pairs = set()
+        for a, b in zip(cuts, [*cuts[1:], keys.shape[1]], strict=True):
+            split = a + int((keys[3, a:b] == 0).sum())
+            if split in (a, b):
+                continue
+            x, y = (np.frombuffer(b"".join(sketch[p:q]), np.uint8).reshape(q - p, -1) for p, q in ((split, b), (a, split)))
+            likely = np.stack([(y == row).mean(axis=1) >= AGREE for row in x]) & (code[split:b, None] != code[None, a:split])
+            rows, columns = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+            if not len(rows):
+                continue
+            n, m = size[split + rows].astype(np.int64)[:, None], size[a + columns].astype(np.int64)[None, :]
+            both = shared_counts(*([unpacked(short[k], np.uint64) for k in at.tolist()] for at in (split + rows, a + columns))).astype(np.int64)
+            linked_ = likely[np.ix_(rows, columns)] & (100 * both >= 75 * (n + m - both))
+            # Of the links only those that join components not yet joined in this block leave it, as pairs of labels,
+            # those with frequent components first: blocks of other buckets then mostly name the same pairs.
+            names, often = np.unique(code[a:b], return_counts=True)
+            root, often = {c: c for c in names.tolist()}, dict(zip(names.tolist(), often.tolist(), strict=True))
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for i, row in enumerate(linked_):
+                own = int(code[split + rows[i]])
+                for c in sorted(np.unique(code[a + columns[np.flatnonzero(row)]]).tolist(), key=lambda c: (-often[c], c)):
+                    if find(own) != find(c):
+                        root[find(own)] = find(c)
+                        pairs.add((min(text[own], text[c]), max(text[own], text[c])))
+        return pa.table([pa.array([p for p, _ in pairs], pa.binary()), pa.array([q for _, q in pairs], pa.binary())], names=["a", "b"])
+
+    return stored(spark, blocks.groupBy("bin").applyInArrow(compare, "a binary, b binary").distinct(), "pairs")
+
+
 def groups(spark: SparkSession, src: DataFrame) -> DataFrame:
     """``src`` (row_key, text and more) without text, with n_shingles, fp and comp: equal for rows that links connect."""
     rows = stored(spark, _described(src), "described")
@@ -144,35 +232,15 @@ def groups(spark: SparkSession, src: DataFrame) -> DataFrame:
     candidates = member.select("fp").distinct()
     nodes = stored(spark, nodes.drop("bands").join(candidates, "fp", "left_semi"), "nodes")
     sets = stored(spark, _sets(src, nodes), "sets")
-    bucket = member.select("key", "fp")
-    # First every node against the leaders of its buckets.
-    pairs = member.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()
+    # First every node against the least of its buckets' leaders.
+    pairs = member.groupBy("fp").agg(F.min("leader").alias("a")).where("a <> fp").select("a", F.col("fp").alias("b"))
     labels = components(spark, _confirm(spark, pairs, nodes, sets))
-    tried = None
-    while True:
-        # Then buckets that still hold several components: nodes of the rarer ones against all others there, some
-        # each round. A node that has met its whole bucket leaves it, so the rounds end when no pair is left untried.
-        known = bucket.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
-        mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        known = stored(spark, known.join(mixed, "key"), "mixed")
-        if not known.limit(1).count():
-            break
-        often = known.groupBy("key", "label").agg(F.count("*").alias("often"))
-        order = Window.partitionBy("key").orderBy("often", "label", "fp")
-        front = known.join(often, ["key", "label"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LEADERS).select("key", F.col("fp").alias("a"), F.col("label").alias("own"))
-        front = stored(spark, front, "front")
-        pairs = known.join(front, "key").where("label <> own").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(spark, pairs, "pairs")
-        links = _confirm(spark, pairs, nodes, sets)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        bucket = known.join(front.select("key", F.col("a").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp")
-        if links.limit(1).count():
-            sides = links.alias("e").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-            joined = components(spark, sides.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-            old = labels.select("node", "label").union(joined.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("label")))
-            labels = stored(spark, old.alias("o").join(joined.select(F.col("node").alias("from"), F.col("label").alias("to")), F.col("o.label") == F.col("from"), "left").select("node", F.coalesce("to", "o.label").alias("label")), "labels")
+    # Then, in buckets that still hold several components, every node of the rarer ones against all nodes there that
+    # lie in another. Pairs within a component need no test, so after this none is left that could join two.
+    links = _across(spark, member, labels, nodes, sets)
+    joined = components(spark, links).select(F.col("node").alias("from"), F.col("label").alias("to"))
+    old = labels.select("node", "label").union(joined.join(labels, F.col("from") == F.col("node"), "left_anti").select(F.col("from"), F.col("from")))
+    labels = old.join(joined, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
     return rows.drop("bands", "sketch").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp")).drop("label")
 
 
