@@ -28,6 +28,7 @@ BANDS, ROWS = 32, 4
 AGREE = 0.55
 SLICE_ROWS = 1024
 BIN_ROWS = 4096
+FILTER_BITS = 23
 SLICE_BYTES = 4 << 20
 _U32 = np.uint32
 
@@ -99,20 +100,33 @@ def _described(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
+def _key_bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each key modulo 2**23: one megabyte, however many keys there are."""
+    h = F.pmod("row_key", F.lit(1 << FILTER_BITS))
+    parts = keys.select(F.shiftright(h, 15).alias("part"), h.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in parts.collect():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, items, short) of each wanted node, from one row that has it: ``wanted`` holds fp and such a row's key.
+    """(fp, items, short) of each wanted node; ``wanted`` holds fp and the key of a row that has it.
 
-    ``short`` has 48 bits of each item, packed.
+    Rows whose key cannot be wanted are passed over where they are read, so that no text is shuffled; what the filter
+    lets through in vain goes by its fingerprint. ``short`` has 48 bits of each item, packed.
     """
-    texts = src.join(wanted, "row_key", "left_semi")
+    bits = _key_bits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
+            h = batch.column("row_key").to_numpy(zero_copy_only=False) % (1 << FILTER_BITS)
+            batch = batch.filter(pa.array(bits[h >> 3] >> (h & 7) & 1 == 1))
             items = [shingle_set(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary()), pa.array([packed(x >> np.uint64(16)) for x in items], pa.binary())], names=["fp", "items", "short"])
 
-    # Equal texts share a row key; one row of each is enough.
-    return texts.mapInArrow(run, "fp binary, items binary, short binary").groupBy("fp").agg(F.first("items").alias("items"), F.first("short").alias("short"))
+    found = src.where("text is not null").select("row_key", "text").mapInArrow(run, "fp binary, items binary, short binary")
+    return found.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"), F.first("short").alias("short"))
 
 
 def _confirm(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
