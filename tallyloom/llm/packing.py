@@ -17,7 +17,7 @@ from tallyloom.llm.common import by_bytes, stored, table, texts
 
 SLICE_BYTES = 4 << 20
 CACHE_WORDS = 400_000
-SHARD_ROWS = 50_000
+SHARD_ROWS = 4096
 
 
 class WordIds:
