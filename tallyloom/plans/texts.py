@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers, text
+from tallyloom.operators.quotes import contained
 from tallyloom.operators.scopes import packed_paragraphs, text_scopes
 from tallyloom.plans.base import read, rounded
+from tallyloom.plans.relations import _stored
 
 
 def verdict_tristate(spark: SparkSession, d: str) -> DataFrame:
@@ -97,14 +99,8 @@ def sentence_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark openings quoted in documents, compared without white space and references.
-
-    Items are few, but meet documents by an equality of 40-character pieces at sentence starts, not pair by pair.
-    """
-    starts = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"(?<=[.\n])\s*")).alias("s"))
-    keys = starts.select("doc_id", F.substring(text.plain(F.col("s")), 1, 24).alias("k")).where(F.length("k") == 24).distinct()
-    items = read(spark, d, "benchmark").select("item_id", F.substring(text.plain(F.col("text")), 1, 24).alias("k")).where(F.length("k") == 24)
-    return keys.join(items, "k").select("doc_id", "item_id").distinct()
+    """Benchmark items that stand whole in documents, compared without white space and references."""
+    return contained(spark, read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text"), _stored(spark))
 
 
 def numeric_guard(spark: SparkSession, d: str) -> DataFrame:
