@@ -80,12 +80,12 @@ def nfkc_key_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations whose n-th turns on either side resemble each other, compared as label keys."""
+    """Conversations whose n-th turns on either side resemble each other, compared as label keys of the whole turns."""
     from tallyloom.operators.relate import positional_pairs
 
-    c = read(spark, d, "conversations").select("conv_id", "turn", "role", text.label_key(F.substring("text", 1, 120)).alias("key"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", "role", text.label_key(F.col("text")).alias("key"))
     pairs = positional_pairs(c.where("role = 'user'"), c.where("role <> 'user'"), ["conv_id"], "turn", "key").where("left_value is not null and right_value is not null")
-    return pairs.select("conv_id", F.col("nth").cast("long").alias("nth"), rounded(text.similarity("left_value", "right_value"), 6).alias("ratio"))
+    return pairs.select("conv_id", F.col("nth").cast("long").alias("nth"), rounded(text.whole_similarity("left_value", "right_value"), 6).alias("ratio"))
 
 
 def scope_table(spark: SparkSession, d: str) -> DataFrame:
