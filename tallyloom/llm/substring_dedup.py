@@ -22,7 +22,7 @@ LONG_SENTENCE = 90
 SHORT_SENTENCE = 24
 SLICE_BYTES = 4 << 20
 NULL_ID = -(2**63)
-_END = re.compile(r"\n\s*|(?<=[.!?…。！？])\s+")
+_END = re.compile(r"\n\s*|(?<=[.!?…])\s+|(?<=[。！？])\s*")
 _WORD = re.compile(r"\S+")
 
 
@@ -36,14 +36,15 @@ def _long(text: str, start: int, end: int) -> Iterator[int]:
 def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of a text's sentences (with the text's length last), 128-bit hashes (two columns) and lengths in characters.
 
-    A sentence ends at a line end or after a full stop, question or exclamation mark. One of less than
+    A sentence ends at a line end, after a full stop, question or exclamation mark before white space, and right after
+    a CJK one. One of less than
     ``SHORT_SENTENCE`` characters goes with the next (but for those that their own hash picks), one of over
     ``LONG_SENTENCE`` is cut after words that theirs picks: copies are parted alike wherever they stand. Case and
     amounts of white space don't count.
     """
     bounds, start, at = [], 0, 0
     for m in _END.finditer(text):
-        size, line = m.start() - at, text[m.start()] == "\n"
+        size, line = m.start() - at, text.startswith("\n", m.start())
         if size >= SHORT_SENTENCE or line or zlib.crc32(text[at : m.start()].lower().encode()) & 3 == 0:
             bounds.append((start, m.start()))
             start = m.end()
@@ -65,13 +66,15 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def spans(text: str, run: int = RUN, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentence starts, first and last sentence of every span, and the spans' hashes (two columns).
 
-    From each sentence goes the shortest span of at least ``run`` sentences and ``min_chars`` characters.
+    From each sentence goes, and at each ends, the shortest span of at least ``run`` sentences and ``min_chars``
+    characters: together they cover any longer span to both of its ends. Each is there once, in order of place.
     """
     starts, digest, size = sentences(text)
-    total = np.concatenate([[0], np.cumsum(size)])
-    last = np.maximum(np.searchsorted(total, total[:-1] + min_chars) - 1, np.arange(len(size)) + run - 1)
-    first = np.flatnonzero(last < len(size))
-    last = last[first]
+    n, total, at = len(size), np.concatenate([[0], np.cumsum(size)]), np.arange(len(size))
+    last = np.maximum(np.searchsorted(total, total[:-1] + min_chars) - 1, at + run - 1)
+    first = np.minimum(np.searchsorted(total, total[1:] - min_chars, side="right") - 1, at - run + 1)
+    pair = np.unique(np.concatenate([(at * n + last)[last < n], (first * n + at)[first >= 0]]))
+    first, last = np.divmod(pair, max(n, 1))
     hashes = np.zeros((len(first), 2), np.uint64)
     live = np.arange(len(first))
     step = 0
@@ -122,15 +125,16 @@ def cut(text: str, marked: dict[int, bool], run: int = RUN, min_chars: int = MIN
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with the same rows and columns, in ``text_col`` no sentence that lies in a repeated span's later occurrence.
 
-    Occurrences are ordered by document id, then place; null ids come first and count as one document, as do rows that
-    share an id. Null texts stay null; a text that goes whole becomes empty. Texts without repeats stay as they are,
+    Occurrences are ordered by document id, then place. Rows that share an id count as one document. Null ids come
+    first, each text a document, in order of its hash; ids lie above -2**62. Null texts stay null; a text that goes whole becomes empty. Texts without repeats stay as they are,
     to the byte. ``removed_col`` adds the number of removed sentences. An empty table gives no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    content = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2) + F.lit(NULL_ID)
+    key = F.coalesce(F.col(id_col).cast("long"), content)
     held = stored(spark, _emit(docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).cast("string").alias("text")), run, min_chars), "spans")
     # Only minima are gathered of a hot span, before the shuffle already; the join back can be split by rows.
     repeated = held.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max("again").alias("any_again")).where("least < most or any_again").select("h1", "h2", "least")
-    marks = held.join(repeated, ["h1", "h2"]).where("key > least or again").groupBy("key").agg(F.collect_list(F.struct("h1", (F.col("key") > F.col("least")).alias("later"))).alias("marks_"))
+    marks = held.join(repeated, ["h1", "h2"]).where("key > least or again").groupBy("key").agg(F.collect_list(F.struct("h1", (F.col("key") > F.col("least")).alias("later"))).alias("marks_")).withColumnRenamed("key", "marked_key_")
     at, width = docs.columns.index(text_col), len(docs.columns)
     out = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.LongType())] if removed_col else [])])
 
@@ -144,7 +148,7 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, run: int = RUN, mi
             columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(n, pa.int64())] if removed_col else [])], names=out.names)
 
-    joined = docs.withColumn("key_", key).join(marks, F.col("key_") == F.col("key"), "left")
+    joined = docs.join(marks, key == F.col("marked_key_"), "left")
     return joined.select(*(docs[c] for c in docs.columns), "marks_").mapInArrow(rewrite, out)
 
 

@@ -1,0 +1,62 @@
+"""Repeated runs of sentences, against a brute force that builds all runs by itself."""
+
+import random
+
+from tallyloom.llm import substring_dedup as s
+
+
+def pieces(text):
+    starts = s.sentences(text)[0].tolist()
+    return starts, [" ".join(text[a:b].lower().split()) for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def runs(text):
+    part = pieces(text)[1]
+    return [(a, b, tuple(part[a : b + 1])) for a in range(len(part)) for b in range(a + 1, len(part)) if sum(map(len, part[a : b + 1])) >= s.MIN_CHARS]
+
+
+def brute(docs):
+    """Each text without sentences of any run that an earlier document or place has."""
+    seen, out = set(), {}
+    for key, text in sorted(docs):
+        starts, gone = pieces(text)[0], set()
+        for a, b, run in runs(text):
+            if run in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(run)
+        kept = "".join(text[starts[k] : starts[k + 1]] for k in range(len(starts) - 1) if k not in gone)
+        out[key] = (text[: starts[0]] + kept).rstrip() if gone else text
+    return out
+
+
+def sentence(rng):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.randint(1, 9))).capitalize() + rng.choice([". ", "! ", "?\n"])
+
+
+def removed(spark, docs):
+    return s.drop_repeated_spans(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+
+
+def test_equals_all_runs(spark):
+    rng = random.Random(5)
+    passages = ["".join(sentence(rng) for _ in range(rng.randint(3, 12))) for _ in range(30)]
+    docs = [(i, "".join(rng.choice(passages) if rng.random() < 0.4 else sentence(rng) for _ in range(8))) for i in range(60)]
+    want = brute(docs)
+    assert sum(want[i] != t for i, t in docs) > 20
+    assert {r.doc_id: r.text for r in removed(spark, docs).collect()} == want
+
+
+def test_short_last_sentences_of_a_passage_go(spark):
+    passage = "A first sentence that is long enough to stand alone in here. " + "Another one that is of much the same length as the first. " + "And then a short ending."
+    docs = [(1, passage + "\nOnly in the first."), (2, passage + "\nOnly in the second.")]
+    got = {r.doc_id: r.text for r in removed(spark, docs).collect()}
+    assert got == {1: docs[0][1], 2: "Only in the second."}
+
+
+def test_cjk_sentences_and_null_ids(spark):
+    same = "".join(f"第{i}条规定的内容应当在所有文件中保持完全一致并且可以追溯到原始材料以便复核。" for i in range(6))
+    docs = [(7, "甲方独有的开头内容在这里单独写明并且不与其他任何文件相同也不会重复出现。" + same), (8, "乙方独有的开头内容在另外的地方写明同样不与其他任何文件相同也不会重复。" + same)]
+    got = {r.doc_id: r.text for r in removed(spark, docs).collect()}
+    assert got[7] == docs[0][1] and same not in got[8] and got[8].startswith("乙方独有")
+    texts = sorted(r.text for r in removed(spark, [(None, t) for _, t in docs]).collect())
+    assert sum(same in t for t in texts) == 1
