@@ -13,19 +13,56 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where ``spark.checkpoint.dir`` is unset (local tests) a folder is made."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; where that is unset a local master gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/tallyloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_root(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The application's tables lie in one folder; ``discard`` deletes one that nothing needs any more, ``release`` all.
+    """
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.stored_path = path
+    return held
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    for held in tables:
+        _delete(spark, held.stored_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored; results that read them must have been written before."""
+    _delete(spark, _folder(spark))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,52 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import by_bytes, stored, table
+from tallyloom.llm.common import by_bytes, stored, table, unused
 from tallyloom.llm.hashing import mix64
 
 RUN = 2
 MIN_CHARS = 100
 LONG_SENTENCE = 90
-SHORT_SENTENCE = 24
 SLICE_BYTES = 4 << 20
-NULL_ID = -(2**63)
 _END = re.compile(r"\n\s*|(?<=[.!?…])\s+|(?<=[。！？])\s*")
-_WORD = re.compile(r"\S+")
-
-
-def _long(text: str, start: int, end: int) -> Iterator[int]:
-    """Cuts inside a long sentence, after words chosen by their own hash, so that copies are cut alike."""
-    for m in _WORD.finditer(text, start, end):
-        if m.end() < end and zlib.crc32(m[0].lower().encode()) & 7 == 0:
-            yield m.end()
+_CLAUSE = re.compile(r"(?<=[,;:])\s+|(?<=[，；：、])\s*")
 
 
 def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of a text's sentences (with the text's length last), 128-bit hashes (two columns) and lengths in characters.
 
     A sentence ends at a line end, after a full stop, question or exclamation mark before white space, and right after
-    a CJK one. One of less than
-    ``SHORT_SENTENCE`` characters goes with the next (but for those that their own hash picks), one of over
-    ``LONG_SENTENCE`` is cut after words that theirs picks: copies are parted alike wherever they stand. Case and
-    amounts of white space don't count.
+    a CJK one. One of over ``LONG_SENTENCE`` characters counts as the clauses that its commas, semicolons and colons
+    part. Case and amounts of white space don't count; what is white space only belongs to the sentence before.
     """
-    bounds, start, at = [], 0, 0
-    for m in _END.finditer(text):
-        size, line = m.start() - at, text.startswith("\n", m.start())
-        if size >= SHORT_SENTENCE or line or zlib.crc32(text[at : m.start()].lower().encode()) & 3 == 0:
-            bounds.append((start, m.start()))
-            start = m.end()
-        at = m.end()
-    bounds.append((start, len(text)))
     starts, digests, sizes = [], [], []
-    for start, end in bounds:
-        cuts = [start, *_long(text, start, end), end] if end - start > LONG_SENTENCE else [start, end]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            norm = " ".join(text[a:b].lower().split())
-            if norm:
-                starts.append(a)
-                digests.append(xxhash.xxh3_128_digest(norm))
-                sizes.append(len(norm))
+
+    def add(a: int, b: int) -> None:
+        norm = " ".join(text[a:b].lower().split())
+        if norm:
+            starts.append(a), sizes.append(len(norm)), digests.append(xxhash.xxh3_128_digest(norm))
+
+    start = 0
+    for end, after in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
+        if end - start > LONG_SENTENCE:
+            for m in _CLAUSE.finditer(text, start, end):
+                add(start, m.start())
+                start = m.end()
+        add(start, end)
+        start = after
     starts.append(len(text))
     return np.array(starts, np.int64), np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64), np.array(sizes, np.int64)
 
@@ -66,8 +52,9 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def spans(text: str, run: int = RUN, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentence starts, first and last sentence of every span, and the spans' hashes (two columns).
 
-    From each sentence goes, and at each ends, the shortest span of at least ``run`` sentences and ``min_chars``
-    characters: together they cover any longer span to both of its ends. Each is there once, in order of place.
+    A span is a run of ``run`` sentences, or of as many more as it takes to ``min_chars`` characters. One goes from each
+    sentence and one ends at each: together they cover any longer run to both of its ends, so what repeats of all runs
+    of at least that size repeats in these. Each is there once, in order of place.
     """
     starts, digest, size = sentences(text)
     n, total, at = len(size), np.concatenate([[0], np.cumsum(size)]), np.arange(len(size))
@@ -86,7 +73,7 @@ def spans(text: str, run: int = RUN, min_chars: int = MIN_CHARS) -> tuple[np.nda
 
 
 def _emit(src: DataFrame, run: int, min_chars: int) -> DataFrame:
-    """Distinct spans of each row: h1, h2, key (the document's id) and again (it holds the span more than once)."""
+    """Distinct spans of each row: h1, h2, the row's key and again (it holds the span more than once)."""
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), src.schema["key"], T.StructField("again", T.BooleanType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,19 +109,44 @@ def cut(text: str, marked: dict[int, bool], run: int = RUN, min_chars: int = MIN
     return "".join(kept).rstrip(), int(gone.sum())
 
 
+#: Keys of rows whose id cannot order them lie from here on.
+UNORDERED = 1 << 62
+
+
+def _keyed(spark: SparkSession, docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """``docs`` with a long ``key`` for each row, no two alike, that orders them.
+
+    Rows with an id of their own come first, in its order (an id that is no whole number counts as its hash). Rows whose
+    id is null, shared with other rows or from 2**62 on come after them; they are written once, numbered as they come.
+    """
+    kind = docs.schema[id_col].dataType
+    order = F.col(id_col).cast("long") if isinstance(kind, T.IntegralType) else F.shiftrightunsigned(F.xxhash64(id_col), 2)
+    docs = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), order))
+    shared = stored(spark, docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("shared")).agg(F.count("*").alias("n")).where(f"n > 1 or shared >= {UNORDERED}").select("shared"), "shared")
+    unnamed = docs.where(F.col(key).isNull())
+    if shared.isEmpty() and unnamed.isEmpty():
+        return docs
+    rest = unnamed.unionByName(docs.join(shared, F.col(key) == F.col("shared"), "left_semi"))
+    rest = stored(spark, rest.withColumn(key, F.monotonically_increasing_id() + F.lit(UNORDERED)), "unordered")
+    return docs.where(F.col(key).isNotNull()).join(shared, F.col(key) == F.col("shared"), "left_anti").unionByName(rest)
+
+
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with the same rows and columns, in ``text_col`` no sentence that lies in a repeated span's later occurrence.
 
-    Occurrences are ordered by document id, then place. Rows that share an id count as one document. Null ids come
-    first, each text a document, in order of its hash; ids lie above -2**62. Null texts stay null; a text that goes whole becomes empty. Texts without repeats stay as they are,
-    to the byte. ``removed_col`` adds the number of removed sentences. An empty table gives no rows.
+    Occurrences are ordered by document id, then place. Ids may be of any type that can be compared; rows without an id
+    of their own (null, or shared by several rows) come after all others, each row a document, so copies among them go
+    but for the first. Null texts stay null; a text that goes whole becomes empty. Texts without repeats stay as they
+    are, to the byte. ``removed_col`` adds the number of removed sentences. Columns may have any names. An empty table
+    gives no rows.
     """
-    content = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2) + F.lit(NULL_ID)
-    key = F.coalesce(F.col(id_col).cast("long"), content)
-    held = stored(spark, _emit(docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).cast("string").alias("text")), run, min_chars), "spans")
+    key, marked, marks = unused(docs, "row_key", "marked_key", "marks")
+    keyed = _keyed(spark, docs, id_col, key)
+    held = stored(spark, _emit(keyed.where(F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")), run, min_chars), "spans")
     # Only minima are gathered of a hot span, before the shuffle already; the join back can be split by rows.
     repeated = held.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max("again").alias("any_again")).where("least < most or any_again").select("h1", "h2", "least")
-    marks = held.join(repeated, ["h1", "h2"]).where("key > least or again").groupBy("key").agg(F.collect_list(F.struct("h1", (F.col("key") > F.col("least")).alias("later"))).alias("marks_")).withColumnRenamed("key", "marked_key_")
+    found = held.join(repeated, ["h1", "h2"]).where("key > least or again")
+    found = found.groupBy(F.col("key").alias(marked)).agg(F.collect_list(F.struct("h1", (F.col("key") > F.col("least")).alias("later"))).alias(marks))
     at, width = docs.columns.index(text_col), len(docs.columns)
     out = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.LongType())] if removed_col else [])])
 
@@ -142,14 +154,14 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, run: int = RUN, mi
         for batch in by_bytes(batches, text_col, SLICE_BYTES):
             columns, n = list(batch.columns[:width]), []
             old, new = columns[at].to_pylist(), []
-            for text, marks in zip(old, batch.column(width).to_pylist(), strict=True):
-                done, gone = cut(text, {m["h1"]: m["later"] for m in marks}, run, min_chars) if marks and text else (text, 0)
+            for text, spans_ in zip(old, batch.column(width).to_pylist(), strict=True):
+                done, gone = cut(text, {m["h1"]: m["later"] for m in spans_}, run, min_chars) if spans_ and text else (text, 0)
                 new.append(done), n.append(gone)
             columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(n, pa.int64())] if removed_col else [])], names=out.names)
 
-    joined = docs.join(marks, key == F.col("marked_key_"), "left")
-    return joined.select(*(docs[c] for c in docs.columns), "marks_").mapInArrow(rewrite, out)
+    joined = keyed.join(found, F.col(key) == F.col(marked), "left")
+    return joined.select(*docs.columns, marks).mapInArrow(rewrite, out)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
