@@ -65,6 +65,27 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A key with more than one in this many of all rows is hot; so there are never more hot keys than this.
+HOT_SHARE = 1024
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, many: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row per key and in ``many`` how many of the ``total`` rows have it.
+
+    The hot keys of ``side``, at most ``HOT_SHARE``, are broadcast, so that their rows stay where they are; all others
+    meet by a shuffle. Rows with a null key meet nothing and aren't moved; they stay if ``how`` is "left".
+    """
+    hot = side.where(F.col(many) * HOT_SHARE > total).drop(many)
+    cold = side.where(F.col(many) * HOT_SHARE <= total).drop(many)
+    parts = [rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how), rows.join(F.broadcast(hot), key)]
+    if how == "left":
+        parts.append(rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in hot.schema if f.name != key)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

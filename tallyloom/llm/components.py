@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import stored
+from tallyloom.llm.common import discard, stored
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         jump = offers.select(F.col("node").alias("via"), F.col("best").alias("next"))
         new = stored(spark, offers.join(jump, F.col("best") == F.col("via"), "left").select("node", F.least("best", F.coalesce("next", "best")).alias("label")), "labels")
         changed = new.alias("n").join(labels.alias("o"), "node").where("n.label <> o.label").limit(1).count()
+        discard(spark, offers, labels)
         labels = new
         if not changed:
+            discard(spark, both)
             return labels

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import by_bytes, stored, table
+from tallyloom.llm.common import by_bytes, discard, spread_join, stored, table, unused
 from tallyloom.llm.components import components
 from tallyloom.llm.hashing import mix64, packed, unpacked, word_hashes
 
@@ -28,7 +28,6 @@ BANDS, ROWS = 32, 4
 AGREE = 0.55
 SLICE_ROWS = 1024
 BIN_ROWS = 4096
-FILTER_BITS = 23
 SLICE_BYTES = 4 << 20
 _U32 = np.uint32
 
@@ -100,33 +99,22 @@ def _described(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def _key_bits(keys: DataFrame) -> np.ndarray:
-    """A bit for each key modulo 2**23: one megabyte, however many keys there are."""
-    h = F.pmod("row_key", F.lit(1 << FILTER_BITS))
-    parts = keys.select(F.shiftright(h, 15).alias("part"), h.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in parts.collect():
-        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def _sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, items, short) of each wanted node; ``wanted`` holds fp and the key of a row that has it.
+    """(fp, items, short) of each wanted node; ``wanted`` has the key of one row that holds it.
 
-    Rows whose key cannot be wanted are passed over where they are read, so that no text is shuffled; what the filter
-    lets through in vain goes by its fingerprint. ``short`` has 48 bits of each item, packed.
+    Texts meet the wanted keys by a shuffle at any size, and only those of one row per node get any further. ``short``
+    has 48 bits of each item, packed.
     """
-    bits = _key_bits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
-            h = batch.column("row_key").to_numpy(zero_copy_only=False) % (1 << FILTER_BITS)
-            batch = batch.filter(pa.array(bits[h >> 3] >> (h & 7) & 1 == 1))
             items = [shingle_set(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary()), pa.array([packed(x >> np.uint64(16)) for x in items], pa.binary())], names=["fp", "items", "short"])
 
-    found = src.where("text is not null").select("row_key", "text").mapInArrow(run, "fp binary, items binary, short binary")
-    return found.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"), F.first("short").alias("short"))
+    texts = src.where("text is not null").select("row_key", "text").join(wanted.select("row_key").hint("merge"), "row_key", "left_semi")
+    found = texts.select("text").mapInArrow(run, "fp binary, items binary, short binary")
+    # Rows that share an id and a text share a key; their sets are one.
+    return found.groupBy("fp").agg(F.first("items").alias("items"), F.first("short").alias("short"))
 
 
 def _confirm(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,12 +221,13 @@ def _across(spark: SparkSession, member: DataFrame, labels: DataFrame, nodes: Da
                         pairs.add((min(text[own], text[c]), max(text[own], text[c])))
         return pa.table([pa.array([p for p, _ in pairs], pa.binary()), pa.array([q for _, q in pairs], pa.binary())], names=["a", "b"])
 
-    return stored(spark, blocks.groupBy("bin").applyInArrow(compare, "a binary, b binary").distinct(), "pairs")
+    pairs = stored(spark, blocks.groupBy("bin").applyInArrow(compare, "a binary, b binary").distinct(), "pairs")
+    discard(spark, known, sizes)
+    return pairs
 
 
-def groups(spark: SparkSession, src: DataFrame) -> DataFrame:
-    """``src`` (row_key, text and more) without text, with n_shingles, fp and comp: equal for rows that links connect."""
-    rows = stored(spark, _described(src), "described")
+def groups(spark: SparkSession, rows: DataFrame, src: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that link with another: equal labels for nodes that links connect."""
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     member = nodes.select("fp", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1")
@@ -252,36 +241,65 @@ def groups(spark: SparkSession, src: DataFrame) -> DataFrame:
     # Then, in buckets that still hold several components, every node of the rarer ones against all nodes there that
     # lie in another. Pairs within a component need no test, so after this none is left that could join two.
     links = _across(spark, member, labels, nodes, sets)
+    discard(spark, member, nodes, sets)
     joined = components(spark, links).select(F.col("node").alias("from"), F.col("label").alias("to"))
     old = labels.select("node", "label").union(joined.join(labels, F.col("from") == F.col("node"), "left_anti").select(F.col("from"), F.col("from")))
-    labels = old.join(joined, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
-    return rows.drop("bands", "sketch").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp")).drop("label")
+    return old.join(joined, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Equal for rows that share an id and a text only; so copies under other ids don't crowd one key."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, row_key, n_shingles, component_id, kept.
+    """One row per document row: doc_id, row_key, n_shingles, component_id, kept, first.
 
     Documents link when the Jaccard similarity of their sets of distinct five-word shingles is 0.75 or more; fewer than
     five words are one shingle. Null, empty and wordless texts link with nothing. component_id is the smallest doc_id
-    reachable, kept says that it is the row's own. Rows that share an id and a text get equal results; a row with a
-    null id links by its text and is kept only where it links with nothing. An empty table gives no rows. Other
+    reachable, kept says that it is the row's own. Where no row reachable has an id, component_id is null and one of
+    them is kept. ``first`` marks the one row of each group that stays in a corpus: of the smallest id, and of rows
+    with that id one text. Rows that share an id and a text get equal results. An empty table gives no rows. Other
     columns are not read.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("text"))
-    found = groups(spark, src)
-    least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    found = found.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return found.select("doc_id", "row_key", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", _row_key("doc_id", "text"))
+    rows = stored(spark, _described(src), "described")
+    total = rows.count()
+    labels = groups(spark, rows, src)
+    rows = rows.drop("bands", "sketch")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    nodes = rows.where("fp is not null").groupBy("fp").agg(F.min(own).alias("own"), F.count("*").alias("n"))
+    nodes = stored(spark, nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp")).drop("label"), "named")
+    least = stored(spark, nodes.groupBy("comp").agg(F.min("own").alias("least"), F.count("*").alias("members")), "least")
+    named = stored(spark, spread_join(nodes, least, "comp", "members", total).select("fp", "least", "n"), "components")
+    found = spread_join(rows, named, "fp", "n", total)
+    alone = F.col("least").isNull()
+    first = alone | (F.col("least.row_key") == F.col("row_key"))
+    kept = F.when(F.col("doc_id").isNull(), first & (alone | F.col("least.unnamed"))).otherwise(alone | F.col("doc_id").eqNullSafe(F.col("least.doc_id")))
+    return found.select("doc_id", "row_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), kept.alias("kept"), first.alias("first"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` to keep, one of each group, with the same columns; repeated rows count as copies."""
-    marks = near_duplicates(spark, docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row_key").alias("kept_key"), "n_shingles").distinct()
-    keyed = docs.withColumn("kept_key_", F.xxhash64(F.col(text_col).cast("string")))
-    kept = keyed.join(marks, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("kept_key_") == F.col("kept_key")))
-    nth = F.row_number().over(Window.partitionBy("kept_id", "kept_key_").orderBy("kept_key"))
-    return kept.withColumn("nth_", nth).where("nth_ = 1 or n_shingles = 0").select(*(kept[c] for c in docs.columns))
+    """The rows of ``docs`` to keep, one of each group, with the same columns; repeated rows count as copies.
+
+    Rows without words link with nothing and all stay. Of rows that share an id and a text but not the other columns,
+    the one whose hash over all columns is least stays. Columns may have any names.
+    """
+    key, many, every, rank = unused(docs, "row_key", "many", "every", "rank")
+    marks = near_duplicates(spark, docs, id_col, text_col).where("first and n_shingles > 0")
+    marks = stored(spark, marks.groupBy(F.col("row_key").alias(key)).agg(F.count("*").alias(many)), "kept")
+    total = marks.agg(F.sum(many).alias("n")).first()["n"] or 0
+    blank = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = docs.where(~blank).withColumn(key, _row_key(id_col, text_col))
+    kept = worded.join(marks.where(F.col(many) == 1).select(key), key, "left_semi")
+    again = marks.where(F.col(many) > 1)
+    if not again.isEmpty():
+        times = again.withColumn(rank, F.lit(1))
+        picked = spread_join(worded, times, key, many, total, "inner").drop(rank)
+        picked = picked.groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(every)).select(f"{every}.*")
+        kept = kept.select(*docs.columns).unionByName(picked)
+    return kept.select(*docs.columns).unionByName(docs.where(blank))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("row_key")
+    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("row_key", "first")

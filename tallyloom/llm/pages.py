@@ -1,9 +1,13 @@
-"""Main text of web pages by two-pass block rules over stop-word density, length and link density."""
+"""Main text of web pages by two-pass block rules over stop-word density, length and link density.
+
+Stop words are a fixed list and the words that are frequent in the pages themselves, counted over all of them first.
+"""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +19,11 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import by_bytes, table
 
 SLICE_BYTES = 4 << 20
-SHORT, LONG = 70, 200
+SHORT = 70
 STOP_LOW, STOP_HIGH = 0.30, 0.32
-LINKS, LINKS_INSIDE = 0.2, 0.6
+LINKS = 0.2
+#: A word is frequent from this share of all words, and this often, on; so there are at most 5000 such words.
+FREQUENT, LEAST = 2e-4, 10
 
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -44,13 +50,14 @@ BLOCKS = frozenset(
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NESTING = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table ul td".split())
-# Words in a class, id or role that name page furniture.
+# Words that make a class, id or role the name of page furniture, and words that such names are put together with.
 NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert "
-    "popup modal overlay newsletter subscribe signup login breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar sidebar side widget "
-    "widgets footer footnav masthead comment comments commentlist respond replies reply disqus discussion share sharing social related "
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
+    "popup modal overlay newsletter subscribe subscription signup login breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar sidebar aside "
+    "widget widgets footer footnav header masthead comment comments commentlist respond replies reply disqus discussion share sharing social related "
     "recommended recommendations teaser teasers outbrain taboola pagination pager tags copyright legal disclaimer search skip complementary contentinfo".split()
 )
+JOINED = frozenset("site page main top bottom left right primary secondary global post entry article list box block bar wrapper container section area slot unit links form inner outer".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -64,7 +71,19 @@ class Block:
     inside: int  # number of the article or main element, 0 outside any
     furniture: bool
     heading: bool
-    label: str = ""
+
+
+def names_furniture(attributes: str, inside: bool) -> tuple[bool, set[str]]:
+    """Whether an element's class, id or role names furniture, and all these names in lower case.
+
+    A whole name counts: every word of it names furniture or goes with words that do ("site-header", never "has-sidebar").
+    """
+    names = {n for found in _NAMES.finditer(attributes) for n in (found[1] or found[2] or found[3] or "").lower().split()}
+    for name in names:
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words & NAMED and words <= NAMED | JOINED and not (inside and words == {"header"}):
+            return True, names
+    return False, names
 
 
 def blocks(page: str) -> list[Block]:
@@ -72,6 +91,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # Open nesting elements: name, furniture or not, number of the article around.
     stack: list[tuple[str, bool, int]] = []
+    open_, unclosed = Counter(), set()
     articles, links, heading = 0, 0, False
     held: list[str] = []
     linked = 0
@@ -102,11 +122,13 @@ def blocks(page: str) -> list[Block]:
         name, ending = m[2].lower(), bool(m[1])
         if name in SKIPPED:
             if not ending and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
+                end = None if name in unclosed else re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
                 if end:
                     at = end.end()
                 elif name in ("script", "style"):
                     break
+                else:
+                    unclosed.add(name)
             continue
         if name == "a":
             links = 0 if ending else 1
@@ -118,90 +140,128 @@ def blocks(page: str) -> list[Block]:
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not ending
             if name in NESTING:
                 if ending:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
+                    while open_[name]:
+                        last = stack.pop()[0]
+                        open_[last] -= 1
+                        if last == name:
                             break
                 else:
                     _, furniture, inside = stack[-1] if stack else ("", False, 0)
-                    names = {w for found in _NAMES.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (found[1] or found[2] or found[3] or "").lower())} if m[3] else set()
-                    if name in ("article", "main") and not furniture or "main" in names and not inside and not furniture:
-                        articles += not inside
-                        inside = inside or articles
-                    named = NAMED & names if name not in ("article", "main") else NAMED & names & {"comment", "comments", "related", "teaser", "ad", "sponsored"}
-                    furniture = furniture or name in FURNITURE or name == "header" and not inside or bool(named) or bool(m[3] and _HIDDEN.search(m[3]))
+                    named, names = names_furniture(m[3], bool(inside)) if m[3] else (False, ())
+                    if name in ("article", "main") or "main" in names:
+                        if not furniture and not named and not inside:
+                            articles += 1
+                            inside = articles
+                    furniture = furniture or named or name in FURNITURE or name == "header" and not inside or bool(m[3] and _HIDDEN.search(m[3]))
                     stack.append((name, furniture, inside))
+                    open_[name] += 1
     close()
     return out
 
 
-def first_pass(block: Block, articles: bool) -> str:
-    """good, bad, or what is to be settled by neighbours: near (almost good) and short."""
-    length = len(block.text)
-    density = block.linked / max(1, len(block.text.replace(" ", "")))
+def first_pass(block: Block, stop_words: frozenset[str], articles: bool) -> str:
+    """good or bad where density, length and links tell; else near (almost good), weak (few stop words) or short.
+
+    Furniture is bad whatever its words. That a page marks an article is a hint: blocks outside it need no look, and
+    within it few stop words alone don't make a block bad.
+    """
     if block.furniture or articles and not block.inside:
         return "bad"
-    if density > (LINKS_INSIDE if block.inside else LINKS):
+    if block.linked > LINKS * len(block.text.replace(" ", "")):
         return "bad"
-    if length < SHORT:
-        return "bad" if block.linked and not block.inside else "short"
+    if len(block.text) < SHORT:
+        return "short"
     words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = sum(map(stop_words.__contains__, words)) / max(1, len(words))
     if stops >= STOP_HIGH:
-        return "good" if length > LONG or block.inside else "near"
+        return "good"
     if stops >= STOP_LOW:
         return "near"
-    return "near" if block.inside else "bad"
+    return "weak" if block.inside else "bad"
 
 
-def main_text(page: str | None) -> str:
-    """The kept blocks of a page, joined by one space.
+def second_pass(found: list[Block], labels: list[str]) -> list[str]:
+    """Labels good and bad only: an undecided block takes the label of the nearest decided block on either side.
 
-    In the second pass an undecided block takes the label of the nearest decided block on either side; where those
-    differ the nearer one counts, and a nearly good block is good. Inside an article or main element only blocks of
-    that element are neighbours, and its edges count as good; outside, the page's edges count as bad.
+    Where the two differ a nearly good block is good, a heading goes with what follows, and else the nearer one counts
+    (the bad one, if both are as near). Furniture is no neighbour. The edges of an article, whose neighbours are of the
+    same article, count as good; at the edges of other pages only the other side counts, and with no side at all a nearly
+    good block is good and others are bad.
     """
-    found = blocks(page or "")
-    articles = any(b.inside and not b.furniture for b in found)
-    for b in found:
-        b.label = first_pass(b, articles)
-    settled = [b.label in ("good", "bad") for b in found]
-    # An article's own furniture (adverts, comments) says nothing about the text around it.
-    counts = [s and not (b.furniture and b.inside) for s, b in zip(settled, found, strict=True)]
-    before, after = [0] * len(found), [0] * len(found)
-    for order, nearest in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
-        last = -1
+    out = list(labels)
+    decided = [x in ("good", "bad") and not b.furniture for x, b in zip(labels, found, strict=True)]
+    nearest: list[list[int]] = []
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        place, last = [-1] * len(found), -1
         for i in order:
-            nearest[i] = last
-            if counts[i]:
+            place[i] = last
+            if decided[i]:
                 last = i
-    kept = []
+        nearest.append(place)
     for i, b in enumerate(found):
-        label = b.label
-        if not settled[i]:
-            edge = "good" if b.inside else "bad"
-            sides = [(abs(i - j), found[j].label) if j >= 0 and found[j].inside == b.inside else (len(found), edge) for j in (before[i], after[i])]
-            if sides[0][1] == sides[1][1]:
-                label = sides[0][1]
+        if labels[i] in ("good", "bad"):
+            continue
+        sides = []
+        for place in nearest:
+            j = place[i]
+            if j >= 0 and found[j].inside == b.inside:
+                sides.append((abs(i - j), labels[j]))
             else:
-                label = "good" if b.label == "near" or b.heading and sides[1][1] == "good" else min(sides)[1]
-        if label == "good":
-            kept.append(b.text)
-    return " ".join(kept)
+                sides.append((len(found), "good" if b.inside else ""))
+        told = {x for _, x in sides if x}
+        if len(told) == 1:
+            out[i] = told.pop()
+        elif labels[i] == "near":
+            out[i] = "good"
+        elif not told:
+            out[i] = "bad"
+        else:
+            out[i] = sides[1][1] if b.heading else min(sides)[1]
+    return out
+
+
+def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
+    """The kept blocks of a page, joined by one space."""
+    found = blocks(page or "")
+    articles = any(b.inside and not b.furniture for b in found)
+    labels = second_pass(found, [first_pass(b, stop_words, articles) for b in found])
+    return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == "good")
+
 
+def frequent_words(pages: DataFrame, html_col: str = "html") -> frozenset[str]:
+    """Words that make up at least ``FREQUENT`` of all words of all pages: at most 1 / ``FREQUENT`` reach the driver."""
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "html", SLICE_BYTES):
+            words: Counter[str] = Counter()
+            for page in batch.column("html").to_pylist():
+                for b in blocks(page):
+                    if not b.furniture:
+                        words.update(_WORD.findall(b.text.lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+
+    src = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("html"))
+    counts = src.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    often = counts.join(F.broadcast(total), F.col("n") >= F.greatest(F.col("total") * FREQUENT, F.lit(LEAST)))
+    return frozenset(r["word"] for r in often.select("word").collect())
+
+
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stop_words: frozenset[str] | None = None) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars (code points).
 
+    Without ``stop_words`` they are the fixed list and the pages' own frequent words, for which the pages are read twice.
+
     A null or empty page, or one without main text, has an empty text. Any length is read whole; ids and urls may be
     null or repeated; an empty table gives no rows; other columns are not read.
     """
+    stops = STOP_WORDS | frequent_words(pages, html_col) if stop_words is None else stop_words
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html", SLICE_BYTES):
-            text = [main_text(x) for x in batch.column("html").to_pylist()]
+            text = [main_text(x, stops) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from tallyloom.llm import pages as p
 
@@ -45,3 +47,126 @@ def test_articles_of_the_pages_table(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html or "", re.S)
         text = re.sub(r"<[^>]*>", "", re.sub(r"<br>|</?p>|</h\d>", " ", inner[1] if inner else ""))
         assert got[r.page_id] == " ".join(html.unescape(text).split())
+
+
+STOPS = frozenset("the of and to in a is that it was for on are as with his they at be this".split())
+
+
+def brute(blocks):
+    """Kept texts by the stated rules; a block is (text, characters in links, article or 0, furniture, heading)."""
+    articles = any(b[2] and not b[3] for b in blocks)
+
+    def first(text, linked, inside, furniture, heading):
+        if furniture or articles and not inside or linked / max(1, sum(not c.isspace() for c in text)) > 0.2:
+            return "bad"
+        if len(text) < 70:
+            return "short"
+        words = re.findall(r"\w+", text.lower())
+        share = sum(w in STOPS for w in words) / len(words)
+        return "good" if share >= 0.32 else "near" if share >= 0.3 else "weak" if inside else "bad"
+
+    labels = [first(*b) for b in blocks]
+    kept = []
+    for i, b in enumerate(blocks):
+        label = labels[i]
+        if label not in ("good", "bad"):
+            near = [j for j in range(len(blocks)) if labels[j] in ("good", "bad") and not blocks[j][3]]
+            sides = []
+            for here in ([j for j in near if j < i][-1:], [j for j in near if j > i][:1]):
+                if here and blocks[here[0]][2] == b[2]:
+                    sides.append((abs(here[0] - i), labels[here[0]]))
+                else:
+                    sides.append((10**9, "good") if b[2] else None)
+            told = [x for x in sides if x]
+            if not told:
+                label = "good" if label == "near" else "bad"
+            elif len({x[1] for x in told}) == 1:
+                label = told[0][1]
+            elif label == "near":
+                label = "good"
+            elif b[4]:
+                label = told[1][1]
+            else:
+                label = "good" if next(d for d, x in told if x == "good") < next(d for d, x in told if x == "bad") else "bad"
+        if label == "good":
+            kept.append(b[0])
+    return kept
+
+
+def random_page(rng):
+    """(html, blocks) of a page of random blocks, some in an article, some in furniture."""
+    out, blocks, articles = [], [], 0
+    for _ in range(rng.randint(1, 5)):
+        kind = rng.choice(["article", "div", "div", "nav", 'div class="ad"', 'div class="page has-sidebar"', "div id=site-footer", "section class=cookie-notice"])
+        furniture = kind.split()[0] == "nav" or "class=\"ad" in kind or "footer" in kind or "notice" in kind
+        articles += kind == "article"
+        out.append(f"<{kind}>")
+        for _ in range(rng.randint(1, 6)):
+            share = rng.choice([0.0, 0.1, 0.28, 0.31, 0.33, 0.5])
+            words = [rng.choice(sorted(STOPS)) if rng.random() < share else "".join(rng.choices("bcdfg", k=rng.randint(2, 9))) for _ in range(rng.choice([1, 3, 8, 14, 20, 40]))]
+            n_linked = rng.choice([0, 0, 0, 1, 5, len(words)])
+            tag, text = rng.choice(["p", "p", "h2"]), " ".join(words)
+            linked = sum(map(len, words[:n_linked]))
+            markup = f"<a href=x>{' '.join(words[:n_linked])}</a> {' '.join(words[n_linked:])}" if n_linked else text
+            out.append(f"<{tag}>{markup}</{tag}>")
+            blocks.append((text, linked, articles if kind == "article" else 0, furniture, tag == "h2"))
+        out.append(f"</{kind.split()[0]}>")
+    return "".join(out), blocks
+
+
+def test_both_passes_equal_a_brute_force():
+    rng = random.Random(6)
+    pages = [random_page(rng) for _ in range(600)]
+    got = [p.main_text(page, STOPS) for page, _ in pages]
+    assert got == [" ".join(brute(blocks)) for _, blocks in pages]
+    # Stop-word density, length and link density all decide something.
+    assert sum(g != p.main_text(page, frozenset()) for g, (page, _) in zip(got, pages, strict=True)) > 100
+    assert sum(g != p.main_text(re.sub("</?a[^>]*>", "", page), STOPS) for g, (page, _) in zip(got, pages, strict=True)) > 100
+    assert sum(bool(g) for g in got) > 200
+
+
+def without_articles(page):
+    return re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page or "")
+
+
+def test_densities_find_the_text_of_pages_without_articles(spark):
+    d = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    stops = p.STOP_WORDS | p.frequent_words(pages)
+    kept = total = changed = 0
+    for r in pages.collect():
+        whole, found = p.main_text(r.html, stops), p.main_text(without_articles(r.html), stops)
+        words, rest = found.split(), iter(whole.split())
+        assert all(w in rest for w in words), r.page_id  # nothing of menu, advert or footer, nothing out of order
+        kept, total, changed = kept + len(found), total + len(whole), changed + (p.main_text(without_articles(r.html), frozenset()) != found)
+    assert kept >= 0.8 * total and changed > 0.9 * pages.count()
+
+
+def test_frequent_words_are_counted_over_all_pages(spark):
+    rows = [(i, f"<nav>menu {'menu ' * 50}</nav><p>{'often ' * 9}seldom{i}</p>") for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    assert p.frequent_words(df) == {"often"}
+    assert p.frequent_words(df.limit(0)) == frozenset()
+
+
+def test_whole_names_of_elements_name_furniture():
+    for name in ("ad", "cookie-notice", "site-header", "Comments", "main nav", "post_comments"):
+        assert p.names_furniture(f' class="{name}"', False)[0], name
+    for name in ("has-sidebar", "page has-sidebar", "adder", "content", "no-comments", "article-body", "navigate"):
+        assert not p.names_furniture(f" class='{name}'", False)[0], name
+    assert p.main_text(f'<div class="page has-sidebar"><article><p>{LEAD}</p></article></div>') == LEAD.strip()
+
+
+def test_broken_nesting_takes_linear_time():
+    start = time.process_time()
+    for page in ("<div>" * 20000 + "x" + "</section>" * 20000, "<button>" * 20000, "<section>" + "<div></section>" * 20000, "<iframe>" * 20000 + LEAD):
+        p.main_text(page)
+    assert time.process_time() - start < 4
+
+
+def test_very_long_and_repeated_pages(spark):
+    page = "<article>" + "".join(f"<p>{LEAD}{i}</p>" for i in range(20000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "u", page[:100])], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.n_chars) for r in p.extract_pages(df).collect())
+    n = len(p.main_text(page))
+    assert n > 20000 * len(LEAD) and got[:2] == [(1, n)] * 2
