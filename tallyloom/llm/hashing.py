@@ -11,7 +11,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 120_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
