@@ -1,15 +1,16 @@
 """Quality classifier from weak labels: expectation-maximisation over overlapping labellers, then a hashed linear scorer.
 
 Two questions are asked of each document: is it junk, and is it toxic. For each, several heuristic labellers vote good,
-bad or nothing; known labels are one more voter. EM estimates every voter's accuracy from how often the votes of all
-documents coincide (only the counts of vote patterns are gathered), and the posteriors train a logistic scorer over
-the votes and hashed words, which decides about every document.
+bad or nothing; given labels are one more voter, whose errors are estimated like those of the others. EM estimates every
+voter's accuracy from how often the votes of all documents coincide (only the counts of vote patterns are gathered). The
+posteriors, of documents with and without given labels alike, train a logistic scorer over the votes and hashed words,
+which decides about every document.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
@@ -20,17 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import by_bytes, table
+from tallyloom.llm.common import by_bytes, stored, table
 from tallyloom.llm.hashing import word_hashes
 from tallyloom.llm.pages import STOP_WORDS
 
-#: The scorer and the word lists are fitted on at most this many labelled rows, of texts up to ``SAMPLE_CHARS``.
+#: The word lists are learned from about this many rows with given labels, the scorer from these and as many others, taken
+#: by a hash; of fewer rows where texts are so long that more would be over ``SAMPLE_BYTES`` of text.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 50_000
+SAMPLE_BYTES = 64 << 20
 HASH_BITS = 16
 SLICE_BYTES = 4 << 20
 GOOD, BAD, NONE = 0, 1, 2
 PREFIX = 4
+N_JUNK, N_TOXIC = 8, 3
 # Words that insult.
 INSULTS = frozenset("asshole bastard bitch clown disgusting dumbass idiot idiots imbecile loser losers moron morons pathetic scum scumbag stupid trash worthless".split())
 _CORE = re.compile(r"[^\W\d_]+")
@@ -62,7 +65,7 @@ def votes(text: str, lang: str | None, lexicon: Lexicon) -> tuple[list[int], lis
     cores = _CORE.findall(text.lower())
     n, chars = len(words), sum(map(len, words))
     if not n:
-        return [NONE] * 8, [NONE] * 3, cores
+        return [NONE] * N_JUNK, [NONE] * N_TOXIC, cores
     letters, known = sum(map(len, cores)), set(cores)
     digits, plain = sum(map(text.count, "0123456789")), sum(map(text.count, _PLAIN))
     latin = letters and max(map(len, cores)) < 40
@@ -92,60 +95,74 @@ def votes(text: str, lang: str | None, lexicon: Lexicon) -> tuple[list[int], lis
     return junk, toxic, cores
 
 
-def learn_lexicon(rows: list[tuple[str, str | None, int]], least: int = 5, precision: float = 0.9) -> Lexicon:
-    """Telling words and beginnings of words from (text, language, toxic) rows."""
-    found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    by_lang: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0, 0, 0]))
-    words_of: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for text, lang, toxic in rows:
-        cores = _CORE.findall(text.lower())
-        for w in set(cores):
-            found[w][toxic] += 1
-        words_of[lang or ""][toxic] += len(cores)
-        stems = Counter(w[:k] for w in cores for k in range(PREFIX, min(PREFIX + 3, len(w)) + 1))
-        for s, c in stems.items():
-            entry = by_lang[lang or ""][s]
-            entry[toxic] += 1  # documents
-            entry[2 + toxic] += c  # occurrences
-            entry[4] += len(cores) * toxic  # words of the toxic documents that have it
-    words = frozenset(w for w, (clean, toxic) in found.items() if toxic >= least and toxic >= precision * (toxic + clean))
-    lexicon = Lexicon(words)
-    for lang, entries in by_lang.items():
-        docs = sum(1 for _, x, toxic in rows if toxic and (x or "") == lang)
-        stems = {}
-        for s, (_, toxic_docs, clean_n, toxic_n, reach) in entries.items():
-            # A beginning that most toxic documents of the language share, far more often than clean ones have it.
-            if docs >= least and toxic_docs >= 0.4 * docs:
-                often, seldom = toxic_n / max(1, reach), (clean_n + 0.5) / max(1, words_of[lang][0])
-                if often >= 8 * seldom:
-                    stems[s] = (float(np.log(often / seldom)), often - seldom)
-        if stems:
-            lexicon.stems[lang] = stems
-            lexicon.heads[lang] = frozenset(s[:PREFIX] for s in stems)
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """Per kind (w a word, s a beginning of words, n all words) and language: documents and occurrences among clean and toxic rows.
+
+    ``reach`` counts the words of the toxic documents that have it. Words are counted over all languages.
+    """
+    schema = "kind string, lang string, name string, clean long, toxic long, clean_n long, toxic_n long, reach long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", SLICE_BYTES):
+            rows: list[tuple] = []
+            for text, lang, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "toxic")), strict=True):
+                cores = _CORE.findall(text.lower())
+                stems = Counter(w[:k] for w in cores for k in range(PREFIX, min(PREFIX + 3, len(w)) + 1))
+                found = [("w", "", w, 1) for w in set(cores)] + [("s", lang or "", s, c) for s, c in stems.items()] + [("n", lang or "", "", len(cores))]
+                rows += [(kind, l, name, 1 - toxic, toxic, n * (1 - toxic), n * toxic, len(cores) * toxic) for kind, l, name, n in found]
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(columns)], names=["kind", "lang", "name", "clean", "toxic", "clean_n", "toxic_n", "reach"])
+
+    sums = ["clean", "toxic", "clean_n", "toxic_n", "reach"]
+    return sample.where("toxic is not null").select("text", "lang", "toxic").mapInArrow(count, schema).groupBy("kind", "lang", "name").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def learn_lexicon(sample: DataFrame, least: int = 5, precision: float = 0.9) -> Lexicon:
+    """Telling words, and by language telling beginnings of words, from rows (text, lang, toxic); only they are gathered."""
+    counts = _word_counts(sample)
+    languages = {r["lang"]: r for r in counts.where("kind = 'n'").collect()}
+    words = counts.where(f"kind = 'w' and toxic >= {least} and toxic >= {precision} * (toxic + clean)").select("name").collect()
+    lexicon = Lexicon(frozenset(r["name"] for r in words))
+    # A beginning that most toxic documents of the language share, far more often than clean ones have it.
+    all_words = counts.where("kind = 'n'").select("lang", F.col("toxic").alias("docs"), F.col("clean_n").alias("clean_words"))
+    often = F.col("toxic_n") / F.greatest("reach", F.lit(1))
+    seldom = (F.col("clean_n") + 0.5) / F.greatest("clean_words", F.lit(1))
+    stems = counts.where("kind = 's'").join(all_words, "lang").where(f"docs >= {least} and toxic >= 0.4 * docs").where(often >= 8 * seldom)
+    found: dict[str, dict[str, tuple[float, float]]] = {lang: {} for lang in languages}
+    for r in stems.select("lang", "name", F.log(often / seldom).alias("gain"), (often - seldom).alias("cost")).collect():
+        found[r["lang"]][r["name"]] = (r["gain"], r["cost"])
+    lexicon.stems = {lang: stems for lang, stems in found.items() if stems}
+    lexicon.heads = {lang: frozenset(s[:PREFIX] for s in stems) for lang, stems in lexicon.stems.items()}
     return lexicon
 
 
-def label_model(patterns: dict[tuple[int, ...], int], known: int, rounds: int = 100) -> dict[tuple[int, ...], float]:
-    """Posterior chance of bad for each vote pattern; the voter at place ``known`` starts out as the most trusted.
+#: What EM adds to the counts of right and wrong votes: given labels are taken to be right at first, others may be anything.
+GIVEN, OTHERS = (3.0, 0.5), (0.5, 0.5)
+
+
+def label_model(patterns: dict[tuple[int, ...], int], given: int, rounds: int = 100) -> dict[tuple[int, ...], float]:
+    """Posterior chance of bad for each vote pattern; the voter at place ``given`` starts out as the most trusted.
 
     Each voter has a chance of either vote under either answer (Dawid-Skene), voters are independent given the answer.
+    All chances, those of given labels too, are learned from the votes.
     """
     keys = list(patterns)
     if not keys:
         return {}
     seen, times = np.array(keys), np.array([patterns[k] for k in keys], float)
     trust = np.full(seen.shape[1], 0.7)
-    trust[known] = 4.0
+    trust[given] = 4.0
     belief = 1 / (1 + np.exp(-((seen == BAD) * 2.0 * trust - (seen == GOOD) * 0.5 * trust).sum(axis=1)))
-    belief = np.where(seen[:, known] == BAD, 0.98, np.where(seen[:, known] == GOOD, 0.02, np.clip(belief, 0.02, 0.98)))
+    belief = np.clip(belief, 0.02, 0.98)
     for _ in range(rounds):
         mass = np.stack([times * (1 - belief), times * belief])
         prior = (mass.sum(axis=1) + 1) / (times.sum() + 2)
         log = np.log(prior)[:, None] + np.zeros((2, len(keys)))
         for voter in range(seen.shape[1]):
-            # Accuracy is that of votes given: a voter that keeps silent says nothing. Known labels are held to what they are.
-            chance = np.stack([np.bincount(seen[:, voter], m, 3)[:2] for m in mass]) + 0.5
-            chance = np.array([[0.98, 0.02], [0.02, 0.98]]) if voter == known else chance / chance.sum(axis=1, keepdims=True)
+            right, wrong = GIVEN if voter == given else OTHERS
+            # Accuracy is that of votes given: a voter that keeps silent says nothing.
+            chance = np.stack([np.bincount(seen[:, voter], m, 3)[:2] for m in mass]) + np.array([[right, wrong], [wrong, right]])
+            chance = chance / chance.sum(axis=1, keepdims=True)
             log += np.hstack([np.log(chance), np.zeros((2, 1))])[:, seen[:, voter]]
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         if np.abs(new - belief).max() < 1e-6:
@@ -185,41 +202,62 @@ def _source(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic"):
-    """The fitted (lexicon, weights). Vote patterns are counted over all documents, lists and weights come from the sample."""
-    src = _source(docs, id_col, text_col, lang_col)
-    gold = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(quality_col).cast("int").alias("quality"), F.max(toxic_col).cast("int").alias("toxic"))
-    n = gold.count()
-    few = gold.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 0.9 * SAMPLE_ROWS / max(1, n))))
-    sample = src.where(F.length("text") <= SAMPLE_CHARS).join(few, "doc_id").limit(SAMPLE_ROWS).select("text", "lang", "quality", "toxic").collect()
-    lexicon = learn_lexicon([(r["text"], r["lang"], r["toxic"]) for r in sample if r["toxic"] is not None])
+def _sample(spark: SparkSession, src: DataFrame, gold: DataFrame) -> DataFrame:
+    """The rows to fit on: with given labels (quality, toxic) and, with nulls there, without; rows that share id and text once."""
+    size = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    labelled = gold.count()
+    rows = min(SAMPLE_ROWS, SAMPLE_BYTES * size["n"] // (2 * max(1, size["bytes"] or 0)))
+    share = lambda column, n: F.pmod(F.xxhash64(column), F.lit(1_000_003)) < int(1_000_003 * min(1.0, rows / max(1, n)))
+    keyed = src.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    given = keyed.join(gold.where(share("doc_id", labelled)), "doc_id")
+    others = keyed.where(share("row_key", size["n"])).join(gold.select("doc_id"), "doc_id", "left_anti")
+    both = given.select("row_key", "text", "lang", "quality", "toxic").unionByName(others.select("row_key", "text", "lang"), allowMissingColumns=True)
+    return stored(spark, both.groupBy("row_key").agg(*(F.first(c).alias(c) for c in ("text", "lang", "quality", "toxic"))), "sample")
+
+
+def _patterns(src: DataFrame, gold: DataFrame, lexicon: Lexicon) -> tuple[Counter, Counter]:
+    """How often each pattern of votes, the given label last, occurs over all documents: on junk, on toxicity."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             both = [votes(x, y, lexicon)[:2] for x, y in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(["".join(map(str, v[k])) for v in both], pa.string()) for k in (0, 1))], names=["doc_id", "junk", "ugly"])
 
-    voted = src.mapInArrow(vote, T.StructType([src.schema["doc_id"], T.StructField("junk", T.StringType()), T.StructField("ugly", T.StringType())])).join(gold, "doc_id", "left")
-    counts = voted.groupBy("junk", "ugly", "quality", "toxic").agg(F.count("*").alias("n")).collect()
-    patterns: tuple[Counter, Counter] = Counter(), Counter()
-    name = lambda text, x: (*map(int, text), NONE if x is None else x)
-    for r in counts:
-        patterns[0][name(r["junk"], None if r["quality"] is None else 1 - r["quality"])] += r["n"]
-        patterns[1][name(r["ugly"], r["toxic"])] += r["n"]
-    models = [label_model(p, known) for p, known in zip(patterns, (8, 3), strict=True)]
-    rows, targets = [], []
-    for r in sample:
-        junk, toxic, cores = votes(r["text"], r["lang"], lexicon)
-        rows.append(features(junk, toxic, cores))
-        keys = (*junk, NONE if r["quality"] is None else 1 - r["quality"]), (*toxic, NONE if r["toxic"] is None else r["toxic"])
-        targets.append([models[k].get(keys[k], 0.5) for k in (0, 1)])
-    if not rows:  # no labelled rows: the patterns themselves, weighted, are the training rows
-        for k in (0, 1):
-            for key, p in models[k].items():
-                junk, toxic = (list(key[:8]), [NONE] * 3) if k == 0 else ([NONE] * 8, list(key[:3]))
-                rows.append(features(junk, toxic, []))
-                targets.append([p, 0.0] if k == 0 else [0.0, p])
-    return lexicon, fit_scorer(rows, np.array(targets).reshape(-1, 2), 1 + 3 * 11 + (1 << HASH_BITS))
+    voted = src.mapInArrow(vote, T.StructType([src.schema["doc_id"], T.StructField("junk", T.StringType()), T.StructField("ugly", T.StringType())]))
+    voted = voted.groupBy("doc_id", "junk", "ugly").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("int")
+    known = voted.where("doc_id is not null").join(gold, "doc_id", "left").unionByName(voted.where("doc_id is null").withColumn("quality", none).withColumn("toxic", none))
+    out: tuple[Counter, Counter] = Counter(), Counter()
+    for r in known.groupBy("junk", "ugly", "quality", "toxic").agg(F.sum("n").alias("n")).collect():
+        out[0][(*map(int, r["junk"]), NONE if r["quality"] is None else 1 - r["quality"])] += r["n"]
+        out[1][(*map(int, r["ugly"]), NONE if r["toxic"] is None else r["toxic"])] += r["n"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic"):
+    """The fitted (lexicon, weights). Vote patterns are counted over all documents, lists and weights come from the sample."""
+    spark = docs.sparkSession
+    src = _source(docs, id_col, text_col, lang_col)
+    gold = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(quality_col).cast("int").alias("quality"), F.max(toxic_col).cast("int").alias("toxic"))
+    sample = _sample(spark, src, gold)
+    lexicon = learn_lexicon(sample)
+    patterns = _patterns(src, gold, lexicon)
+    models = [label_model(p, given) for p, given in zip(patterns, (N_JUNK, N_TOXIC), strict=True)]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", SLICE_BYTES):
+            at, value, targets = [], [], []
+            for text, lang, quality, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "quality", "toxic")), strict=True):
+                junk, ugly, cores = votes(text, lang, lexicon)
+                where, weight = features(junk, ugly, cores)
+                keys = (*junk, NONE if quality is None else 1 - quality), (*ugly, NONE if toxic is None else toxic)
+                at.append(where.astype(np.int32)), value.append(weight.astype(np.float32)), targets.append([models[k].get(keys[k], 0.5) for k in (0, 1)])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in value], pa.binary()), pa.array(targets, pa.list_(pa.float64()))], names=["at", "value", "target"])
+
+    taught = sample.orderBy("row_key").select("text", "lang", "quality", "toxic").mapInArrow(describe, "at binary, value binary, target array<double>").collect()
+    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in taught]
+    targets = np.array([r["target"] for r in taught], float).reshape(-1, 2)
+    return lexicon, fit_scorer(rows, targets, 1 + 3 * (N_JUNK + N_TOXIC) + (1 << HASH_BITS))
 
 
 def _scores(batch: pa.RecordBatch, at: int, lang: int | None, lexicon: Lexicon, weights: np.ndarray) -> np.ndarray:

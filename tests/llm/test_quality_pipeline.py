@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -63,6 +65,88 @@ def test_label_model_finds_good_and_bad_voters():
     assert post[1, 1, 0, q.NONE] > 0.9 and post[0, 0, 1, q.NONE] < 0.1
 
 
+def brute_em(docs, given):
+    """The label model by plain loops over documents, a document at a time."""
+    voters, beliefs = len(docs[0]), []
+    for votes in docs:
+        x = sum((4.0 if v == given else 0.7) * (2.0 if votes[v] == 1 else -0.5 if votes[v] == 0 else 0.0) for v in range(voters))
+        beliefs.append(min(0.98, max(0.02, 1 / (1 + math.exp(-x)))))
+    for _ in range(100):
+        prior = (sum(beliefs) + 1) / (len(docs) + 2)
+        chance = []
+        for v in range(voters):
+            right, wrong = (3, 0.5) if v == given else (0.5, 0.5)
+            table = []
+            for answer in (0, 1):
+                add = [wrong, right] if answer else [right, wrong]
+                mass = [add[x] + sum(b if answer else 1 - b for b, votes in zip(beliefs, docs, strict=True) if votes[v] == x) for x in (0, 1)]
+                table.append([m / sum(mass) for m in mass])
+            chance.append(table)
+        new = []
+        for votes in docs:
+            odds = [1 - prior, prior]
+            for v, x in enumerate(votes):
+                if x != q.NONE:
+                    odds = [odds[a] * chance[v][a][x] for a in (0, 1)]
+            new.append(odds[1] / sum(odds))
+        moved, beliefs = max(abs(a - b) for a, b in zip(new, beliefs, strict=True)), new
+        if moved < 1e-6:
+            break
+    return beliefs
+
+
+def simulated(n, accuracy, given_share, given_right, seed):
+    rng = np.random.default_rng(seed)
+    truth, docs = rng.random(n) < 0.3, []
+    for t in truth:
+        vote = lambda right: int(t) if rng.random() < right else 1 - int(t)
+        docs.append((*(q.NONE if rng.random() < 0.2 else vote(a) for a in accuracy), vote(given_right) if rng.random() < given_share else q.NONE))
+    return truth, docs
+
+
+def test_label_model_equals_plain_loops():
+    _, docs = simulated(500, (0.9, 0.8, 0.6), 0.3, 0.9, 1)
+    post = q.label_model(Counter(docs), 3)
+    assert np.allclose([post[d] for d in docs], brute_em(docs, 3), atol=1e-5)
+
+
+def test_posteriors_are_better_than_few_and_partly_wrong_labels():
+    truth, docs = simulated(4000, (0.9, 0.88, 0.85, 0.8), 0.1, 0.75, 2)
+    post = q.label_model(Counter(docs), 4)
+    given = [(d[4], post[d] >= 0.5, t) for d, t in zip(docs, truth, strict=True) if d[4] != q.NONE]
+    labels_right, posterior_right = np.mean([g == t for g, _, t in given]), np.mean([p == t for _, p, t in given])
+    assert labels_right < 0.8 and posterior_right > labels_right + 0.1
+    assert np.mean([(post[d] >= 0.5) == t for d, t in zip(docs, truth, strict=True)]) > 0.9
+
+
+def test_without_the_label_model_the_scorer_is_worse(spark, monkeypatch):
+    # A tenth of the documents has a label, a quarter of these labels is wrong: weights taught by the labels alone follow them.
+    rng = random.Random(4)
+    docs, labels, truth = [], [], {}
+    for i in range(600):
+        truth[i] = i % 4 == 0
+        docs.append((i, "%% ".join(text(rng).split()) + "%%" if truth[i] else text(rng)))
+        if i % 10 < 2:
+            labels.append((i, int(truth[i]) if rng.random() < 0.25 else 1 - int(truth[i]), 0))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    right = lambda: np.mean([(r.p_junk >= 0.5) == truth[r.doc_id] for r in q.classify(d, lab).collect()])
+    with_model = right()
+    monkeypatch.setattr(q, "label_model", lambda patterns, given: {k: 0.5 if k[given] == q.NONE else float(k[given]) for k in patterns})
+    without = right()
+    assert with_model > 0.97 and without < with_model - 0.05, (with_model, without)
+
+
+def test_clashing_columns_long_texts_and_hot_ids(spark):
+    docs, labels = corpus()
+    rows = [(*d, 1, 2, "w") for d in docs] + [(2, docs[2][1], "en", "s", 1, 1, 2, "w")] * 200 + [(None, "x " * 200_000, "en", "s", 1, 1, 2, "w")] * 2 + [(5000, "z" * 300_000, "en", "s", 1, 1, 2, "w")]
+    d = spark.createDataFrame(rows, DOCS + ", quality int, toxic int, row_key string")
+    lab = spark.createDataFrame([(*x, "y") for x in labels], LABELS + ", text string")
+    got = q.classify(d, lab).collect()
+    assert len(got) == len(rows) and len({(r.p_junk, r.kept) for r in got if r.doc_id == 2}) == 1
+    kept = q.keep_good(d, lab)
+    assert kept.columns == d.columns and kept.count() == sum(r.kept for r in got)
+
+
 @pytest.mark.parametrize("size", ["sf0.01"])
 def test_held_out_accuracy(spark, size):
     d = f"/root/testdata/{size}"
