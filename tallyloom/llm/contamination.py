@@ -9,20 +9,22 @@ the start of each run are sampled, and occurrences are located by stepping backw
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import gathered, table
+from tallyloom.llm.common import discard, gathered, stored, table, unused
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 32 << 20
+#: Text of a block of benchmark items, all that the driver and a task hold of the benchmark at once; its index takes about 30 x.
+BLOCK_BYTES = 4 << 20
 STEP = 16
 
 
@@ -135,26 +137,37 @@ class FmIndex:
 class Phrases:
     """Windows of one block of benchmark items: a vocabulary, distinct windows, and the items of each window."""
 
-    def __init__(self, rows: list[tuple[object, str]], window: int):
+    def __init__(self, rows: list[tuple[str, str]], window: int):
         self.vocab: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], int] = {}
-        pairs: set[tuple[int, int]] = set()
-        ids: dict[object, int] = {}
+        ids: dict[str, int] = {}
+        tables, owners, lengths = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for item, text in rows:
-            symbols = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in WORD.findall(text.encode().lower())]
-            if not symbols or item is None:
+            symbols = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in WORD.findall(text.encode().lower())], np.int32)
+            if not len(symbols):
                 continue
-            k = ids.setdefault(item, len(ids))
-            for i in range(max(1, len(symbols) - window + 1)):
-                pairs.add((seen.setdefault(tuple(symbols[i : i + window]), len(seen)), k))
+            size = min(window, len(symbols))
+            part = np.zeros((len(symbols) - size + 1, window), np.int32)
+            part[:, window - size :] = np.lib.stride_tricks.sliding_window_view(symbols, size)
+            tables.append(part), owners.append(np.full(len(part), ids.setdefault(item, len(ids)))), lengths.append(np.full(len(part), size))
         self.items = list(ids)
-        self.length = np.array([len(x) for x in seen], np.int64)
-        self.table = np.zeros((len(seen), window), np.int64)
-        for i, x in enumerate(seen):
-            self.table[i, window - len(x) :] = x
-        both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.item_of, self.item_start = both[:, 1], np.searchsorted(both[:, 0], np.arange(len(seen) + 1))
-        self.shortest = int(self.length.min()) if len(seen) else 1
+        # Rows of symbols as single values, so that equal windows are found by sorting.
+        whole = np.ascontiguousarray(np.concatenate(tables))
+        first, at = np.unique(whole.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)[1:]
+        self.table, self.length = whole[first].astype(np.int64), np.concatenate(lengths)[first]
+        pair = np.unique(np.stack([at.ravel(), np.concatenate(owners)]), axis=1)
+        self.item_of, self.item_start = pair[1], np.searchsorted(pair[0], np.arange(len(first) + 1))
+        self.shortest = int(self.length.min()) if len(first) else 1
+
+
+_LAST: dict[str, Phrases] = {}
+
+
+def phrases_of(name: str, rows: list[tuple[str, str]], window: int) -> Phrases:
+    """The windows of a block; a worker keeps those of the last block it met."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Phrases(rows, window)
+    return _LAST[name]
 
 
 def search_shard(docs: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -206,27 +219,19 @@ def search_shard(docs: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list[
     return n_words, spans, items
 
 
-def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Phrases]:
-    """Benchmark items in blocks of at most ``BLOCK_BYTES`` of text, so that what a task holds of them is bounded."""
-    rows = benchmark.select(F.col(item_col), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
-    held, total = [], 0
-    for item, text in rows.toLocalIterator():
-        if held and total + len(text) > BLOCK_BYTES // 4:
-            yield Phrases(held, window)
-            held, total = [], 0
-        held.append((item, text))
-        total += len(text)
-    yield Phrases(held, window)
+class Blocks:
+    """The benchmark's distinct items in blocks, dealt by their hash and written as a table; one block at a time is read."""
 
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str):
+        items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
+        items = stored(spark, items, "items")
+        self.n = (items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BLOCK_BYTES + 1
+        self.dealt = stored(spark, items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(self.n))), "blocks")
+        self.name = uuid.uuid4().hex
+        discard(spark, items)
 
-def _union(parts: list[list[list[int]]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for start, end in sorted(tuple(x) for part in parts for x in part):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
+    def read(self, k: int) -> tuple[str, list[tuple[str, str]]]:
+        return f"{self.name}-{k}", [(r["item"], r["text"]) for r in self.dealt.where(F.col("block") == k).select("item", "text").collect()]
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -234,49 +239,51 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
 
     Null and empty texts have no words. Items with a null id or no words are passed over; an item of fewer words than
     the window is one window. Repeated document rows give a row each; rows that share an item id are one item. Empty
-    tables give no rows, or rows without hits. Other columns are not read.
+    tables give no rows, or rows without hits. Other columns are not read. Rows are written once with a number; every
+    block of items is searched for in all of them, and only hits are shuffled, by that number.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    span = T.ArrayType(T.ArrayType(T.IntegerType()))
-    schema = T.StructType([src.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    held = stored(spark, src.withColumn("row", F.monotonically_increasing_id()), "texts")
 
-    def searcher(phrases: Phrases, extra: list[str]):
+    def searcher(name: str, rows: list[tuple[str, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = phrases_of(name, rows, window)
             for shard in gathered(batches, "text", SHARD_BYTES):
-                n, spans, items = search_shard([(x or "").encode() for x in shard.column("text").to_pylist()], phrases)
-                ids = [sorted(str(phrases.items[k]) for k in x.tolist()) for x in items]
-                columns = [shard.column("doc_id").combine_chunks(), pa.array(n), pa.array([x.tolist() for x in spans], pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, *(shard.column(c).combine_chunks() for c in extra)], names=[*schema.names, *extra])
+                _, spans, items = search_shard([x.encode() for x in shard.column("text").to_pylist()], phrases)
+                hit = [i for i, x in enumerate(spans) if len(x)]
+                ids = [[phrases.items[k] for k in items[i].tolist()] for i in hit]
+                yield pa.RecordBatch.from_arrays([shard.column("row").combine_chunks().take(pa.array(hit, pa.int64())), pa.array([spans[i].tolist() for i in hit], pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))], names=["row", "spans", "items"])
 
         return run
 
-    blocks = list(phrase_blocks(benchmark, item_col, item_text_col, window))
-    if len(blocks) == 1:
-        return src.mapInArrow(searcher(blocks[0], []), schema)
-    # More blocks: every block gives its spans for each row; a row is known by id and content, repeated rows share one key.
-    src = src.withColumn("row_key", F.xxhash64("doc_id", "text", F.length("text")))
-    keyed = T.StructType([*schema.fields, src.schema["row_key"]])
-    found = None
-    for phrases in blocks:
-        part = src.dropDuplicates(["row_key", "doc_id"]).mapInArrow(searcher(phrases, ["row_key"]), keyed)
+    texts = held.where("text is not null").select("row", "text")
+    blocks, found = Blocks(spark, benchmark, item_col, item_text_col), None
+    for k in range(blocks.n):
+        part = stored(spark, texts.mapInArrow(searcher(*blocks.read(k)), "row long, spans array<array<int>>, items array<string>"), "hits")
         found = part if found is None else found.unionByName(part)
-    joined = F.udf(lambda parts: _union(parts), span)
-    merged = found.groupBy("row_key", "doc_id").agg(F.max("n_words").alias("n_words"), joined(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    times = src.groupBy("row_key", "doc_id").agg(F.count("*").alias("times"))
-    again = merged.alias("m").join(times.alias("t"), (F.col("m.row_key") == F.col("t.row_key")) & F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return again.select("m.doc_id", "m.n_words", "m.spans", "m.item_ids", F.explode(F.sequence(F.lit(1), F.col("t.times").cast("int"))).alias("nth")).drop("nth")
-
-
-def strip_spans(text: str, phrases: list[Phrases]) -> str:
+    # Spans that touch are one: a span opens where all before it, by their starts, end further left.
+    each = found.select("row", F.explode("spans").alias("span")).select("row", F.col("span")[0].alias("start"), F.col("span")[1].alias("end"))
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = each.withColumn("opens", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("nth", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = opened.groupBy("row", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.array("start", "end"))).alias("spans"))
+    items = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+    out = held.select("doc_id", "row", words.alias("n_words")).join(merged, "row", "left").join(items, "row", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select("doc_id", "n_words", empty("spans", "array<array<int>>"), empty("item_ids", "array<string>"))
+
+
+def strip_spans(text: str, phrases: Phrases) -> str:
     """The text without the spans that phrases hit, again until none is left; a span goes from its first to its last word."""
     while True:
         raw = text.encode()
-        spans = _union([x.tolist() for p in phrases for x in search_shard([raw], p)[1]])
-        if not spans:
+        spans = search_shard([raw], phrases)[1][0]
+        if not len(spans):
             return text
         words = [m.span() for m in WORD.finditer(raw.lower())]
         out, at = [], 0
-        for start, end in spans:
+        for start, end in spans.tolist():
             out.append(raw[at : words[start][0]])
             at = words[end - 1][1]
         text = b"".join([*out, raw[at:]]).decode()
@@ -285,25 +292,45 @@ def strip_spans(text: str, phrases: list[Phrases]) -> str:
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with the same rows and columns, benchmark passages cut out of ``text_col``; other texts stay as they are.
 
-    Null texts stay null. The blocks of phrases are applied one after another to each shard.
+    Null texts stay null; repeated rows are cut alike; empty tables give no rows, or texts as they are; columns may have
+    any names. Every block of items makes a pass over the texts. A cut can bring words together that are a passage of
+    another block, so passes go on, over the texts cut since that block's last pass, until every block has seen every
+    text as it stays; no passage of any block is left.
     """
-    blocks = list(phrase_blocks(benchmark, item_col, item_text_col, window))
-    at = docs.columns.index(text_col)
+    at, touched = docs.columns.index(text_col), unused(docs, "touched")[0]
+    blocks = Blocks(spark, benchmark, item_col, item_text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(touched, T.LongType())])
 
-    def clean(phrases: Phrases, every: list[Phrases]):
+    def clean(name: str, rows: list[tuple[str, str]], nth: int, since: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = phrases_of(name, rows, window)
             for shard in gathered(batches, text_col, SHARD_BYTES):
-                old = shard.column(at).to_pylist()
-                spans = search_shard([(x or "").encode() for x in old], phrases)[1]
-                new = [strip_spans(x, every) if len(s) else x for x, s in zip(old, spans, strict=True)]
-                yield from shard.set_column(at, shard.field(at), pa.array(new, shard.field(at).type)).combine_chunks().to_batches()
+                old, marks = shard.column(at).to_pylist(), shard.column(len(schema) - 1).to_pylist()
+                due = [i for i, (x, m) in enumerate(zip(old, marks, strict=True)) if x and m >= since]
+                spans = search_shard([old[i].encode() for i in due], phrases)[1]
+                for i, found in zip(due, spans, strict=True):
+                    if len(found):
+                        old[i], marks[i] = strip_spans(old[i], phrases), nth
+                shard = shard.set_column(at, shard.field(at), pa.array(old, shard.field(at).type)).set_column(len(schema) - 1, touched, pa.array(marks, pa.int64()))
+                yield from shard.combine_chunks().to_batches()
 
         return run
 
-    # A cut can only bring words together in a row that is cut, and that row is searched again for this block's phrases.
-    for phrases in blocks:
-        docs = docs.mapInArrow(clean(phrases, [phrases]), docs.schema)
-    return docs
+    now = docs.withColumn(touched, F.lit(0).cast("long"))
+    quiet, nth, before = 0, 0, None
+    while True:
+        # Pass ``nth`` (from 1 on) looks at what was cut from this block's last pass on; the first round looks at all.
+        nth += 1
+        made = now.mapInArrow(clean(*blocks.read((nth - 1) % blocks.n), nth, 0 if nth <= blocks.n else nth - blocks.n + 1), schema)
+        if blocks.n == 1:
+            return made.drop(touched)
+        made = stored(spark, made, "pass")
+        if before is not None:
+            discard(spark, before)
+        now = before = made
+        quiet = quiet + 1 if made.where(F.col(touched) == nth).isEmpty() else 0
+        if nth >= blocks.n and quiet >= blocks.n - 1:
+            return now.drop(touched)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,20 +210,22 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 4
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only the histogram of lengths (at most ``capacity`` counts) and the patterns made from it reach the driver; pieces
-    take their place by their rank among those of equal length. A null or empty text is one piece, the end id alone.
-    Repeated rows are packed each by itself; ties of rank are broken by id and piece. An empty table gives no rows.
-    Other columns are not read.
+    take their place by their rank among those of equal length, in the order in which they were written. A null or empty
+    text is one piece, the end id alone. Repeated rows are packed each by itself. An empty table gives no rows. Other
+    columns are not read.
     """
-    held = stored(spark, pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    made = pieces(docs, tokenizer, capacity, end_id, id_col, text_col)
+    # A number for each piece as it is written parts even equal rows evenly.
+    held = stored(spark, made.withColumn("row", F.monotonically_increasing_id()), "pieces")
     lengths = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan(lengths, capacity))
     shards = max(1, -(-sum(lengths.values()) // SHARD_ROWS))
     # Hot lengths are ranked in shards; a shard starts after all rows of the shards before it.
-    ranked = held.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    ranked = held.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     before = ranked.groupBy("length", "shard").agg(F.count("*").alias("n")).select("length", "shard", (F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
-    ranked = ranked.join(before, ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("before")).select(*held.columns, "rank")
-    schema = T.StructType([*held.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("length", "shard").orderBy("row")).cast("long") - 1)
+    ranked = ranked.join(before, ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("before")).select(*made.columns, "rank")
+    schema = T.StructType([*made.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     keys = slots[:, 0] << 44 | slots[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ from tallyloom.llm.common import by_bytes, table, texts
 
 SLICE_BYTES = 4 << 20
 CACHE_WORDS = 400_000
+#: Words from this many bytes on keep their pairs by rank, so that a round costs what it merges and not their length.
+LONG_WORD = 1024
 
 
 class RankMerger:
@@ -53,8 +56,66 @@ class RankMerger:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.order[at], self.none)
 
+    def long_count(self, raw: bytes) -> int:
+        """Symbols of one long word: the positions of its pairs are kept by rank, the lowest rank is merged everywhere at once."""
+        n = len(raw)
+        flat = np.frombuffer(raw, np.uint8)
+        symbol = self.plain[flat]
+        symbol[-1] = self.final[flat[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: no neighbour
+        rank = np.append(self._ranks(symbol[:-1], symbol[1:]), self.none)
+        held: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+        count = n
+
+        def keep(at: np.ndarray) -> None:
+            at = at[rank[at] < self.none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in held:
+                    held[r] = []
+                    heapq.heappush(heap, r)
+                held[r].append(part)
+
+        keep(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            hit = np.unique(np.concatenate(held.pop(r)))
+            hit = hit[rank[hit] == r]
+            if not len(hit):
+                continue
+            # In a run of overlapping occurrences (a a a) every other one is merged, from the left.
+            opens = np.r_[True, after[hit[:-1]] != hit[1:]]
+            run = np.maximum.accumulate(np.where(opens, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            gone = after[hit]
+            symbol[hit], rank[gone] = self.made[r], self.none
+            after[hit] = after[gone]
+            inner = after[hit] < n
+            before[after[hit][inner]] = hit[inner]
+            left = before[hit]
+            changed = np.unique(np.concatenate([left[left >= 0], hit]))
+            has = after[changed] < n
+            rank[changed] = self.none
+            pairs = changed[has]
+            rank[pairs] = self._ranks(symbol[pairs], symbol[after[pairs]])
+            keep(pairs)
+            count -= len(gone)
+        return count
+
     def counts(self, words: list[str]) -> np.ndarray:
         raw = [w.encode("utf-8", "surrogateescape") for w in words]
+        result = np.zeros(len(raw), np.int64)
+        short = [i for i, w in enumerate(raw) if len(w) < LONG_WORD]
+        for i, w in enumerate(raw):
+            if len(w) >= LONG_WORD:
+                result[i] = self.long_count(w)
+        if short:
+            result[short] = self._short_counts([raw[i] for i in short])
+        return result
+
+    def _short_counts(self, raw: list[bytes]) -> np.ndarray:
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         result = length.copy()
         flat = np.frombuffer(b"".join(raw), np.uint8)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import stored, table
+from tallyloom.llm.common import discard, spread_join, stored, table
 from tallyloom.llm.components import components
 
 PER_FILTER = 48
@@ -151,12 +151,12 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, i
     Vectors link when their cosine, in double precision, is ``cosine`` or more. Null, empty and zero vectors and those
     with null or non-finite components link with nothing; vectors of different lengths don't link. Equal vectors are
     one node: each copy counts as a link of the others and of all that the node links with. A row with a null id links
-    like any other, but names no component. Repeated rows give a row each; an empty table gives none; other columns
-    are not read. Pairs are found with high probability (see the recall test), never reported below the threshold.
+    like any other, but names no component; where no row reachable has an id, component_id is null and all are kept.
+    Repeated rows give a row each; an empty table gives none; other columns are not read. Pairs are found with high probability (see the recall test), never reported below the threshold.
     """
     src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
     rows = stored(spark, _nodes(src), "vectors")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("data").alias("data"), F.count("*").alias("times"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.first("data").alias("data"), F.min("vec_id").alias("own"), F.count("*").alias("times"))
     nodes = stored(spark, nodes.withColumn("dim", (F.length("data") / 8).cast("int")), "nodes")
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()}
     codes = {dim: ProductCode(dim, n, cosine) for dim, n in sizes.items()}
@@ -173,10 +173,13 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, i
     member = decoded.select("node", "dim", F.explode("filters").alias("filter"))
     # A filter with many vectors is cut into slices, and every two slices meet in a task of their own.
     full = member.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS))
+    full = stored(spark, full, "filters")
+    # Each row of a filter meets each of its slices; the bins follow from how many rows that makes.
+    meetings = full.agg(F.sum(F.col("n") * F.col("slices")).alias("n")).first()["n"] or 0
     member = member.join(full, ["dim", "filter"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
     meet = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     member = member.select("node", "dim", "filter", "slice", meet.alias("other")).select("node", "dim", "filter", "slice", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"))
-    bins = max(1, math.ceil(AT_LEAST * sum(sizes.values()) / BIN_ROWS))
+    bins = max(1, math.ceil(meetings / BIN_ROWS))
     work = member.join(decoded.drop("dim"), "node").withColumn("bin", F.pmod(F.xxhash64("dim", "filter", "low", "high"), F.lit(bins)))
 
     def compare(group: pa.Table) -> pa.Table:
@@ -201,13 +204,16 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, i
         return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["node", "links", "first"])
 
     found = stored(spark, work.groupBy("bin").applyInArrow(compare, "node binary, links long, first binary"), "found")
+    discard(spark, decoded, full)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(spark, found.select(F.col("node").alias("a"), F.col("first").alias("b"))).select("node", "label")
-    named = rows.select("vec_id", "node").join(nodes.select("node", "times"), "node", "left").join(links, "node", "left").join(labels, "node", "left")
-    named = named.withColumn("comp", F.coalesce("label", "node"))
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("vec_id").alias("least"))
-    named = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "vec_id"))
-    return named.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("times", F.lit(1)) - 1).alias("n_links"), "component_id", F.expr("vec_id <=> component_id").alias("kept"))
+    nodes = nodes.select("node", "own", "times").join(links, "node", "left").join(labels, "node", "left")
+    nodes = stored(spark, nodes.withColumn("comp", F.coalesce("label", "node")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("times") - 1).drop("label", "links"), "linked")
+    total = rows.count()
+    least = stored(spark, nodes.groupBy("comp").agg(F.min("own").alias("least"), F.count("*").alias("members")), "least")
+    named = stored(spark, spread_join(nodes, least, "comp", "members", total).select("node", "n_links", "least", "times"), "named")
+    out = spread_join(rows.select("vec_id", "node"), named, "node", "times", total).withColumn("component_id", F.coalesce("least", "vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.expr("vec_id <=> component_id").alias("kept"))
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

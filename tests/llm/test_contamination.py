@@ -94,3 +94,39 @@ def test_index_counts_and_places():
         low, high = index.search(table, np.array([len(phrase)]))
         want = [i for i in range(len(text) - len(phrase) + 1) if text[i : i + len(phrase)].tolist() == phrase]
         assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
+
+
+def cleaned(spark, docs, items, schema="doc_id long, text string, item_id string, touched int"):
+    d = spark.createDataFrame([(*x, "k", 7) for x in docs], schema)
+    out = c.decontaminate(spark, d, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == d.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_a_cut_of_one_block_that_joins_a_passage_of_another(spark, monkeypatch):
+    monkeypatch.setattr(c, "BLOCK_BYTES", 10)
+    one = [f"a{i}" for i in range(12)]
+    items = [(1, " ".join(one)), (2, " ".join(f"b{i}" for i in range(10))), (3, " ".join(f"c{i}" for i in range(10)))]
+    split = lambda word, outer, at: [*outer[:at], *(f"{word}{i}" for i in range(10)), *outer[at:]]
+    docs = [(1, "start " + " ".join(split("b", one, 5)) + " end"), (2, "start " + " ".join(split("c", split("b", one, 5), 9)) + " end"), (3, " ".join(one[:9])), (4, None), (None, "x " + " ".join(one)), (None, "x " + " ".join(one))]
+    got = cleaned(spark, docs, items)
+    assert not any(r[5] for r in brute([(i, t) for i, t in got], items))
+    assert {(i, " ".join((t or "").split())) for i, t in got} == {(1, "start end"), (2, "start end"), (3, " ".join(one[:9])), (4, ""), (None, "x")}
+    assert len(got) == len(docs)
+
+
+def test_decontaminate_random_texts_with_any_number_of_blocks(spark, monkeypatch):
+    docs, items = sample()
+    for size in (100, 1000, 4 << 20):
+        monkeypatch.setattr(c, "BLOCK_BYTES", size)
+        got = cleaned(spark, docs, items)
+        assert len(got) == len(docs) and not any(r[5] for r in brute(got, items))
+        clean = {d[:2] for d, r in zip(docs, brute(docs, items), strict=True) if not r[5]}
+        assert clean <= set(got)
+
+
+def test_decontaminate_empty_tables(spark):
+    docs, items = sample()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert c.decontaminate(spark, d.limit(0), b).count() == 0
+    assert sorted(c.decontaminate(spark, d, b.limit(0)).collect(), key=str) == sorted(d.collect(), key=str)

@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 
 import numpy as np
@@ -29,6 +31,23 @@ def test_long_words():
         assert token_counts.count_batch([text], PATH)[0] == [len(library_ids(text))]
 
 
+def test_a_very_long_word_takes_time_by_its_length():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "x" * 100_001, "aab" * 2777, "".join(rng.choice(["the", "ing", "tion", "a", "aa"]) for _ in range(4000))]
+    start = time.process_time()
+    got = token_counts.count_batch(words, PATH)[0]
+    assert time.process_time() - start < 10
+    assert got == [len(library_ids(w)) for w in words]
+    assert [len(x) for x in packing.token_ids(words, PATH)] == got
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "the", "in", "g", "é", "ion"]), min_size=1, max_size=60).map("".join))
+def test_long_and_short_words_are_merged_alike(word):
+    merger = token_counts.merger(PATH)
+    assert merger.long_count(word.encode()) == len(library_ids(word))
+
+
 ROWS = [(1, "Hello there, world", "x"), (2, None, "x"), (3, "", None), (None, "same text", "y"), (5, "the " * 9000, "y"), (5, "the " * 9000, "y")]
 SCHEMA = "doc_id long, text string, length string"
 
@@ -68,6 +87,13 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark, docs.limit(0), PATH).count() == 0
 
 
+def test_packing_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 16)
+    docs = [(None, None)] * 300 + [(3, "same text")] * 200 + [(i, f"text {i}") for i in range(10)] + [(99, "y" * 120_000)]
+    rows = packing.pack(spark, spark.createDataFrame(docs, "doc_id long, text string"), PATH).collect()
+    check_packing(rows, docs, 4096)
+
+
 def test_packing_of_documents_is_tight(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = packing.pack(spark, docs, PATH).collect()

@@ -34,7 +34,7 @@ def sample():
     rows += [(6000 + i, (hot + rng.standard_normal(32) * 0.05).tolist()) for i in range(150)]
     rows += [(7000 + i, hot.tolist()) for i in range(20)]
     rows += [(8000, None), (8001, []), (8002, [0.0] * 32), (8003, [float("nan")] + [1.0] * 31), (8004, [None] + [1.0] * 31), (8005, [1.0, 2.0]), (8006, [2.0, 4.0]), (None, hot.tolist()), (8007, (hot * 1e200).tolist()), (8008, [float("inf")] * 32)]
-    return list({r[0]: r for r in rows}.values())
+    return [*list({r[0]: r for r in rows}.values()), (7003, hot.tolist()), (8000, None), (8000, None)]
 
 
 def test_equals_brute_force(spark, monkeypatch):
@@ -50,6 +50,17 @@ def test_equals_brute_force(spark, monkeypatch):
     assert v.link_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_a_hot_cluster_is_compared_in_bins_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(v, "SLICE_ROWS", 32)
+    monkeypatch.setattr(v, "BIN_ROWS", 500)
+    rng = np.random.default_rng(3)
+    hot = rng.standard_normal(16)
+    rows = [(i, (hot + rng.standard_normal(16) * 0.03).tolist()) for i in range(400)] + [(1000 + i, rng.standard_normal(16).tolist()) for i in range(100)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in v.link_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = sorted(brute(rows))
+    assert got[:400] == want[:400] and got[0][1] == 399
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     a = v.unit(rng.standard_normal((800, 64)))
