@@ -1,7 +1,7 @@
 """WARC derivatives: each response becomes a linked metadata record and a plain-text conversion record.
 
-Both name the response in WARC-Refers-To, keep its target and date, and carry digests of their own block; the metadata
-record also holds the response's HTTP status and headers, its digests and its outgoing links.
+Both name the response in WARC-Refers-To, keep its target and date, its own WARC and HTTP headers and its digests (as
+given, or made where none are), and carry digests of their own block. The metadata record also holds the outgoing links.
 """
 
 from __future__ import annotations
@@ -58,24 +58,51 @@ def record_bytes(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with names in lower case, block) of each record of a WARC file, plain or compressed record by record."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            unpack = zlib.decompressobj(31)
-            parts.append(unpack.decompress(data) + unpack.flush())
-            data = unpack.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        fields = {k.lower(): v for k, v in headers_of(data[start:end].split(b"\r\n", 1)[-1])}
-        size = int(fields.get("content-length", "0"))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+#: What lies between a record's block and the next record; the reader parts files there.
+BETWEEN = "\r\n\r\nWARC/1."
+
+
+def parsed(piece: bytes) -> tuple[list[tuple[str, str]], bytes, int | None]:
+    """(header fields, what follows them, the length that they state) of a record without what parts it from others."""
+    head, _, rest = piece.partition(b"\r\n\r\n")
+    fields = headers_of(head.partition(b"\r\n")[2])
+    size = next((v for k, v in fields if k.lower() == "content-length"), "")
+    return fields, rest, int(size) if size.isascii() and size.isdigit() else None
+
+
+def records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """(header fields, block, error) of each record of (place, piece) rows in order; a place is one part of one file.
+
+    A block that holds ``BETWEEN`` itself is put together again by its stated length. A record cut short, or one whose
+    length can't be read, comes with what is there and an error. After a compressed file that can't be read to its end,
+    whose last piece then lacks the record's closing lines, comes an error alone.
+    """
+    held, at = None, ""
+
+    def done() -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+        fields, rest, size = parsed(held)
+        if size is None:
+            yield fields, rest, "Content-Length is missing or no number"
+        else:
+            yield fields, rest[:size], None if len(rest) >= size else f"cut short: {len(rest)} of {size} bytes"
+
+    def closed() -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+        yield from done()
+        if at.partition("|")[0].endswith(".gz") and not held.endswith(b"\r\n\r\n"):
+            yield [], b"", "the file can't be read beyond the record before"
+
+    for place, piece in pieces:
+        if held is not None and place == at:
+            _, rest, size = parsed(held)
+            if size is not None and len(rest) < size:
+                held += BETWEEN.encode() + piece
+                continue
+            yield from done()
+        elif held is not None:
+            yield from closed()
+        held, at = piece, place
+    if held is not None and held.strip():
+        yield from closed()
 
 
 def payload_of(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
@@ -116,77 +143,106 @@ def decoded(plain: bytes, content_type: str) -> str:
         return plain.decode("utf-8", "replace")
 
 
-def derivatives(source: str, target: str, date: str, block: bytes) -> list[dict[str, object]]:
-    """The metadata and the conversion record of one response: WARC fields by column name, and the block."""
+def derivatives(source: str, target: str | None, date: str | None, block: bytes, headers: list[tuple[str, str]]) -> list[dict[str, object]]:
+    """The metadata and the conversion record of one response: WARC fields by column name, and the block.
+
+    ``headers``: the response's own WARC fields. Digests that stand there are kept as they are.
+    """
     status, fields, body, plain = payload_of(block)
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
     text = decoded(plain, kind) if kind.startswith("text/") or "xml" in kind or not kind else ""
     page = "html" in kind or "<" in text[:1000]
-    base = target or ""
-    lines = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in fields), ("source-block-digest", digest(block)), ("source-payload-digest", digest(body))]
+    given = {k.lower(): v for k, v in headers}
+    digests = {"source_block_digest": given.get("warc-block-digest") or digest(block), "source_payload_digest": given.get("warc-payload-digest") or digest(body)}
+    sources = [(f"warc-header-{k.lower()}", v) for k, v in headers] + [(f"http-header-{k.lower()}", v) for k, v in fields]
+    lines = [("http-status", status), *sources, *((k.replace("_", "-"), v) for k, v in digests.items())]
     if page:
         title = _TITLE.search(text)
         if title:
             lines.append(("title", " ".join(unescape(title[1]).split())))
         for m in _LINK.finditer(text):
             try:
-                url = urljoin(base, unescape(m[3] or m[4] or m[5] or "").strip())
+                url = urljoin(target or "", unescape(m[3] or m[4] or m[5] or "").strip())
             except ValueError:  # not an address
                 continue
             lines.append(("outlink", f"{' '.join(url.split())} {'E' if m[2].lower() == 'src' else 'L'} {m[1].lower()}/@{m[2].lower()}"))
     readable = "\n".join(b.text for b in blocks(text)) if page else text
     out = []
-    for name, content, data in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in lines).encode()), ("conversion", "text/plain; charset=utf-8", readable.encode("utf-8", "replace"))):
-        out.append({"warc_type": name, "record_id": record_id(source, name), "refers_to": source, "target_uri": target, "warc_date": date, "content_type": content, "content_length": len(data), "block_digest": digest(data), "source_payload_digest": digest(body), "block": data.decode()})
+    for name, content, data in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in lines).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", readable.encode("utf-8", "replace"))):
+        out.append({"warc_type": name, "record_id": record_id(source, name), "refers_to": source, "target_uri": target, "warc_date": date, "content_type": content, "content_length": len(data), "block_digest": digest(data), **digests, "source_headers": [{"name": k, "value": v} for k, v in sources], "block": data.decode()})
     return out
 
 
 def as_bytes(row: dict) -> bytes:
-    """A derivative as a record of a WARC file."""
-    fields = [("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Target-URI", row["target_uri"] or ""), ("WARC-Date", row["warc_date"] or ""), ("WARC-Block-Digest", row["block_digest"]), ("Content-Type", row["content_type"])]
-    return record_bytes([f for f in fields if f[1]], row["block"].encode())
+    """A derivative as a record of a WARC file; what it keeps of its source goes into fields that begin with Source-."""
+    fields = [("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Target-URI", row["target_uri"]), ("WARC-Date", row["warc_date"]), ("WARC-Block-Digest", row["block_digest"]), ("Content-Type", row["content_type"])]
+    fields += [("Source-Block-Digest", row["source_block_digest"]), ("Source-Payload-Digest", row["source_payload_digest"])]
+    if row["warc_type"] == "conversion":
+        fields += [(f"Source-{h['name']}", h["value"]) for h in row["source_headers"]]
+    return record_bytes([(k, " ".join(v.split())) for k, v in fields if v], row["block"].encode())
 
 
-_OUT = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, block string"
+_HEADERS = "array<struct<name: string, value: string>>"
+_OUT = f"warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_block_digest string, source_payload_digest string, source_headers {_HEADERS}, block string"
 
 
 def derive(responses: DataFrame, keep: str | None = None) -> DataFrame:
     """Two rows per response (record_id, target_uri, warc_date, block): its metadata and its conversion record.
 
     ``keep`` names a column to carry along. A null block is an empty response: no status, no headers, no text. A null
-    record id is made from target and block. Repeated responses give repeated rows with equal ids; an empty table
-    gives none; other columns are not read.
+    record id is made from target and block. If there is a column warc_headers, it holds the response's own WARC fields;
+    rows of a column error that isn't null are no responses and are passed over. Repeated responses give repeated rows
+    with equal ids; an empty table gives none; other columns are not read.
     """
-    src = responses.select(*([F.col(keep).alias("kept_")] if keep else []), F.col("record_id").alias("rid_"), F.col("target_uri").alias("uri_"), F.col("warc_date").alias("date_"), F.col("block").alias("raw_"))
+    if "error" in responses.columns:
+        responses = responses.where("error is null")
+    headers = F.col("warc_headers") if "warc_headers" in responses.columns else F.lit(None).cast(_HEADERS)
+    src = responses.select(*([F.col(keep).alias("kept_")] if keep else []), F.col("record_id").alias("rid_"), F.col("target_uri").alias("uri_"), F.col("warc_date").alias("date_"), F.col("block").alias("raw_"), headers.alias("heads_"))
     schema = T.StructType.fromDDL(_OUT)
     out = T.StructType([*([T.StructField(keep, src.schema["kept_"].dataType)] if keep else []), *schema.fields])
+    kinds = {"content_length": pa.int64(), "source_headers": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "raw_", SLICE_BYTES):
             rows, at = [], []
-            for i, r in enumerate(batch.select(["rid_", "uri_", "date_", "raw_"]).to_pylist()):
+            for i, r in enumerate(batch.select(["rid_", "uri_", "date_", "raw_", "heads_"]).to_pylist()):
                 block = r["raw_"] or b""
                 source = r["rid_"] or record_id(r["uri_"] or "", digest(block))
-                made = derivatives(source, r["uri_"], r["date_"], block)
+                made = derivatives(source, r["uri_"], r["date_"], block, [(h["name"], h["value"]) for h in r["heads_"] or ()])
                 rows += made
                 at += [i] * len(made)
-            columns = [pa.array([x[f.name] for x in rows], pa.int64() if f.name == "content_length" else pa.string()) for f in schema.fields]
+            columns = [pa.array([x[f.name] for x in rows], kinds.get(f.name, pa.string())) for f in schema.fields]
             yield pa.RecordBatch.from_arrays([*([batch.column("kept_").take(pa.array(at, pa.int64()))] if keep else []), *columns], names=out.names)
 
     return src.mapInArrow(run, out)
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files (plain or .gz), a file per task: record_id, target_uri, warc_date, block."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def read_responses(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame:
+    """Response records of WARC files, plain or .gz: record_id, target_uri, warc_date, block, warc_headers, error.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content"):
-                held = [(f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-date"), b) for f, b in records(data.as_py()) if f.get("warc-type") == "response"]
-                yield pa.RecordBatch.from_arrays([*(pa.array([h[k] for h in held], pa.string()) for k in range(3)), pa.array([h[3] for h in held], pa.binary())], names=["record_id", "target_uri", "warc_date", "block"])
+    Files are read as streams of records: plain ones in splits, compressed ones member by member in one task each, and
+    only the record at hand is in memory. What of a broken record can be read comes with an ``error``. If ``tolerant``,
+    a compressed file that breaks off, or has other bytes after its last member, gives the records before that place and
+    an error; the record that reaches to that place may be lost.
+    """
+    reader = spark.read.option("lineSep", BETWEEN).option("ignoreCorruptFiles", str(tolerant).lower())
+    place = F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string"))
+    pieces = reader.text(path).select(place.alias("place"), F.col("value").cast("binary").alias("piece"))
+    kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
-    return files.mapInArrow(run, "record_id string, target_uri string, warc_date string, block binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                yield from zip(batch.column("place").to_pylist(), batch.column("piece").to_pylist(), strict=True)
+
+        for fields, block, error in records(rows()):
+            named = {k.lower(): v for k, v in fields}
+            if named.get("warc-type") == "response" or error:
+                values = [named.get("warc-record-id"), named.get("warc-target-uri"), named.get("warc-date")]
+                columns = [*(pa.array([v], pa.string()) for v in values), pa.array([block], pa.binary()), pa.array([[{"name": k, "value": v} for k, v in fields]], kind), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["record_id", "target_uri", "warc_date", "block", "warc_headers", "error"])
+
+    return pieces.mapInArrow(run, f"record_id string, target_uri string, warc_date string, block binary, warc_headers {_HEADERS}, error string")
 
 
 def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -171,11 +171,12 @@ def test_pipeline_keeps_its_promises(spark):
     from tests.llm.test_contamination import brute as contaminated
     from tests.llm.test_near_dedup import brute as near
     from tests.llm.test_substring_dedup import brute as repeats
+    from tests.llm.test_substring_dedup import least_runs
 
     kept = sorted(frames["quality_classifier"].items())
     one = {r[0] for r in near(kept) if r[3]}
     assert set(frames["minhash_near_dedup"]) == one
-    want = {i: t for i, t, _ in repeats(sorted(frames["minhash_near_dedup"].items()))}
+    want = {i: t for i, t, _ in repeats(sorted(frames["minhash_near_dedup"].items()), least_runs)}
     assert frames["substring_dedup"] == want
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     before = {r[0]: r[5] for r in contaminated(sorted(want.items()), items)}

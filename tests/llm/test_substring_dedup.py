@@ -51,14 +51,31 @@ def runs(norms):
                 yield a, b, tuple(norms[a : b + 1])
 
 
-def brute(rows):
+def least_runs(norms):
+    """Of all runs those that hold no other of the same first or last sentence; they cover what all cover."""
+    for a, b, run in [x for i in range(len(norms)) for x in (shortest(norms, i, 1), shortest(norms, i, -1)) if x]:
+        yield a, b, run
+
+
+def shortest(norms, at, step):
+    end, size, n = at, 0, 0
+    while 0 <= end < len(norms):
+        size, n = size + len(norms[end]), n + 1
+        if n >= s.RUN and size >= s.MIN_CHARS:
+            a, b = min(at, end), max(at, end)
+            return a, b, tuple(norms[a : b + 1])
+        end += step
+    return None
+
+
+def brute(rows, runs=runs):
     """Texts of ordered (id, text) rows without the sentences of any run that an earlier row or place has."""
     seen, out = set(), []
     for i, text in rows:
         gone, parts = set(), pieces(text or "")
         head = parts[0][0] if parts and not parts[0][1] else ""
         parts = [p for p in parts if p[1]]
-        for a, b, run in runs([p[1] for p in parts]):
+        for a, b, run in sorted(set(runs([p[1] for p in parts]))):
             if run in seen:
                 gone |= set(range(a, b + 1))
             seen.add(run)
@@ -159,6 +176,7 @@ def test_query_on_documents(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").where(f"doc_id in ({','.join(map(str, ids))})")
     got = sorted((r.doc_id, r.text, r.gone) for r in s.drop_repeated_spans(spark, docs, removed_col="gone").collect())
     assert got == brute(small)
+    assert got == brute(small, least_runs)
     full = {r.doc_id: r for r in s.op1_substring_dedup(spark, d).collect()}
     assert len(full) == len(rows)
     # Nothing but whole pieces goes, and what stays has no repeat left between different documents' kept copies.
