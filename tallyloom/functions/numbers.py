@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DECIMAL = "decimal(38,18)"
+#: Operands of ratios; a quotient of two then keeps 18 places.
+PART = "decimal(20,8)"
 _FLOAT = r"^\s*[-+]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][-+]?\d+)?\s*$"
 
 
@@ -17,14 +19,15 @@ def numeric(c: Column) -> Column:
 
 
 def state(c: Column) -> Column:
-    """``0.67`` or ``2/3`` as a decimal; null where it is neither, or divides by zero."""
-    part = lambda i: F.nullif(F.regexp_extract(c, r"^\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*$", i), F.lit("")).try_cast("decimal(20,0)")
-    return F.coalesce(F.try_divide(part(1), part(2)).cast(DECIMAL), F.when(c.rlike(_FLOAT), c.try_cast(DECIMAL)))
+    """``0.67`` or ``2/3`` as a decimal; null where it is neither, or divides by zero. Parts of a ratio have up to 8 places."""
+    s = c.cast("string")
+    part = lambda i: F.nullif(F.regexp_extract(s, r"^\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*$", i), F.lit("")).try_cast(PART)
+    return F.coalesce(F.try_divide(part(1), part(2)).cast(DECIMAL), F.when(s.rlike(_FLOAT), F.replace(F.trim(s), F.lit("_"), F.lit("")).try_cast(DECIMAL)))
 
 
 def ratio_state(n: Column, d: Column, capped: Column, empty_is_full: Column) -> Column:
     """n/d, at most 1 where counts are capped; an empty set is 1 only where its rule says so."""
-    share = F.try_divide(n.cast("decimal(20,0)"), d.cast("decimal(20,0)")).cast(DECIMAL)
+    share = F.try_divide(n.cast(PART), d.cast(PART)).cast(DECIMAL)
     return F.when(d == 0, F.when(empty_is_full, F.lit(1)).otherwise(0).cast(DECIMAL)).when(capped, F.least(share, F.lit(1).cast(DECIMAL))).otherwise(share)
 
 

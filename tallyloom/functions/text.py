@@ -20,6 +20,10 @@ EN_POSITIVE = "satisfied|supported|consistent|correct|traceable|pass|present|yes
 EN_NEGATIVE = "not satisfied|unsatisfied|unsupported|inconsistent|incorrect|fail|missing|absent|no"
 
 
+# What a reason leaves out, the kind it begins with and operands in it.
+KIND_PREFIX, OPERANDS = r"^(?:BIN|RATIO|CLAIM-RATIO|COUNT)(?:规则|判据)?[：:]\s*", r"(?i)(?:numerator|denominator|state)\s*=\s*[\d.]+[，,、;；]?"
+
+
 def verdict(c: Column) -> Column:
     """True, false or null for a free-text outcome; the first matching prefix decides."""
     s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
@@ -65,8 +69,7 @@ def table_cells(c: Column) -> Column:
 def short_reason(c: Column, limit: int = 145, least: int = 65) -> Column:
     """White space collapsed; a long text ends after the last full stop or semicolon past ``least``, else with an ellipsis."""
     s = F.trim(F.regexp_replace(c, r"\s+", " "))
-    s = F.regexp_replace(s, r"^(?:BIN|RATIO|CLAIM-RATIO|COUNT)(?:规则|判据)?[：:]\s*", "")
-    s = F.regexp_replace(s, r"(?i)(?:numerator|denominator|state)\s*=\s*[\d.]+[，,、;；]?", "")
+    s = F.regexp_replace(F.regexp_replace(s, KIND_PREFIX, ""), OPERANDS, "")
     head = F.substring(s, 1, limit)
     end = F.length(F.regexp_extract(head, r"(?s)^(.*[。；])", 1))
     return F.when(F.length(s) <= limit, s).when(end > least + 1, F.left(head, end)).otherwise(F.concat(F.regexp_replace(head, r"[，、；。 ]+$", ""), F.lit("……")))

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 def owners_by_prefix(files: DataFrame, subjects: DataFrame, name: str = "name") -> DataFrame:
     """Each file's owner by case-insensitive prefix: the one subject that matches, ``source`` without any, null (ambiguous) with more.
 
-    Files meet subjects on the prefix itself, cut to each length that subjects use: an equality join however many files.
+    For each length that prefixes have, files meet the prefixes of that length by equality, so no file row is multiplied
+    and none is joined back; rows may repeat and hold nulls. There are no more lengths than the longest prefix has characters.
     """
-    sizes = subjects.select(F.length("prefix").alias("size_")).distinct()
-    cut = files.crossJoin(F.broadcast(sizes)).withColumn("prefix_", F.lower(F.substring(F.col(name), F.lit(1), F.col("size_"))))
-    found = cut.join(subjects.select("id", F.lower("prefix").alias("prefix_")), "prefix_").groupBy(*files.columns).agg(F.count_distinct("id").alias("matches"), F.min("id").alias("owner"))
-    out = files.join(found, files.columns, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
-    return out.withColumn("owner", F.when(F.col("matches") == 0, "source").when(F.col("matches") == 1, F.col("owner")))
-
+    held = subjects.groupBy(F.lower("prefix").alias("prefix_")).agg(F.collect_set("id").alias("ids_"))
+    sizes = sorted(r["n"] for r in held.select(F.length("prefix_").alias("n")).distinct().collect())
+    out = files
+    for size in sizes:
+        side = held.where(F.length("prefix_") == size).select(F.col("prefix_").alias(f"prefix_{size}_"), F.col("ids_").alias(f"ids_{size}_"))
+        out = out.join(side, F.lower(F.substring(F.col(name), 1, size)) == F.col(f"prefix_{size}_"), "left")
+    none = F.array().cast(held.schema["ids_"].dataType)
+    out = out.withColumn("ids_", F.array_distinct(F.concat(none, *(F.coalesce(f"ids_{n}_", none) for n in sizes)))).withColumn("matches", F.size("ids_").cast("long"))
+    return out.withColumn("owner", F.when(F.col("matches") == 0, "source").when(F.col("matches") == 1, F.col("ids_")[0])).select(*files.columns, "matches", "owner")
 
 def resolve_paths(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(given, file): the known file that a spelling names: exact, else cleaned, else the only one with that base name."""

@@ -20,17 +20,35 @@ def eligible(decisions: DataFrame, affected: DataFrame) -> DataFrame:
     return decisions.where("state < 1").join(affected, ["task", "metric"], "left_semi")
 
 
+def mentioned(text: Column) -> Column:
+    """All atom ids that stand in a text, whatever is said of them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])([A-Z]+\d+)(?![A-Za-z0-9])"), F.lit(1)))
+
+
+# The words before ids that a rule refers to, and before ids whose sample it shares.
+SAME, SHARED = "同", "(?:核验全集|核验集合与抽样清单)\\s*同"
+
+
+def _after(rule: Column, words: str) -> Column:
+    listed = F.regexp_extract(rule, rf"{words}\s*([A-Z]\d+(?:\s*/\s*[A-Z]\d+)*)", 1)
+    return F.regexp_extract_all(listed, F.lit(r"[A-Z]\d+"), F.lit(0))
+
+
 def references(rule: Column) -> Column:
-    """Atom ids that a rule's text names."""
-    return F.array_distinct(F.regexp_extract_all(rule, F.lit(r"(?<![A-Za-z0-9])([A-Z]+\d+)(?![A-Za-z0-9])"), F.lit(1)))
+    """Atom ids of the first list (ids parted by slashes) that a rule calls the same as its own."""
+    return _after(rule, SAME)
+
+
+def shared_references(rule: Column) -> Column:
+    """Atom ids whose whole review set, and not only its way of sampling, a rule shares."""
+    return _after(rule, SHARED)
 
 
 def reference_edges(atoms: DataFrame) -> DataFrame:
-    """(start, node): atoms and the known atoms that their rules name."""
-    named = atoms.select(F.col("id").alias("start"), F.explode(references(F.col("rule"))).alias("node"))
+    """(start, node): atoms and the known atoms that their rules mention: what a review's context grows along."""
+    named = atoms.select(F.col("id").alias("start"), F.explode(mentioned(F.col("rule"))).alias("node"))
     return named.join(atoms.select(F.col("id").alias("node")), "node", "left_semi").select("start", "node")
 
-
 def correction_violations(before: DataFrame, after: DataFrame, allowed: DataFrame) -> DataFrame:
     """(entity, key, rule) of corrections outside the eligible findings, that lower a state, or come twice."""
     old = before.select("id", F.col("state").alias("old"))
@@ -71,7 +89,8 @@ def witness_check(witnesses: DataFrame) -> DataFrame:
         value = numbers.scalar(F.col(f"{side}.value"))
         places = F.length(F.regexp_extract(F.col(f"{side}.value"), r"\.(\d+)\s*$", 1))
         found = F.transform(signed_numbers(F.col(f"{side}.quote")), lambda x: x.try_cast(numbers.DECIMAL))
-        near = lambda x: (x == value) | F.coalesce(F.when(places == 0, F.round(x, 0)).when(places == 1, F.round(x, 1)).when(places == 2, F.round(x, 2)).when(places == 3, F.round(x, 3)) == value, F.lit(False))
+        rounded = lambda x: F.try_element_at(F.array(*(F.round(x, p).cast(numbers.DECIMAL) for p in range(13))), places + 1)
+        near = lambda x: (x == value) | F.coalesce(rounded(x) == value, F.lit(False))
         return value.isNull() | F.exists(found, lambda x: F.coalesce(near(x), F.lit(False)))
 
     truth = numbers.relation_holds(F.col("left.value"), F.col("operator"), F.col("right.value"), F.col("left.unit"), F.col("right.unit"))
@@ -123,7 +142,8 @@ def is_permanent(messages: Column, markers: list[str]) -> Column:
 
 def needs_time_review(kind: Column, state: Column, rule: Column, executed_at: Column) -> Column:
     """A failed binary check on when something ran, without a known time of running."""
-    return (kind == "BIN") & (state == 0) & rule.rlike("执行|运行") & rule.rlike("截止|之前|早于") & executed_at.isNull()
+    known = F.length(F.trim(F.coalesce(executed_at.cast("string"), F.lit("")))) > 0
+    return F.coalesce((kind == "BIN") & (state == 0) & rule.contains("实际执行") & rule.contains("截止"), F.lit(False)) & ~known
 
 
 def shallow_files(files: DataFrame, keys: list[str], k: int = 12, budget: int = 3000) -> DataFrame:

@@ -6,31 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
-from tallyloom.functions.text import is_source_url, verdict
+from tallyloom.functions.text import is_source_url
 from tallyloom.operators.relate import violations
 
 #: What a decision's explanation must have at least.
 REASON_LEAST, OBSERVATION_LEAST, TOLERANCE = 20, 8, "0.005"
+# The two formulas of a saturating count, the words of an audited sample, of a passed check, and the
+# suffixes of files that a visual finding can come from.
+TARGET = r"(\d+(?:\.\d+)?|[A-Za-z_]\w*)"
+DIVIDED, CLIPPED = rf"(?i)\bmin\s*\([^\n]*?/\s*{TARGET}\s*[,，]\s*1(?:\.0+)?\s*\)", rf"(?i)\bmin\s*\([^\n]*[,，]\s*{TARGET}\s*\)\s*/\s*{TARGET}"
+AUDITED, PASSED = r"(?:实际核验|核验的)\s*(\d+)\s*条", "^(?:非虚构|无问题|satisfied|supported|consistent|correct|有效|通过)"
+VISUAL = r"(?i)\.(?:png|jpg|jpeg|webp|gif|bmp|html|htm|pptx|docx|pdf|xlsx)$"
 
 
 def count_target(rule: Column) -> Column:
     """The target of ``min(n / target, 1)`` or ``min(n, target) / target``; null for any other rule."""
-    word = r"(\d+(?:\.\d+)?|[A-Za-z_]\w*)"
-    divided = F.nullif(F.regexp_extract(rule, rf"(?i)\bmin\s*\([^\n]*?/\s*{word}\s*[,，]\s*1(?:\.0+)?\s*\)", 1), F.lit(""))
-    clipped = rf"(?i)\bmin\s*\([^\n]*[,，]\s*{word}\s*\)\s*/\s*{word}"
-    a, b = F.regexp_extract(rule, clipped, 1), F.regexp_extract(rule, clipped, 2)
+    divided = F.nullif(F.regexp_extract(rule, DIVIDED, 1), F.lit(""))
+    a, b = F.regexp_extract(rule, CLIPPED, 1), F.regexp_extract(rule, CLIPPED, 2)
     return F.coalesce(divided, F.when((a != "") & (a == b), a))
 
 
 def corrected(decisions: DataFrame) -> DataFrame:
     """Audited samples: where a sampling rule is met in full, fewer items are listed than counted, all pass and the text
     gives their number as audited, that number replaces numerator and denominator; the originals stay."""
-    said = F.regexp_extract_all(F.concat_ws(" ", "observation", "reason"), F.lit(r"(?:实际核验|核验的)\s*(\d+)\s*条"), F.lit(1))
+    said = F.regexp_extract_all(F.concat_ws(" ", "observation", "reason"), F.lit(AUDITED), F.lit(1))
     listed = F.size("items")
-    passed = F.forall("items", lambda x: F.coalesce(verdict(x["result"]) | F.lower(x["result"]).rlike("^(?:有效|通过)"), F.lit(False)))
-    proven = F.contains("rule", F.lit("抽样")) & (F.col("numerator") == F.col("denominator")) & (F.col("denominator") > listed) & (listed > 0) & F.array_contains(said, listed.cast("string")) & passed & (numbers.state(F.col("state")) == 1)
-    now = lambda c: F.when(F.coalesce(proven, F.lit(False)), listed.cast("decimal(20,0)")).otherwise(F.col(c).cast("decimal(20,0)"))
-    return decisions.withColumns({"original_numerator": F.col("numerator"), "original_denominator": F.col("denominator"), "numerator": now("numerator"), "denominator": now("denominator")})
+    n, d = (numbers.state(F.col(c)) for c in ("numerator", "denominator"))
+    passed = F.forall("items", lambda x: F.coalesce(F.lower(x["result"]).rlike(PASSED), F.lit(False)))
+    proven = F.contains("rule", F.lit("抽样")) & (n == d) & (d > listed) & (listed > 0) & F.array_contains(said, listed.cast("string")) & passed & (numbers.state(F.col("state")) == 1)
+    now = lambda value: F.when(F.coalesce(proven, F.lit(False)), listed.cast(numbers.PART)).otherwise(value.try_cast(numbers.PART))
+    return decisions.withColumns({"original_numerator": F.col("numerator"), "original_denominator": F.col("denominator"), "numerator": now(n), "denominator": now(d)})
 
 
 def computed(decisions: DataFrame) -> DataFrame:
@@ -41,28 +46,47 @@ def computed(decisions: DataFrame) -> DataFrame:
     return fixed.withColumn("given", numbers.state(F.col("state"))).withColumn("computed", F.when(F.col("kind") == "BIN", F.col("given")).otherwise(ratio))
 
 
-def decision_violations(decisions: DataFrame, known_files: DataFrame) -> DataFrame:
+def has_content(e: Column) -> Column:
+    """Whether a piece of evidence has a quote, or is visual, described and of a file that can be looked at."""
+    seen = (e["kind"] == "visual") & (F.length(F.trim(e["description"])) >= 8) & e["file"].rlike(VISUAL)
+    return (F.length(F.coalesce(e["quote"], F.lit(""))) > 0) | F.coalesce(seen, F.lit(False))
+
+
+def id_violations(entity: str, given: DataFrame, expected: DataFrame) -> DataFrame:
+    """(entity, key, rule) where ids aren't exactly the expected ones, each once."""
+    counted = given.groupBy("id").agg(F.count("*").alias("n"))
+    grid = expected.select("id").distinct().withColumn("expected", F.lit(True)).join(counted, "id", "full_outer")
+    return violations(grid, entity, F.coalesce(F.col("id").cast("string"), F.lit("null")), {"missing": F.col("n").isNull(), "unknown": F.col("expected").isNull(), "repeated": F.col("n") > 1})
+
+
+def decision_violations(decisions: DataFrame, known_files: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
     """(entity, key, rule) of decisions joined with their atoms: id, kind, rule, state, numerator, denominator, reason,
-    observation, evidence (file, locator, quote, kind, description) and items (label, result)."""
+    observation, evidence (file, locator, quote, kind, description) and items (label, result).
+
+    What is null or can't be read is a violation wherever the rule needs it. With ``atoms`` (id), ids must be exactly
+    theirs, each once.
+    """
     rows = computed(decisions)
-    target = F.col("target").try_cast("decimal(20,0)")
-    n, d, ratio = F.col("numerator"), F.col("denominator"), F.col("kind") != "BIN"
-    content = lambda e: (F.length(F.coalesce(e["quote"], F.lit(""))) > 0) | ((e["kind"] == "visual") & (F.length(F.trim(e["description"])) >= 8))
+    target = F.col("target").try_cast(numbers.PART)
+    n, d, ratio = F.col("numerator"), F.col("denominator"), F.coalesce(F.col("kind") != "BIN", F.lit(True))
+    shorter = lambda c, least: F.length(F.trim(F.coalesce(c, F.lit("")))) < least
+    apart = F.abs(F.col("computed") - F.col("given")) > F.lit(TOLERANCE).cast("decimal(4,3)")
     rules = {
-        "vague": (F.length(F.trim("reason")) < REASON_LEAST) | (F.length(F.trim("observation")) < OBSERVATION_LEAST),
+        "vague": shorter("reason", REASON_LEAST) | shorter("observation", OBSERVATION_LEAST),
         "no evidence": F.coalesce(F.size("evidence"), F.lit(0)) <= 0,
-        "evidence without place or content": F.exists("evidence", lambda e: ~F.coalesce((F.length(e["locator"]) > 0) & content(e), F.lit(False))),
+        "evidence without place or content": F.exists("evidence", lambda e: ~F.coalesce((F.length(e["file"]) > 0) & (F.length(e["locator"]) > 0) & has_content(e), F.lit(False))),
         "binary": ~ratio & ~F.coalesce(F.col("given").isin(0, 1), F.lit(False)),
         "no ratio": ratio & (n.isNull() | d.isNull()),
         "target": ratio & target.isNotNull() & (d != target),
         "bounds": ratio & ((n < 0) | (d < 0) | ((n > d) & F.col("target").isNull())),
-        "state": ratio & (F.abs(F.col("computed") - F.col("given")) > F.lit(TOLERANCE).cast("decimal(4,3)")),
-        "no items": ratio & (d > 0) & (F.coalesce(F.size("items"), F.lit(0)) <= 0),
+        "state": ratio & n.isNotNull() & d.isNotNull() & F.coalesce(apart, F.lit(True)),
+        "no items": ratio & (F.col("items").isNull() | ((d > 0) & (F.size("items") <= 0))),
     }
     own = violations(rows, "decision", F.col("id"), rules)
-    cited = rows.select("id", F.explode("evidence").alias("e")).select("id", F.col("e.file").alias("file")).where(~is_source_url(F.col("file")))
+    cited = rows.select("id", F.explode("evidence").alias("e")).select("id", F.col("e.file").alias("file")).where(F.col("file").isNotNull() & ~is_source_url(F.col("file")))
     lost = cited.join(known_files.select("file"), "file", "left_anti").select(F.lit("decision").alias("entity"), F.col("id").cast("string").alias("key"), F.lit("unknown file").alias("rule")).distinct()
-    return own.unionByName(lost)
+    found = own.unionByName(lost)
+    return found if atoms is None else found.unionByName(id_violations("decision", decisions, atoms))
 
 
 def accepted(decisions: DataFrame, broken: DataFrame) -> DataFrame:
@@ -72,10 +96,9 @@ def accepted(decisions: DataFrame, broken: DataFrame) -> DataFrame:
 
 def error_violations(decisions: DataFrame, rules: DataFrame) -> DataFrame:
     """Error decisions: each rule decided once, with a reason, with evidence where triggered."""
-    counted = decisions.groupBy("id").agg(F.count("*").alias("n"))
-    grid = rules.select("id").distinct().withColumn("ruled", F.lit(True)).join(counted, "id", "full_outer")
-    sets = violations(grid, "error", F.col("id"), {"missing": F.col("n").isNull(), "unknown": F.col("ruled").isNull(), "repeated": F.col("n") > 1})
-    return sets.unionByName(violations(decisions, "error", F.col("id"), {"untyped": F.col("triggered").isNull(), "no reason": F.length(F.trim(F.coalesce("reason", F.lit("")))) == 0, "no evidence": F.col("triggered") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)}))
+    untold = F.length(F.trim(F.coalesce("reason", F.lit("")))) == 0
+    told = violations(decisions, "error", F.col("id"), {"untyped": F.col("triggered").isNull(), "no reason": untold, "no evidence": F.col("triggered") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)})
+    return id_violations("error", decisions, rules).unionByName(told)
 
 
 def lowered(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,3 +16,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rounded(c: str | Column, places: int = 4) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
+
+
+def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a frame to the folder in ``spark.checkpoint.dir`` and reads it back; only a local master gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+
+    def write(df: DataFrame) -> DataFrame:
+        path = f"{root}/tallyloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return write

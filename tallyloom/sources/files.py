@@ -47,7 +47,7 @@ def event_lines(lines: DataFrame) -> DataFrame:
     """Events of JSON lines (file, pos, line): type, session, text, tool, status, error; broken lines are dropped."""
     event = F.try_parse_json("line")
     get = lambda path: F.try_variant_get(event, path, "string")
-    return lines.where(event.isNotNull() & get("$.type").isNotNull()).select("file", "pos", get("$.type").alias("type"), get("$.sessionID").alias("session"), get("$.part.text").alias("text"), get("$.part.tool").alias("tool"), get("$.part.state.status").alias("status"), get("$.error").alias("error"))
+    return lines.where(event.isNotNull() & get("$.type").isNotNull()).select("file", "pos", get("$.type").alias("type"), F.coalesce(F.nullif(get("$.sessionID"), F.lit("")), get("$.part.sessionID")).alias("session"), get("$.part.text").alias("text"), get("$.part.tool").alias("tool"), get("$.part.state.status").alias("status"), get("$.error").alias("error"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -59,20 +59,23 @@ def log_summary(events: DataFrame) -> DataFrame:
     """Per file: texts in order, the last error, the last session, whether a read completed."""
     parts = F.array_sort(F.collect_list(F.when(F.col("type") == "text", F.struct("pos", "text"))))
     return events.groupBy("file").agg(
-        F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"),
+        F.trim(F.array_join(F.transform(parts, lambda x: x["text"]), "\n")).alias("text"),
+        F.max_by(F.left("error", F.lit(1000)), F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"),
         F.max_by("session", F.when(F.col("session").isNotNull(), F.col("pos"))).alias("session"),
         F.coalesce(F.bool_or((F.col("tool") == "read") & (F.col("status") == "completed")), F.lit(False)).alias("used_read"),
     )
 
 
-def json_block(c: Column, name: str = "json") -> Column:
-    """The JSON document of an answer: between its markers, else in a code fence, else the text itself; null if it doesn't parse."""
-    fence = r"(?s)```(?:json)?\s*\n(.*?)```"
-    marked = F.nullif(F.regexp_extract(c, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1), F.lit(""))
-    body = F.coalesce(marked, c)
-    return F.try_parse_json(F.coalesce(F.nullif(F.regexp_extract(body, fence, 1), F.lit("")), body))
+# The lines between which an answer's document stands.
+BEGIN, END = "BEGIN_JUDGMENT", "END_JUDGMENT"
 
 
+def json_block(c: Column) -> Column:
+    """The JSON document of an answer, or null: between marker lines, else between markers anywhere, else the whole text; without its code fence."""
+    lines = F.nullif(F.regexp_extract(c, rf"(?ms)^[ \t]*{BEGIN}[ \t]*\r?\n(.*?)^[ \t]*{END}[ \t]*\r?$", 1), F.lit(""))
+    anywhere = F.nullif(F.regexp_extract(c, rf"(?s){BEGIN}\s*(.*?)\s*{END}", 1), F.lit(""))
+    body = F.regexp_replace(F.coalesce(lines, anywhere, c), r"^\s+|\s+$", "")
+    return F.try_parse_json(F.regexp_replace(body, r"(?i)^```(?:json)?\s*|\s*```$", ""))
+
 def newest(files: DataFrame, keys: list[str], k: int) -> DataFrame:
     return files.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("modified_at"), "file"))).where(F.col("nth") <= k).drop("nth")

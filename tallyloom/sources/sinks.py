@@ -36,6 +36,14 @@ def score_lines(scores: DataFrame) -> DataFrame:
     return cells.select("task", F.col("metric_pos").alias("pos"), line.alias("line"))
 
 
+# Fixed value: traces of how a run went, in prose.
+RUN_TRACE = r"(?i)process-record\.json[^\n；;]*(?:runtime|status)\s*=[^\n；;]*[；;]?"
+
+
+def summary_text(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, RUN_TRACE, ""))
+
+
 def item_failures(items: Column, shown: int = 2) -> Column:
     """The first failed items of a finding as prose, and how many more there are."""
     failed = F.filter(items, lambda x: F.coalesce(~verdict(x["result"]), F.lit(False)))
@@ -47,7 +55,7 @@ def item_failures(items: Column, shown: int = 2) -> Column:
 def loss_brief(items: Column, numerator: Column, denominator: Column, reason: Column) -> Column:
     """A loss in a sentence: its ratio, then its failed items or its reason."""
     ratio = F.when(denominator.isNotNull(), F.concat(numerator.cast("string"), F.lit("/"), denominator.cast("string"), F.lit("；"))).otherwise("")
-    told = F.trim(F.regexp_replace(reason, r"(?i)process-record\.json[^\n；;]*(?:runtime|status)\s*=[^\n；;]*[；;]?", ""))
+    told = summary_text(reason)
     return F.concat(ratio, F.coalesce(item_failures(items), told))
 
 

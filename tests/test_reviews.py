@@ -7,6 +7,11 @@ from tallyloom.sources import sinks
 
 def test_references_and_edges(spark):
     atoms = spark.createDataFrame([("H01", "see A01 and T01, not X99"), ("A01", "T01"), ("T01", "none")], "id string, rule string")
+    rules = spark.createDataFrame([("覆盖 H3 与 E1；核验全集同 A01/A02，见 T01",), ("抽样规则同 C01",), ("同 A1 / B2、C3",), ("none",)], "r string")
+    got = [(r.a, r.b) for r in rules.select(review.references(F.col("r")).alias("a"), review.shared_references(F.col("r")).alias("b")).collect()]
+    assert got == [(["A01", "A02"], ["A01", "A02"]), (["C01"], []), (["A1", "B2"], []), ([], [])]
+    late = spark.createDataFrame([("BIN", 0, "实际执行须在截止日前", None), ("BIN", 0, "实际执行须在截止日前", " "), ("BIN", 0, "实际执行须在截止日前", "2024"), ("BIN", 0, "运行早于", None), ("BIN", 1, "实际执行 截止", None)], "k string, s int, r string, e string")
+    assert [r.x for r in late.select(review.needs_time_review(F.col("k"), F.col("s"), F.col("r"), F.col("e")).alias("x")).collect()] == [True, True, False, False, False]
     assert {tuple(r) for r in review.reference_edges(atoms).collect()} == {("H01", "A01"), ("H01", "T01"), ("A01", "T01")}
 
 
@@ -29,9 +34,9 @@ def test_locked_samples(spark):
 def test_witnesses(spark):
     side = "struct<value:string,unit:string,quote:string>"
     q = lambda v, t, u="a": (v, u, t)
-    rows = [("1", "gt", q("135", "is 135"), q("167.05", "was 167.05")), ("2", "lt", q("135", "is 135"), q("167", "was 167.05")), ("3", "gt", q(">135", "over 135"), q("1", "1")), ("4", "eq", q("2", "is 3"), q("2", "2")), ("5", "gt", q("2", "2"), q("1", "1", "b")), ("6", "gt", q("2", "2"), q("1", "1")), ("6", "gt", q("2", "2"), q("1", "1"))]
+    rows = [("1", "gt", q("135", "is 135"), q("167.05", "was 167.05")), ("2", "lt", q("135", "is 135"), q("167", "was 167.05")), ("3", "gt", q(">135", "over 135"), q("1", "1")), ("4", "eq", q("2", "is 3"), q("2", "2")), ("5", "gt", q("2", "2"), q("1", "1", "b")), ("6", "gt", q("2", "2"), q("1", "1")), ("6", "gt", q("2", "2"), q("1", "1")), ("7", "eq", q("1.23457", "1.234565"), q("1.23456", "1.234565"))]
     got = {(r.id, r.holds, ",".join(r.broken)) for r in review.witness_check(spark.createDataFrame(rows, f"id string, operator string, left {side}, right {side}")).collect()}
-    assert got == {("1", False, ""), ("2", True, ""), ("3", None, ""), ("4", True, "left not in its quote"), ("5", None, ""), ("6", True, "repeated id")}
+    assert got == {("1", False, ""), ("2", True, ""), ("3", None, ""), ("4", True, "left not in its quote"), ("5", None, ""), ("6", True, "repeated id"), ("7", False, "right not in its quote")}
 
 
 def test_quotes_owners_and_scopes(spark):

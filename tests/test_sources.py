@@ -51,7 +51,7 @@ def test_worksheets(spark, tmp_path):
     assert docs.limitation is None and "A1=项目" in docs.text
 
 
-RUBRIC = "\ufeff# r\n## 6. completion\n| id | layer | w | purpose | rule | ev | prov |\n| --- | --- | --- | --- | --- | --- | --- |\n| T01 | base | 40 | p | **BIN** a \\| b | e | x |\n| T02 | base | 60 | p | **RATIO** n/d | e | x |\n## 7. quality\n### 7.1 coverage\n| C01 | base | 90 | p | **BIN** | e | x |\n## 8. errors\n| E1 | 封顶范围仅限 T01 | 完成度：上限 0；原子 T01；覆盖度：无上限 |\n| E2 | any | 覆盖度：上限 1.5；原子 C01 |\n## 9. end\n| E3 | x | 覆盖度：上限 1 |\n"
+RUBRIC = "\ufeff# r\n## 6. completion\n| id | layer | w | purpose | rule | ev | prov |\n| --- | --- | --- | --- | --- | --- | --- |\n| T01 | base | 40 | p | **BIN** a \\| b | e | x |\n| T02 | base | 60 | p | **RATIO** n/d | e | x |\n## 7. quality\n### 7.1 coverage\n| C01 | base | 90 | p | **BIN** | e | x |\n## 8. errors\n| E1 | 封顶范围仅限 T01 | 任务完成率：上限 0；原子 T01；内容覆盖度：无上限；原子 C01 |\n| E2 | any | 内容覆盖度：上限 1.5；原子 C01 |\n| E4 | 未列入本条封顶范围的不计 | 准确率·忠实度：上限2；原子 A01、T01；幻觉／自洽性：上限 3 |\n| E5 | x | 完成度：上限 50 |\n| E6 | x | 格式：无上限 |\n| E7 | x | none |\n## 9. end\n| E3 | x | 内容覆盖度：上限 1 |\n"
 
 
 def test_rubrics(spark, tmp_path):
@@ -60,7 +60,12 @@ def test_rubrics(spark, tmp_path):
     atoms = {r.id: r for r in rubric.atoms(lines).collect()}
     assert set(atoms) == {"T01", "T02", "C01"} and atoms["T01"].rule == "**BIN** a | b" and atoms["C01"].metric == "coverage" and atoms["T02"].kind == "RATIO"
     rules = {(r.id, r.metric): (None if r.cap is None else float(r.cap), r.scope) for r in rubric.error_rules(lines).collect()}
-    assert rules == {("E1", "completion"): (0.0, ["T01"]), ("E1", "coverage"): (None, []), ("E2", "coverage"): (1.5, [])}
+    assert rules == {("E1", "completion"): (0.0, ["T01"]), ("E1", "coverage"): (None, []), ("E2", "coverage"): (1.5, []), ("E4", "accuracy"): (2.0, ["A01", "T01"]), ("E4", "hallucination"): (3.0, [])}
+    assert {r.id for r in rubric.rules(lines).collect()} == {"E1", "E2", "E4", "E5", "E6", "E7"}
+    lost = {(r.rule, r.detail) for r in rubric.ceiling_violations(lines).collect()}
+    assert lost == {("unread ceiling", "E5"), ("unread ceiling", "E6"), ("unknown metric", "E6"), ("scope", "E4 A01"), ("scope", "E4 T01")}
+    empty = spark.createDataFrame([("f", 0, "no rubric")], "file string, pos int, line string")
+    assert [r.rule for r in rubric.all_violations(empty).collect()] == ["no atoms"] and rubric.all_violations(lines).count() > len(lost)
     bad = {(r.rule, r.detail) for r in rubric.rubric_violations(rubric.atoms(lines)).collect()}
     assert ("weight", "coverage") in bad and ("missing metric", "format") in bad and ("weight", "completion") not in bad
 
@@ -79,10 +84,10 @@ def test_event_logs(spark, tmp_path):
     log = [{"type": "text", "sessionID": "s1", "part": {"text": "a"}}, {"type": "tool", "part": {"tool": "read", "state": {"status": "completed"}}}, {"type": "text", "sessionID": "s2", "part": {"text": "b"}}, {"type": "error", "error": "boom"}]
     (tmp_path / "l.jsonl").write_text("\n".join([json.dumps(log[0]), "broken {", *map(json.dumps, log[1:])]))
     r = files.log_summary(files.read_log(spark, str(tmp_path))).first()
-    assert (r.text, r.error, r.session, r.used_read) == ("ab", "boom", "s2", True)
-    answers = spark.createDataFrame([("x <json>{\"a\": 1}</json> y",), ("```json\n{\"a\": 2}\n```",), ("{\"a\": 3}",), ("none",)], "x string")
+    assert (r.text, r.error, r.session, r.used_read) == ("a\nb", "boom", "s2", True)
+    answers = spark.createDataFrame([("x BEGIN_JUDGMENT {\"a\": 1} END_JUDGMENT y",), ("```json\n{\"a\": 2}\n```",), ("{\"a\": 3}",), ("none",), ("say BEGIN_JUDGMENT and END_JUDGMENT\nBEGIN_JUDGMENT\n```json\n{\"a\": 4}\n```\nEND_JUDGMENT\n",)], "x string")
     got = [r.a for r in answers.select(F.try_variant_get(files.json_block(F.col("x")), "$.a", "int").alias("a")).collect()]
-    assert got == [1, 2, 3, None]
+    assert got == [1, 2, 3, None, 4]
 
 
 def test_streams(spark, tmp_path):
