@@ -112,13 +112,20 @@ def page(df: DataFrame, order_cols: list[str], offset: int = 0, limit: int = 100
     return df.orderBy(*order_cols).offset(offset).limit(limit)
 
 
+def paged(df: DataFrame, order_cols: list[str], offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of rows with the total and the next offset, null after the last page."""
+    total = df.agg(F.count("*").alias("total_rows"))
+    after = F.when(F.col("total_rows") > offset + limit, F.lit(offset + limit).cast("long"))
+    return page(df, order_cols, offset, limit).join(F.broadcast(total)).withColumn("next_offset", after)
+
+
 def inspect(df: DataFrame, request: dict, order_cols: list[str]) -> DataFrame:
     """The answer to a request as a DataFrame."""
     operation = request.get("operation", "summary")
     rows = where(df, request.get("filters", []))
     names = lambda cols: [resolve(c, df.columns) for c in cols]
     if operation == "rows":
-        return page(rows, order_cols, int(request.get("offset", 0)), int(request.get("limit", 100)))
+        return paged(rows, order_cols, int(request.get("offset", 0)), int(request.get("limit", 100)))
     if operation in ("summary", "stats"):
         return profile(rows, names(request.get("columns", df.columns)))
     if operation == "correlation":
@@ -128,13 +135,3 @@ def inspect(df: DataFrame, request: dict, order_cols: list[str]) -> DataFrame:
     if operation == "duplicates":
         return duplicate_rows(rows)
     raise ValueError(f"unsupported operation {operation!r}")
-
-
-def json_page(c: Column, path: str, offset: int, limit: int) -> Column:
-    """A page of the array at a JSON path: values as JSON text, and the total."""
-    if offset < 0 or not 1 <= limit <= 100:
-        raise ValueError("offset >= 0 and 1 <= limit <= 100 required")
-    values = F.from_json(F.get_json_object(c, path), "array<string>")
-    return F.struct(F.slice(values, offset + 1, limit).alias("values"), F.size(values).alias("total"))
-
-

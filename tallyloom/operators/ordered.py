@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,18 @@ def stalled_rounds(df: DataFrame, progress: Column, keys: list[str], order: list
     return marked.withColumn("stalled", F.sum(1 - F.col("moved_")).over(Window.partitionBy(*keys, "run_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("moved_", "run_")
 
 
+def ranked(df: DataFrame, order: list[Column], write: Callable[[DataFrame], DataFrame], name: str = "rank") -> DataFrame:
+    """Rows with their place (from 1) in a total order, without one task that sees all: range partitions are sorted and
+    written, and a partition's places begin after the rows of those before it, whose numbers are all that is gathered."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
+    held = write(parts.withColumn("part_", F.shiftright("at_", 33)))
+    sizes = held.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = sizes.withColumn("before_", F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_")).drop("n_")
+    place = F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.join(F.broadcast(before), "part_").withColumn(name, place).drop("part_", "at_", "before_")
+
+
 def natural_order(c: Column) -> list[Column]:
     """Sort columns of dotted task numbers: 1.2 before 1.10."""
-    part = lambda i: F.split(c, r"\.").getItem(i).cast("int")
+    part = lambda i: F.split(c, r"\.").getItem(i).cast("long")
     return [part(0), part(1)]

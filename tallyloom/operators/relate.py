@@ -85,6 +85,22 @@ def closure(spark: SparkSession, edges: DataFrame, write) -> DataFrame:
         found = write(found.unionByName(fresh))
 
 
+def fingerprints(parts: DataFrame, keys: list[str], fan: int = 1024) -> DataFrame:
+    """(keys, digest): a digest over all of a key's parts (keys, id, part) in order of id and part.
+
+    Parts of ``fan`` consecutive ids have a digest, ``fan`` of these another, and those one: a group holds what its ids
+    allow, and only digests of ranges come together, whatever a key's size.
+    """
+    level = parts
+    for last in (False, False, True):
+        group = [] if last else [F.expr(f"id div {fan}").alias("next")]
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "part"))), lambda x: x["part"]), ",")
+        level = level.groupBy(*keys, *group).agg(F.sha2(joined, 256).alias("part"))
+        if not last:
+            level = level.withColumnRenamed("next", "id")
+    return level.withColumnRenamed("part", "digest")
+
+
 def violations(df: DataFrame, entity: str, key: Column, rules: dict[str, Column]) -> DataFrame:
     """(entity, key, rule) for every rule that a row breaks; a rule is a condition that holds for bad rows."""
     broken = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items())))

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ordered, relate
-from tallyloom.plans.base import read, rounded
+from tallyloom.operators import ordered, relate, results
+from tallyloom.plans.base import read, rounded, writer
+from tallyloom.sources import files
+from tallyloom.streaming import events as streams
 
 
 def missing_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Nation and segment pairs without any customer: the full grid less what is there."""
-    c = read(spark, d, "customer")
-    grid = read(spark, d, "nation").select("n_nationkey").join(F.broadcast(c.select("c_mktsegment").distinct()))
-    return grid.join(c, (F.col("n_nationkey") == c.c_nationkey) & (grid.c_mktsegment == c.c_mktsegment) & (c.c_acctbal > 9500), "left_anti").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    """Nation and segment pairs without a rich customer: the full grid less what is there."""
+    c = read(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("task"), F.col("c_mktsegment").alias("subject"), "c_acctbal")
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("task"))
+    return results.missing_process(n, c.select("subject"), c.where("c_acctbal > 9500")).select(F.col("task").alias("nation"), F.col("subject").alias("segment"))
 
 
 def prefix_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -26,12 +25,13 @@ def prefix_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_path_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of pages' paths against those of pages served by https: in full, with a dot, by base name, or out of the folder."""
     path = F.regexp_replace(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), "/$", "")
-    pages = read(spark, d, "pages").select("page_id", F.concat_ws("/", F.regexp_extract("url", r"^https?://([^/]+)/", 1), path).alias("file"))
-    known = pages.where("page_id % 3 > 0").select("file").distinct()
+    pages = read(spark, d, "pages").select("page_id", "url", F.concat_ws("/", F.regexp_extract("url", r"^https?://([^/]+)/", 1), path).alias("file"))
+    known = pages.where(F.col("url").startswith("https:")).select("file").distinct()
     name = F.element_at(F.split("file", "/"), -1)
-    wanted = pages.select("page_id", F.when(F.col("page_id") % 4 == 0, name).when(F.col("page_id") % 4 == 1, F.concat(F.lit("./"), F.col("file"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("../"), F.col("file"))).otherwise(F.col("file")).alias("given"))
-    return relate.resolve_paths(wanted, known).select("page_id", "given", "file")
+    given = F.when(F.contains("url", F.lit("?")), name).when(F.contains("url", F.lit("#")), F.concat(F.lit("./"), F.col("file"))).when(F.col("file").startswith("m."), F.concat(F.lit("../"), F.col("file"))).otherwise(F.col("file"))
+    return relate.resolve_paths(pages.select("page_id", given.alias("given")), known).select("page_id", "given", "file")
 
 
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:
@@ -131,51 +131,39 @@ def union_dedup(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(s).groupBy("nation", "balance").agg(F.min("key").alias("key"))
 
 
-def _stored(spark: SparkSession):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-
-    def write(df: DataFrame) -> DataFrame:
-        path = f"{root}/tallyloom/closure-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
-
-
 def ref_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Which parts a supplier's first parts lead to, a part leading to two others; starts are parts divisible by 100."""
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("start"))
-    n = p.agg(F.max("start").alias("n"))
-    hops = p.crossJoin(F.broadcast(n)).select("start", F.explode(F.array((F.col("start") * 7 + 1) % F.col("n") % 97, (F.col("start") * 3) % 97)).alias("node"))
-    from_start = relate.closure(spark, hops.where("start < 97"), _stored(spark))
-    return from_start.select("start", "node")
+    """All parts that a part leads to, each leading to the one of half its number, and customers' nations to their regions."""
+    p = read(spark, d, "part").where("p_partkey > 1").select(F.concat(F.lit("part "), "p_partkey").alias("start"), F.concat(F.lit("part "), F.expr("p_partkey div 2")).alias("node"))
+    c = read(spark, d, "customer").select(F.concat(F.lit("customer "), "c_custkey").alias("start"), F.concat(F.lit("nation "), "c_nationkey").alias("node"))
+    n = read(spark, d, "nation").select(F.concat(F.lit("nation "), "n_nationkey").alias("start"), F.concat(F.lit("region "), "n_regionkey").alias("node"))
+    return relate.closure(spark, p.unionByName(c).unionByName(n), writer(spark)).select("start", "node")
 
 
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Per source, the digest of its documents' digests in order of id."""
-    docs = read(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("digest"))
-    one = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("digest"))
-    return docs.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("one")))), lambda x: x["one"]), ","), 256).alias("digest"))
+    """Per source, one digest over its documents in order of id: a tree of digests, each over at most 1024 ids or digests."""
+    docs = read(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("part"))
+    return relate.fingerprints(docs, ["source"]).select("source", "digest")
 
 
 def incremental_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """New work: documents without a stored label."""
-    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    return streams.new_work(read(spark, d, "documents"), read(spark, d, "labels"), ["doc_id"]).select("doc_id", "source")
 
 
 def complete_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Sources of which at least a third is labelled: the barrier before their summary."""
-    docs = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", F.lit(1).alias("done")), "doc_id", "left")
-    return docs.groupBy("source").agg(F.count("*").alias("expected"), F.count("done").alias("labelled")).where("3 * labelled >= expected")
+    """Sources and languages all of whose documents are labelled: the barrier before their summary."""
+    docs = read(spark, d, "documents").select("source", "lang", F.col("doc_id").alias("member"))
+    expected = docs.groupBy("source", "lang").agg(F.count_distinct("member").alias("expected"))
+    done = docs.join(read(spark, d, "labels").select(F.col("doc_id").alias("member")), "member", "left_semi")
+    return streams.complete_groups(done, expected, ["source", "lang"])
 
 
 def latest_event(spark: SparkSession, d: str) -> DataFrame:
-    """Last non-null assistant text of each conversation, and whether a user spoke at all."""
-    c = read(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.max_by(F.length("text").cast("long"), F.when((F.col("role") == "assistant") & F.col("text").isNotNull(), F.col("turn"))).alias("size"), F.bool_or(F.col("role") == "user").alias("asked"))
+    """Conversations as logs: assistant turns are texts, user turns sessions, empty ones errors, long user turns reads."""
+    c, user = read(spark, d, "conversations"), F.col("role") == "user"
+    logs = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "text").otherwise("other").alias("type"), F.when(user, F.concat(F.col("role"), "turn")).alias("session"), "text", F.when(user & (F.length("text") > 200), "read").alias("tool"), F.lit("completed").alias("status"), F.when(F.col("text").isNull(), F.concat(F.lit("empty "), "turn")).alias("error"))
+    out = files.log_summary(logs)
+    return out.select(F.col("file").alias("conv_id"), F.sha2("text", 256).alias("text"), "error", "session", "used_read")
 
 
 QUERIES = {
@@ -194,9 +182,9 @@ ORACLES = {
     "missing_pairs": "SELECT CAST(n_nationkey AS BIGINT) AS nation, s.c_mktsegment AS segment FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_acctbal > 9500)",
     "prefix_assign": """WITH subjects(id, prefix) AS (VALUES ('a', 'brand#1'), ('b', 'brand#12'), ('c', 'brand#2'), ('e', 'brand#33')), found AS (SELECT p_partkey, count(DISTINCT id) AS matches, min(id) AS owner FROM part JOIN subjects ON starts_with(lower(p_brand), prefix) GROUP BY p_partkey)
         SELECT p.p_partkey, p_brand AS name, CASE coalesce(matches, 0) WHEN 0 THEN 'source' WHEN 1 THEN owner END AS owner, CAST(coalesce(matches, 0) AS BIGINT) AS matches FROM part p LEFT JOIN found f ON p.p_partkey = f.p_partkey""",
-    "unique_path_resolve": r"""WITH pg AS (SELECT page_id, concat_ws('/', regexp_extract(url, '^https?://([^/]+)/', 1), regexp_replace(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/$', '')) AS file FROM pages),
-        known AS (SELECT DISTINCT file FROM pg WHERE page_id % 3 > 0), alone AS (SELECT regexp_extract(file, '[^/]*$') AS base, min(file) AS named FROM known GROUP BY 1 HAVING count(*) = 1),
-        wanted AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(file, '[^/]*$') WHEN 1 THEN './' || file WHEN 2 THEN '../' || file ELSE file END AS given FROM pg),
+    "unique_path_resolve": r"""WITH pg AS (SELECT page_id, url, concat_ws('/', regexp_extract(url, '^https?://([^/]+)/', 1), regexp_replace(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/$', '')) AS file FROM pages),
+        known AS (SELECT DISTINCT file FROM pg WHERE url LIKE 'https:%'), alone AS (SELECT regexp_extract(file, '[^/]*$') AS base, min(file) AS named FROM known GROUP BY 1 HAVING count(*) = 1),
+        wanted AS (SELECT page_id, CASE WHEN url LIKE '%?%' THEN regexp_extract(file, '[^/]*$') WHEN url LIKE '%#%' THEN './' || file WHEN file LIKE 'm.%' THEN '../' || file ELSE file END AS given FROM pg),
         cleaned AS (SELECT *, CASE WHEN given LIKE '../%' THEN NULL WHEN given LIKE './%' THEN substr(given, 3) ELSE given END AS clean FROM wanted)
         SELECT page_id, given, coalesce(k.file, CASE WHEN NOT contains(clean, '/') THEN named END) AS file FROM cleaned LEFT JOIN known k ON clean = k.file LEFT JOIN alone ON clean = base""",
     "positional_zip": f"WITH {_ZIP} SELECT * FROM zip",
@@ -222,10 +210,13 @@ ORACLES = {
         SELECT 'lineitem' AS entity, rule, count(*) AS n, count(DISTINCT l_orderkey) AS tasks FROM v GROUP BY rule""",
     "ordered_distinct": "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order FROM orders GROUP BY o_custkey",
     "union_dedup": "SELECT nation, balance, min(key) AS key FROM (SELECT c_custkey AS key, CAST(c_nationkey AS BIGINT) AS nation, CAST(round(c_acctbal) AS BIGINT) AS balance FROM customer UNION ALL SELECT s_suppkey, CAST(s_nationkey AS BIGINT), CAST(round(s_acctbal) AS BIGINT) FROM supplier) GROUP BY ALL",
-    "ref_closure": """WITH RECURSIVE n AS (SELECT max(p_partkey) AS n FROM part), hops AS (SELECT p_partkey AS start, (p_partkey * 7 + 1) % n % 97 AS node FROM part, n WHERE p_partkey < 97 UNION SELECT p_partkey, (p_partkey * 3) % 97 FROM part WHERE p_partkey < 97),
+    "ref_closure": """WITH RECURSIVE hops AS (SELECT 'part ' || p_partkey AS start, 'part ' || p_partkey // 2 AS node FROM part WHERE p_partkey > 1 UNION SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer UNION SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation),
         reach AS (SELECT start, node FROM hops UNION SELECT r.start, h.node FROM reach r JOIN hops h ON r.node = h.start) SELECT start, node FROM reach""",
-    "fingerprint": "SELECT source, sha256(string_agg(CASE WHEN text IS NULL THEN CAST(doc_id AS VARCHAR) ELSE doc_id || ':' || sha256(text) END, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
+    "fingerprint": """WITH parts AS (SELECT source, doc_id AS id, CASE WHEN text IS NULL THEN CAST(doc_id AS VARCHAR) ELSE doc_id || ':' || sha256(text) END AS part FROM documents),
+        one AS (SELECT source, id // 1024 AS id, sha256(string_agg(part, ',' ORDER BY id, part)) AS part FROM parts GROUP BY source, id // 1024), two AS (SELECT source, id // 1024 AS id, sha256(string_agg(part, ',' ORDER BY id)) AS part FROM one GROUP BY source, id // 1024)
+        SELECT source, sha256(string_agg(part, ',' ORDER BY id)) AS digest FROM two GROUP BY source""",
     "incremental_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "complete_groups": "SELECT source, count(*) AS expected, count(l.doc_id) AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source HAVING 3 * count(l.doc_id) >= count(*)",
-    "latest_event": "SELECT conv_id, CAST(length(arg_max(text, turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL)) AS BIGINT) AS size, bool_or(role = 'user') AS asked FROM conversations GROUP BY conv_id",
+    "complete_groups": "SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang HAVING count(DISTINCT doc_id) = count(DISTINCT doc_id) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels))",
+    "latest_event": """SELECT conv_id, sha256(coalesce(trim(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL), ' '), '')) AS text, arg_max(CASE WHEN text IS NULL THEN 'empty ' || turn END, turn) FILTER (WHERE text IS NULL) AS error,
+        arg_max('user' || turn, turn) FILTER (WHERE role = 'user') AS session, coalesce(bool_or(role = 'user' AND length(text) > 200), false) AS used_read FROM conversations GROUP BY conv_id""",
 }

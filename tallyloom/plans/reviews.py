@@ -20,10 +20,11 @@ def affected_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def process_stats(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("event_id") % 5 == 0, "成功").when(F.col("event_id") % 5 == 1, "未成功").when(F.col("event_id") % 5 == 2, "部分成功").otherwise(None)
-    records = read(spark, d, "events").select("event_type", status.alias("status"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 1000).alias("seconds"))
-    out = score.process_stats(records, ["event_type"])
-    return out.select("event_type", "duration_count", rounded("mean_seconds", 6).alias("mean_seconds"), "success_count")
+    """Events as runs of their users: purchases succeed, views don't, errors have no status; a value is a time."""
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "运行成功").when(kind == "view", "未成功").when(kind == "click", "部分成功")
+    out = score.process_stats(read(spark, d, "events").select("user_id", status.alias("status"), F.when(F.col("value") > 5, F.floor("value")).alias("seconds")), ["user_id"])
+    return out.select("user_id", "duration_count", rounded("mean_seconds", 6).alias("mean_seconds"), "success_count")
 
 
 def shallow_inventory(spark: SparkSession, d: str) -> DataFrame:
@@ -32,10 +33,9 @@ def shallow_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scope_problems(spark: SparkSession, d: str) -> DataFrame:
-    """Labels asked of every third document, beside those that came."""
-    asked = read(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id")
-    came = read(spark, d, "labels").where("doc_id % 6 < 4").select("doc_id").distinct()
-    return review.wrong_scope(came, asked, ["doc_id"])
+    """Labels asked of English documents, beside those that came for any."""
+    asked = read(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    return review.wrong_scope(read(spark, d, "labels").select("doc_id").distinct(), asked, ["doc_id"])
 
 
 def supported_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -44,11 +44,11 @@ def supported_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def owner_problems(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as owners of parts: unknown ones, and two of one nation for a part."""
-    s = read(spark, d, "supplier").where("s_suppkey % 10 > 0")
-    owners = read(spark, d, "lineitem").select(F.col("l_partkey").alias("defect"), F.col("l_suppkey").alias("atom_id"), (F.col("l_suppkey") % 4).alias("metric")).distinct()
-    atoms = s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4).alias("metric"))
-    return review.owner_violations(owners, atoms).groupBy("entity", "rule").agg(F.count("*").alias("n"), F.count_distinct("key").alias("defects"))
+    """Suppliers as owners of parts, known if they aren't in debt: unknown ones, and two of one nation for a part."""
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("metric"), "s_acctbal")
+    lines = read(spark, d, "lineitem").select(F.col("l_partkey").alias("defect"), F.col("l_suppkey").alias("atom_id")).distinct()
+    owners = lines.join(s.select(F.col("id").alias("atom_id"), "metric"), "atom_id")
+    return review.owner_violations(owners, s.where("s_acctbal >= 0").select("id", "metric")).groupBy("entity", "rule").agg(F.count("*").alias("n"), F.count_distinct("key").alias("defects"))
 
 
 def uncovered_reviews(spark: SparkSession, d: str) -> DataFrame:
@@ -99,12 +99,12 @@ QUERIES = {
 ORACLES = {
     "affected_findings": """WITH e AS (SELECT o_orderkey AS task, CASE WHEN o_orderstatus = 'F' THEN 'E1' ELSE 'E2' END AS error FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'), r(error, metric) AS (VALUES ('E1', 'R'), ('E1', 'A'), ('E2', 'N')), a AS (SELECT DISTINCT task, metric FROM e JOIN r USING (error))
         SELECT l_orderkey AS task, l_returnflag AS metric, count(*) AS n, CAST(min(l_linenumber) AS BIGINT) AS least FROM lineitem JOIN a ON l_orderkey = task AND l_returnflag = metric WHERE l_quantity / 50 < 1 GROUP BY ALL""",
-    "process_stats": """SELECT event_type, count(*) FILTER (WHERE event_id % 3 > 0) AS duration_count, round(avg(CASE WHEN event_id % 3 > 0 THEN event_id % 1000 END), 6) AS mean_seconds, count(*) FILTER (WHERE event_id % 5 IN (0, 2)) AS success_count FROM events GROUP BY event_type""",
+    "process_stats": "SELECT user_id, count(*) FILTER (WHERE value > 5) AS duration_count, round(avg(CASE WHEN value > 5 THEN floor(value) END), 6) AS mean_seconds, count(*) FILTER (WHERE event_type IN ('purchase', 'click')) AS success_count FROM events GROUP BY user_id",
     "shallow_inventory": r"""WITH f AS (SELECT DISTINCT regexp_extract(url, '^https?://(?:www\.|m\.|blog\.)?([^/]+)', 1) AS host, regexp_replace(url, '^https?://', '') AS file FROM pages), n AS (SELECT *, row_number() OVER w AS nth, sum(length(file)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM f WINDOW w AS (PARTITION BY host ORDER BY length(file) - length(replace(file, '/', '')), file))
         SELECT host, file, nth FROM n WHERE nth <= 12 AND used <= 200""",
-    "scope_problems": "WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0), c AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 6 < 4) SELECT doc_id, 'not asked for' AS problem FROM c WHERE doc_id NOT IN (SELECT doc_id FROM a) UNION ALL SELECT doc_id, 'missing' FROM a WHERE doc_id NOT IN (SELECT doc_id FROM c)",
+    "scope_problems": "WITH a AS (SELECT doc_id FROM documents WHERE lang = 'en'), c AS (SELECT DISTINCT doc_id FROM labels) SELECT doc_id, 'not asked for' AS problem FROM c WHERE doc_id NOT IN (SELECT doc_id FROM a) UNION ALL SELECT doc_id, 'missing' FROM a WHERE doc_id NOT IN (SELECT doc_id FROM c)",
     "supported_shares": "SELECT source, count(*) FILTER (WHERE quality = 1) AS numerator, count(*) AS denominator, round(count(*) FILTER (WHERE quality = 1) / count(*), 9) AS state FROM documents JOIN labels USING (doc_id) GROUP BY source",
-    "owner_problems": """WITH o AS (SELECT DISTINCT l_partkey AS defect, l_suppkey AS atom, l_suppkey % 4 AS metric FROM lineitem), v AS (SELECT defect, 'unknown owner' AS rule FROM o WHERE atom NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 > 0) UNION ALL SELECT defect, 'two owners in a metric' FROM o GROUP BY defect, metric HAVING count(*) > 1)
+    "owner_problems": """WITH o AS (SELECT DISTINCT l_partkey AS defect, s_suppkey AS atom, s_nationkey AS metric, s_acctbal FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), v AS (SELECT defect, 'unknown owner' AS rule FROM o WHERE s_acctbal < 0 UNION ALL SELECT defect, 'two owners in a metric' FROM o GROUP BY defect, metric HAVING count(*) > 1)
         SELECT 'defect' AS entity, rule, count(*) AS n, count(DISTINCT defect) AS defects FROM v GROUP BY rule""",
     "uncovered_reviews": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000) AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "delivery_dates": "SELECT user_id, string_agg(DISTINCT strftime(ts, '%Y-%m-%d'), ',' ORDER BY strftime(ts, '%Y-%m-%d')) AS days FROM events GROUP BY user_id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import score
 from tallyloom.plans.base import read, rounded
+from tallyloom.sources.rubric import rubric_violations
 
 
 def _atoms(spark: SparkSession, d: str) -> DataFrame:
@@ -19,12 +20,11 @@ def _tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(atoms: DataFrame) -> DataFrame:
-    summed = atoms.groupBy("task", "metric").agg(F.sum(F.col("weight") * F.col("state")).alias("part"), F.sum("weight").alias("whole"))
-    return summed.select("task", "metric", (5 * F.col("part") / F.col("whole")).alias("raw"))
+    return score.metric_scores(atoms, ["task"], whole="N")
 
 
 _RAW = """atoms AS (SELECT l_orderkey AS task, l_returnflag AS metric, l_linenumber AS atom, l_quantity AS weight, least(l_quantity / 50, 1.0) AS state, l_tax FROM lineitem),
-raws AS (SELECT task, metric, 5 * sum(weight * state) / sum(weight) AS raw FROM atoms GROUP BY task, metric)"""
+raws AS (SELECT task, metric, sum(weight * state) / CASE WHEN metric = 'N' THEN 1 ELSE 20 END AS raw FROM atoms GROUP BY task, metric)"""
 _FINAL = f"{_RAW}, finals AS (SELECT task, metric, raw, least(raw, 4.0) AS final FROM raws), scored AS (SELECT o_orderpriority AS dimension, o_orderstatus, finals.* FROM finals JOIN orders ON o_orderkey = task)"
 
 
@@ -114,9 +114,10 @@ def first_losses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def required_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of an order whose weights miss the required total of 100."""
-    sums = _atoms(spark, d).groupBy("task", "metric").agg(F.sum(F.col("weight").cast("long")).alias("total"))
-    return sums.where("total <> 100")
+    """What makes orders unfit as rubrics: return flags are metrics, quantities weights, highly taxed lines have no kind."""
+    metric = F.when(F.col("l_returnflag") == "R", "completion").when(F.col("l_returnflag") == "A", "coverage").otherwise("accuracy")
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), metric.alias("metric"), F.col("l_linenumber").alias("id"), F.col("l_quantity").cast("long").alias("weight"), F.when(F.col("l_tax") < 0.07, "BIN").alias("kind"))
+    return rubric_violations(rows)
 
 
 QUERIES = {f.__name__: f for f in (weighted_rollup, capped_scores, scoped_zero, quality_mean, dim_mean_vs_global_mean, baseline_diff, diff_extrema_ties, topk_losses, weakest_atoms, first_losses, required_weights)}
@@ -126,7 +127,7 @@ ORACLES = {
     "capped_scores": f"WITH {_RAW}, {_CAPS} SELECT r.task, r.metric, round(raw, 9) AS raw, CAST(cap AS DOUBLE) AS cap, round(CASE WHEN cap < raw THEN cap ELSE raw END, 9) AS final FROM raws r LEFT JOIN lowest l ON r.task = l.task AND r.metric = l.metric",
     "scoped_zero": f"""WITH {_RAW}, {_CAPS}, scopes AS (SELECT DISTINCT task, metric, atom FROM atoms JOIN orders ON o_orderkey = task WHERE l_tax >= 0.06 AND o_orderpriority = '1-URGENT'),
         cut AS (SELECT a.task, a.metric, weight, CASE WHEN s.task IS NULL THEN state ELSE 0 END AS state FROM atoms a LEFT JOIN scopes s ON a.task = s.task AND a.metric = s.metric AND a.atom = s.atom),
-        low AS (SELECT task, metric, 5 * sum(weight * state) / sum(weight) AS raw FROM cut GROUP BY task, metric)
+        low AS (SELECT task, metric, sum(weight * state) / CASE WHEN metric = 'N' THEN 1 ELSE 20 END AS raw FROM cut GROUP BY task, metric)
         SELECT r.task, r.metric, round(raw, 9) AS reduced, round(CASE WHEN cap < raw THEN cap ELSE raw END, 9) AS final FROM low r LEFT JOIN lowest l ON r.task = l.task AND r.metric = l.metric""",
     "quality_mean": f"WITH {_FINAL} SELECT task, dimension, round(sum(final) / 3, 9) AS quality_mean FROM scored GROUP BY task, dimension",
     "dim_mean_vs_global_mean": f"WITH {_FINAL} SELECT dimension, metric, round(avg(final), 4) AS mean, count(*) AS tasks FROM scored GROUP BY GROUPING SETS ((dimension, metric), (metric))",
@@ -143,5 +144,7 @@ ORACLES = {
         firsts AS (SELECT task, atom FROM (SELECT task, atom, row_number() OVER (PARTITION BY task ORDER BY state, atom) AS n FROM atoms WHERE state < 1) WHERE n = 1),
         ranked AS (SELECT dimension, means.task, atom, quality_mean, row_number() OVER (PARTITION BY dimension ORDER BY quality_mean, means.task) AS n FROM means JOIN firsts ON means.task = firsts.task)
         SELECT dimension, task, CAST(atom AS BIGINT) AS atom, quality_mean FROM ranked WHERE n <= 4""",
-    "required_weights": "SELECT l_orderkey AS task, l_returnflag AS metric, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY ALL HAVING sum(CAST(l_quantity AS BIGINT)) <> 100",
+    "required_weights": """WITH a AS (SELECT l_orderkey AS file, CASE l_returnflag WHEN 'R' THEN 'completion' WHEN 'A' THEN 'coverage' ELSE 'accuracy' END AS metric, CAST(l_linenumber AS VARCHAR) AS id, CAST(l_quantity AS BIGINT) AS weight, l_tax FROM lineitem)
+        SELECT file, 'weight' AS rule, metric AS detail FROM a GROUP BY ALL HAVING sum(weight) <> 100 UNION ALL SELECT file, 'repeated id', id FROM a GROUP BY file, id HAVING count(*) > 1 UNION ALL SELECT file, 'kind', id FROM a WHERE NOT l_tax < 0.07
+        UNION ALL SELECT file, 'missing metric', m FROM (SELECT DISTINCT file FROM a) f, (SELECT unnest(['completion', 'coverage', 'accuracy', 'format', 'structure', 'hallucination']) AS m) WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.file = f.file AND a.metric = m)""",
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.items import json_page
 from tallyloom.operators import inspect as ins
-from tallyloom.operators.ordered import natural_order
-from tallyloom.plans.base import read, rounded
+from tallyloom.operators.ordered import natural_order, ranked
+from tallyloom.plans.base import read, rounded, writer
 
 
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -55,15 +56,16 @@ def rows_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
-    """The first 60 dotted numbers in natural order."""
-    tasks = read(spark, d, "lineitem").select(F.concat_ws(".", F.col("l_orderkey"), F.col("l_linenumber")).alias("task"))
-    first = tasks.distinct().orderBy(*natural_order(F.col("task"))).limit(60)
-    return first.withColumn("major", F.split("task", r"\.").getItem(0).cast("long"))
+    """All dotted numbers of orders' lines with their place in natural order."""
+    tasks = read(spark, d, "lineitem").select(F.concat_ws(".", F.col("l_orderkey"), F.col("l_linenumber")).alias("task")).distinct()
+    return ranked(tasks, natural_order(F.col("task")), writer(spark)).select("task", "rank")
 
 
 def json_values(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    return read(spark, d, "events").groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+    """Properties of events by page: how many there are, and the sum of the first one's values, by its key."""
+    p = json_page(F.col("props"), [], 0, 1)
+    page = read(spark, d, "events").select("event_type", p.alias("p"))
+    return page.groupBy("event_type", F.col("p.keys")[0].alias("field"), F.col("p.total").alias("fields")).agg(F.count("*").alias("n"), F.sum(F.col("p.values")[0].try_cast("long")).alias("total"))
 
 
 def empty_values(spark: SparkSession, d: str) -> DataFrame:
@@ -89,8 +91,7 @@ ORACLES = {
     "correlation_constant": "SELECT count(value) AS pair_count, CAST(NULL AS DOUBLE) AS pearson FROM events",
     "duplicate_rows": "SELECT CAST(count(*) AS BIGINT) AS selected_rows, CAST(count(*) - count(DISTINCT (l_quantity, l_discount, l_returnflag)) AS BIGINT) AS duplicate_rows FROM lineitem",
     "rows_page": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100 OFFSET 200",
-    "natural_sort": "SELECT DISTINCT concat(l_orderkey, '.', l_linenumber) AS task, l_orderkey AS major, l_linenumber AS minor FROM lineitem ORDER BY major, minor LIMIT 60",
-    "json_values": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS bucket, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1",
+    "natural_sort": "SELECT task, row_number() OVER (ORDER BY major, minor) AS rank FROM (SELECT DISTINCT concat(l_orderkey, '.', l_linenumber) AS task, l_orderkey AS major, l_linenumber AS minor FROM lineitem)",
+    "json_values": "SELECT event_type, json_keys(props)[1] AS field, CAST(len(json_keys(props)) AS BIGINT) AS fields, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2, 3",
     "empty_values": "SELECT lang, CAST(count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS BIGINT) AS empty, CAST(count(*) FILTER (WHERE text IS NOT NULL AND trim(text) <> '') AS BIGINT) AS filled FROM documents GROUP BY lang",
 }
-ORACLES["natural_sort"] = f"SELECT task, major FROM ({ORACLES['natural_sort']})"

@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from tallyloom.functions import numbers, text
 from tallyloom.operators.quotes import contained
 from tallyloom.operators.scopes import packed_paragraphs, text_scopes
-from tallyloom.plans.base import read, rounded
-from tallyloom.plans.relations import _stored
+from tallyloom.plans.base import read, rounded, writer
 
 
 def verdict_tristate(spark: SparkSession, d: str) -> DataFrame:
-    words = F.element_at(F.array(*(F.lit(x) for x in (" Passed", "not satisfied", "不一致：金额", "支持", "notable", "1", "unclear", "FALSE", "缺失"))), (F.col("event_id") % 9 + 1).cast("int"))
-    v = text.verdict(F.when(F.col("event_type") != "view", words).otherwise(F.col("event_type")))
-    return read(spark, d, "events").groupBy("event_type", v.alias("passed")).agg(F.count("*").alias("n"))
+    """Turns read as outcomes: most say nothing, some begin like a yes or a no."""
+    c = read(spark, d, "conversations")
+    return c.groupBy("role", text.verdict(F.col("text")).alias("passed")).agg(F.count("*").alias("n"))
 
 
 def duration_parse(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.col("user_id") % 5, F.lit("h"), F.col("event_id") % 60, F.lit("m"), F.col("event_id") % 7, F.lit("S"))).when(F.col("event_id") % 4 == 1, F.concat(F.col("event_id"), F.lit("s "))).when(F.col("event_id") % 4 == 2, F.lit("")).otherwise(F.concat(F.col("event_id"), F.lit(" min")))
+    """Times of day written as durations, errors with a blank in them and purchases without seconds."""
+    form = lambda f: F.date_format("ts", f)
+    raw = F.when(F.col("event_type") == "error", form("H'h 'm'm'")).when(F.col("event_type") == "purchase", form("H'H'm'm'")).otherwise(F.concat(F.lit(" "), form("H'h'm'm's's'")))
     return read(spark, d, "events").select("event_id", text.duration_seconds(raw).alias("seconds"))
 
 
 def url_valid(spark: SparkSession, d: str) -> DataFrame:
-    url = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", "^https?", "ftp")).when(F.col("page_id") % 5 == 1, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    """Addresses of pages; those with a fragment lose their scheme, those with a query get another."""
+    url = F.when(F.contains("url", F.lit("#")), F.regexp_replace("url", "^https?://", "")).when(F.contains("url", F.lit("?")), F.regexp_replace("url", "^https?", "ftp")).otherwise(F.col("url"))
     return read(spark, d, "pages").select("page_id", text.is_source_url(url).alias("valid"))
 
 
@@ -57,7 +59,9 @@ def text_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_paths(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("./", "/", "..\\", "a/./", "C:\\"))), (F.col("page_id") % 5 + 1).cast("int")), F.regexp_replace("url", "^https?://", ""))
+    """Pages' addresses as paths: from a mobile host with a drive, with a query out of the folder, by https with dots."""
+    bare = F.regexp_replace("url", "^https?://", "")
+    raw = F.when(F.contains("url", F.lit("//m.")), F.concat(F.lit("C:\\"), bare)).when(F.contains("url", F.lit("?")), F.concat(F.lit("..\\"), bare)).when(F.col("url").startswith("https"), F.concat(F.lit("./a/./"), bare)).otherwise(bare)
     return read(spark, d, "pages").select("page_id", text.clean_path(raw).alias("path"))
 
 
@@ -100,12 +104,13 @@ def sentence_packing(spark: SparkSession, d: str) -> DataFrame:
 
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items that stand whole in documents, compared without white space and references."""
-    return contained(spark, read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text"), _stored(spark))
+    return contained(spark, read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text"), writer(spark))
 
 
 def numeric_guard(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.element_at(F.array(F.col("value").cast("string"), F.lit("1d"), F.lit("0x1p3"), F.lit("inf"), F.lit(" 7 "), F.lit("1e3"), F.lit("x")), (F.col("event_id") % 7 + 1).cast("int"))
-    return read(spark, d, "events").select("event_id", rounded(numbers.numeric(raw), 6).alias("n"))
+    """Prices, priorities and dates of orders as numbers, by their status."""
+    raw = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" "), F.col("o_totalprice").cast("decimal(12,2)"))).when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).otherwise(F.date_format("o_orderdate", "yyyy'e'M"))
+    return read(spark, d, "orders").select("o_orderkey", rounded(numbers.numeric(raw), 2).alias("n"))
 
 
 def ratio_states(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +130,7 @@ def compare_truth(spark: SparkSession, d: str) -> DataFrame:
 
 def numeric_closure(spark: SparkSession, d: str) -> DataFrame:
     """Totals whose stated mean (a rounding of it, or of its neighbour) isn't covered by the order's own mean."""
-    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum((F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.count("*").alias("lines"))
+    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.count("*").alias("lines"))
     mean = (F.col("cents").cast("decimal(20,0)") / F.col("lines").cast("decimal(20,0)")).cast("decimal(28,10)")
     stated = F.when(F.col("l_orderkey") % 3 == 0, F.round(mean, 3)).when(F.col("l_orderkey") % 3 == 1, F.round(mean, 1)).otherwise(F.round(mean, 2) + F.lit("0.01").cast("decimal(10,2)"))
     ok = numbers.covered(stated.cast(numbers.DECIMAL), F.array(mean.cast(numbers.DECIMAL)))
@@ -145,10 +150,10 @@ QUERIES = {
 }
 
 ORACLES = {
-    "verdict_tristate": """WITH w AS (SELECT event_type, CASE WHEN event_type <> 'view' THEN (['passed', 'not satisfied', '不一致：金额', '支持', 'notable', '1', 'unclear', 'false', '缺失'])[event_id % 9 + 1] ELSE event_type END AS s FROM events)
-        SELECT event_type, CASE WHEN s LIKE '不一致%' OR s LIKE '缺失%' THEN false WHEN s LIKE '支持%' OR s LIKE 'pass%' THEN true WHEN s LIKE 'no%' THEN false WHEN s = '1' THEN true WHEN s = 'false' THEN false END AS passed, count(*) AS n FROM w GROUP BY ALL""",
-    "duration_parse": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN (user_id % 5) * 3600 + (event_id % 60) * 60 + event_id % 7 WHEN 1 THEN event_id END AS seconds FROM events",
-    "url_valid": "SELECT page_id, page_id % 5 > 1 AND regexp_matches(url, '^https?://[^/?#]+') AS valid FROM pages",
+    "verdict_tristate": """SELECT role, CASE WHEN regexp_matches(s, '^(?:不满足|不一致|不支持|无支撑|未覆盖|缺失|错误|冲突|矛盾)') THEN false WHEN regexp_matches(s, '^(?:满足|一致|支持|有支撑|已覆盖|正确|可追溯|非虚构|无问题|无冲突|satisfied|supported|consistent|correct|traceable|pass|present|yes)') THEN true
+        WHEN regexp_matches(s, '^(?:not satisfied|unsatisfied|unsupported|inconsistent|incorrect|fail|missing|absent|no)') THEN false WHEN s IN ('1', 'true') THEN true WHEN s IN ('0', 'false') THEN false END AS passed, count(*) AS n FROM (SELECT role, lower(trim(coalesce(text, ''), ' ')) AS s FROM conversations) GROUP BY ALL""",
+    "duration_parse": "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE hour(ts) * 3600 + minute(ts) * 60 + CASE WHEN event_type = 'purchase' THEN 0 ELSE second(ts) END END AS seconds FROM events",
+    "url_valid": "SELECT page_id, NOT contains(url, '#') AND NOT contains(url, '?') AND regexp_matches(url, '^https?://[^/?#]+') AS valid FROM pages",
     "short_text": r"""WITH s AS (SELECT doc_id, trim(regexp_replace(replace(text, '.', '。'), '\s+', ' ', 'g'), ' ') AS s FROM documents), h AS (SELECT doc_id, s, left(s, 145) AS head FROM s), e AS (SELECT *, length(regexp_extract(head, '(?s)^(.*[。；])', 1)) AS stop FROM h)
         SELECT doc_id, CASE WHEN length(s) <= 145 THEN s WHEN stop > 66 THEN left(head, stop) ELSE regexp_replace(head, '[，、；。 ]+$', '') || '……' END AS short FROM e""",
     "number_tokens": r"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS token FROM documents) GROUP BY token",
@@ -156,10 +161,19 @@ ORACLES = {
     "markdown_lines": r"""SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '\|'), chr(10), ' ')) AS safe,
         sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: 'L' || i || ': ' || x), chr(10))) AS located FROM documents""",
     "text_page": "SELECT doc_id, substr(text, 301, 200) AS text, length(text) AS total_characters, length(left(text, 300)) - length(replace(left(text, 300), chr(10), '')) + 1 AS starting_line, CASE WHEN length(text) > 500 THEN CAST(500 AS BIGINT) END AS next_offset FROM documents",
-    "clean_paths": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN u WHEN 3 THEN 'a/' || u END AS path FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages)",
+    "clean_paths": "SELECT page_id, CASE WHEN contains(url, '//m.') OR contains(url, '?') THEN NULL WHEN url LIKE 'https%' THEN 'a/' || u ELSE u END AS path FROM (SELECT page_id, url, regexp_replace(url, '^https?://', '') AS u FROM pages)",
     "logical_names": "SELECT p_partkey, lower(p_name) AS name FROM part",
     "html_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) SELECT page_id, count(*) AS links, count(DISTINCT target) AS targets FROM l GROUP BY page_id""",
-    "numeric_guard": "SELECT event_id, round(CASE event_id % 7 WHEN 0 THEN value WHEN 4 THEN 7.0 WHEN 5 THEN 1000.0 END, 6) AS n FROM events",
+    "numeric_guard": "SELECT o_orderkey, round(CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'O' THEN NULL ELSE year(o_orderdate) * pow(10, month(o_orderdate)) END, 2) AS n FROM orders",
+    "scope_table": """WITH RECURSIVE t AS (SELECT doc_id AS id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+        s AS (SELECT id, 0 AS scope, 0 AS start, CASE WHEN n <= 8000 THEN n WHEN instr(reverse(substr(text, 4001, 4000)), chr(10)) > 0 THEN 8001 - instr(reverse(substr(text, 4001, 4000)), chr(10)) ELSE 8000 END AS stop FROM t
+        UNION ALL SELECT s.id, scope + 1, stop, CASE WHEN n - stop <= 8000 THEN n WHEN instr(reverse(substr(text, stop + 4001, 4000)), chr(10)) > 0 THEN stop + 8001 - instr(reverse(substr(text, stop + 4001, 4000)), chr(10)) ELSE stop + 8000 END FROM s JOIN t ON s.id = t.id WHERE stop < n)
+        SELECT id, CAST(scope AS BIGINT) AS scope, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", CAST(stop - start AS BIGINT) AS size FROM s""",
+    "sentence_packing": """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) SELECT doc_id AS id, count(*) AS paragraphs, max(length(line)) AS longest FROM l WHERE line <> '' GROUP BY doc_id""",
+    "quote_containment": r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), q AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS t FROM benchmark) SELECT DISTINCT doc_id, item_id FROM d JOIN q ON q.t <> '' AND contains(d.t, q.t)""",
+    "numeric_closure": """WITH o AS (SELECT l_orderkey, sum(CAST(l_extendedprice * 100 AS BIGINT)) AS cents, count(*) AS lines FROM lineitem GROUP BY l_orderkey), m AS (SELECT l_orderkey, (CAST(cents AS HUGEINT) * 20000000000 + lines) // (2 * lines) AS mean FROM o),
+        s AS (SELECT *, CASE l_orderkey % 3 WHEN 0 THEN (mean + 5000000) // 10000000 * 10000000 WHEN 1 THEN (mean + 500000000) // 1000000000 * 1000000000 ELSE (mean + 50000000) // 100000000 * 100000000 + 100000000 END AS stated FROM m)
+        SELECT l_orderkey, stated = mean OR len(list_filter([1, 2, 3, 4, 5, 6], lambda p: stated = (mean + CAST(5 * pow(10, 9 - p) AS HUGEINT)) // CAST(pow(10, 10 - p) AS HUGEINT) * CAST(pow(10, 10 - p) AS HUGEINT))) > 0 AS covered FROM s""",
     "ratio_states": "SELECT DISTINCT l_orderkey, CAST(l_quantity AS BIGINT) AS n, l_partkey % 40 AS d, CAST(round(CASE WHEN l_partkey % 40 = 0 THEN CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END ELSE least(l_quantity / (l_partkey % 40), 1) END, 6) AS DOUBLE) AS state FROM lineitem",
     "compare_truth": """WITH c AS (SELECT l_linenumber, CAST(CAST(floor(l_extendedprice / 1000) AS BIGINT) || lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 3, '0') AS BIGINT) AS a, l_partkey AS b, (['gt', 'lt', 'ge', 'le', 'eq'])[l_suppkey % 5 + 1] AS op FROM lineitem)
         SELECT CASE WHEN l_linenumber IN (2, 3) THEN NULL WHEN op = 'gt' THEN a > b WHEN op = 'lt' THEN a < b WHEN op = 'ge' THEN a >= b WHEN op = 'le' THEN a <= b ELSE a = b END AS holds, op, count(*) AS n FROM c GROUP BY ALL""",

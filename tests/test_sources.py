@@ -34,8 +34,7 @@ def xlsx() -> bytes:
 
 def test_worksheets(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(xlsx())
-    spark.dataSource.register(office.XlsxSource)
-    cells = spark.read.format("xlsx").option("path", str(tmp_path)).load()
+    cells = office.read_cells(spark, str(tmp_path))
     assert cells.where("formula is not null").select("row", "col", "formula").first() == (4, 3, "=SUM(B2:B4)")
     sheet = office.worksheet(cells.where("sheet = 'S'"))
     assert [tuple(r) for r in sheet.orderBy("_row").collect()] == [(2, "x", "1", None), (3, "x", "1", None), (4, "y", "3", "5")]
