@@ -47,9 +47,9 @@ def condition(c: Column, op: str, value: object) -> Column:
     raise ValueError(f"unsupported filter operation {op!r}")
 
 
-def where(df: DataFrame, filters: list[dict]) -> DataFrame:
+def where(df: DataFrame, filters: list[dict], headers: list[str] | None = None) -> DataFrame:
     for f in filters:
-        df = df.where(condition(F.col(resolve(f["column"], df.columns)), f.get("op", "eq"), f.get("value")))
+        df = df.where(condition(F.col(resolve(f["column"], headers or df.columns)), f.get("op", "eq"), f.get("value")))
     return df
 
 
@@ -119,15 +119,15 @@ def paged(df: DataFrame, order_cols: list[str], offset: int = 0, limit: int = 10
     return page(df, order_cols, offset, limit).join(F.broadcast(total)).withColumn("next_offset", after)
 
 
-def inspect(df: DataFrame, request: dict, order_cols: list[str]) -> DataFrame:
-    """The answer to a request as a DataFrame."""
-    operation = request.get("operation", "summary")
-    rows = where(df, request.get("filters", []))
-    names = lambda cols: [resolve(c, df.columns) for c in cols]
+def inspect(df: DataFrame, request: dict, order_cols: list[str], headers: list[str] | None = None) -> DataFrame:
+    """The answer to a request as a DataFrame; ``headers`` are the columns that it can name, all if not given."""
+    operation, headers = request.get("operation", "summary"), headers or df.columns
+    rows = where(df, request.get("filters", []), headers)
+    names = lambda cols: [resolve(c, headers) for c in cols]
     if operation == "rows":
         return paged(rows, order_cols, int(request.get("offset", 0)), int(request.get("limit", 100)))
     if operation in ("summary", "stats"):
-        return profile(rows, names(request.get("columns", df.columns)))
+        return profile(rows, names(request.get("columns", headers)))
     if operation == "correlation":
         return correlation(rows, *names([request["x"], request["y"]]))
     if operation == "group":

@@ -54,4 +54,5 @@ def ask(spark: SparkSession, root: str, request: dict) -> DataFrame:
     if operation == "cells":
         found = office.cell_range(cells, request.get("range", "A1:J20"))
         return found.select("row", "col", F.coalesce("formula", "value").alias("value_or_formula"), "format")
-    return inspect(office.worksheet(cells, int(request.get("header_row", 1))), request, ["_row"])
+    sheet = office.worksheet(cells, int(request.get("header_row", 1)))
+    return inspect(sheet, request, ["_row"], [c for c in sheet.columns if c != "_row"])
