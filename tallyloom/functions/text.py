@@ -200,14 +200,16 @@ def plain(s: pd.Series) -> pd.Series:
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parts, self.links, self.data = [], [], []
-        self.skip, self.anchor, self.script = 0, None, None
+        self.parts, self.links, self.data, self.scripts = [], [], [], []
+        self.skip, self.anchor, self.script, self.anchors, self.nth = 0, None, None, 0, 0
 
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
         if tag in ("script", "style"):
             self.skip += 1
             kind, name = (found.get("type") or "").lower(), found.get("id") or ""
+            self.nth += tag == "script"
+            self.name = f"script #{self.nth} id={name}"
             self.script = [] if tag == "script" and (kind in ("application/json", "application/ld+json") or name.endswith("-data")) else None
         elif tag == "a" and found.get("href") is not None:
             self.anchor = [found["href"], []]
@@ -217,6 +219,7 @@ class _Reader(HTMLParser):
             self.skip = max(0, self.skip - 1)
             if self.script is not None:
                 self.data.append("".join(self.script))
+                self.scripts.append((self.name, self.data[-1]))
             self.script = None
         elif tag == "a" and self.anchor:
             self.links.append((self.anchor[0], " ".join("".join(self.anchor[1]).split())))
@@ -254,3 +257,15 @@ def html_links(s: pd.Series) -> pd.Series:
 def html_data(s: pd.Series) -> pd.Series:
     """JSON documents that scripts of a page carry."""
     return s.map(lambda x: read_html(x).data)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "locator", "text", "target")])))
+def html_evidence(s: pd.Series) -> pd.Series:
+    """What a page holds beside its text, in order: links by their number, JSON scripts by theirs."""
+
+    def found(page):
+        reader = read_html(page)
+        links = [{"kind": "link", "locator": f"a[href] #{i}", "text": text, "target": target} for i, (target, text) in enumerate(reader.links, 1)]
+        return links + [{"kind": "data", "locator": name, "text": data, "target": None} for name, data in reader.scripts]
+
+    return s.map(found)

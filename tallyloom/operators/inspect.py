@@ -61,7 +61,9 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: nonempty, empty, distinct, duplicates, numeric and non-integer counts, sum, mean, min, max."""
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("cell")).select("cell.*")
     cells = cells.withColumn("present", ~is_empty(F.col("v"))).withColumn("n", numeric(F.col("v")))
-    # Counting values first leaves one row per distinct value: no expansion for the distinct count.
+    # Counting values first leaves one row per distinct value: no expansion for the distinct count. Of long ones, none of
+    # which is a number, their digest is enough.
+    cells = cells.withColumn("v", F.when((F.length("v") > 64) & F.col("n").isNull(), F.concat(F.lit("#"), F.sha2("v", 256))).otherwise(F.col("v")))
     values = cells.groupBy("name", "v", "present", "n").agg(F.count("*").alias("times"))
     many = F.when(F.col("n").isNotNull(), F.col("times"))
     out = values.groupBy("name").agg(

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from tallyloom.functions.text import plain
 
 LARGEST = 64
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each key of an item, and at most this many in all (32 MB); beyond, more passes in vain.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 
 
 def window_keys(text: str, size: int) -> np.ndarray:
@@ -50,7 +51,7 @@ def _keyed(texts: DataFrame, id_col: str, sizes: list[int] | None, wanted: np.nd
                 for size in own if s else []:
                     k = window_keys(s, size)
                     if wanted is not None:
-                        at = k & (FILTER_BITS - 1)
+                        at = k & (8 * len(wanted) - 1)
                         k = k[(wanted[at >> 3] >> (at & 7) & 1).astype(bool)]
                     row.append(np.full(len(k), i)), keys.append(k)
             at = pa.array(np.concatenate(row))
@@ -63,16 +64,17 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, stored: Ca
     """(id, item) of every item that stands whole in a document, character references and white space aside.
 
     An item meets documents on the rarest of its keys, one for each window of up to ``LARGEST`` characters (shorter
-    items have keys by their own length). A bitmap of one megabyte keeps other keys of documents out of the shuffle.
+    items have keys by their own length). A bitmap, as large as the items ask for, keeps other keys of documents out of the shuffle.
     Nulls and items without characters are in no document; the reference asks quotes for content.
     """
     items = items.select(item_col, plain(F.col(text_col)).alias("plain_")).where(F.length("plain_") > 0)
     item_keys = stored(_keyed(items, item_col, None).distinct())
     length = F.least(F.lit(LARGEST), F.length("plain_"))
     sizes = sorted(1 << r["n"] for r in items.select(F.floor(F.log2(length) + 1e-9).cast("int").alias("n")).distinct().collect())
-    place = F.col("key_").bitwiseAND(F.lit(FILTER_BITS - 1))
+    size = min(MOST_BITS, 1 << max(16, (BITS_PER_KEY * item_keys.count()).bit_length()))
+    place = F.col("key_").bitwiseAND(F.lit(size - 1))
     bits = item_keys.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.lit(1).cast("long") * F.pow(F.lit(2), place.bitwiseAND(F.lit(7))).cast("long")).alias("bits")).toPandas()
-    wanted = np.zeros(FILTER_BITS >> 3, np.uint8)
+    wanted = np.zeros(size >> 3, np.uint8)
     wanted[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).astype(np.uint8)
     found = stored(_keyed(docs.select(id_col, plain(F.col(text_col)).alias("plain_")), id_col, sizes, wanted).distinct())
     # A key that no document has settles its item: it counts as the rarest, and meets nothing.

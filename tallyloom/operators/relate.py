@@ -49,13 +49,22 @@ def label_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
 
 
 def overlaps(boxes: DataFrame, group: str, least: float = 0.4) -> DataFrame:
-    """Pairs of boxes of one group whose common area is more than ``least`` of the smaller one."""
-    a, b = boxes.alias("a"), boxes.alias("b")
+    """Pairs of boxes of one group whose common area is more than ``least`` of the smaller one.
+
+    A group's plane is cut into cells as large as its largest box, so that a box lies in four at most, on average; boxes
+    meet in cells, and a pair counts in the one that holds the first corner of its common area.
+    """
+    most = boxes.groupBy(group).agg(F.max("width").alias("w_"), F.max("height").alias("h_")).where("w_ > 0 and h_ > 0")
+    cell = lambda at, size: F.floor(at / F.col(size)).cast("long")
+    upto = lambda start, length, size: F.explode(F.sequence(cell(F.col(start), size), cell(F.col(start) + F.col(length), size)))
+    placed = boxes.join(most, group).withColumn("x_", upto("left", "width", "w_")).withColumn("y_", upto("top", "height", "h_"))
+    a, b = placed.alias("a"), placed.alias("b")
     side = lambda start, size: F.greatest(F.lit(0.0), F.least(F.col(f"a.{start}") + F.col(f"a.{size}"), F.col(f"b.{start}") + F.col(f"b.{size}")) - F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}")))
     area = lambda x: F.col(f"{x}.width") * F.col(f"{x}.height")
-    both = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.id") < F.col("b.id")))
+    both = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.x_") == F.col("b.x_")) & (F.col("a.y_") == F.col("b.y_")) & (F.col("a.id") < F.col("b.id")))
+    corner = lambda start, size, c: F.floor(F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}")) / F.col(f"a.{size}")).cast("long") == F.col(f"a.{c}")
     share = F.try_divide(side("left", "width") * side("top", "height"), F.least(area("a"), area("b")))
-    return both.select(F.col(f"a.{group}").alias(group), F.col("a.id").alias("first"), F.col("b.id").alias("second"), share.alias("share")).where(F.col("share") > least)
+    return both.where(corner("left", "w_", "x_") & corner("top", "h_", "y_")).select(F.col(f"a.{group}").alias(group), F.col("a.id").alias("first"), F.col("b.id").alias("second"), share.alias("share")).where(F.col("share") > least)
 
 
 def upsert(records: DataFrame, patches: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

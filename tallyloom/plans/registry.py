@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-from tallyloom.plans import relations, results, reviews, scores, tables, texts  # noqa: E402
+from tallyloom.plans import records, relations, results, reviews, scores, tables, texts  # noqa: E402
 
-MODULES: tuple = (scores, tables, relations, texts, reviews, results)
+MODULES: tuple = (scores, tables, relations, texts, reviews, results, records)
 
 
 def queries() -> dict[str, Query]:

@@ -99,7 +99,7 @@ def scope_table(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_packing(spark: SparkSession, d: str) -> DataFrame:
     out = packed_paragraphs(read(spark, d, "documents"), "doc_id", "text")
-    return out.groupBy("id").agg(F.count("*").alias("paragraphs"), F.max(F.length("text")).alias("longest"))
+    return out.groupBy("id").agg(F.count("*").alias("paragraphs"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:

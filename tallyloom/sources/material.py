@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.items import json_page
-from tallyloom.functions.text import text_page
+from tallyloom.functions.text import html_evidence, text_page
 from tallyloom.operators.inspect import inspect
 from tallyloom.sources import office
 from tallyloom.sources.config import allowed
@@ -56,3 +56,14 @@ def ask(spark: SparkSession, root: str, request: dict) -> DataFrame:
         return found.select("row", "col", F.coalesce("formula", "value").alias("value_or_formula"), "format")
     sheet = office.worksheet(cells, int(request.get("header_row", 1)))
     return inspect(sheet, request, ["_row"], [c for c in sheet.columns if c != "_row"])
+
+
+def evidence(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
+    """(keys, kind, locator, text, target, limitation) of links and JSON scripts of pages; a script that is no JSON is a limitation.
+
+    An inventory, not a finding: empty values stay as they are.
+    """
+    e = F.col("e")
+    rows = pages.select(*keys, F.explode(html_evidence(F.col(html_col))).alias("e"))
+    broken = (e["kind"] == "data") & F.try_parse_json(e["text"]).isNull()
+    return rows.select(*keys, "e.kind", "e.locator", F.when(~broken, e["text"]).alias("text"), "e.target", F.when(broken, F.concat(e["locator"], F.lit(": not valid JSON; original remains available"))).alias("limitation"))

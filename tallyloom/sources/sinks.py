@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,19 @@ def write_results(results: DataFrame, path: str, fresh: bool = True) -> None:
     results.write.mode("overwrite" if fresh else "errorifexists").partitionBy("task", "subject").json(path)
 
 
+def write_changed(results: DataFrame, path: str) -> bool:
+    """Result documents, written only if what is there differs; whether they were."""
+    spark = results.sparkSession
+    try:
+        held = spark.read.schema(results.schema).json(path).select(results.columns)
+        if results.exceptAll(held).isEmpty() and held.exceptAll(results).isEmpty():
+            return False
+    except AnalysisException:  # nothing there yet
+        pass
+    write_results(results, path)
+    return True
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

@@ -66,6 +66,8 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("1.1", "a", 1), ("1.1", "b", 2)], "task string, subject string, x int")
     sinks.write_results(rows, f"file://{tmp_path}/r")
     sinks.write_results(rows, f"file://{tmp_path}/r")
+    assert not sinks.write_changed(rows, f"file://{tmp_path}/r") and sinks.write_changed(rows, f"file://{tmp_path}/new")
+    assert sinks.write_changed(rows.where("x = 1"), f"file://{tmp_path}/new") and spark.read.json(f"file://{tmp_path}/new").count() == 1
     sinks.append_log(rows, f"file://{tmp_path}/log")
     sinks.append_log(rows, f"file://{tmp_path}/log")
     assert spark.read.json(f"file://{tmp_path}/r").count() == 2 and spark.read.json(f"file://{tmp_path}/log").count() == 4
