@@ -10,7 +10,7 @@ which decides about every document.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
@@ -30,7 +30,7 @@ from tallyloom.llm.pages import STOP_WORDS
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 64 << 20
 HASH_BITS = 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 GOOD, BAD, NONE = 0, 1, 2
 PREFIX = 4
 N_JUNK, N_TOXIC = 8, 3
@@ -103,15 +103,24 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     schema = "kind string, lang string, name string, clean long, toxic long, clean_n long, toxic_n long, reach long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", SLICE_BYTES):
-            rows: list[tuple] = []
+        for batch in by_bytes(batches, "text", SLICE_BYTES // 4):
+            found: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0] * 5)
             for text, lang, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "toxic")), strict=True):
                 cores = _CORE.findall(text.lower())
-                stems = Counter(w[:k] for w in cores for k in range(PREFIX, min(PREFIX + 3, len(w)) + 1))
-                found = [("w", "", w, 1) for w in set(cores)] + [("s", lang or "", s, c) for s, c in stems.items()] + [("n", lang or "", "", len(cores))]
-                rows += [(kind, l, name, 1 - toxic, toxic, n * (1 - toxic), n * toxic, len(cores) * toxic) for kind, l, name, n in found]
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(columns)], names=["kind", "lang", "name", "clean", "toxic", "clean_n", "toxic_n", "reach"])
+
+                def add(kind: str, language: str, name: str, n: int) -> None:
+                    row = found[kind, language, name]
+                    row[toxic] += 1
+                    row[2 + toxic] += n
+                    row[4] += len(cores) * toxic
+
+                for w in set(cores):
+                    add("w", "", w, 1)
+                for stem, n in Counter(w[:k] for w in cores for k in range(PREFIX, min(PREFIX + 3, len(w)) + 1)).items():
+                    add("s", lang or "", stem, n)
+                add("n", lang or "", "", len(cores))
+            names, rows = list(zip(*found.keys(), strict=True)) or [[]] * 3, list(zip(*found.values(), strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in names), *(pa.array(c, pa.int64()) for c in rows)], names=["kind", "lang", "name", "clean", "toxic", "clean_n", "toxic_n", "reach"])
 
     sums = ["clean", "toxic", "clean_n", "toxic_n", "reach"]
     return sample.where("toxic is not null").select("text", "lang", "toxic").mapInArrow(count, schema).groupBy("kind", "lang", "name").agg(*(F.sum(c).alias(c) for c in sums))
@@ -119,7 +128,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 def learn_lexicon(sample: DataFrame, least: int = 5, precision: float = 0.9) -> Lexicon:
     """Telling words, and by language telling beginnings of words, from rows (text, lang, toxic); only they are gathered."""
-    counts = _word_counts(sample)
+    counts = stored(sample.sparkSession, _word_counts(sample), "words")
     languages = {r["lang"]: r for r in counts.where("kind = 'n'").collect()}
     words = counts.where(f"kind = 'w' and toxic >= {least} and toxic >= {precision} * (toxic + clean)").select("name").collect()
     lexicon = Lexicon(frozenset(r["name"] for r in words))
