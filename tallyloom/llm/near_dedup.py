@@ -158,7 +158,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out
 
 
-def _across(spark: SparkSession, member: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(spark: SparkSession, member: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, places: int) -> DataFrame:
     """Pairs (a, b) of labels whose components link within a bucket, enough of them to join all that links join.
 
     A bucket's nodes outside its largest component are sliced, and so are all its nodes; every two slices meet in a
@@ -167,13 +167,13 @@ def _across(spark: SparkSession, member: DataFrame, labels: DataFrame, nodes: Da
     of 300 meet a false match once in 10**9 times.)
     """
     known = member.select("key", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    known = stored(spark, known.join(mixed, "key"), "mixed")
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    known = stored(spark, spread_join(known, mixed, "key", "n", places, "inner"), "mixed")
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("total"), F.max("n").alias("most"))
     sizes = sizes.withColumn("parts", F.ceil(F.col("total") / SLICE_ROWS)).withColumn("minor_parts", F.ceil((F.col("total") - F.col("most")) / SLICE_ROWS))
     sizes = stored(spark, sizes, "sizes")
     work = sizes.agg(F.sum(F.expr("total * minor_parts + (total - most) * parts")).alias("n")).first()["n"] or 0
-    rows = known.join(sizes, "key").join(nodes.select("fp", "sketch", "n_shingles"), "fp").join(sets.select("fp", "short"), "fp")
+    rows = spread_join(known, sizes.withColumn("n", F.col("total")), "key", "n", places, "inner").join(nodes.select("fp", "sketch", "n_shingles"), "fp").join(sets.select("fp", "short"), "fp")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     common = ["key", "fp", "label", "sketch", "n_shingles", "short"]
     every = rows.select(*common, F.pmod(F.xxhash64("fp"), F.col("parts")).alias("i"), upto("minor_parts").alias("j"), F.lit(False).alias("minor"))
@@ -226,12 +226,12 @@ def _across(spark: SparkSession, member: DataFrame, labels: DataFrame, nodes: Da
     return pairs
 
 
-def groups(spark: SparkSession, rows: DataFrame, src: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that link with another: equal labels for nodes that links connect."""
+def groups(spark: SparkSession, rows: DataFrame, src: DataFrame, total: int) -> DataFrame:
+    """(node, label) of the nodes that link with another: equal labels for nodes that links connect. ``total``: the number of rows."""
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     member = nodes.select("fp", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1")
-    member = stored(spark, member.join(shared, "key").select("key", "fp", "leader"), "members")
+    member = stored(spark, spread_join(member, shared, "key", "n", BANDS * total, "inner").select("key", "fp", "leader"), "members")
     candidates = member.select("fp").distinct()
     nodes = stored(spark, nodes.drop("bands").join(candidates, "fp", "left_semi"), "nodes")
     sets = stored(spark, _sets(src, nodes), "sets")
@@ -240,7 +240,7 @@ def groups(spark: SparkSession, rows: DataFrame, src: DataFrame) -> DataFrame:
     labels = components(spark, _confirm(spark, pairs, nodes, sets))
     # Then, in buckets that still hold several components, every node of the rarer ones against all nodes there that
     # lie in another. Pairs within a component need no test, so after this none is left that could join two.
-    links = _across(spark, member, labels, nodes, sets)
+    links = _across(spark, member, labels, nodes, sets, BANDS * total)
     discard(spark, member, nodes, sets)
     joined = components(spark, links).select(F.col("node").alias("from"), F.col("label").alias("to"))
     old = labels.select("node", "label").union(joined.join(labels, F.col("from") == F.col("node"), "left_anti").select(F.col("from"), F.col("from")))
@@ -265,7 +265,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", _row_key("doc_id", "text"))
     rows = stored(spark, _described(src), "described")
     total = rows.count()
-    labels = groups(spark, rows, src)
+    labels = groups(spark, rows, src, total)
     rows = rows.drop("bands", "sketch")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min(own).alias("own"), F.count("*").alias("n"))

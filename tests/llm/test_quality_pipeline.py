@@ -191,3 +191,31 @@ def test_without_the_pipeline_files_the_entry_still_imports():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs, labels = corpus()
+    passage = "This is a passage that many of the rows have in common with others. It has two sentences, both of some length, and more words than that. "
+    item = "zero one two three four five six seven eight nine ten"
+    docs += [(2000 + i, f"{text(random.Random(i))} {passage}", "en", "s", 1) for i in range(3)] + [(2010, f"{text(random.Random(77))} {item} {text(random.Random(78))}", "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None), (2011, "w" * 50_000, "en", "s", 1)]
+    extra = ", quality int, text_ string, row_key string, key string, touched int, n_shingles int, marks string"
+    frame = spark.createDataFrame([(*d, 1, "t", "r", "k", 2, 3, "m") for d in docs], DOCS + extra)
+    spark.createDataFrame(labels, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start in (frame, frame.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            path = str(tmp_path / f"{name}-{start is frame}")
+            stage(spark, now, str(tmp_path)).write.parquet(path)
+            now = spark.read.parquet(path)
+            assert now.columns == frame.columns, name
+        packed = corpus_pipeline.packing(spark, now, str(tmp_path))
+        rows = now.collect()
+        assert packed.select("doc_id").count() >= len(rows)
+        if start is not frame:
+            assert not rows and packed.count() == 0
+            continue
+        texts = [r.text for r in rows if r.text]
+        assert sum(passage.strip() in t for t in texts) == 1 and not any(item in t for t in texts)
+        assert sum(r.text is None for r in rows) == 3 and [r.doc_id for r in rows if r.doc_id == 2011] == [2011]
+        assert not [r for r in rows if r.doc_id is not None and r.doc_id < 300 and r.doc_id % 10 == 8]
