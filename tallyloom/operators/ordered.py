@@ -36,6 +36,11 @@ def first_of_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return kept.select("key_", "row_.*").withColumnRenamed("key_", "key")
 
 
+def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Each key with the least order at which it stands: sorted by it, keys come in the order of their first occurrence."""
+    return df.groupBy(key).agg(F.min(F.struct(*order)).alias("first"))
+
+
 def visible(df: DataFrame, positive: Column, keys: list[str], order: list[str], few: int = 10, shown: int = 2) -> DataFrame:
     """All rows of keys with up to ``few``; of others every row that isn't positive, and the first ``shown`` that are."""
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

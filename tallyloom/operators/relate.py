@@ -74,9 +74,18 @@ def upsert(records: DataFrame, patches: DataFrame, keys: list[str], values: list
 
 
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys of one side only, each with the side: two equal sets give no rows."""
+    """Keys of one side only, each with the side, and keys that a side holds more than once: two equal sets give no rows."""
     only = lambda a, b, side: a.select(key).distinct().join(b.select(key), key, "left_anti").withColumn("side", F.lit(side))
-    return only(left, right, "left").unionByName(only(right, left, "right"))
+    again = lambda a, side: a.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key, F.lit(f"{side} repeated").alias("side"))
+    return only(left, right, "left").unionByName(only(right, left, "right")).unionByName(again(left, "left")).unionByName(again(right, "right"))
+
+
+def union_distinct(frames: list[DataFrame], content: list[str], key: str) -> DataFrame:
+    """Rows of all frames, each content once, under the least key; keys don't count as content."""
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole.groupBy(*content).agg(F.min(key).alias(key))
 
 
 def closure(spark: SparkSession, edges: DataFrame, write) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
-from tallyloom.functions.text import label_key, markdown_safe, short_reason, similarity
+from tallyloom.functions.text import label_key, markdown_safe, short_reason, similarity, summary_text
 from tallyloom.operators import score
 from tallyloom.operators.relate import positional_pairs, violations
 from tallyloom.operators.review import shared_references
-from tallyloom.sources.sinks import summary_text
 
 
 def recomputed(contributions: DataFrame, caps: DataFrame, scopes: DataFrame, keys: list[str], whole: str | None = "completion") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text
+from tallyloom.functions import items, text
 from tallyloom.operators import inspect, review, validate
 from tallyloom.plans.base import read
 from tallyloom.sources import files, material, office
@@ -136,11 +136,33 @@ def located_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").groupBy("role", last.try_cast("long").alias("lines")).agg(F.count("*").alias("n"))
 
 
+def repeated_records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' lines as process records of their suppliers: tasks with more than one that says anything."""
+    li = read(spark, d, "lineitem").select(F.concat_ws(".", "l_suppkey", "l_linenumber").alias("task"), F.when(F.col("l_tax") > 0.06, F.lit("3m")).alias("runtime"), F.when(F.col("l_returnflag") == "R", F.lit("成功")).alias("status"))
+    return files.repeated_tasks(li)
+
+
+def error_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as decisions on customers' errors: each customer of the machinery segment once, with a reason, with evidence if finished."""
+    known = read(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("id"))
+    evidence = F.when(F.col("o_totalprice") > 100000, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>"))
+    told = read(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("triggered"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("reason"), evidence.alias("evidence"))
+    return validate.error_violations(told, known).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("key").alias("errors"))
+
+
+def loss_briefs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' losses: returned lines failed, by part; those without any say why in their priority."""
+    item = F.to_json(F.struct(F.concat(F.lit("part "), "l_partkey").alias("claim"), F.when(F.col("l_returnflag") == "R", F.when(F.col("l_tax") > 0.04, "unsupported").otherwise("fail")).otherwise("pass").alias("result"), F.when(F.col("l_discount") > 0.05, F.concat(F.lit("line "), "l_linenumber")).alias("location")))
+    li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_quantity", item.alias("item")))), lambda x: x["item"]).alias("items"), F.count("*").alias("n"))
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(li, "o_orderkey")
+    return o.select("o_orderkey", items.loss_brief(F.col("items"), F.lit(0), F.col("n"), F.col("o_orderpriority")).alias("brief"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         discovered_files, process_rows, worksheet_cells, answer_documents, newest_events, permanent_failures, corrected_balances, correction_problems, lowered_states, quote_problems, accounted_items, count_targets, time_reviews, mentioned_ids, blank_rows,
-        page_evidence, located_text,
+        page_evidence, located_text, repeated_records, error_problems, loss_briefs,
     )
 }
 
@@ -165,5 +187,11 @@ ORACLES = {
     "mentioned_ids": "SELECT o_orderkey, 'A' || o_custkey || ',T' || o_orderkey || ',C7' AS mentioned, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'A' || o_custkey || ',T' || o_orderkey ELSE '' END AS same, CASE WHEN o_orderstatus = 'F' THEN 'A' || o_custkey || ',T' || o_orderkey ELSE '' END AS shared FROM orders",
     "blank_rows": "SELECT nullif(lang, 'fr') AS lang, count(*) AS n, CAST(sum(CASE WHEN length(text) > 500 THEN length(text) END) AS BIGINT) AS total FROM documents WHERE nullif(lang, 'fr') IS NOT NULL OR length(text) > 500 GROUP BY 1",
     "page_evidence": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*'), 1) AS n FROM pages) SELECT page_id, 'link' AS kind, 'a[href] #' || n AS locator, regexp_extract(a, '>(.*)$', 1) AS text, regexp_extract(a, '"([^"]*)"', 1) AS target, CAST(NULL AS VARCHAR) AS limitation FROM l""",
+    "repeated_records": "SELECT l_suppkey || '.' || l_linenumber AS task, count(*) AS n FROM lineitem WHERE l_tax > 0.06 OR l_returnflag = 'R' GROUP BY 1 HAVING count(*) > 1",
+    "error_problems": """WITH k AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY'), c AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey), v AS (SELECT id, 'missing' AS rule FROM k WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT id, 'unknown' FROM c WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT id, 'repeated' FROM c WHERE n > 1
+        UNION ALL SELECT o_custkey, 'untyped' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, 'no reason' FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT o_custkey, 'no evidence' FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice > 100000) SELECT rule, count(*) AS n, count(DISTINCT id) AS errors FROM v GROUP BY rule""",
+    "loss_briefs": """WITH f AS (SELECT l_orderkey, 'part ' || l_partkey || CASE WHEN l_discount > 0.05 THEN '（line ' || l_linenumber || '）' ELSE '' END || '：' || CASE WHEN l_tax > 0.04 THEN '缺少可识别的来源支撑' ELSE '与已核来源不一致' END AS told, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_quantity) AS k FROM lineitem WHERE l_returnflag = 'R'),
+        t AS (SELECT l_orderkey, string_agg(told, '；' ORDER BY k) FILTER (WHERE k <= 2) || CASE WHEN count(*) > 2 THEN '；另有 ' || (count(*) - 2) || ' 项，详见逐题结果' ELSE '' END || '。' AS told FROM f GROUP BY l_orderkey), n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+        SELECT o_orderkey, '0/' || n || '；' || coalesce(told, o_orderpriority) AS brief FROM orders JOIN n ON n.l_orderkey = o_orderkey LEFT JOIN t ON t.l_orderkey = o_orderkey""",
     "located_text": "SELECT role, CASE WHEN text IS NOT NULL THEN length(text) - length(replace(text, chr(10), '')) + 1 END AS lines, count(*) AS n FROM conversations GROUP BY ALL",
 }

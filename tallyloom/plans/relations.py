@@ -108,7 +108,8 @@ def first_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_equality(spark: SparkSession, d: str) -> DataFrame:
-    return relate.set_difference(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").select("doc_id"), "doc_id")
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"))
+    return relate.set_difference(read(spark, d, "labels").select("doc_id"), turns, "doc_id")
 
 
 def subset_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -121,14 +122,14 @@ def subset_violations(spark: SparkSession, d: str) -> DataFrame:
 
 def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Customers in the order of their first order."""
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("f")).select("o_custkey", F.col("f.o_orderkey").alias("first_order"))
+    return ordered.first_seen(read(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", F.col("first.o_orderkey").alias("first_order"))
 
 
 def union_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Names and balances of customers and suppliers, content once, the lowest key kept."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("nation"), F.round("c_acctbal").cast("long").alias("balance"))
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").cast("long").alias("nation"), F.round("s_acctbal").cast("long").alias("balance"))
-    return c.unionByName(s).groupBy("nation", "balance").agg(F.min("key").alias("key"))
+    return relate.union_distinct([c, s], ["nation", "balance"], "key")
 
 
 def ref_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +205,7 @@ ORACLES = {
     "carried_sections": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events",
     "stalled_rounds": "WITH m AS (SELECT *, coalesce(value > 50, false) AS moved FROM events), r AS (SELECT *, sum(moved::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m) SELECT event_id, CAST(sum(1 - moved::INT) OVER (PARTITION BY user_id, run ORDER BY event_id) AS BIGINT) AS stalled FROM r",
     "renumbered": "SELECT CAST(p_size AS BIGINT) AS size, p_brand, p_type, format('R{:03d}', row_number() OVER (PARTITION BY p_size ORDER BY p_brand, p_type)) AS label FROM (SELECT DISTINCT p_size, p_brand, p_type FROM part)",
-    "set_equality": "SELECT DISTINCT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
+    "set_equality": "SELECT DISTINCT doc_id, 'left' AS side FROM labels WHERE doc_id NOT IN (SELECT conv_id FROM conversations) UNION ALL SELECT DISTINCT conv_id, 'right' FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT conv_id, 'right repeated' FROM conversations GROUP BY conv_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'left repeated' FROM labels GROUP BY doc_id HAVING count(*) > 1",
     "subset_violations": """WITH v AS (SELECT l_orderkey, 'unknown part' AS rule FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT l_orderkey, 'unknown supplier' FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
         UNION ALL SELECT l_orderkey, 'quantity' FROM lineitem WHERE l_quantity NOT BETWEEN 2 AND 49 UNION ALL SELECT l_orderkey, 'discounted return' FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08)
         SELECT 'lineitem' AS entity, rule, count(*) AS n, count(DISTINCT l_orderkey) AS tasks FROM v GROUP BY rule""",

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import display
-from tallyloom.functions.text import markdown_safe, short_reason, verdict
+from tallyloom.functions.text import markdown_safe
 from tallyloom.operators.ordered import chunks
 
 
@@ -50,29 +50,6 @@ def score_lines(scores: DataFrame) -> DataFrame:
     return cells.select("task", F.col("metric_pos").alias("pos"), line.alias("line"))
 
 
-# Fixed value: traces of how a run went, in prose.
-RUN_TRACE = r"(?i)process-record\.json[^\n；;]*(?:runtime|status)\s*=[^\n；;]*[；;]?"
-
-
-def summary_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, RUN_TRACE, ""))
-
-
-def item_failures(items: Column, shown: int = 2) -> Column:
-    """The first failed items of a finding as prose, and how many more there are."""
-    failed = F.filter(items, lambda x: F.coalesce(~verdict(x["result"]), F.lit(False)))
-    named = F.transform(F.slice(failed, 1, shown), lambda x: F.concat(x["label"], F.lit("："), short_reason(F.coalesce(x["reason"], F.lit("与已核来源不一致")), 85, 65)))
-    more = F.when(F.size(failed) > shown, F.format_string("；另有 %d 项，详见逐题结果", F.size(failed) - shown)).otherwise("")
-    return F.when(F.size(failed) > 0, F.concat(F.array_join(named, "；"), more, F.lit("。")))
-
-
-def loss_brief(items: Column, numerator: Column, denominator: Column, reason: Column) -> Column:
-    """A loss in a sentence: its ratio, then its failed items or its reason."""
-    ratio = F.when(denominator.isNotNull(), F.concat(numerator.cast("string"), F.lit("/"), denominator.cast("string"), F.lit("；"))).otherwise("")
-    told = summary_text(reason)
-    return F.concat(ratio, F.coalesce(item_failures(items), told))
-
-
 def task_markdown(lines: DataFrame) -> DataFrame:
     """Documents from lines (task, section, pos, line): one row per task with its whole text, sections in order."""
     ordered = F.array_sort(F.collect_list(F.struct("section", "pos", "line")))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import items
 from tallyloom.operators import review, scopes
 from tallyloom.sources import sinks
 
@@ -72,10 +73,10 @@ def test_sinks(spark, tmp_path):
     sinks.append_log(rows, f"file://{tmp_path}/log")
     assert spark.read.json(f"file://{tmp_path}/r").count() == 2 and spark.read.json(f"file://{tmp_path}/log").count() == 4
     assert sinks.unused_path("a/r.docx", {"a/r.docx", "a/r-2.docx"}) == "a/r-3.docx" and sinks.unused_path("r", set()) == "r"
-    items = "array<struct<label:string,result:string,reason:string>>"
-    losses = spark.createDataFrame([([("x", "fail", "why"), ("y", "pass", None), ("z", "no", None), ("w", "0", None)], 1, 4, "r"), ([], None, None, "plain process-record.json a runtime=3m; text")], f"items {items}, n int, d int, reason string")
-    got = [r.t for r in losses.select(sinks.loss_brief(F.col("items"), F.col("n"), F.col("d"), F.col("reason")).alias("t")).collect()]
-    assert got == ["1/4；x：why；z：与已核来源不一致；另有 1 项，详见逐题结果。", "plain  text"]
+    items_ = ['{"claim": "x", "result": "fail", "reason": "why"}', '{"element": "y", "result": "pass"}', '{"id": "z", "verdict": "Unsupported", "location": "p. 3"}', '{"result": "not satisfied", "scope": "extracted/a.txt"}']
+    losses = spark.createDataFrame([(items_, 1, 4, "r"), (items_[2:], None, None, "r"), ([], None, None, "plain process-record.json a runtime=3m; text")], "items array<string>, n int, d int, reason string")
+    got = [r.t for r in losses.select(items.loss_brief(F.col("items"), F.col("n"), F.col("d"), F.col("reason")).alias("t")).collect()]
+    assert got == ["1/4；x：why；z（p. 3）：缺少可识别的来源支撑；另有 1 项，详见逐题结果。", "z（p. 3）：缺少可识别的来源支撑；核验项：页面无法取得，来源及内容未获证实。", "plain  text"]
     lines = spark.createDataFrame([("t", 2, 1, "b"), ("t", 1, 2, "a2"), ("t", 1, 1, "a1")], "task string, section int, pos int, line string")
     assert sinks.task_markdown(lines).first().text == "a1\na2\nb"
     ledger = sinks.chart_ledger(spark.createDataFrame([("k", i) for i in range(30)], "k string, i int"), ["k"], ["i"])
