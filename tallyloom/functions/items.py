@@ -15,6 +15,8 @@ SUPPORTED = "supported|satisfied|yes|true|有支撑|满足"
 UNSUPPORTED = "unsupported|not satisfied|no|false|无支撑|不满足"
 POSITIVE = "supported|consistent|correct|satisfied|有支撑|一致|正确|满足"
 EXCLUDED = r"excluded\b|not_applicable\b|not applicable\b|n/a\b|排除(?:[（(:：]|$)|剔除(?:[（(:：]|$)|不计入(?:[（(:：]|$)"
+# The note on counts that differ, and the end of a list that shows only its first items.
+COUNTS_DIFFER, MORE_FAILED = "展示清单 %d 条，计分对象 %d 项；分组、排除等对应关系见本项计数依据和核验范围。", "；另有 %d 项，详见逐题结果"
 
 
 def _field(c: Column, name: str) -> Column:
@@ -68,7 +70,7 @@ def counting_note(items: Column, denominator: Column) -> Column:
     d, n = denominator.cast("decimal(38,9)"), F.size(items)
     counts = F.size(F.filter(items, lambda x: ~excluded(x)))
     odd = (d > 0) & (d <= 100) & (d == F.floor(d)) & (n != d) & (counts != d)
-    return F.when(odd, F.format_string("展示清单 %d 条，计分对象 %d 项；分组、排除等对应关系见本项计数依据和核验范围。", n, d.cast("int")))
+    return F.when(odd, F.format_string(COUNTS_DIFFER, n, d.cast("int")))
 
 
 # What is said of a failed item without a note, by the beginning of its outcome, and of one without a name.
@@ -90,7 +92,7 @@ def loss_brief(items: Column, numerator: Column, denominator: Column, reason: Co
     """A loss in a sentence: its ratio, then its first failed items (JSON texts) and how many more there are, or its whole reason."""
     ratio = F.when(denominator.isNotNull(), F.concat(numerator.cast("string"), F.lit("/"), denominator.cast("string"), F.lit("；"))).otherwise("")
     failed = F.filter(items, lambda x: F.coalesce(~item_passed(x), F.lit(False)))
-    more = F.when(F.size(failed) > shown, F.format_string("；另有 %d 项，详见逐题结果", F.size(failed) - shown)).otherwise("")
+    more = F.when(F.size(failed) > shown, F.format_string(MORE_FAILED, F.size(failed) - shown)).otherwise("")
     told = F.concat(F.array_join(F.transform(F.slice(failed, 1, shown), failed_item), "；"), more, F.lit("。"))
     return F.concat(ratio, F.when(F.size(failed) > 0, told).otherwise(summary_text(reason)))
 

@@ -12,6 +12,8 @@ from tallyloom.operators.review import witness_check
 
 #: What a resolution and a part of a report must have at least, and how a correction says that nothing changed.
 LEAST, UNCHANGED = 20, "^(?:维持|保留|不变|unchanged|retain)"
+#: What stands between a short reason and the observation that lengthens it, and the other way round.
+GROUNDS, SEEN = " 判定依据：", " 具体观察："
 
 
 def resolution_violations(findings: DataFrame, known: DataFrame, contested: DataFrame, errors: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
@@ -43,7 +45,7 @@ def completed(corrections: DataFrame, records: DataFrame) -> DataFrame:
     reason, observation = (F.trim(F.coalesce(c, F.lit(""))) for c in ("reason", "observation"))
     enough = (reason != "") & (observation != "") & (F.length(reason) + F.length(observation) >= 28) & (F.size("evidence") > 0)
     enough = F.coalesce(enough, F.lit(False))
-    longer = {"reason": F.when(enough & (F.length(reason) < 20), F.concat(reason, F.lit(" 判定依据："), observation)), "observation": F.when(enough & (F.length(observation) < 8), F.concat(observation, F.lit(" 具体观察："), reason))}
+    longer = {"reason": F.when(enough & (F.length(reason) < 20), F.concat(reason, F.lit(GROUNDS), observation)), "observation": F.when(enough & (F.length(observation) < 8), F.concat(observation, F.lit(SEEN), reason))}
     value = lambda c: F.when(retained, F.col(f"{c}_old")).otherwise(F.coalesce(longer[c], F.col(c)) if c in longer else F.col(c)).alias(c)
     note = F.when(retained, "former record kept").when(longer["reason"].isNotNull(), "reason lengthened").when(longer["observation"].isNotNull(), "observation lengthened")
     return joined.select("id", *(value(c) for c in ("state", "numerator", "denominator", "reason", "observation", "evidence")), retained.alias("retained"), note.alias("note"))

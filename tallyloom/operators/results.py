@@ -12,6 +12,10 @@ from tallyloom.operators.relate import positional_pairs, violations
 from tallyloom.operators.review import shared_references
 
 
+# The words of a sentence on differences.
+MEETS, FAILS, MORE_DIFFERENCES = "满足，", "未满足", "；另有 %d 个同项差异见逐项依据"
+
+
 def recomputed(contributions: DataFrame, caps: DataFrame, scopes: DataFrame, keys: list[str], whole: str | None = "completion") -> DataFrame:
     """raw and final per key and metric: weighted sums, atoms of scoped zero ceilings taken out, then the other ceilings.
 
@@ -68,8 +72,8 @@ def difference_sentence(left: Column, right: Column, left_name: Column, right_na
     other = lambda x: partner(x)["passed"]
     found = F.filter(left, lambda x: F.coalesce((F.trim(x["label"]) != "") & (x["passed"] != other(x)), F.lit(False)))
     a, b = markdown_safe(left_name), markdown_safe(right_name)
-    told = F.transform(F.slice(found, 1, shown), lambda x: F.concat(markdown_safe(F.trim(x["label"])), F.lit("："), F.when(x["passed"], a).otherwise(b), F.lit("满足，"), F.when(x["passed"], b).otherwise(a), F.lit("未满足")))
-    more = F.when(F.size(found) > shown, F.format_string("；另有 %d 个同项差异见逐项依据", F.size(found) - shown)).otherwise("")
+    told = F.transform(F.slice(found, 1, shown), lambda x: F.concat(markdown_safe(F.trim(x["label"])), F.lit("："), F.when(x["passed"], a).otherwise(b), F.lit(MEETS), F.when(x["passed"], b).otherwise(a), F.lit(FAILS)))
+    more = F.when(F.size(found) > shown, F.format_string(MORE_DIFFERENCES, F.size(found) - shown)).otherwise("")
     return F.when(F.size(found) > 0, F.concat(F.array_join(told, "；"), more))
 
 

@@ -14,6 +14,9 @@ from tallyloom.sources.config import allowed
 # Fixed value: suffixes of materials that text questions may be asked of.
 TEXT = (".txt", ".md", ".json", ".csv", ".html", ".css", ".js", ".ts", ".py", ".go", ".sql", ".yaml", ".yml", ".toml", ".xml", ".sh", ".ps1")
 
+# Fixed value: what is said of a script that holds no JSON.
+NO_JSON = ": not valid JSON; original remains available"
+
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """(file, category) of a workspace's manifest."""
@@ -66,4 +69,4 @@ def evidence(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataF
     e = F.col("e")
     rows = pages.select(*keys, F.explode(html_evidence(F.col(html_col))).alias("e"))
     broken = (e["kind"] == "data") & F.try_parse_json(e["text"]).isNull()
-    return rows.select(*keys, "e.kind", "e.locator", F.when(~broken, e["text"]).alias("text"), "e.target", F.when(broken, F.concat(e["locator"], F.lit(": not valid JSON; original remains available"))).alias("limitation"))
+    return rows.select(*keys, "e.kind", "e.locator", F.when(~broken, e["text"]).alias("text"), "e.target", F.when(broken, F.concat(e["locator"], F.lit(NO_JSON))).alias("limitation"))

@@ -3,7 +3,7 @@ import random
 
 from tallyloom.operators.quotes import contained
 from tallyloom.plans import texts
-from tallyloom.plans.relations import _stored
+from tallyloom.plans.base import writer
 
 
 def whole(x):
@@ -27,7 +27,7 @@ def test_containment_equals_brute_force(spark):
     docs += [(100, same + "Then one end."), (101, None), (102, ""), (None, items[0][1]), (103, items[1][1]), (103, items[2][1])]
     items += [("own", same + "Then another end."), ("mid", "any share, of well over forty chara"), ("none", None), ("empty", " \n"), ("mid", "Then one end."), ("stop", "No. 5. Then")]
     frame = lambda rows, s: spark.createDataFrame(rows, s)
-    got = contained(spark, frame(docs, "doc_id long, text string"), frame(items, "item_id string, text string"), _stored(spark))
+    got = contained(spark, frame(docs, "doc_id long, text string"), frame(items, "item_id string, text string"), writer(spark))
     got = [tuple(r) for r in got.collect()]
     assert len(got) == len(set(got))
     assert sorted(got, key=str) == brute(docs, items)
