@@ -57,7 +57,10 @@ NAMED = frozenset(
     "widget widgets footer footnav header masthead comment comments commentlist respond replies reply disqus discussion share sharing social related "
     "recommended recommendations teaser teasers outbrain taboola pagination pager tags copyright legal disclaimer search skip complementary contentinfo".split()
 )
-JOINED = frozenset("site page main top bottom left right primary secondary global post entry article list box block bar wrapper container section area slot unit links form inner outer".split())
+JOINED = frozenset(
+    "site page main top bottom left right primary secondary global post posts entry article articles story stories news list box block bar wrapper wrap container section area slot unit links link form inner outer "
+    "user users reader readers thread body content text group row column panel strip zone holder item items mobile desktop small large".split()
+)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)

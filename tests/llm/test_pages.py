@@ -150,9 +150,9 @@ def test_frequent_words_are_counted_over_all_pages(spark):
 
 
 def test_whole_names_of_elements_name_furniture():
-    for name in ("ad", "cookie-notice", "site-header", "Comments", "main nav", "post_comments"):
+    for name in ("ad", "cookie-notice", "site-header", "Comments", "main nav", "post_comments", "user-comments", "related-articles", "newsletter form", "sidebar_left"):
         assert p.names_furniture(f' class="{name}"', False)[0], name
-    for name in ("has-sidebar", "page has-sidebar", "adder", "content", "no-comments", "article-body", "navigate"):
+    for name in ("has-sidebar", "page has-sidebar", "adder", "content", "no-comments", "article-body", "navigate", "with-sidebar", "sidebar-open", "main-content", "post content"):
         assert not p.names_furniture(f" class='{name}'", False)[0], name
     assert p.main_text(f'<div class="page has-sidebar"><article><p>{LEAD}</p></article></div>') == LEAD.strip()
 
