@@ -140,7 +140,7 @@ def _confirm(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, sets: Data
     return stored(spark, whole.select("a", "b", "items_a", "items_b").mapInArrow(exact, "a binary, b binary"), "links")
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, as products of membership matrices."""
     common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
     out = np.zeros((len(left), len(right)), np.float32)

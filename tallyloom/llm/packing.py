@@ -16,7 +16,7 @@ from tallyloom.llm import pretokens
 from tallyloom.llm.common import by_bytes, stored, table, texts
 
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 SHARD_ROWS = 4096
 
 

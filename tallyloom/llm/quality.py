@@ -233,7 +233,8 @@ def _patterns(src: DataFrame, gold: DataFrame, lexicon: Lexicon) -> tuple[Counte
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(["".join(map(str, v[k])) for v in both], pa.string()) for k in (0, 1))], names=["doc_id", "junk", "ugly"])
 
     voted = src.mapInArrow(vote, T.StructType([src.schema["doc_id"], T.StructField("junk", T.StringType()), T.StructField("ugly", T.StringType())]))
-    voted = voted.groupBy("doc_id", "junk", "ugly").agg(F.count("*").alias("n"))
+    # Written, so that the texts are read once for both kinds of ids.
+    voted = stored(src.sparkSession, voted.groupBy("doc_id", "junk", "ugly").agg(F.count("*").alias("n")), "votes")
     none = F.lit(None).cast("int")
     known = voted.where("doc_id is not null").join(gold, "doc_id", "left").unionByName(voted.where("doc_id is null").withColumn("quality", none).withColumn("toxic", none))
     out: tuple[Counter, Counter] = Counter(), Counter()

@@ -18,7 +18,7 @@ from tallyloom.llm import pretokens
 from tallyloom.llm.common import by_bytes, table, texts
 
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Words from this many bytes on keep their pairs by rank, so that a round costs what it merges and not their length.
 LONG_WORD = 1024
 
