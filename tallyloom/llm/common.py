@@ -107,6 +107,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        # What earlier batches took goes back to the system: workers live through many stages.
+        pa.default_memory_pool().release_unused()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
