@@ -11,11 +11,14 @@ from tallyloom.llm.lm_scoring import op6_lm_scoring
 from tallyloom.llm.near_dedup import op7_minhash_near_dedup
 from tallyloom.llm.packing import op10_best_fit_packing
 from tallyloom.llm.pages import op8_html_extraction
+from tallyloom.llm.personal import op13_personal_data
 from tallyloom.llm.quality import op5_quality_classifier
 from tallyloom.llm.substring_dedup import op1_substring_dedup
 from tallyloom.llm.token_counts import op2_token_counts
+from tallyloom.llm.vector_codes import op12_vector_code_compression
 from tallyloom.llm.vector_dedup import op9_embedding_near_dedup
 from tallyloom.llm.warc import op4_warc_derivatives
+from tallyloom.llm.whitening import op11_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_embedding_near_dedup,
         op10_best_fit_packing,
+        op11_embedding_whitening,
+        op12_vector_code_compression,
+        op13_personal_data,
     )
 }
 
@@ -37,8 +43,8 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TOKENS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
-#: Token counts, page text, model scores, span removal, packing and the classifier are beyond SQL; their tests hold
-#: them against the libraries, brute force or known answers.
+#: Token counts, page text, model scores, span removal, packing, the classifier, eigenvectors, codebooks and check digits
+#: are beyond SQL; their tests hold them against the libraries, brute force or known answers.
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": rf"""WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
         windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
