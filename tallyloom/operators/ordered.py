@@ -7,27 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import scans
 
-def carry_forward(df: DataFrame, value: Column, name: str, keys: list[str], order: list[str]) -> DataFrame:
+
+def carry_forward(df: DataFrame, value: Column, name: str, keys: list[str], order: list[str], write: scans.Write) -> DataFrame:
     """The last non-null value up to each row."""
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return scans.scan(df.withColumn("given_", value), keys, order, {name: scans.Last("given_")}, write).drop("given_")
+
 
+def batches(df: DataFrame, alone: Column, size: int, keys: list[str], order: list[str], write: scans.Write) -> DataFrame:
+    """Consecutive rows in batches of at most ``size``; rows where ``alone`` holds are batches of their own. Adds batch (from 1).
 
-def batches(df: DataFrame, alone: Column, size: int, keys: list[str], order: list[str]) -> DataFrame:
-    """Consecutive rows in batches of at most ``size``; rows where ``alone`` holds are batches of their own. Adds batch (from 1)."""
+    A run of other rows may reach over partitions: how many of its rows came before shifts where the batches of its
+    first part here begin, while those of later runs are counted on the spot.
+    """
     if size < 1:
         raise ValueError("size must be positive")
-    upto = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("alone_", alone).withColumn("island_", F.sum(F.col("alone_").cast("long")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy(*keys, "island_", "alone_").orderBy(*order)
-    marked = marked.withColumn("part_", F.floor((F.row_number().over(within) - 1) / size))
-    opens = F.col("alone_") | (F.row_number().over(within) - 1 == F.col("part_") * size)
-    return marked.withColumn("open_", opens.cast("long")).withColumn("batch", F.sum("open_").over(upto.rowsBetween(Window.unboundedPreceding, 0))).drop("alone_", "island_", "part_", "open_")
-
-
-def chunks(df: DataFrame, size: int, keys: list[str], order: list[str]) -> DataFrame:
-    """chunk (from 0) of ``size`` consecutive rows per key."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("long"))
+    marked = scans.ranged(df.withColumn("alone_", F.coalesce(alone, F.lit(False))), keys, order)
+    marked = marked.withColumn("other_", (~F.col("alone_")).cast("long"))
+    # run: rows since the last that stands alone. Those of an open run can't be dealt into batches yet, only counted.
+    marked = scans.local(marked, keys, {"run": scans.Sum("other_", "alone_")})
+    opens = F.when(~F.col("run_open"), (F.col("alone_") | ((F.col("run") - 1) % size == 0)).cast("long"))
+    marked = marked.withColumn("opens_", opens).withColumn("waits_", F.when(F.col("run_open"), F.col("other_")))
+    held = write(scans.local(marked, keys, {"settled": scans.Sum("opens_"), "waiting": scans.Sum("waits_")}))
+    parts = scans.tails(held, keys, ["run", "run_open", "settled", "settled_open", "waiting"])
+    parts = scans.carried(parts, "run_in", F.col("run"), F.col("run_open"))
+    dealt = lambda n: F.ceil(n / size) - F.ceil(F.col("run_in") / size)
+    # A later key of a partition has no open run, so nothing waits.
+    parts = scans.carried(parts, "batch_in", F.col("settled") + F.when(F.col("settled_open"), dealt(F.col("run_in") + F.col("waiting"))).otherwise(0), F.col("settled_open"))
+    joined = held.join(F.broadcast(parts.select(scans.PART, "run_in", "batch_in")), scans.PART)
+    before = F.when(F.col("settled_open"), F.col("batch_in") + dealt(F.col("run_in") + F.col("waiting"))).otherwise(0)
+    return joined.withColumn("batch", F.col("settled") + before).select(*df.columns, "batch")
+
+
+def chunks(df: DataFrame, size: int, keys: list[str], order: list[str], write: scans.Write | None = None) -> DataFrame:
+    """chunk (from 0) of ``size`` consecutive rows per key. Without ``write``, a key is one task's work."""
+    return placed(df, order, keys, write).withColumn("chunk", F.floor((F.col("nth_") - 1) / size).cast("long")).drop("nth_")
+
+
+def placed(df: DataFrame, order: list[str], keys: list[str], write: scans.Write | None = None, name: str = "nth_") -> DataFrame:
+    """The place (from 1) of each row within its key."""
+    if write is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return scans.scan(df.withColumn("one_", F.lit(1)), keys, order, {name: scans.Sum("one_")}, write).drop("one_")
 
 
 def first_of_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -41,23 +63,30 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(*order)).alias("first"))
 
 
-def visible(df: DataFrame, positive: Column, keys: list[str], order: list[str], few: int = 10, shown: int = 2) -> DataFrame:
-    """All rows of keys with up to ``few``; of others every row that isn't positive, and the first ``shown`` that are."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("yes_", F.coalesce(positive, F.lit(False))).withColumn("all_", F.count("*").over(Window.partitionBy(*keys)))
-    marked = marked.withColumn("nth_", F.sum(F.col("yes_").cast("long")).over(upto))
-    return marked.where((F.col("all_") <= few) | ~F.col("yes_") | (F.col("nth_") <= shown)).drop("yes_", "all_", "nth_")
+def visible(df: DataFrame, positive: Column, keys: list[str], order: list[str], write: scans.Write, few: int = 10, shown: int = 2) -> DataFrame:
+    """All rows of keys with up to ``few``; of others every row that isn't positive, and the first ``shown`` that are.
+
+    How many rows a key has matters only to its other positive rows among the first ``few``, so no more of a key meet
+    its count.
+    """
+    marked = df.withColumn("yes_", F.coalesce(positive, F.lit(False)).cast("long")).withColumn("one_", F.lit(1))
+    marked = scans.scan(marked, keys, order, {"yeses_": scans.Sum("yes_"), "nth_": scans.Sum("one_")}, write)
+    kept = (F.col("yes_") == 0) | (F.col("yeses_") <= shown)
+    small = df.groupBy(*keys).agg(F.count("*").alias("all_")).where(F.col("all_") <= few).select(*(F.col(k).alias(f"{k}__") for k in keys))
+    doubtful = marked.where(~kept & (F.col("nth_") <= few))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
+    return marked.where(kept).select(*df.columns).unionByName(doubtful.join(small, same, "left_semi").select(*df.columns))
 
 
-def numbered(df: DataFrame, order: list[str], keys: list[str], form: str = "R%03d", name: str = "label") -> DataFrame:
-    return df.withColumn(name, F.format_string(form, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))))
+def numbered(df: DataFrame, order: list[str], keys: list[str], form: str = "R%03d", name: str = "label", write: scans.Write | None = None) -> DataFrame:
+    """A label with each row's place within its key. Without ``write``, a key is one task's work."""
+    return placed(df, order, keys, write).withColumn(name, F.format_string(form, F.col("nth_"))).drop("nth_")
 
 
-def stalled_rounds(df: DataFrame, progress: Column, keys: list[str], order: list[str]) -> DataFrame:
-    """How many rounds in a row, up to each row, made no progress."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("moved_", progress.cast("long")).withColumn("run_", F.sum("moved_").over(upto))
-    return marked.withColumn("stalled", F.sum(1 - F.col("moved_")).over(Window.partitionBy(*keys, "run_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("moved_", "run_")
+def stalled_rounds(df: DataFrame, progress: Column, keys: list[str], order: list[str], write: scans.Write) -> DataFrame:
+    """How many rounds in a row, up to each row, made no progress; an unknown progress is none."""
+    marked = df.withColumn("moved_", F.coalesce(progress, F.lit(False))).withColumn("idle_", (~F.col("moved_")).cast("long"))
+    return scans.scan(marked, keys, order, {"stalled": scans.Sum("idle_", "moved_")}, write).drop("moved_", "idle_")
 
 
 def ranked(df: DataFrame, order: list[Column], write: Callable[[DataFrame], DataFrame], name: str = "rank") -> DataFrame:

@@ -64,13 +64,13 @@ def upsert_records(spark: SparkSession, d: str) -> DataFrame:
 def batch_islands(spark: SparkSession, d: str) -> DataFrame:
     """Turns of a conversation in batches of at most four; very long turns alone."""
     c = read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.length("text") > 400, F.lit(False)).alias("long"))
-    return ordered.batches(c, F.col("long"), 4, ["conv_id"], ["turn"]).select("conv_id", "turn", F.col("batch").cast("long").alias("batch"))
+    return ordered.batches(c, F.col("long"), 4, ["conv_id"], ["turn"], writer(spark)).select("conv_id", "turn", F.col("batch").cast("long").alias("batch"))
 
 
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     """A customer's orders in pages of 15, oldest first."""
     o = read(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    return ordered.chunks(o, 15, ["o_custkey"], ["o_orderdate", "o_orderkey"]).groupBy("o_custkey", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
+    return ordered.chunks(o, 15, ["o_custkey"], ["o_orderdate", "o_orderkey"], writer(spark)).groupBy("o_custkey", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
 
 
 def first_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -82,24 +82,24 @@ def first_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def visible_items(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("user_id", "event_id", "event_type")
-    return ordered.visible(e, F.col("event_type").isin("view", "click"), ["user_id"], ["event_id"]).select("user_id", "event_id")
+    return ordered.visible(e, F.col("event_type").isin("view", "click"), ["user_id"], ["event_id"], writer(spark)).select("user_id", "event_id")
 
 
 def carried_sections(spark: SparkSession, d: str) -> DataFrame:
     """Each event under its user's last purchase so far."""
     e = read(spark, d, "events").select("user_id", "event_id", "event_type")
-    return ordered.carry_forward(e, F.when(F.col("event_type") == "purchase", F.col("event_id")), "section", ["user_id"], ["event_id"]).select("event_id", "section")
+    return ordered.carry_forward(e, F.when(F.col("event_type") == "purchase", F.col("event_id")), "section", ["user_id"], ["event_id"], writer(spark)).select("event_id", "section")
 
 
 def stalled_rounds(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("user_id", "event_id", "value")
-    return ordered.stalled_rounds(e, F.coalesce(F.col("value") > 50, F.lit(False)), ["user_id"], ["event_id"]).select("event_id", F.col("stalled").cast("long").alias("stalled"))
+    return ordered.stalled_rounds(e, F.coalesce(F.col("value") > 50, F.lit(False)), ["user_id"], ["event_id"], writer(spark)).select("event_id", F.col("stalled").cast("long").alias("stalled"))
 
 
 def renumbered(spark: SparkSession, d: str) -> DataFrame:
     """Distinct brand and type pairs by size, numbered within each size."""
     p = read(spark, d, "part").select("p_size", "p_brand", "p_type").distinct()
-    return ordered.numbered(p, ["p_brand", "p_type"], ["p_size"]).select(F.col("p_size").cast("long").alias("size"), "p_brand", "p_type", "label")
+    return ordered.numbered(p, ["p_brand", "p_type"], ["p_size"], write=writer(spark)).select(F.col("p_size").cast("long").alias("size"), "p_brand", "p_type", "label")
 
 
 def first_mismatch(spark: SparkSession, d: str) -> DataFrame:

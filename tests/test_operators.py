@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import numbers, text
 from tallyloom.operators import inspect as ins
 from tallyloom.operators import ordered, relate, score, validate
+from tallyloom.plans.base import writer
 
 
 def one(spark, column, value, kind="string"):
@@ -96,12 +97,12 @@ def test_extrema_ties(spark):
 def test_batches_and_pools(spark):
     kinds = ["BIN", "RATIO", "CLAIM-RATIO", "CLAIM-RATIO", "BIN", "BIN", "BIN", "BIN", "BIN"]
     df = spark.createDataFrame([(i, k, 1) for i, k in enumerate(kinds)], "pos int, kind string, g int")
-    got = {r.pos: r.batch for r in ordered.batches(df, F.col("kind") == "CLAIM-RATIO", 4, ["g"], ["pos"]).collect()}
+    got = {r.pos: r.batch for r in ordered.batches(df, F.col("kind") == "CLAIM-RATIO", 4, ["g"], ["pos"], writer(spark)).collect()}
     assert [got[i] for i in range(9)] == [1, 1, 2, 3, 4, 4, 4, 4, 5]
     pool = spark.createDataFrame([(0, 1, "甲 10 亿元"), (1, 1, "甲10亿元"), (1, 2, "乙 20 亿元"), (2, 1, None)], "ref int, pos int, claim string")
     assert sorted((r.ref, r.pos) for r in ordered.first_of_key(pool, text.label_key("claim"), ["ref", "pos"]).collect()) == [(0, 1), (1, 2)]
     rounds = spark.createDataFrame([(i, p, 1) for i, p in enumerate([True, False, False, True, False])], "n int, p boolean, g int")
-    assert [r.stalled for r in ordered.stalled_rounds(rounds, F.col("p"), ["g"], ["n"]).orderBy("n").collect()] == [0, 1, 2, 0, 1]
+    assert [r.stalled for r in ordered.stalled_rounds(rounds, F.col("p"), ["g"], ["n"], writer(spark)).orderBy("n").collect()] == [0, 1, 2, 0, 1]
 
 
 def test_ownership_and_paths(spark):
