@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.sources.files import event_lines
+from tallyloom.streaming.runs import log_lines
 
 
 def log_stream(spark: SparkSession, path: str, secrets: list[str] = ()) -> DataFrame:
-    """Events of JSON-lines files as they arrive; secrets are blotted out first."""
-    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(0).alias("pos"), F.col("value").alias("line"))
+    """Events of growing logs of JSON lines, each with its place in the log; secrets are blotted out before anything is parsed."""
+    lines = log_lines(spark, path)
     for secret in secrets:
         lines = lines.withColumn("line", F.replace("line", F.lit(secret), F.lit("***")))
     return event_lines(lines)
