@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import by_bytes, table
+from tallyloom.llm.common import by_bytes, stored, table
 from tallyloom.llm.pages import blocks
 
 SLICE_BYTES = 4 << 20
@@ -70,39 +70,80 @@ def parsed(piece: bytes) -> tuple[list[tuple[str, str]], bytes, int | None]:
     return fields, rest, int(size) if size.isascii() and size.isdigit() else None
 
 
-def records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
-    """(header fields, block, error) of each record of (place, piece) rows in order; a place is one part of one file.
+Record = tuple[list[tuple[str, str]], bytes, str | None]
 
-    A block that holds ``BETWEEN`` itself is put together again by its stated length. A record cut short, or one whose
-    length can't be read, comes with what is there and an error. After a compressed file that can't be read to its end,
-    whose last piece then lacks the record's closing lines, comes an error alone.
-    """
-    held, at = None, ""
-
-    def done() -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
-        fields, rest, size = parsed(held)
-        if size is None:
-            yield fields, rest, "Content-Length is missing or no number"
-        else:
-            yield fields, rest[:size], None if len(rest) >= size else f"cut short: {len(rest)} of {size} bytes"
-
-    def closed() -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
-        yield from done()
-        if at.partition("|")[0].endswith(".gz") and not held.endswith(b"\r\n\r\n"):
-            yield [], b"", "the file can't be read beyond the record before"
 
-    for place, piece in pieces:
-        if held is not None and place == at:
+def record_of(piece: bytes) -> Record:
+    """(header fields, block, error) of a whole record. One cut short, without a readable length or without an id, as
+    what a block only quotes may be, has an error."""
+    fields, rest, size = parsed(piece)
+    if size is None:
+        return fields, rest, "Content-Length is missing or no number"
+    if len(rest) < size:
+        return fields, rest, f"cut short: {len(rest)} of {size} bytes"
+    known = any(k.lower() == "warc-record-id" and v for k, v in fields)
+    return fields, rest[:size], None if known else "WARC-Record-ID is missing"
+
+
+def gathered_pieces(pieces: Iterator[tuple[str, bytes, int, bool]]) -> Iterator[tuple[str, bytes, bool, bool]]:
+    """(place, record, last of its place, goes on elsewhere) from (place, piece, skip, opened) rows in order.
+
+    A place is one part of one file. A block that holds ``BETWEEN`` itself is put together again by its stated length.
+    The first ``skip`` pieces of a place belong to a record that began in an earlier one, and are passed over; where
+    ``opened`` holds, a place's last record goes on in the next.
+    """
+    held: bytes | None = None
+    at, nth, goes_on = "", 0, False
+    for place, piece, skip, opened in pieces:
+        if place != at:
+            if held is not None:
+                yield at, held, True, goes_on
+            held, at, nth, goes_on = None, place, 0, opened
+        nth += 1
+        if nth <= skip:
+            continue
+        if held is not None:
             _, rest, size = parsed(held)
             if size is not None and len(rest) < size:
                 held += BETWEEN.encode() + piece
                 continue
-            yield from done()
-        elif held is not None:
-            yield from closed()
-        held, at = piece, place
-    if held is not None and held.strip():
-        yield from closed()
+            yield at, held, False, False
+        held = piece
+    if held is not None:
+        yield at, held, True, goes_on
+
+
+def records(pieces: Iterator[tuple[str, bytes, int, bool]]) -> Iterator[Record]:
+    """The records that begin and end in their place; after a compressed file that can't be read to its end, whose last
+    piece then lacks the record's closing lines, comes an error alone."""
+    for place, piece, last, goes_on in gathered_pieces(pieces):
+        if goes_on or not piece.strip():
+            continue
+        yield record_of(piece)
+        if last and place.partition("|")[0].endswith(".gz") and not piece.endswith(b"\r\n\r\n"):
+            yield [], b"", "the file can't be read beyond the record before"
+
+
+def crossings(starts: list[int], rest: list[int], whole: list[int], stated: list[int | None]) -> tuple[dict[int, tuple[int, int]], set[int]]:
+    """({split: (pieces of it that belong to an earlier record, the split where that begins)}, splits whose last record
+    goes on), from a file's pieces in order: the split of each, its bytes behind a header and in all, and its stated length."""
+    skipped: dict[int, tuple[int, int]] = {}
+    opened: set[int] = set()
+    i = 0
+    while i < len(starts):
+        have, j = rest[i], i + 1
+        while j < len(starts) and stated[i] is not None and have < stated[i]:
+            have += len(BETWEEN) + whole[j]
+            j += 1
+        if stated[i] is not None and have < stated[i]:
+            # A length that the whole file doesn't hold is wrong, or the file is cut short: no later split is drawn in.
+            j = next((k for k in range(i + 1, j) if starts[k] != starts[i]), j)
+        for start in starts[i + 1 : j]:
+            if start != starts[i]:
+                skipped[start] = (skipped.get(start, (0, 0))[0] + 1, starts[i])
+                opened.add(starts[i])
+        i = j
+    return skipped, opened
 
 
 def payload_of(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
@@ -217,32 +258,112 @@ def derive(responses: DataFrame, keep: str | None = None) -> DataFrame:
     return src.mapInArrow(run, out)
 
 
+_SPLITS = "place string, skip long, owner string, opened boolean"
+
+
+def _crossed(pieces: DataFrame) -> DataFrame:
+    """The splits of plain files that records reach into or out of: place, skip, owner, opened.
+
+    A pass over the files brings forth only the lengths of their pieces; those of one file are followed in one task.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nth = "", 0
+        for batch in batches:
+            rows = []
+            for place, piece in zip(batch.column("place").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                at, nth = place, nth + 1 if place == at else 0
+                _, rest, size = parsed(piece)
+                file, _, start = place.rpartition("|")
+                rows.append((file, int(start), nth, len(rest), len(piece), size))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["file", "start", "nth", "rest", "whole", "stated"])
+
+    def follow(file: pa.Table) -> pa.Table:
+        file = file.sort_by([("start", "ascending"), ("nth", "ascending")])
+        name = file.column("file")[0].as_py()
+        skipped, opened = crossings(*(file.column(c).to_pylist() for c in ("start", "rest", "whole", "stated")))
+        rows = [(f"{name}|{s}", *((skipped[s][0], f"{name}|{skipped[s][1]}") if s in skipped else (0, None)), s in opened) for s in sorted({*skipped, *opened})]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["place", "skip", "owner", "opened"])
+
+    plain = pieces.where(~F.col("file").endswith(".gz")).select("place", "piece")
+    sizes = plain.mapInArrow(measure, "file string, start long, nth long, rest long, whole long, stated long")
+    return sizes.groupBy("file").applyInArrow(follow, _SPLITS)
+
+
 def read_responses(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame:
     """Response records of WARC files, plain or .gz: record_id, target_uri, warc_date, block, warc_headers, error.
 
     Files are read as streams of records: plain ones in splits, compressed ones member by member in one task each, and
-    only the record at hand is in memory. What of a broken record can be read comes with an ``error``. If ``tolerant``,
+    only the record at hand is in memory. A record that reaches over splits, because its block holds what parts records,
+    is put together by its stated length. What of a broken record can be read comes with an ``error``. If ``tolerant``,
     a compressed file that breaks off, or has other bytes after its last member, gives the records before that place and
     an error; the record that reaches to that place may be lost.
     """
     reader = spark.read.option("lineSep", BETWEEN).option("ignoreCorruptFiles", str(tolerant).lower())
-    place = F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string"))
-    pieces = reader.text(path).select(place.alias("place"), F.col("value").cast("binary").alias("piece"))
+    file = F.col("_metadata.file_path")
+    place = F.concat_ws("|", file, F.col("_metadata.file_block_start").cast("string"))
+    pieces = reader.text(path).select(file.alias("file"), place.alias("place"), F.col("value").cast("binary").alias("piece"))
     kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+    out = f"record_id string, target_uri string, warc_date string, block binary, warc_headers {_HEADERS}, error string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[str, bytes]]:
-            for batch in batches:
-                yield from zip(batch.column("place").to_pylist(), batch.column("piece").to_pylist(), strict=True)
-
-        for fields, block, error in records(rows()):
+    def told(found: Iterator[Record]) -> Iterator[pa.RecordBatch]:
+        for fields, block, error in found:
             named = {k.lower(): v for k, v in fields}
             if named.get("warc-type") == "response" or error:
                 values = [named.get("warc-record-id"), named.get("warc-target-uri"), named.get("warc-date")]
                 columns = [*(pa.array([v], pa.string()) for v in values), pa.array([block], pa.binary()), pa.array([[{"name": k, "value": v} for k, v in fields]], kind), pa.array([error], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["record_id", "target_uri", "warc_date", "block", "warc_headers", "error"])
 
-    return pieces.mapInArrow(run, f"record_id string, target_uri string, warc_date string, block binary, warc_headers {_HEADERS}, error string")
+    def rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("place", "piece", "skip", "opened")) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from told(records(rows(batches)))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What crossing records have in each split: the last record where one goes on, and the pieces passed over."""
+        owners: dict[str, str | None] = {}
+        nth: dict[str, int] = {}
+        rows_out: list[tuple[str, int, int, bytes]] = []
+
+        def seen() -> Iterator[tuple[str, bytes, int, bool]]:
+            for place, piece, skip, opened, owner in rows(batches, ("place", "piece", "skip", "opened", "owner")):
+                owners[place] = owner
+                nth[place] = nth.get(place, 0) + 1
+                if nth[place] <= skip:
+                    rows_out.append((owner, int(place.rpartition("|")[2]), nth[place], piece))
+                yield place, piece, skip, opened
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_out], k) for i, k in enumerate(kinds)], names=["owner", "start", "nth", "piece"])
+            rows_out.clear()
+            return made
+
+        for place, piece, _, goes_on in gathered_pieces(seen()):
+            if goes_on:
+                rows_out.append((place, int(place.rpartition("|")[2]), 0, piece))
+            if rows_out:
+                yield flush()
+        if rows_out:
+            yield flush()
+
+    def joined(group: pa.Table) -> pa.Table:
+        pieces_ = group.sort_by([("start", "ascending"), ("nth", "ascending")]).column("piece").to_pylist()
+        made = list(told(iter([record_of(BETWEEN.encode().join(pieces_))])))
+        return pa.Table.from_batches(made, schema=pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("block", pa.binary()), ("warc_headers", kind), ("error", pa.string())]))
+
+    crossed = stored(spark, _crossed(pieces), "crossed")
+    if crossed.isEmpty():
+        return pieces.select("place", "piece", F.lit(0).cast("long").alias("skip"), F.lit(False).alias("opened")).mapInArrow(whole, out)
+    # At most one row per split of a file, and only of those that records cross.
+    marked = pieces.join(F.broadcast(crossed), "place", "left").select("place", "piece", F.coalesce("skip", F.lit(0)).alias("skip"), F.coalesce("opened", F.lit(False)).alias("opened"))
+    few = pieces.join(F.broadcast(crossed), "place").select("place", "piece", "skip", "opened", "owner")
+    over = few.mapInArrow(parts, "owner string, start long, nth long, piece binary").groupBy("owner").applyInArrow(joined, out)
+    return marked.mapInArrow(whole, out).unionByName(over)
 
 
 def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -129,6 +129,28 @@ def test_plain_files_are_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("split", [4000, 20_000, 60_000, 10_000_000])
+def test_records_that_quote_records_reach_over_splits(spark, tmp_path, split):
+    quoted = b"\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc"
+    named = response("inner", b"HTTP/1.1 200 OK\r\n\r\nx")
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n" + bytes([65 + i]) * (500 * i) + (quoted * 100 + named * 20) * 3 for i in range(8)]
+    (tmp_path / "a.warc").write_bytes(b"".join(response(str(i), b) for i, b in enumerate(blocks)))
+    (tmp_path / "b.warc").write_bytes(b"".join(response(str(i + 10), b[:900]) for i, b in enumerate(blocks)))
+    # A length that the file doesn't hold spoils its own split at most.
+    (tmp_path / "c.warc").write_bytes(response("20", b"x" * 50).replace(b"Length: 50", b"Length: 99999999") + response("21", b"y" * 9000) + b"".join(response(str(i), b"z" * 9000) for i in range(22, 32)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = warc.read_responses(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = {int(r.record_id[10:-1]): bytes(r.block) for r in rows if r.error is None}
+    assert {k: v for k, v in whole.items() if k < 20} == {**dict(enumerate(blocks)), **{i + 10: b[:900] for i, b in enumerate(blocks)}}
+    assert all(r.error is None for r in rows if r.record_id is None or int(r.record_id[10:-1]) < 20)
+    broken = [r for r in rows if r.error is not None]
+    assert len(broken) == 1 and (split > 100_000 or {30, 31} <= set(whole))
+
+
 class Reader(HTMLParser):
     """Words, links and title of a page, read by the standard library."""
 
