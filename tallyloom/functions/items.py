@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import short_reason, summary_text, verdict
+from tallyloom.functions.text import short_reason, stripped, summary_text, verdict
 
 # The fields that may hold a claim, and those that name an item in reports, in the order in which they are tried.
 CLAIM_FIELDS = ("claim", "element", "statement", "subject", "item", "name", "claim_group", "checkpoint")
@@ -50,18 +50,18 @@ def supported(c: Column) -> Column:
     """True, false or null: the field ``supported`` if it is a boolean, else what verdict or result begin with."""
     value = F.try_variant_get(F.try_parse_json(c), "$.supported", "variant")
     flag = F.when(F.schema_of_variant(value) == "BOOLEAN", _field(c, "supported") == "true")
-    word = F.lower(F.trim(F.coalesce(_outcome(c), _field(c, "supported"), F.lit(""))))
+    word = F.lower(stripped(F.coalesce(_outcome(c), _field(c, "supported"), F.lit(""))))
     return F.coalesce(flag, F.when(word.rlike(f"^(?:{SUPPORTED})"), True).when(word.rlike(f"^(?:{UNSUPPORTED})"), False))
 
 
 def source_positive(result: Column) -> Column:
     """Whether a source's verified fact is positive, and thereby supported wherever it is used."""
-    return F.coalesce(F.lower(F.trim(result)).rlike(f"^(?:{POSITIVE})"), F.lit(False))
+    return F.coalesce(F.lower(stripped(result)).rlike(f"^(?:{POSITIVE})"), F.lit(False))
 
 
 def excluded(c: Column) -> Column:
     """Whether an item is listed without being counted."""
-    word = F.lower(F.trim(F.coalesce(_filled(_field(c, "result")), _field(c, "verdict"), F.lit(""))))
+    word = F.lower(stripped(F.coalesce(_filled(_field(c, "result")), _field(c, "verdict"), F.lit(""))))
     return (F.coalesce(_field(c, "included"), F.lit("")) == "false") | (F.coalesce(_field(c, "applicable"), F.lit("")) == "false") | word.rlike(f"^(?:{EXCLUDED})")
 
 
@@ -80,7 +80,7 @@ UNREACHED, UNSOURCED, UNLIKE, UNNAMED = "页面无法取得，来源及内容未
 def failed_item(c: Column) -> Column:
     """A failed item as prose: its name, its place unless that is a file of the workspace, and its note or what its outcome says."""
     name = F.coalesce(*(_filled(_field(c, f)) for f in ("claim", "element", "source", "id")), F.lit(UNNAMED))
-    outcome = F.lower(F.trim(F.coalesce(_outcome(c), F.lit(""))))
+    outcome = F.lower(stripped(F.coalesce(_outcome(c), F.lit(""))))
     said = F.when(outcome.startswith("not satisfied"), UNREACHED).when(outcome.startswith("unsupported"), UNSOURCED).otherwise(UNLIKE)
     note = F.coalesce(_filled(_field(c, "note")), _filled(_field(c, "reason")), said)
     place = F.coalesce(_filled(_field(c, "location")), _filled(_field(c, "scope")), F.lit(""))
@@ -120,7 +120,7 @@ def json_page(c: Column, path: list, offset: int = 0, limit: int = 25) -> Column
     An object's entries come in the text's order. Of a single value the total is null and the page holds it alone.
     """
     if offset < 0 or not 1 <= limit <= 100:
-        raise ValueError("offset >= 0 and 1 <= limit <= 100 required")
+        raise ValueError("a page begins at entry 0 or later and holds 1 to 100 entries")
     here = json_at(c, path)
     is_object = F.ltrim(here).startswith("{")
     keys = F.when(is_object, F.json_object_keys(here))

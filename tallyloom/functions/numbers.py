@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import stripped
+
 DECIMAL = "decimal(38,18)"
 #: Operands of ratios; a quotient of two then keeps 18 places.
 PART = "decimal(20,8)"
-_FLOAT = r"^\s*[-+]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][-+]?\d+)?\s*$"
+_FLOAT = r"^[-+]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][-+]?\d+)?$"
 
 
 def numeric(c: Column) -> Column:
     """A finite number as double, or null; only plain decimal notation counts."""
-    s = c.cast("string")
-    value = F.when(s.rlike(_FLOAT), F.replace(F.trim(s), F.lit("_"), F.lit("")).try_cast("double"))
+    s = stripped(c.cast("string"))
+    value = F.when(s.rlike(_FLOAT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
 def state(c: Column) -> Column:
     """``0.67`` or ``2/3`` as a decimal; null where it is neither, or divides by zero. Parts of a ratio have up to 8 places."""
-    s = c.cast("string")
-    part = lambda i: F.nullif(F.regexp_extract(s, r"^\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*$", i), F.lit("")).try_cast(PART)
-    return F.coalesce(F.try_divide(part(1), part(2)).cast(DECIMAL), F.when(s.rlike(_FLOAT), F.replace(F.trim(s), F.lit("_"), F.lit("")).try_cast(DECIMAL)))
+    s = stripped(c.cast("string"))
+    part = lambda i: F.nullif(F.regexp_extract(s, r"^(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)$", i), F.lit("")).try_cast(PART)
+    return F.coalesce(F.try_divide(part(1), part(2)).cast(DECIMAL), F.when(s.rlike(_FLOAT), F.replace(s, F.lit("_"), F.lit("")).try_cast(DECIMAL)))
 
 
 def ratio_state(n: Column, d: Column, capped: Column, empty_is_full: Column) -> Column:
@@ -33,7 +35,7 @@ def ratio_state(n: Column, d: Column, capped: Column, empty_is_full: Column) ->
 
 def scalar(c: Column) -> Column:
     """A single number, thousands commas allowed; null for ranges, thresholds and words."""
-    s = F.replace(F.trim(c), F.lit(","), F.lit(""))
+    s = F.replace(stripped(c), F.lit(","), F.lit(""))
     return F.when(s.rlike(_FLOAT), s.try_cast(DECIMAL))
 
 

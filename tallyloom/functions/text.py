@@ -24,9 +24,18 @@ EN_NEGATIVE = "not satisfied|unsatisfied|unsupported|inconsistent|incorrect|fail
 KIND_PREFIX, OPERANDS = r"^(?:BIN|RATIO|CLAIM-RATIO|COUNT)(?:规则|判据)?[：:]\s*", r"(?i)(?:numerator|denominator|state)\s*=\s*[\d.]+[，,、;；]?"
 
 
+# Fixed value: what counts as white space at the ends of a text.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def stripped(c: Column) -> Column:
+    """A text without white space at its ends: tabs, line ends and wide blanks too, which ``trim`` leaves."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def verdict(c: Column) -> Column:
     """True, false or null for a free-text outcome; the first matching prefix decides."""
-    s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    s = F.lower(stripped(F.coalesce(c, F.lit(""))))
     return (
         F.when(s.rlike(f"^(?:{ZH_NEGATIVE})"), False)
         .when(s.rlike(f"^(?:{ZH_POSITIVE})"), True)
@@ -39,7 +48,7 @@ def verdict(c: Column) -> Column:
 
 def duration_seconds(c: Column) -> Column:
     """Seconds of ``1h2m3s``, any part optional but one; null for other text."""
-    s = F.lower(F.trim(c))
+    s = F.lower(stripped(c))
     part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(s, rf"(\d+){unit}", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
     return F.when(s.rlike(r"^(?=\d)(?:\d+h)?(?:\d+m)?(?:\d+s)?$"), part("h") * 3600 + part("m") * 60 + part("s"))
 
@@ -50,7 +59,7 @@ def is_source_url(c: Column) -> Column:
 
 
 def is_empty(c: Column) -> Column:
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    return c.isNull() | (stripped(c.cast("string")) == "")
 
 
 def markdown_safe(c: Column) -> Column:
@@ -62,13 +71,13 @@ def markdown_safe(c: Column) -> Column:
 
 def table_cells(c: Column) -> Column:
     """Cells of a Markdown table row: split at bars that no backslash escapes, trimmed, unescaped."""
-    inner = F.regexp_replace(F.trim(c), r"^\||(?<!\\)\|$", "")
-    return F.transform(F.split(inner, r"(?<!\\)\|"), lambda x: F.replace(F.trim(x), F.lit("\\|"), F.lit("|")))
+    inner = F.regexp_replace(stripped(c), r"^\||(?<!\\)\|$", "")
+    return F.transform(F.split(inner, r"(?<!\\)\|"), lambda x: F.replace(stripped(x), F.lit("\\|"), F.lit("|")))
 
 
 def short_reason(c: Column, limit: int = 145, least: int = 65) -> Column:
     """White space collapsed; a long text ends after the last full stop or semicolon past ``least``, else with an ellipsis."""
-    s = F.trim(F.regexp_replace(c, r"\s+", " "))
+    s = stripped(F.regexp_replace(c, r"\s+", " "))
     s = F.regexp_replace(F.regexp_replace(s, KIND_PREFIX, ""), OPERANDS, "")
     head = F.substring(s, 1, limit)
     end = F.length(F.regexp_extract(head, r"(?s)^(.*[。；])", 1))
@@ -80,7 +89,7 @@ RUN_TRACE = r"(?i)process-record\.json[^\n；;]*(?:runtime|status)\s*=[^\n；;]*
 
 
 def summary_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, RUN_TRACE, ""))
+    return stripped(F.regexp_replace(c, RUN_TRACE, ""))
 
 
 def locate_lines(c: Column) -> Column:
@@ -91,7 +100,7 @@ def locate_lines(c: Column) -> Column:
 def text_page(c: Column, offset: int, limit: int) -> Column:
     """A page of a text: its characters, the total, the line it starts in and the next offset."""
     if offset < 0 or not 1 <= limit <= 20_000:
-        raise ValueError("offset >= 0 and 1 <= limit <= 20000 required")
+        raise ValueError("a page begins at 0 or later and holds 1 to 20,000 characters")
     head, total = F.substring(c, 1, offset), F.length(c)
     return F.struct(
         F.substring(c, offset + 1, limit).alias("text"),

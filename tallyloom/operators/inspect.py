@@ -110,7 +110,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def page(df: DataFrame, order_cols: list[str], offset: int = 0, limit: int = 100) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the total order: a top-k, not a sort of the table."""
     if offset < 0 or not 1 <= limit <= 200:
-        raise ValueError("offset >= 0 and 1 <= limit <= 200 required")
+        raise ValueError("a page begins at row 0 or later and holds 1 to 200 rows")
     return df.orderBy(*order_cols).offset(offset).limit(limit)
 
 

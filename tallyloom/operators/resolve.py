@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
+from tallyloom.functions.text import stripped
 from tallyloom.operators.ordered import numbered
 from tallyloom.operators.relate import violations
 from tallyloom.operators.review import witness_check
@@ -21,7 +22,7 @@ def resolution_violations(findings: DataFrame, known: DataFrame, contested: Data
     triggered that isn't ``allowed``. ``findings``: id, resolution; ``errors``: id, triggered."""
     times = findings.groupBy("id").agg(F.count("*").alias("times"))
     rows = findings.join(times, "id", "left").join(known.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
-    short = F.length(F.trim(F.coalesce("resolution", F.lit("")))) < LEAST
+    short = F.length(stripped(F.coalesce("resolution", F.lit("")))) < LEAST
     told = violations(rows, "resolution", F.col("id"), {"unknown": F.col("known").isNull(), "repeated": F.col("times") > 1, "not explained": short}).distinct()
     open_ = contested.select("id").distinct().join(findings.select("id"), "id", "left_anti")
     out = told.unionByName(open_.select(F.lit("resolution").alias("entity"), F.col("id").cast("string").alias("key"), F.lit("unresolved").alias("rule")))
@@ -39,10 +40,10 @@ def completed(corrections: DataFrame, records: DataFrame) -> DataFrame:
     """
     old = records.select("id", *(F.col(c).alias(f"{c}_old") for c in ("state", "numerator", "denominator", "reason", "observation", "evidence")))
     joined = corrections.join(old, "id", "left")
-    says = F.lower(F.trim(F.coalesce("change", F.lit("")))).rlike(UNCHANGED) | F.coalesce("unchanged", F.lit(False))
+    says = F.lower(stripped(F.coalesce("change", F.lit("")))).rlike(UNCHANGED) | F.coalesce("unchanged", F.lit(False))
     near = F.abs(numbers.state(F.col("state").cast("string")) - numbers.state(F.col("state_old").cast("string"))) <= F.lit("0.000001").cast("decimal(7,6)")
     retained = says & F.coalesce(near, F.lit(False)) & F.col("numerator").eqNullSafe(F.col("numerator_old")) & F.col("denominator").eqNullSafe(F.col("denominator_old"))
-    reason, observation = (F.trim(F.coalesce(c, F.lit(""))) for c in ("reason", "observation"))
+    reason, observation = (stripped(F.coalesce(c, F.lit(""))) for c in ("reason", "observation"))
     enough = (reason != "") & (observation != "") & (F.length(reason) + F.length(observation) >= 28) & (F.size("evidence") > 0)
     enough = F.coalesce(enough, F.lit(False))
     longer = {"reason": F.when(enough & (F.length(reason) < 20), F.concat(reason, F.lit(GROUNDS), observation)), "observation": F.when(enough & (F.length(observation) < 8), F.concat(observation, F.lit(SEEN), reason))}
@@ -59,7 +60,7 @@ def inventory(witnesses: DataFrame, keys: list[str], tolerant: bool = True) -> t
     for each of ``keys``, those of one delivery.
     """
     rows = witness_check(witnesses)
-    bare = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
+    bare = lambda c: F.length(stripped(F.coalesce(c, F.lit("")))) == 0
     more = F.array_compact(F.array(F.when(~F.coalesce(F.col("kind").isin("asserted", "conditional"), F.lit(False)), "kind"), F.when(bare("subject") | bare("scope"), "not bound to a subject and scope")))
     rows = rows.withColumn("broken", F.concat("broken", more))
     whole = F.size("broken") == 0
@@ -89,7 +90,7 @@ def unsupported_numbers(prose: DataFrame, authorised: DataFrame, text_col: str =
 def narrative_violations(parts: DataFrame, required: list[str], authorised: DataFrame) -> DataFrame:
     """(entity, key, rule) of a report's parts (part, text): required parts missing or short, numbers that no fact has."""
     names = parts.sparkSession.createDataFrame([(r,) for r in required], "part string")
-    there = names.join(parts.groupBy("part").agg(F.max(F.length(F.trim("text"))).alias("n")), "part", "left")
+    there = names.join(parts.groupBy("part").agg(F.max(F.length(stripped("text"))).alias("n")), "part", "left")
     short = violations(there, "report", F.col("part"), {"incomplete": F.coalesce("n", F.lit(0)) < LEAST})
     return short.unionByName(unsupported_numbers(parts, authorised).select(F.lit("report").alias("entity"), F.col("token").alias("key"), F.lit("number without a fact").alias("rule")))
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
-from tallyloom.functions.text import label_key, markdown_safe, short_reason, similarity, summary_text
+from tallyloom.functions.text import label_key, markdown_safe, short_reason, similarity, stripped, summary_text
 from tallyloom.operators import score
 from tallyloom.operators.relate import positional_pairs, violations
 from tallyloom.operators.review import shared_references
 
-
-# The words of a sentence on differences.
+# The words of a sentence on differences, and of one on subjects that differ in no item.
 MEETS, FAILS, MORE_DIFFERENCES = "满足，", "未满足", "；另有 %d 个同项差异见逐项依据"
+NOT_PASSED, SATISFIED, UNNAMED, SEE_BELOW = "%d项未通过，如", "本项满足规则", "核验项", "。具体核验清单和判定见下文。"
 
 
 def recomputed(contributions: DataFrame, caps: DataFrame, scopes: DataFrame, keys: list[str], whole: str | None = "completion") -> DataFrame:
@@ -66,15 +66,32 @@ def shared_sample_violations(atoms: DataFrame, decisions: DataFrame, items: Data
     return told.select(*pair_keys, rule.alias("rule")).where("rule is not null").unionByName(many)
 
 
+def _alone(items: Column, state: Column, observation: Column, reason: Column, name: Column, shown: int) -> Column:
+    """What is said of one subject where no item differs: its failed items, or what was seen, or why it lost."""
+    failed = F.filter(items, lambda x: F.coalesce(~x["passed"], F.lit(False)))
+    named = F.transform(F.slice(failed, 1, shown), lambda x: markdown_safe(F.coalesce(F.nullif(stripped(x["label"]), F.lit("")), F.nullif(x["source"], F.lit("")), F.lit(UNNAMED))))
+    full = F.coalesce(F.nullif(observation, F.lit("")), F.nullif(reason, F.lit("")), F.lit(SATISFIED))
+    lost = F.coalesce(F.nullif(reason, F.lit("")), observation, F.lit(""))
+    told = F.when(F.coalesce(F.size(failed) > 0, F.lit(False)), F.concat(F.format_string(NOT_PASSED, F.size(failed)), F.array_join(named, "、")))
+    return F.concat(markdown_safe(name), F.lit("："), F.coalesce(told, markdown_safe(short_reason(F.when(numbers.state(state.cast("string")) == 1, full).otherwise(lost)))))
+
+
 def difference_sentence(left: Column, right: Column, left_name: Column, right_name: Column, shown: int = 2) -> Column:
-    """What two subjects' items (label, passed) of one label differ in, or null; of a label's repeats on the right the last counts."""
-    partner = lambda x: F.try_element_at(F.filter(right, lambda y: F.trim(y["label"]) == F.trim(x["label"])), F.lit(-1))
-    other = lambda x: partner(x)["passed"]
-    found = F.filter(left, lambda x: F.coalesce((F.trim(x["label"]) != "") & (x["passed"] != other(x)), F.lit(False)))
+    """What two subjects' records (items, state, observation, reason) of one finding differ in.
+
+    Items (label, passed, source) of one label are compared; of a label's repeats on the right the last counts. Where none
+    differs, each subject's failed items are named, or its observation or reason.
+    """
+    ours, theirs = (F.coalesce(side["items"], F.filter(other["items"], lambda x: F.lit(False))) for side, other in ((left, right), (right, left)))
+    partner = lambda x: F.try_element_at(F.filter(theirs, lambda y: stripped(y["label"]) == stripped(x["label"])), F.lit(-1))
+    found = F.filter(ours, lambda x: F.coalesce((stripped(x["label"]) != "") & (x["passed"] != partner(x)["passed"]), F.lit(False)))
     a, b = markdown_safe(left_name), markdown_safe(right_name)
-    told = F.transform(F.slice(found, 1, shown), lambda x: F.concat(markdown_safe(F.trim(x["label"])), F.lit("："), F.when(x["passed"], a).otherwise(b), F.lit(MEETS), F.when(x["passed"], b).otherwise(a), F.lit(FAILS)))
+    told = F.transform(F.slice(found, 1, shown), lambda x: F.concat(markdown_safe(stripped(x["label"])), F.lit("："), F.when(x["passed"], a).otherwise(b), F.lit(MEETS), F.when(x["passed"], b).otherwise(a), F.lit(FAILS)))
     more = F.when(F.size(found) > shown, F.format_string(MORE_DIFFERENCES, F.size(found) - shown)).otherwise("")
-    return F.when(F.size(found) > 0, F.concat(F.array_join(told, "；"), more))
+    each = [_alone(side["items"], side["state"], side["observation"], side["reason"], name, shown) for side, name in ((left, left_name), (right, right_name))]
+    listed = (F.size(left["items"]) > 0) & (F.size(right["items"]) > 0)
+    alike = F.concat(each[0], F.lit("；"), each[1], F.when(F.coalesce(listed, F.lit(False)), F.lit(SEE_BELOW)).otherwise("。"))
+    return F.when(F.coalesce(F.size(found) > 0, F.lit(False)), F.concat(F.array_join(told, "；"), more)).otherwise(alike)
 
 
 def summary_lines(scores: DataFrame, metrics: list[str], keys: list[str], value: str = "final", percent: str | None = None) -> DataFrame:
@@ -127,7 +144,7 @@ def marked_lines(lines: DataFrame, markers: list[str], keys: list[str], k: int =
     """The first ``k`` lines of each text (keys, pos, line) that hold a marker, trimmed."""
     held = lines.where(F.col("line").rlike("|".join(f"\\Q{m}\\E" for m in markers)))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-    return held.withColumn("nth", nth).where(F.col("nth") <= k).withColumn("line", F.trim("line"))
+    return held.withColumn("nth", nth).where(F.col("nth") <= k).withColumn("line", stripped("line"))
 
 
 def in_scope(tasks: DataFrame, dimensions: list | None = None, ids: list | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
-from tallyloom.functions.text import label_key, plain, signed_numbers, similarity
+from tallyloom.functions.text import label_key, plain, signed_numbers, similarity, stripped
 from tallyloom.operators.relate import positional_pairs, violations
 
 
@@ -142,7 +142,7 @@ def is_permanent(messages: Column, markers: list[str]) -> Column:
 
 def needs_time_review(kind: Column, state: Column, rule: Column, executed_at: Column) -> Column:
     """A failed binary check on when something ran, without a known time of running."""
-    known = F.length(F.trim(F.coalesce(executed_at.cast("string"), F.lit("")))) > 0
+    known = F.length(stripped(F.coalesce(executed_at.cast("string"), F.lit("")))) > 0
     return F.coalesce((kind == "BIN") & (state == 0) & rule.contains("实际执行") & rule.contains("截止"), F.lit(False)) & ~known
 
 

@@ -65,5 +65,5 @@ def quality_mean(scores: DataFrame, keys: list[str], metrics: list[str], value:
 
 def process_stats(records: DataFrame, keys: list[str]) -> DataFrame:
     """Timed runs, their mean seconds, and successes that no negation takes back."""
-    ok = F.col("status").contains("成功") & ~F.col("status").rlike("未成功|不成功|没有成功|失败")
+    ok = F.col("status").contains("成功") & ~F.col("status").rlike("未成功|不成功|失败")
     return records.groupBy(*keys).agg(F.count("seconds").alias("duration_count"), F.avg("seconds").alias("mean_seconds"), F.count_if(F.coalesce(ok, F.lit(False))).alias("success_count"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
-from tallyloom.functions.text import is_source_url
+from tallyloom.functions.text import is_source_url, stripped
 from tallyloom.operators.relate import violations
 
 #: What a decision's explanation must have at least.
@@ -48,7 +48,7 @@ def computed(decisions: DataFrame) -> DataFrame:
 
 def has_content(e: Column) -> Column:
     """Whether a piece of evidence has a quote, or is visual, described and of a file that can be looked at."""
-    seen = (e["kind"] == "visual") & (F.length(F.trim(e["description"])) >= 8) & e["file"].rlike(VISUAL)
+    seen = (e["kind"] == "visual") & (F.length(stripped(e["description"])) >= 8) & e["file"].rlike(VISUAL)
     return (F.length(F.coalesce(e["quote"], F.lit(""))) > 0) | F.coalesce(seen, F.lit(False))
 
 
@@ -69,7 +69,7 @@ def decision_violations(decisions: DataFrame, known_files: DataFrame, atoms: Dat
     rows = computed(decisions)
     target = F.col("target").try_cast(numbers.PART)
     n, d, ratio = F.col("numerator"), F.col("denominator"), F.coalesce(F.col("kind") != "BIN", F.lit(True))
-    shorter = lambda c, least: F.length(F.trim(F.coalesce(c, F.lit("")))) < least
+    shorter = lambda c, least: F.length(stripped(F.coalesce(c, F.lit("")))) < least
     apart = F.abs(F.col("computed") - F.col("given")) > F.lit(TOLERANCE).cast("decimal(4,3)")
     rules = {
         "vague": shorter("reason", REASON_LEAST) | shorter("observation", OBSERVATION_LEAST),
@@ -96,7 +96,7 @@ def accepted(decisions: DataFrame, broken: DataFrame) -> DataFrame:
 
 def error_violations(decisions: DataFrame, rules: DataFrame) -> DataFrame:
     """Error decisions: each rule decided once, with a reason, with evidence where triggered."""
-    untold = F.length(F.trim(F.coalesce("reason", F.lit("")))) == 0
+    untold = F.length(stripped(F.coalesce("reason", F.lit("")))) == 0
     told = violations(decisions, "error", F.col("id"), {"untyped": F.col("triggered").isNull(), "no reason": untold, "no evidence": F.col("triggered") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)})
     return id_violations("error", decisions, rules).unionByName(told)
 
@@ -107,7 +107,32 @@ def lowered(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(old, "id").where(numbers.state(F.col("state")) < F.col("old")).select("id", "old", "state")
 
 
+#: Fixed value: the method that stands for items which a count alone names.
+INSPECTED = "material_inspector"
+UNNAMED, UNCOUNTED, TOO_FEW = -1, -2, -3
+
+
+def _accounted(x: Column) -> Column:
+    """How many things an item stands for: its members, what an inspector counted at a place, else itself; a negative
+    number says why it can't be told."""
+    place = (x["method"] == INSPECTED) & (F.coalesce(x["scope"], F.lit("")) != "") & (F.coalesce(x["location"], F.lit("")) != "")
+    count = F.when(stripped(x["count"].cast("string")).rlike("^[-+]?[0-9]+$"), stripped(x["count"].cast("string")).try_cast("long"))
+    counted = F.when(count.isNull(), UNCOUNTED).when(count < 1, TOO_FEW).otherwise(count)
+    return F.when(x.isNull(), UNNAMED).when(F.size(x["members"]) > 0, F.size(x["members"])).when(F.coalesce(place, F.lit(False)), counted).otherwise(1).cast("long")
+
+
 def accounting(decisions: DataFrame) -> DataFrame:
-    """Items of each decision counted with their members, beside the denominator they must make up."""
-    size = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.when(F.size(x["members"]) > 0, F.size(x["members"])), x["count"], F.lit(1)).cast("long"))
-    return decisions.select("id", size.alias("accounted"), F.col("denominator").cast("long").alias("denominator")).withColumn("agrees", F.col("accounted") == F.col("denominator"))
+    """(id, accounted, denominator, problem, agrees): what a ratio's items stand for, beside the denominator they make up.
+
+    ``decisions``: id, kind, rule, denominator, items (members, count, method, scope, location). Other kinds, ratios
+    without a denominator and those whose denominator is a target need no account; as many items as the denominator are
+    one. accounted is null where an item can't be counted: it has no fields, or its count is no whole number from 1.
+    """
+    rows = decisions.withColumn("whole_", F.floor(F.col("denominator").cast("decimal(38,9)")).cast("long")).withColumn("each_", F.transform(F.coalesce("items", F.array().cast(decisions.schema["items"].dataType)), _accounted))
+    target = (F.col("kind") != "CLAIM-RATIO") & count_target(F.coalesce("rule", F.lit(""))).isNotNull()
+    asked = F.coalesce(F.col("kind").isin("RATIO", "CLAIM-RATIO") & (F.col("denominator").cast("double") != 0) & ~target, F.lit(False))
+    wrong = F.try_element_at(F.filter("each_", lambda n: n < 0), F.lit(1))
+    total = F.when(wrong.isNull(), F.aggregate("each_", F.lit(0).cast("long"), lambda s, n: s + n))
+    open_ = asked & (F.size("each_") != F.col("whole_"))
+    problem = F.when(open_, F.when(wrong == UNNAMED, "an item without fields").when(wrong == UNCOUNTED, "no whole count").when(wrong == TOO_FEW, "a count below one").when(total != F.col("whole_"), "items don't make up the denominator"))
+    return rows.select("id", F.when(asked, F.when(open_, total).otherwise(F.col("whole_"))).alias("accounted"), F.col("whole_").alias("denominator"), problem.alias("problem"), problem.isNull().alias("agrees"))

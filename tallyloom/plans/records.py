@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import items, text
-from tallyloom.operators import inspect, review, validate
+from tallyloom.operators import contract, inspect, review, validate
 from tallyloom.plans.base import read
 from tallyloom.sources import files, material, office
 
@@ -14,7 +14,7 @@ from tallyloom.sources import files, material, office
 def discovered_files(spark: SparkSession, d: str) -> DataFrame:
     """Orders as files two levels deep: priorities are dimensions, orders tasks; those of customers divisible by 7 are temporary."""
     name = F.concat(F.when(F.col("o_custkey") % 7 == 0, "~$").otherwise(""), F.lit("f"), F.col("o_custkey"), F.lit(".txt"))
-    paths = read(spark, d, "orders").select(F.concat_ws("/", "o_orderpriority", F.concat(F.col("o_orderkey"), F.lit("."), F.col("o_orderstatus")), name).alias("path"))
+    paths = read(spark, d, "orders").select(F.concat_ws("/", F.when(F.col("o_orderstatus") == "F", F.translate("o_orderpriority", "12345", "一二三四五")).otherwise(F.col("o_orderpriority")), F.concat(F.col("o_orderkey"), F.lit("."), F.col("o_orderstatus")), name).alias("path"))
     found = files.discover(paths)
     return found.select("task", F.col("dimension").cast("long").alias("dimension"), "dimension_name", "task_name", "rest")
 
@@ -89,11 +89,43 @@ def quote_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def accounted_items(spark: SparkSession, d: str) -> DataFrame:
-    """Orders whose lines, heavy ones counted with their members, make up their number of lines."""
-    members = F.when(F.col("l_quantity") > 45, F.array_repeat(F.lit("m"), 2)).otherwise(F.array().cast("array<string>"))
-    item = F.struct(members.alias("members"), F.when(F.col("l_quantity") < 5, F.lit(0).cast("long")).alias("count"))
-    o = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(item).alias("items"), F.count("*").alias("denominator"))
-    return validate.accounting(o)
+    """Orders as ratios over half as many again things as they have lines: heavy lines are groups of two members, light
+    ones what an inspector counted (their tax in per cent, from 0 up, or a word), others themselves; urgent ones have a target."""
+    members = F.when(F.col("l_quantity") > 40, F.array_repeat(F.lit("m"), 2)).otherwise(F.array().cast("array<string>"))
+    light = F.col("l_quantity") < 8
+    count = F.when(light, F.when(F.col("l_tax") > 0.075, "some").otherwise(F.concat(F.lit(" "), F.round(F.col("l_tax") * 100).cast("long"), F.lit("\n"))))
+    item = F.struct(members.alias("members"), count.alias("count"), F.when(light, validate.INSPECTED).alias("method"), F.lit("all").alias("scope"), F.when(F.col("l_linenumber") < 6, "here").otherwise("").alias("location"), F.col("l_linenumber").alias("nth"))
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", item.alias("item")))).alias("items"), F.count("*").alias("n"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "BIN").when(F.col("o_orderstatus") == "O", "RATIO").otherwise("CLAIM-RATIO").alias("kind"), F.when(F.col("o_orderpriority") == "1-URGENT", "min(n/5, 1)").otherwise("n").alias("rule"))
+    rows = lines.withColumn("items", F.transform("items", lambda x: x["item"])).join(o, "id").withColumn("denominator", F.floor(F.col("n") * 1.5))
+    return validate.accounting(rows)
+
+
+def review_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as reviews of their lines: how many problems of each kind a review contract finds.
+
+    Suppliers' lines are defects, their parts atoms, comparisons of price with a bound witnesses; what is left out, named
+    twice or unlike follows from quantities, days and priorities.
+    """
+    values = ("l_quantity", "l_tax", "l_discount", "l_returnflag", "l_linestatus", "l_extendedprice", "l_suppkey")
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in values))
+    li = lines.select(F.col("l_orderkey").alias("review"), F.col("l_linenumber").alias("n"), F.concat_ws(".", "l_orderkey", "l_linenumber").alias("id"), *values)
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("review"), "o_orderpriority", "o_custkey")
+    named = F.when(F.col("o_custkey") % 9 == 0, F.lit("\t\n")).otherwise(F.col("o_orderpriority"))
+    checks = orders.select("review", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), (F.lit("\n ") if c == "ownership" else named).alias("text")) for c in contract.CHECKS[:3]), F.struct(F.lit(contract.CHECKS[3]).alias("name"), F.col("o_orderpriority").alias("text")))).alias("c")).select("review", "c.*")
+    metric = F.col("l_returnflag")
+    atoms = li.select("review", "id", metric.alias("metric"))
+    evidence = lambda quote: F.array(F.struct(F.lit("f.txt").alias("file"), F.lit("L1").alias("locator"), quote.alias("quote"), F.lit("text").alias("kind"), F.lit("").alias("description")))
+    items = F.array(F.struct(F.lit("x").alias("label"), F.lit("").alias("result"), F.array().cast("array<string>").alias("members"), F.lit("1").alias("count"), F.lit("").alias("method"), F.lit("").alias("scope"), F.lit("").alias("location")))
+    records = li.select("review", "id", F.lit("RATIO").alias("kind"), F.lit("n").alias("rule"), F.when(F.col("l_quantity") < 25, "0").otherwise("1").alias("state"), F.when(F.col("l_quantity") < 25, "0").otherwise("1").alias("numerator"), F.when(F.col("l_quantity") > 48, "2").otherwise("1").alias("denominator"), F.lit("a reason that is long enough").alias("reason"), F.lit("seen there").alias("observation"), evidence(F.lit("q")).alias("evidence"), items.alias("items"))
+    fixed = (F.col("state") == "0") & (F.substring("id", -1, 1) == "2")
+    corrections = records.where(fixed).withColumn("state", F.lit("0.5"))
+    defects = li.where("l_discount >= 0.05").select("review", F.concat(F.lit("D"), F.when(F.col("l_discount") > 0.09, "1").otherwise(F.col("n").cast("string"))).alias("id"), F.when(F.col("l_tax") < 0.01, " \t").otherwise("conflict").alias("description"), F.when(F.col("l_tax") > 0.075, F.array().cast(records.schema["evidence"].dataType)).otherwise(evidence(F.when(F.col("l_quantity") > 45, "").otherwise("q"))).alias("evidence"))
+    owners = li.where("l_discount >= 0.05 and l_linestatus = 'O'").select("review", F.concat(F.lit("D"), F.col("n").cast("string")).alias("defect"), F.col("id").alias("atom_id"), F.when(F.col("l_tax") > 0.06, "Z").otherwise(metric).alias("metric"), F.when(F.col("l_suppkey") % 5 == 0, "\n").otherwise("lost").alias("consequence"))
+    witnesses = li.select("review", "id", F.when(F.col("l_returnflag") == "A", "conditional").otherwise("asserted").alias("kind"), (F.col("l_extendedprice") > 30000).alias("holds"))
+    findings = li.where("l_tax < 0.07").select("review", F.when(F.col("l_tax") == 0, "none").otherwise(F.col("id")).alias("id"), F.when(F.col("l_quantity") == 7, "").otherwise("why").alias("reason"), F.when(F.col("l_linestatus") == "O", contract.CONFIRMED).when(F.col("l_returnflag") == "A", contract.EXCLUDED).otherwise("open").alias("decision"), F.concat(F.lit("D"), F.col("n").cast("string")).alias("defect_id"), F.when(F.col("l_quantity") > 30, F.col("id")).alias("rule_id"))
+    found = contract.review_violations(orders.select("review"), checks, records, corrections, defects, owners, atoms, spark.createDataFrame([("f.txt",)], "file string"), witnesses, None, findings)
+    return found.groupBy("entity", "rule").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
 
 
 def count_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +193,7 @@ def loss_briefs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        discovered_files, process_rows, worksheet_cells, answer_documents, newest_events, permanent_failures, corrected_balances, correction_problems, lowered_states, quote_problems, accounted_items, count_targets, time_reviews, mentioned_ids, blank_rows,
+        discovered_files, process_rows, worksheet_cells, answer_documents, newest_events, permanent_failures, corrected_balances, correction_problems, lowered_states, quote_problems, accounted_items, review_problems, count_targets, time_reviews, mentioned_ids, blank_rows,
         page_evidence, located_text, repeated_records, error_problems, loss_briefs,
     )
 }
@@ -181,7 +213,36 @@ ORACLES = {
     "lowered_states": """WITH l AS (SELECT DISTINCT ON (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) CAST(round(l_tax * 100) AS BIGINT) AS t, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem) SELECT d / 100 AS old, t || '/100' AS state, count(*) AS n FROM l WHERE t < d GROUP BY ALL""",
     "quote_problems": r"""WITH q AS (SELECT doc_id, source, regexp_replace(CASE WHEN lang = 'de' THEN reverse(substr(text, 20, 60)) ELSE substr(text, 20, 60) END, '\s+', '', 'g') AS q, regexp_replace(text, '\s+', '', 'g') AS t FROM documents WHERE length(text) > 100)
         SELECT doc_id AS id, CASE WHEN source = 'src1' THEN 'none' ELSE CAST(doc_id AS VARCHAR) END AS file FROM q WHERE coalesce(source = 'src1', false) OR NOT contains(t, q)""",
-    "accounted_items": "SELECT l_orderkey AS id, CAST(sum(CASE WHEN l_quantity > 45 THEN 2 WHEN l_quantity < 5 THEN 0 ELSE 1 END) AS BIGINT) AS accounted, count(*) AS denominator, sum(CASE WHEN l_quantity > 45 THEN 2 WHEN l_quantity < 5 THEN 0 ELSE 1 END) = count(*) AS agrees FROM lineitem GROUP BY l_orderkey",
+    "accounted_items": r"""WITH c AS (SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity < 8 AND l_linenumber < 6 THEN CASE WHEN l_tax > 0.075 THEN -2 WHEN round(l_tax * 100) < 1 THEN -3 ELSE round(l_tax * 100) END ELSE 1 END AS k FROM lineitem),
+        g AS (SELECT id, count(*) AS n, floor(count(*) * 1.5) AS d, sum(k) AS total, arg_min(k, n) FILTER (WHERE k < 0) AS bad FROM c GROUP BY id),
+        a AS (SELECT g.*, CASE WHEN o_orderstatus = 'P' OR o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 0 WHEN n = d THEN 1 ELSE 2 END AS asked FROM g JOIN orders ON o_orderkey = id),
+        p AS (SELECT *, CASE WHEN asked < 2 THEN NULL WHEN bad = -2 THEN 'no whole count' WHEN bad = -3 THEN 'a count below one' WHEN total <> d THEN 'items don''t make up the denominator' END AS problem FROM a)
+        SELECT id, CAST(CASE asked WHEN 1 THEN d WHEN 2 THEN CASE WHEN bad IS NULL THEN total END END AS BIGINT) AS accounted, CAST(d AS BIGINT) AS denominator, problem, problem IS NULL AS agrees FROM p""",
+    "review_problems": r"""WITH li AS (SELECT l_orderkey AS review, l_linenumber AS n, l_orderkey || '.' || l_linenumber AS id, min(l_quantity) AS q, min(l_tax) AS tax, min(l_discount) AS disc, min(l_returnflag) AS m, min(l_linestatus) AS ls, min(l_extendedprice) AS price, min(l_suppkey) AS supp FROM lineitem GROUP BY l_orderkey, l_linenumber),
+        fin AS (SELECT *, CASE WHEN q < 25 THEN CASE WHEN id LIKE '%2' THEN 0.5 ELSE 0 END ELSE 1 END AS state, q < 25 AND id LIKE '%2' AS fixed FROM li),
+        d AS (SELECT *, review || '/' || did AS key FROM (SELECT *, 'D' || CASE WHEN disc > 0.09 THEN '1' ELSE n::VARCHAR END AS did FROM li WHERE disc >= 0.05)),
+        o AS (SELECT *, 'D' || n AS did, CASE WHEN tax > 0.06 THEN 'Z' ELSE m END AS om FROM li WHERE disc >= 0.05 AND ls = 'O'),
+        own AS (SELECT review, did, count(*) AS c FROM o GROUP BY ALL), dup AS (SELECT review, did, count(*) AS c FROM d GROUP BY ALL), odup AS (SELECT review, did, om, count(*) AS c FROM o GROUP BY ALL),
+        sc AS (SELECT o.review, o.did, bool_and(f.state < 1) AS scored FROM o JOIN fin f ON f.id = o.id GROUP BY ALL),
+        fi AS (SELECT *, CASE WHEN tax = 0 THEN 'none' ELSE id END AS fid, CASE WHEN ls = 'O' THEN 1 WHEN m = 'A' THEN 2 ELSE 0 END AS dec, 'D' || n AS did FROM li WHERE tax < 0.07),
+        fdup AS (SELECT review, fid, count(*) AS c FROM fi GROUP BY ALL),
+        fx AS (SELECT fi.*, fi.review || '/' || fi.fid AS key, fdup.c, coalesce(sc.scored AND dd.did IS NOT NULL, false) AS scored FROM fi JOIN fdup ON fi.review = fdup.review AND fi.fid = fdup.fid LEFT JOIN (SELECT DISTINCT review, did FROM d) dd ON dd.review = fi.review AND dd.did = fi.did LEFT JOIN sc ON sc.review = fi.review AND sc.did = fi.did),
+        v AS (SELECT 'check' AS entity, o_orderkey || '/' || c AS key, 'not explained' AS rule FROM orders, (SELECT unnest(['file_coverage', 'item_accounting', 'ownership']) AS c) WHERE c = 'ownership' OR o_custkey % 9 = 0
+        UNION ALL SELECT 'correction', id, 'state' FROM fin WHERE fixed
+        UNION ALL SELECT 'record', id, 'items don''t make up the denominator' FROM fin WHERE q > 48
+        UNION ALL SELECT 'defect', d.key, 'repeated' FROM d JOIN dup ON d.review = dup.review AND d.did = dup.did AND dup.c > 1
+        UNION ALL SELECT 'defect', key, 'no description' FROM d WHERE tax < 0.01 UNION ALL SELECT 'defect', key, 'no evidence' FROM d WHERE tax > 0.075
+        UNION ALL SELECT 'defect', key, 'evidence without place or content' FROM d WHERE tax <= 0.075 AND q > 45
+        UNION ALL SELECT 'defect', d.key, 'no owner' FROM d LEFT JOIN own ON d.review = own.review AND d.did = own.did WHERE own.c IS NULL
+        UNION ALL SELECT DISTINCT 'owner', review || '/' || did || '/' || om, 'no atom of its metric' FROM o WHERE tax > 0.06
+        UNION ALL SELECT DISTINCT 'owner', review || '/' || did || '/' || om, 'metric owned twice' FROM odup WHERE c > 1
+        UNION ALL SELECT DISTINCT 'owner', review || '/' || did || '/' || om, 'no consequence' FROM o WHERE supp % 5 = 0
+        UNION ALL SELECT DISTINCT 'finding', key, 'unknown' FROM fx WHERE tax = 0 UNION ALL SELECT DISTINCT 'finding', key, 'repeated' FROM fx WHERE c > 1
+        UNION ALL SELECT DISTINCT 'finding', key, 'no reason' FROM fx WHERE q = 7 UNION ALL SELECT DISTINCT 'finding', key, 'undecided' FROM fx WHERE dec = 0
+        UNION ALL SELECT DISTINCT 'finding', key, 'confirmed without a defect that cost points' FROM fx WHERE dec = 1 AND NOT scored
+        UNION ALL SELECT DISTINCT 'finding', key, 'excluded without a rule' FROM fx WHERE dec = 2 AND q <= 30
+        UNION ALL SELECT 'witness', review || '/' || id, 'passed over' FROM li WHERE m <> 'A' AND price <= 30000 AND NOT (tax < 0.07 AND tax <> 0))
+        SELECT entity, rule, count(*) AS n, count(DISTINCT key) AS keys FROM v GROUP BY ALL""",
     "count_targets": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' OR o_orderstatus = 'O' AND (o_totalprice > 200000 OR o_custkey = 7) THEN CAST(o_custkey AS VARCHAR) END AS target FROM orders",
     "time_reviews": "SELECT o_orderkey, o_totalprice > 100000 AND o_orderstatus <> 'O' AND o_orderpriority = '1-URGENT' AND NOT o_custkey > 500 AS need FROM orders",
     "mentioned_ids": "SELECT o_orderkey, 'A' || o_custkey || ',T' || o_orderkey || ',C7' AS mentioned, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'A' || o_custkey || ',T' || o_orderkey ELSE '' END AS same, CASE WHEN o_orderstatus = 'F' THEN 'A' || o_custkey || ',T' || o_orderkey ELSE '' END AS shared FROM orders",

@@ -162,7 +162,7 @@ def complete_groups(spark: SparkSession, d: str) -> DataFrame:
 def latest_event(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as logs: assistant turns are texts, user turns sessions, empty ones errors, long user turns reads."""
     c, user = read(spark, d, "conversations"), F.col("role") == "user"
-    logs = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "text").otherwise("other").alias("type"), F.when(user, F.concat(F.col("role"), "turn")).alias("session"), "text", F.when(user & (F.length("text") > 200), "read").alias("tool"), F.lit("completed").alias("status"), F.when(F.col("text").isNull(), F.concat(F.lit("empty "), "turn")).alias("error"))
+    logs = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "text").otherwise("other").alias("type"), F.when(user, F.concat(F.col("role"), "turn")).alias("session"), F.concat("text", F.lit("\n")).alias("text"), F.when(user & (F.length("text") > 200), "read").alias("tool"), F.lit("completed").alias("status"), F.when(F.col("text").isNull(), F.concat(F.lit("empty "), "turn")).alias("error"))
     out = files.log_summary(logs)
     return out.select(F.col("file").alias("conv_id"), F.sha2("text", 256).alias("text"), "error", "session", "used_read")
 
@@ -218,6 +218,6 @@ ORACLES = {
         SELECT source, sha256(string_agg(part, ',' ORDER BY id)) AS digest FROM two GROUP BY source""",
     "incremental_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "complete_groups": "SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang HAVING count(DISTINCT doc_id) = count(DISTINCT doc_id) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels))",
-    "latest_event": """SELECT conv_id, sha256(coalesce(trim(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL), ' '), '')) AS text, arg_max(CASE WHEN text IS NULL THEN 'empty ' || turn END, turn) FILTER (WHERE text IS NULL) AS error,
+    "latest_event": r"""SELECT conv_id, sha256(coalesce(regexp_replace(string_agg(text || chr(10), chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL), '^\s+|\s+$', '', 'g'), '')) AS text, arg_max(CASE WHEN text IS NULL THEN 'empty ' || turn END, turn) FILTER (WHERE text IS NULL) AS error,
         arg_max('user' || turn, turn) FILTER (WHERE role = 'user') AS session, coalesce(bool_or(role = 'user' AND length(text) > 200), false) AS used_read FROM conversations GROUP BY conv_id""",
 }

@@ -90,11 +90,14 @@ def counting_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def difference_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """What accepted and returned lines of an order say of one supplier."""
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.struct(F.struct("l_partkey", "l_linenumber", "l_quantity").alias("pos"), F.concat(F.lit("S|"), "l_suppkey").alias("label"), (F.col("l_tax") < 0.04).alias("passed")).alias("item"))
+    """What accepted and returned lines of an order, as two records of one finding, differ in, or what is said of each."""
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.struct(F.struct("l_partkey", "l_linenumber", "l_quantity").alias("pos"), F.concat(F.lit("S|"), "l_suppkey", F.lit("\n")).alias("label"), (F.col("l_tax") < 0.04).alias("passed"), F.lit("").alias("source")).alias("item"))
     side = lambda flag: F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, F.col("item"))))
-    told = results.difference_sentence(F.col("a"), F.col("r"), F.lit("A"), F.lit("R"))
-    return li.groupBy("l_orderkey").agg(side("A").alias("a"), side("R").alias("r")).select("l_orderkey", told.alias("told")).where("told is not null")
+    sides = li.groupBy("l_orderkey").agg(side("A").alias("a"), side("R").alias("r"))
+    # A record without a failed item is full, and says what it saw if its order's number is even.
+    record = lambda items: F.struct(items.alias("items"), F.when(F.forall(items, lambda x: x["passed"]), "1").otherwise("0").alias("state"), F.when(F.col("l_orderkey") % 2 == 0, "seen").alias("observation"), F.lit("").alias("reason"))
+    told = results.difference_sentence(record(F.col("a")), record(F.col("r")), F.lit("A"), F.lit("R"))
+    return sides.select("l_orderkey", told.alias("told"))
 
 
 def summary_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -266,8 +269,13 @@ ORACLES = {
     "counting_notes": """WITH o AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE NOT l_discount < 0.01) AS counted, count(*) FILTER (WHERE l_quantity > 25) AS d FROM lineitem GROUP BY l_orderkey)
         SELECT l_orderkey, '展示清单 ' || n || ' 条，计分对象 ' || d || ' 项；分组、排除等对应关系见本项计数依据和核验范围。' AS note FROM o WHERE d > 0 AND n <> d AND counted <> d""",
     "difference_sentences": r"""WITH r AS (SELECT l_orderkey, l_suppkey, l_tax < 0.04 AS passed, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_partkey DESC, l_linenumber DESC, l_quantity DESC, (l_tax < 0.04)::INT DESC) AS n FROM lineitem WHERE l_returnflag = 'R'),
-        f AS (SELECT a.l_orderkey, row_number() OVER (PARTITION BY a.l_orderkey ORDER BY l_partkey, l_linenumber, l_quantity, a.l_suppkey::VARCHAR, (l_tax < 0.04)::INT) AS k, 'S\|' || a.l_suppkey || '：' || CASE WHEN l_tax < 0.04 THEN 'A满足，R未满足' ELSE 'R满足，A未满足' END AS told FROM lineitem a JOIN r ON a.l_orderkey = r.l_orderkey AND a.l_suppkey = r.l_suppkey AND r.n = 1 WHERE l_returnflag = 'A' AND (l_tax < 0.04) <> passed)
-        SELECT l_orderkey, string_agg(told, '；' ORDER BY k) FILTER (WHERE k <= 2) || CASE WHEN count(*) > 2 THEN '；另有 ' || (count(*) - 2) || ' 个同项差异见逐项依据' ELSE '' END AS told FROM f GROUP BY l_orderkey""",
+        f AS (SELECT a.l_orderkey, row_number() OVER (PARTITION BY a.l_orderkey ORDER BY l_partkey, l_linenumber, l_quantity, a.l_suppkey::VARCHAR, (l_tax < 0.04)::INT) AS k, 'S\|' || a.l_suppkey || '：' || CASE WHEN l_tax < 0.04 THEN 'A满足，R未满足' ELSE 'R满足，A未满足' END AS told FROM lineitem a JOIN r ON a.l_orderkey = r.l_orderkey AND a.l_suppkey = r.l_suppkey AND r.n = 1 WHERE l_returnflag = 'A' AND (l_tax < 0.04) <> passed),
+        g AS (SELECT l_orderkey, string_agg(told, '；' ORDER BY k) FILTER (WHERE k <= 2) || CASE WHEN count(*) > 2 THEN '；另有 ' || (count(*) - 2) || ' 个同项差异见逐项依据' ELSE '' END AS told FROM f GROUP BY l_orderkey),
+        b AS (SELECT l_orderkey, l_returnflag, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey, l_linenumber, l_quantity) AS k FROM lineitem WHERE l_tax >= 0.04),
+        s AS (SELECT l_orderkey, l_returnflag AS flag, count(*) || '项未通过，如' || string_agg('S\|' || l_suppkey, '、' ORDER BY k) FILTER (WHERE k <= 2) AS told FROM b GROUP BY ALL),
+        t AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A') AS na, count(*) FILTER (WHERE l_returnflag = 'R') AS nr FROM lineitem GROUP BY l_orderkey),
+        e AS (SELECT t.*, coalesce(x.told, CASE WHEN t.l_orderkey % 2 = 0 THEN 'seen' ELSE '本项满足规则' END) AS ta, coalesce(y.told, CASE WHEN t.l_orderkey % 2 = 0 THEN 'seen' ELSE '本项满足规则' END) AS tr FROM t LEFT JOIN s x ON x.l_orderkey = t.l_orderkey AND x.flag = 'A' LEFT JOIN s y ON y.l_orderkey = t.l_orderkey AND y.flag = 'R')
+        SELECT e.l_orderkey, coalesce(g.told, 'A：' || ta || '；R：' || tr || CASE WHEN na > 0 AND nr > 0 THEN '。具体核验清单和判定见下文。' ELSE '。' END) AS told FROM e LEFT JOIN g ON g.l_orderkey = e.l_orderkey""",
     "summary_lines": """WITH q AS (SELECT l_orderkey, l_returnflag AS m, CAST(CAST(sum(l_quantity) AS DECIMAL(12,2)) AS VARCHAR) AS q FROM lineitem GROUP BY ALL)
         SELECT l_orderkey, '| ' || any_value(o_orderpriority) || ' | ' || l_orderkey || ' | ' || coalesce(max(q) FILTER (WHERE m = 'N') || '%', '') || ' | ' || coalesce(max(q) FILTER (WHERE m = 'A'), '') || ' | ' || coalesce(max(q) FILTER (WHERE m = 'R'), '') || ' |' AS line FROM q JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""",
     "claim_scopes": r"""WITH s AS (SELECT doc_id, trim(regexp_replace(trim(replace(text, '.', '。'), ' '), '\s+', ' ', 'g'), ' ') AS s FROM documents WHERE lang = 'de'), h AS (SELECT doc_id, s, left(s, 500) AS head FROM s), e AS (SELECT *, length(regexp_extract(head, '(?s)^(.*[。；])', 1)) AS stop FROM h),

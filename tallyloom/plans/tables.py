@@ -12,7 +12,9 @@ from tallyloom.plans.base import read, rounded, writer
 
 
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    out = ins.profile(read(spark, d, "part"), ["p_name", "p_brand", "p_size", "p_retailprice"])
+    """Columns of part; a fifth one is a tab, line ends, a padded number or nothing."""
+    blank = F.when(F.col("p_size") % 4 == 0, "\t").when(F.col("p_size") % 4 == 1, "\n \n").when(F.col("p_size") % 4 == 2, F.concat(F.lit("\t"), F.col("p_size"), F.lit("\n")))
+    out = ins.profile(read(spark, d, "part").withColumn("blank", blank), ["p_name", "p_brand", "p_size", "p_retailprice", "blank"])
     counts = ["nonempty", "empty", "distinct_values", "duplicate_nonempty", "numeric_count", "noninteger_count"]
     return out.select("name", *(F.col(c).cast("long").alias(c) for c in counts), *(rounded(c, 2).alias(c) for c in ("sum_value", "mean_value", "min_value", "max_value")))
 
@@ -69,7 +71,9 @@ def json_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def empty_values(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").groupBy("lang").agg(F.count_if(ins.condition(F.col("text"), "empty", None)).alias("empty"), F.count_if(ins.condition(F.col("text"), "not_empty", None)).alias("filled"))
+    """Documents, every third reduced to its white space and a tab, that are empty to the inspector."""
+    value = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\t"), F.regexp_replace("text", r"\S", ""))).otherwise(F.col("text"))
+    return read(spark, d, "documents").groupBy("lang").agg(F.count_if(ins.condition(value, "empty", None)).alias("empty"), F.count_if(ins.condition(value, "not_empty", None)).alias("filled"))
 
 
 QUERIES = {f.__name__: f for f in (profile_columns, top_values, filter_conditions, filter_null_safe, group_stats, correlation, correlation_constant, duplicate_rows, rows_page, natural_sort, json_values, empty_values)}
@@ -82,7 +86,7 @@ def _profile_sql(c: str, number: bool) -> str:
 
 
 ORACLES = {
-    "profile_columns": " UNION ALL ".join(_profile_sql(c, n) for c, n in (("p_name", False), ("p_brand", False), ("p_size", True), ("p_retailprice", True))),
+    "profile_columns": " UNION ALL ".join(_profile_sql(c, n) for c, n in (("p_name", False), ("p_brand", False), ("p_size", True), ("p_retailprice", True))) + " UNION ALL " + _profile_sql("blank", True).replace("FROM part", "FROM (SELECT CASE WHEN p_size % 4 = 2 THEN p_size END AS blank FROM part)"),
     "top_values": "SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, min(p_partkey) LIMIT 25",
     "filter_conditions": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus IS DISTINCT FROM 'P' AND o_orderdate IS NOT NULL AND contains(o_orderpriority, 'URGENT') AND o_totalprice > 1000 AND o_totalprice < 200000",
     "filter_null_safe": "SELECT doc_id, source FROM documents WHERE lang = 'de' AND source IS NOT NULL",
@@ -93,5 +97,5 @@ ORACLES = {
     "rows_page": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100 OFFSET 200",
     "natural_sort": "SELECT task, row_number() OVER (ORDER BY major, minor) AS rank FROM (SELECT DISTINCT concat(l_orderkey, '.', l_linenumber) AS task, l_orderkey AS major, l_linenumber AS minor FROM lineitem)",
     "json_values": "SELECT event_type, json_keys(props)[1] AS field, CAST(len(json_keys(props)) AS BIGINT) AS fields, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2, 3",
-    "empty_values": "SELECT lang, CAST(count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS BIGINT) AS empty, CAST(count(*) FILTER (WHERE text IS NOT NULL AND trim(text) <> '') AS BIGINT) AS filled FROM documents GROUP BY lang",
+    "empty_values": r"WITH v AS (SELECT lang, text IS NULL OR doc_id % 3 = 0 OR NOT regexp_matches(text, '\S') AS bare FROM documents) SELECT lang, CAST(count(*) FILTER (WHERE bare) AS BIGINT) AS empty, CAST(count(*) FILTER (WHERE NOT bare) AS BIGINT) AS filled FROM v GROUP BY lang",
 }

@@ -12,15 +12,16 @@ from tallyloom.plans.base import read, rounded, writer
 
 
 def verdict_tristate(spark: SparkSession, d: str) -> DataFrame:
-    """Turns read as outcomes: most say nothing, some begin like a yes or a no."""
+    """Turns, behind tabs and line ends, read as outcomes: most say nothing, some begin like a yes or a no; every fifth says so."""
     c = read(spark, d, "conversations")
-    return c.groupBy("role", text.verdict(F.col("text")).alias("passed")).agg(F.count("*").alias("n"))
+    said = F.concat(F.lit("\n\t"), F.when(F.col("turn") % 5 == 0, F.element_at(F.array(*map(F.lit, ("满足", "不满足", "1 ", "No", "0\n"))), (F.col("conv_id") % 5 + 1).cast("int"))).otherwise(F.col("text")))
+    return c.groupBy("role", text.verdict(said).alias("passed")).agg(F.count("*").alias("n"))
 
 
 def duration_parse(spark: SparkSession, d: str) -> DataFrame:
     """Times of day written as durations, errors with a blank in them and purchases without seconds."""
     form = lambda f: F.date_format("ts", f)
-    raw = F.when(F.col("event_type") == "error", form("H'h 'm'm'")).when(F.col("event_type") == "purchase", form("H'H'm'm'")).otherwise(F.concat(F.lit(" "), form("H'h'm'm's's'")))
+    raw = F.when(F.col("event_type") == "error", form("H'h 'm'm'")).when(F.col("event_type") == "purchase", form("H'H'm'm'")).otherwise(F.concat(F.lit("\t "), form("H'h'm'm's's'"), F.lit("\n")))
     return read(spark, d, "events").select("event_id", text.duration_seconds(raw).alias("seconds"))
 
 
@@ -98,8 +99,10 @@ def scope_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_packing(spark: SparkSession, d: str) -> DataFrame:
-    out = packed_paragraphs(read(spark, d, "documents"), "doc_id", "text")
-    return out.groupBy("id").agg(F.count("*").alias("paragraphs"), F.max(F.length("text")).cast("long").alias("longest"))
+    """Paragraphs of documents with full stops as sentence ends: how many, the longest, and the sum of their squared lengths."""
+    docs = read(spark, d, "documents").select("doc_id", F.translate("text", ".", "。").alias("text"))
+    out = packed_paragraphs(docs, "doc_id", "text")
+    return out.groupBy("id").agg(F.count("*").alias("paragraphs"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.length("text").cast("long") * F.length("text")).alias("squares"))
 
 
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -150,8 +153,8 @@ QUERIES = {
 }
 
 ORACLES = {
-    "verdict_tristate": """SELECT role, CASE WHEN regexp_matches(s, '^(?:不满足|不一致|不支持|无支撑|未覆盖|缺失|错误|冲突|矛盾)') THEN false WHEN regexp_matches(s, '^(?:满足|一致|支持|有支撑|已覆盖|正确|可追溯|非虚构|无问题|无冲突|satisfied|supported|consistent|correct|traceable|pass|present|yes)') THEN true
-        WHEN regexp_matches(s, '^(?:not satisfied|unsatisfied|unsupported|inconsistent|incorrect|fail|missing|absent|no)') THEN false WHEN s IN ('1', 'true') THEN true WHEN s IN ('0', 'false') THEN false END AS passed, count(*) AS n FROM (SELECT role, lower(trim(coalesce(text, ''), ' ')) AS s FROM conversations) GROUP BY ALL""",
+    "verdict_tristate": r"""SELECT role, CASE WHEN regexp_matches(s, '^(?:不满足|不一致|不支持|无支撑|未覆盖|缺失|错误|冲突|矛盾)') THEN false WHEN regexp_matches(s, '^(?:满足|一致|支持|有支撑|已覆盖|正确|可追溯|非虚构|无问题|无冲突|satisfied|supported|consistent|correct|traceable|pass|present|yes)') THEN true
+        WHEN regexp_matches(s, '^(?:not satisfied|unsatisfied|unsupported|inconsistent|incorrect|fail|missing|absent|no)') THEN false WHEN s IN ('1', 'true') THEN true WHEN s IN ('0', 'false') THEN false END AS passed, count(*) AS n FROM (SELECT role, lower(regexp_replace(coalesce(CASE WHEN turn % 5 = 0 THEN ['满足', '不满足', '1 ', 'No', '0'][conv_id % 5 + 1] ELSE text END, ''), '^\s+|\s+$', '', 'g')) AS s FROM conversations) GROUP BY ALL""",
     "duration_parse": "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE hour(ts) * 3600 + minute(ts) * 60 + CASE WHEN event_type = 'purchase' THEN 0 ELSE second(ts) END END AS seconds FROM events",
     "url_valid": "SELECT page_id, NOT contains(url, '#') AND NOT contains(url, '?') AND regexp_matches(url, '^https?://[^/?#]+') AS valid FROM pages",
     "short_text": r"""WITH s AS (SELECT doc_id, trim(regexp_replace(replace(text, '.', '。'), '\s+', ' ', 'g'), ' ') AS s FROM documents), h AS (SELECT doc_id, s, left(s, 145) AS head FROM s), e AS (SELECT *, length(regexp_extract(head, '(?s)^(.*[。；])', 1)) AS stop FROM h)
@@ -169,7 +172,12 @@ ORACLES = {
         s AS (SELECT id, 0 AS scope, 0 AS start, CASE WHEN n <= 8000 THEN n WHEN instr(reverse(substr(text, 4001, 4000)), chr(10)) > 0 THEN 8001 - instr(reverse(substr(text, 4001, 4000)), chr(10)) ELSE 8000 END AS stop FROM t
         UNION ALL SELECT s.id, scope + 1, stop, CASE WHEN n - stop <= 8000 THEN n WHEN instr(reverse(substr(text, stop + 4001, 4000)), chr(10)) > 0 THEN stop + 8001 - instr(reverse(substr(text, stop + 4001, 4000)), chr(10)) ELSE stop + 8000 END FROM s JOIN t ON s.id = t.id WHERE stop < n)
         SELECT id, CAST(scope AS BIGINT) AS scope, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", CAST(stop - start AS BIGINT) AS size FROM s""",
-    "sentence_packing": """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) SELECT doc_id AS id, count(*) AS paragraphs, max(length(line)) AS longest FROM l WHERE line <> '' GROUP BY doc_id""",
+    "sentence_packing": """WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER () AS nth, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(translate(text, '.', '。'), chr(10))) AS line FROM documents)),
+        s AS (SELECT doc_id, nth, list_transform(regexp_extract_all(line, '[^。！？]*[。！？]|[^。！？]+$'), lambda x: length(x)) AS sizes FROM l WHERE line <> ''),
+        p AS (SELECT doc_id, nth, sizes, 1 AS k, sizes[1] AS held, 1 AS paragraph FROM s
+        UNION ALL SELECT doc_id, nth, sizes, k + 1, CASE WHEN held + sizes[k + 1] > 350 THEN sizes[k + 1] ELSE held + sizes[k + 1] END, CASE WHEN held + sizes[k + 1] > 350 THEN paragraph + 1 ELSE paragraph END FROM p WHERE k < len(sizes)),
+        w AS (SELECT doc_id, nth, paragraph, max(held) AS size FROM p GROUP BY ALL)
+        SELECT doc_id AS id, count(*) AS paragraphs, max(size) AS longest, CAST(sum(size * size) AS BIGINT) AS squares FROM w GROUP BY doc_id""",
     "quote_containment": r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), q AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS t FROM benchmark) SELECT DISTINCT doc_id, item_id FROM d JOIN q ON q.t <> '' AND contains(d.t, q.t)""",
     "numeric_closure": """WITH o AS (SELECT l_orderkey, sum(CAST(l_extendedprice * 100 AS BIGINT)) AS cents, count(*) AS lines FROM lineitem GROUP BY l_orderkey), m AS (SELECT l_orderkey, (CAST(cents AS HUGEINT) * 20000000000 + lines) // (2 * lines) AS mean FROM o),
         s AS (SELECT *, CASE l_orderkey % 3 WHEN 0 THEN (mean + 5000000) // 10000000 * 10000000 WHEN 1 THEN (mean + 500000000) // 1000000000 * 1000000000 ELSE (mean + 50000000) // 100000000 * 100000000 + 100000000 END AS stated FROM m)

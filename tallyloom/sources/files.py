@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import stripped
+
 NUMERALS = "一二三四五六七八九十"
 
 
@@ -59,7 +61,7 @@ def log_summary(events: DataFrame) -> DataFrame:
     """Per file: texts in order, the last error, the last session, whether a read completed."""
     parts = F.array_sort(F.collect_list(F.when(F.col("type") == "text", F.struct("pos", "text"))))
     return events.groupBy("file").agg(
-        F.trim(F.array_join(F.transform(parts, lambda x: x["text"]), "\n")).alias("text"),
+        stripped(F.array_join(F.transform(parts, lambda x: x["text"]), "\n")).alias("text"),
         F.max_by(F.left("error", F.lit(1000)), F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"),
         F.max_by("session", F.when(F.col("session").isNotNull(), F.col("pos"))).alias("session"),
         F.coalesce(F.bool_or((F.col("tool") == "read") & (F.col("status") == "completed")), F.lit(False)).alias("used_read"),

@@ -14,8 +14,8 @@ from tallyloom.sources.config import allowed
 # Fixed value: suffixes of materials that text questions may be asked of.
 TEXT = (".txt", ".md", ".json", ".csv", ".html", ".css", ".js", ".ts", ".py", ".go", ".sql", ".yaml", ".yml", ".toml", ".xml", ".sh", ".ps1")
 
-# Fixed value: what is said of a script that holds no JSON.
-NO_JSON = ": not valid JSON; original remains available"
+# What is said of a script that holds no JSON.
+NO_JSON = ": holds no JSON that can be read"
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import table_cells
+from tallyloom.functions.text import stripped, table_cells
 
 # Metrics in the order of their sections, and the labels that ceilings name them by.
 METRICS = ["completion", "coverage", "accuracy", "format", "structure", "hallucination"]
@@ -59,7 +59,7 @@ def _parts(lines: DataFrame) -> DataFrame:
     """
     named = F.create_map(*(F.lit(x) for kv in zip(LABELS, METRICS, strict=True) for x in kv))
     part = rules(lines).select("file", "id", "trigger", "effects", F.posexplode(F.split("effects", "[；;]")).alias("part", "text"))
-    part = part.withColumn("open_", F.trim(F.regexp_extract("text", NO_CAP, 1))).withColumn("cap_", F.trim(F.regexp_extract("text", CAP, 1)))
+    part = part.withColumn("open_", stripped(F.regexp_extract("text", NO_CAP, 1))).withColumn("cap_", stripped(F.regexp_extract("text", CAP, 1)))
     part = part.withColumn("kind", F.when(F.col("open_") != "", "open").when(F.col("cap_") != "", "cap").when(F.col("text").rlike(SCOPE), "scope"))
     part = part.withColumn("metric", F.try_element_at(named, F.coalesce(F.nullif("open_", F.lit("")), F.nullif("cap_", F.lit("")), F.lit(""))))
     part = part.withColumn("cap", F.when(F.col("kind") == "cap", F.regexp_extract("text", CAP, 2).try_cast("decimal(9,4)")))

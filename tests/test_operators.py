@@ -128,12 +128,12 @@ def test_closure_ends_on_cycles(spark, tmp_path):
 
 
 EVIDENCE = "array<struct<file:string,locator:string,quote:string,kind:string,description:string>>"
-ITEMS = "array<struct<label:string,result:string,members:array<string>,count:long>>"
+ITEMS = "array<struct<label:string,result:string,members:array<string>,count:long,method:string,scope:string,location:string>>"
 SCHEMA = f"id string, kind string, rule string, state string, numerator long, denominator long, reason string, observation string, evidence {EVIDENCE}, items {ITEMS}"
 
 
 def decision(i, state, n, d, rule="", kind="RATIO", items=1, said="", result="supported"):
-    return (i, kind, rule, state, n, d, "a reason of more than twenty characters " + said, "observed it", [("f.txt", "L1", "quote", None, None)], [("x", result, None, None)] * items)
+    return (i, kind, rule, state, n, d, "a reason of more than twenty characters " + said, "observed it", [("f.txt", "L1", "quote", None, None)], [("x", result, None, None, None, None, None)] * items)
 
 
 def test_decisions(spark):

@@ -99,10 +99,15 @@ def test_shared_samples(spark):
 
 
 def test_reports(spark):
-    kind = "array<struct<label:string,passed:boolean>>"
-    df = spark.createDataFrame([([("a|", True), ("b", False), ("c", True), ("d", True), ("e", None)], [("a|", True), (" a| ", False), ("b", True), ("c", False), ("e", True)])], f"l {kind}, r {kind}")
-    told = df.select(results.difference_sentence(F.col("l"), F.col("r"), F.lit("X"), F.lit("Y")).alias("y")).first().y
-    assert told == "a\\|：X满足，Y未满足；b：Y满足，X未满足；另有 1 个同项差异见逐项依据"
+    item = "array<struct<label:string,passed:boolean,source:string>>"
+    kind = f"struct<items:{item},state:string,observation:string,reason:string>"
+    told = lambda left, right: spark.createDataFrame([(left, right)], f"l {kind}, r {kind}").select(results.difference_sentence(F.col("l"), F.col("r"), F.lit("X"), F.lit("Y")).alias("y")).first().y
+    left = [("a|", True, None), ("b", False, None), ("c", True, None), ("d", True, None), ("e", None, None)]
+    right = [("a|", True, None), ("\ta|\n", False, None), ("b", True, None), ("c", False, None), ("e", True, None)]
+    assert told((left, "0", "", ""), (right, "0", "", "")) == "a\\|：X满足，Y未满足；b：Y满足，X未满足；另有 1 个同项差异见逐项依据"
+    assert told(([("a", False, None), ("\n", False, "s"), ("", False, None)], "0", "o", "r"), (None, "1", "", "")) == "X：3项未通过，如a、s；Y：本项满足规则。"
+    assert told((left[:1], "1/1", "seen", "r"), (left[:1], "0.5", "o", "why")) == "X：seen；Y：why。具体核验清单和判定见下文。"
+    assert told((None, "0", None, None), ([], None, "o", None)) == "X：；Y：o。"
     scores = spark.createDataFrame([("1.1", "s|", "completion", 66.666), ("1.1", "s|", "format", 2.345)], "task string, subject string, metric string, final double")
     assert [r.line for r in results.summary_lines(scores, ["completion", "coverage", "format"], ["task", "subject"], percent="completion").collect()] == ["| 1.1 | s\\| | 66.67% |  | 2.35 |"]
     notes = spark.createDataFrame([("A", "CLAIM-RATIO", "x process-record.json: runtime=3m；y"), ("B", "BIN", "z")], "id string, kind string, observation string")

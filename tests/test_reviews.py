@@ -52,7 +52,7 @@ def test_quotes_owners_and_scopes(spark):
 
 def test_text_scopes_cover_a_text(spark):
     text = "\n".join("line %d of the text." % i for i in range(3000))
-    found = list(scopes.scopes(text))
+    found = scopes.scopes(text).tolist()
     assert found[0][0] == 0 and found[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
     assert all(e - s <= scopes.SIZE and c == max(0, s - 400) for s, e, c, _ in found)
     with pytest.raises(ValueError):
