@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import html
+import json
 import unicodedata
 from html.parser import HTMLParser
 
@@ -259,6 +260,18 @@ def read_html(text: str | None) -> _Reader:
     return reader
 
 
+def page_inventory(text: str) -> dict[str, list]:
+    """Links and JSON scripts of a page, each with its place, and what of them can't be read."""
+    reader = read_html(text)
+    out: dict[str, list] = {"links": [{"locator": f"a[href] #{n}", "text": said, "target": target} for n, (target, said) in enumerate(reader.links, 1)], "structured_data": [], "limitations": []}
+    for place, script in reader.scripts:
+        try:
+            out["structured_data"].append({"locator": place, "data": json.loads(script)})
+        except ValueError:
+            out["limitations"].append(f"{place}: holds no JSON that can be read")
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def html_text(s: pd.Series) -> pd.Series:
     """Text nodes outside scripts and styles, a line each."""

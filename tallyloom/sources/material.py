@@ -51,7 +51,7 @@ def ask(spark: SparkSession, root: str, request: dict) -> DataFrame:
         raise ValueError("questions about tables need an .xlsx material")
     cells = office.read_cells(spark, path)
     if operation == "summary" and "sheet" not in request:
-        return office.sheets(cells)
+        return office.sheets(spark, path).drop("place")
     title = request.get("sheet") or office.first_sheet(spark, path)
     cells = cells.where(F.col("sheet") == title)
     if operation == "cells":

@@ -39,7 +39,7 @@ def test_text_and_json(spark, root):
 
 
 def test_packages(spark, root):
-    parts = {r.part: r for r in ask(spark, root, "t.xlsx", operation="package").collect()}
+    parts = {r.part: r for r in ask(spark, root, "t.xlsx", operation="package").where("kind <> 'xml'").collect()}
     chart = parts["xl/charts/chart1.xml"]
     assert (chart.kind, chart.types, chart.texts, chart.references, chart.cached_values) == ("chart", ["barChart"], ["Title"], ["S!A1"], ["5"]) and parts["xl/media/image1.png"].kind == "image"
     lines = ask(spark, root, "t.xlsx", operation="xml", part="xl/workbook.xml", limit=2).collect()

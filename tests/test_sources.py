@@ -40,7 +40,7 @@ def test_worksheets(spark, tmp_path):
     assert [tuple(r) for r in sheet.orderBy("_row").collect()] == [(2, "x", "1", None), (3, "x", "1", None), (4, "y", "3", "5")]
     assert office.cell_range(cells, "A2:B3").count() == 4
     text, limit = office.extract("a.xlsx", xlsx())
-    assert "[S] B4=3" in text and limit is None
+    assert "[S] A4=y | B4=3 | C4=5" in text and limit is None
     assert office.extract("a.bin", b"")[1].startswith("unsupported") and office.extract("a.docx", b"no")[0] == ""
     assert office.extract("a.txt", b"\xef\xbb\xbfone\ntwo") == ("L1: one\nL2: two", None)
     total, lines = office.xml_lines(xlsx(), "xl/workbook.xml", 0, 2)
