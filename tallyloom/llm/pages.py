@@ -1,6 +1,6 @@
 """Main text of web pages by two-pass block rules over stop-word density, length and link density.
 
-Stop words are a fixed list and the words that are frequent in the pages themselves, counted over all of them first.
+The densities and the length of a block vote, and so does an article element around it, with no more weight than they have.
 """
 
 from __future__ import annotations
@@ -19,12 +19,9 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import by_bytes, table
 
 SLICE_BYTES = 4 << 20
-SHORT = 70
+SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINKS = 0.2
-#: A word is frequent from this share of all words, and this often, on; so there are at most 5000 such words.
-FREQUENT, LEAST = 2e-4, 10
-
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
     """
@@ -162,25 +159,43 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def stop_count(block: Block, stop_words: frozenset[str]) -> tuple[int, int]:
+    """Stop words of a block, and all of its words."""
+    words = _WORD.findall(block.text.lower())
+    return sum(map(stop_words.__contains__, words)), len(words)
+
+
 def first_pass(block: Block, stop_words: frozenset[str], articles: bool) -> str:
-    """good or bad where density, length and links tell; else near (almost good), weak (few stop words) or short.
+    """good or bad where the votes tell, else near (an even vote), weak (outvoted) or short.
 
-    Furniture is bad whatever its words. That a page marks an article is a hint: blocks outside it need no look, and
-    within it few stop words alone don't make a block bad.
+    Furniture and blocks of links are bad whatever their words. Of other blocks from ``SHORT`` characters on, stop-word
+    density votes for or against, a length from ``LONG`` on for, and an article around it for. Outside the article that a
+    page marks, two votes stand against a block, and a short one is bad.
     """
-    if block.furniture or articles and not block.inside:
-        return "bad"
-    if block.linked > LINKS * len(block.text.replace(" ", "")):
+    if block.furniture or block.linked > LINKS * len(block.text.replace(" ", "")):
         return "bad"
+    place = 1 if block.inside else -2 if articles else 0
     if len(block.text) < SHORT:
-        return "short"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(map(stop_words.__contains__, words)) / max(1, len(words))
-    if stops >= STOP_HIGH:
-        return "good"
-    if stops >= STOP_LOW:
-        return "near"
-    return "weak" if block.inside else "bad"
+        return "bad" if place < 0 else "short"
+    stops, words = stop_count(block, stop_words)
+    share = stops / max(1, words)
+    votes = place + (len(block.text) >= LONG) + (1 if share >= STOP_HIGH else 0 if share >= STOP_LOW else -1)
+    return "good" if votes > 0 else "near" if votes == 0 else "weak"
+
+
+def seeded(found: list[Block], labels: list[str], stop_words: frozenset[str]) -> list[str]:
+    """Where no block of a page is good, its undecided block with the most stop words is; the first, if several have as many.
+
+    Where none has any, and all undecided ones are short, it is the longest.
+    """
+    open_ = [i for i, x in enumerate(labels) if x not in ("good", "bad")]
+    if "good" in labels or not open_:
+        return labels
+    counts = {i: stop_count(found[i], stop_words)[0] for i in open_}
+    best = max(open_, key=lambda i: (counts[i], len(found[i].text), -i))
+    if not counts[best] and any(labels[i] != "short" for i in open_):
+        return labels
+    return [*labels[:best], "good", *labels[best + 1 :]]
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[str]:
@@ -227,44 +242,22 @@ def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """The kept blocks of a page, joined by one space."""
     found = blocks(page or "")
     articles = any(b.inside and not b.furniture for b in found)
-    labels = second_pass(found, [first_pass(b, stop_words, articles) for b in found])
+    labels = second_pass(found, seeded(found, [first_pass(b, stop_words, articles) for b in found], stop_words))
     return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == "good")
 
 
-def frequent_words(pages: DataFrame, html_col: str = "html") -> frozenset[str]:
-    """Words that make up at least ``FREQUENT`` of all words of all pages: at most 1 / ``FREQUENT`` reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "html", SLICE_BYTES):
-            words: Counter[str] = Counter()
-            for page in batch.column("html").to_pylist():
-                for b in blocks(page):
-                    if not b.furniture:
-                        words.update(_WORD.findall(b.text.lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
-
-    src = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("html"))
-    counts = src.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    often = counts.join(F.broadcast(total), F.col("n") >= F.greatest(F.col("total") * FREQUENT, F.lit(LEAST)))
-    return frozenset(r["word"] for r in often.select("word").collect())
-
-
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stop_words: frozenset[str] | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars (code points).
 
-    Without ``stop_words`` they are the fixed list and the pages' own frequent words, for which the pages are read twice.
-
     A null or empty page, or one without main text, has an empty text. Any length is read whole; ids and urls may be
     null or repeated; an empty table gives no rows; other columns are not read.
     """
-    stops = STOP_WORDS | frequent_words(pages, html_col) if stop_words is None else stop_words
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html", SLICE_BYTES):
-            text = [main_text(x, stops) for x in batch.column("html").to_pylist()]
+            text = [main_text(x, stop_words) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
