@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.items import json_page
+from tallyloom.operators import frequent
 from tallyloom.operators import inspect as ins
 from tallyloom.operators.ordered import natural_order, ranked
 from tallyloom.plans.base import read, rounded, writer
@@ -23,6 +24,16 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
     return ins.top_values(read(spark, d, "part"), "p_type", ["p_partkey"])
 
 
+#: Columns of lineitem with few values, many, and one for nearly every row.
+FREQUENT = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+def frequent_values(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 most frequent values of lineitem's columns, those first met first among equals."""
+    li = read(spark, d, "lineitem")
+    return frequent.frequent_values(spark, li, list(FREQUENT), ["l_orderkey", "l_linenumber", "l_partkey"], writer(spark)).select("name", "place", "value", "n")
+
+
 def filter_conditions(spark: SparkSession, d: str) -> DataFrame:
     filters = [{"column": "o_orderstatus", "op": "ne", "value": "P"}, {"column": 5, "op": "not_empty"}, {"column": "o_orderpriority", "op": "contains", "value": "URGENT"}, {"column": "D", "op": "gt", "value": 1000}, {"column": "o_totalprice", "op": "lt", "value": "200000"}]
     return ins.where(read(spark, d, "orders"), filters).select("o_orderkey", "o_custkey")
@@ -76,7 +87,7 @@ def empty_values(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy("lang").agg(F.count_if(ins.condition(value, "empty", None)).alias("empty"), F.count_if(ins.condition(value, "not_empty", None)).alias("filled"))
 
 
-QUERIES = {f.__name__: f for f in (profile_columns, top_values, filter_conditions, filter_null_safe, group_stats, correlation, correlation_constant, duplicate_rows, rows_page, natural_sort, json_values, empty_values)}
+QUERIES = {f.__name__: f for f in (profile_columns, top_values, frequent_values, filter_conditions, filter_null_safe, group_stats, correlation, correlation_constant, duplicate_rows, rows_page, natural_sort, json_values, empty_values)}
 
 
 def _profile_sql(c: str, number: bool) -> str:
@@ -88,6 +99,7 @@ def _profile_sql(c: str, number: bool) -> str:
 ORACLES = {
     "profile_columns": " UNION ALL ".join(_profile_sql(c, n) for c, n in (("p_name", False), ("p_brand", False), ("p_size", True), ("p_retailprice", True))) + " UNION ALL " + _profile_sql("blank", True).replace("FROM part", "FROM (SELECT CASE WHEN p_size % 4 = 2 THEN p_size END AS blank FROM part)"),
     "top_values": "SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, min(p_partkey) LIMIT 25",
+    "frequent_values": " UNION ALL ".join(f"SELECT '{c}' AS name, place, value, n FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min((l_orderkey, l_linenumber, l_partkey)), CAST({c} AS VARCHAR)) AS place FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}) WHERE place <= 25" for c in FREQUENT),
     "filter_conditions": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus IS DISTINCT FROM 'P' AND o_orderdate IS NOT NULL AND contains(o_orderpriority, 'URGENT') AND o_totalprice > 1000 AND o_totalprice < 200000",
     "filter_null_safe": "SELECT doc_id, source FROM documents WHERE lang = 'de' AND source IS NOT NULL",
     "group_stats": "SELECT event_type, count(*) AS row_count, count(value) AS value_count, round(coalesce(sum(value), 0), 2) AS value_sum, round(avg(value), 4) AS value_mean, CAST(0 AS BIGINT) AS props_count, CAST(0 AS DOUBLE) AS props_sum FROM events GROUP BY event_type",
