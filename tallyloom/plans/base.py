@@ -18,17 +18,23 @@ def rounded(c: str | Column, places: int = 4) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 
 
-def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a frame to the folder in ``spark.checkpoint.dir`` and reads it back; only a local master gets one of its own."""
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the folder in ``spark.checkpoint.dir``; only a local master gets such a folder where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/tallyloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a frame to a path of its own and reads it back."""
+    scratch(spark)  # without a shared folder it fails here, not in the midst of the work
 
     def write(df: DataFrame) -> DataFrame:
-        path = f"{root}/tallyloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        path = scratch(spark)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

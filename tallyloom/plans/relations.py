@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ordered, relate, results
-from tallyloom.plans.base import read, rounded, writer
+from tallyloom.operators import digests, ordered, relate, results
+from tallyloom.plans.base import read, rounded, scratch, writer
 from tallyloom.sources import files
 from tallyloom.streaming import events as streams
 
@@ -159,6 +159,17 @@ def complete_groups(spark: SparkSession, d: str) -> DataFrame:
     return streams.complete_groups(done, expected, ["source", "lang"])
 
 
+def changed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against an edited copy, by digest trees: German ones end otherwise, French ones of over 800 characters are
+    gone, and English ones of over 2000 stand in it a second time, under a negative id."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("part"), "lang")
+    size = F.length("part")
+    edited = docs.where(~F.coalesce((F.col("lang") == "fr") & (size > 800), F.lit(False))).withColumn("part", F.when(F.col("lang") == "de", F.concat("part", F.lit("!"))).otherwise(F.col("part")))
+    more = docs.where((F.col("lang") == "en") & (size > 2000)).withColumn("id", -F.col("id") - 1)
+    old, new = (digests.build(df, scratch(spark)) for df in (docs, edited.unionByName(more)))
+    return digests.difference(spark, old, new)
+
+
 def latest_event(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as logs: assistant turns are texts, user turns sessions, empty ones errors, long user turns reads."""
     c, user = read(spark, d, "conversations"), F.col("role") == "user"
@@ -171,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         missing_pairs, prefix_assign, unique_path_resolve, positional_zip, label_join_diff, overlap_pairs, upsert_records, batch_islands, chunk_pages, first_dedup, visible_items, carried_sections,
-        stalled_rounds, renumbered, first_mismatch, set_equality, subset_violations, ordered_distinct, union_dedup, ref_closure, fingerprint, incremental_antijoin, complete_groups, latest_event,
+        stalled_rounds, renumbered, first_mismatch, set_equality, subset_violations, ordered_distinct, union_dedup, ref_closure, fingerprint, incremental_antijoin, complete_groups, latest_event, changed_documents,
     )
 }
 
@@ -218,6 +229,7 @@ ORACLES = {
         SELECT source, sha256(string_agg(part, ',' ORDER BY id)) AS digest FROM two GROUP BY source""",
     "incremental_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "complete_groups": "SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang HAVING count(DISTINCT doc_id) = count(DISTINCT doc_id) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels))",
+    "changed_documents": "SELECT doc_id AS id, CASE WHEN lang = 'de' THEN 'changed' ELSE 'gone' END AS change FROM documents WHERE lang = 'de' AND text IS NOT NULL OR lang = 'fr' AND length(text) > 800 UNION ALL SELECT -doc_id - 1, 'new' FROM documents WHERE lang = 'en' AND length(text) > 2000",
     "latest_event": r"""SELECT conv_id, sha256(coalesce(regexp_replace(string_agg(text || chr(10), chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL), '^\s+|\s+$', '', 'g'), '')) AS text, arg_max(CASE WHEN text IS NULL THEN 'empty ' || turn END, turn) FILTER (WHERE text IS NULL) AS error,
         arg_max('user' || turn, turn) FILTER (WHERE role = 'user') AS session, coalesce(bool_or(role = 'user' AND length(text) > 200), false) AS used_read FROM conversations GROUP BY conv_id""",
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import repair
 from tallyloom.functions.items import json_page
-from tallyloom.operators import frequent
+from tallyloom.operators import frequent, places
 from tallyloom.operators import inspect as ins
 from tallyloom.operators.ordered import natural_order, ranked
-from tallyloom.plans.base import read, rounded, writer
+from tallyloom.plans.base import read, rounded, scratch, writer
 
 
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +69,31 @@ def rows_page(spark: SparkSession, d: str) -> DataFrame:
     return ins.page(read(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 200, 100).select("o_orderkey", "o_custkey")
 
 
+def placed_page(spark: SparkSession, d: str) -> DataFrame:
+    """The same page by an index of places, with what it says of the whole."""
+    held = places.placed(read(spark, d, "orders"), ["o_orderdate", "o_orderkey"], scratch(spark))
+    return held.page(spark, 200, 100).select("place", "o_orderkey", "o_custkey", "total_rows", "next_offset")
+
+
+def placed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page of 200 orders by date and key: its rows, its first key, and the sum of its customers."""
+    held = places.placed(read(spark, d, "orders").select("o_orderdate", "o_orderkey", "o_custkey"), ["o_orderdate", "o_orderkey"], scratch(spark))
+    first = F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"]
+    return places.every_page(spark, held, 200, lambda rows: rows.groupBy("page").agg(F.count("*").alias("n"), first.alias("first_key"), F.sum("o_custkey").cast("long").alias("customers")))
+
+
+def mended_props(spark: SparkSession, d: str) -> DataFrame:
+    """Properties of events, damaged in one of five ways and mended: how many are whole again, their sum, and what was said."""
+    damage = [("}", ""), ('"', "'"), (":", ""), ("}", ",,}"), ("{", 'so: {"x": [1] ')]
+    at = F.col("event_id") % len(damage)
+    broken = F.col("props")
+    for i, (old, new) in enumerate(damage):
+        broken = F.when(at == i, F.replace("props", F.lit(old), F.lit(new))).otherwise(broken)
+    rows = read(spark, d, "events").select("event_type", at.alias("kind"), repair.mended_objects(broken).alias("m"))
+    k = F.try_variant_get(F.try_parse_json("m.json"), "$.k", "long")
+    return rows.groupBy("event_type", F.col("kind").cast("long").alias("kind")).agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.array_join(F.array_sort(F.collect_set(F.array_join("m.mended", ","))), ";").alias("said"))
+
+
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     """All dotted numbers of orders' lines with their place in natural order."""
     tasks = read(spark, d, "lineitem").select(F.concat_ws(".", F.col("l_orderkey"), F.col("l_linenumber")).alias("task")).distinct()
@@ -87,7 +113,7 @@ def empty_values(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy("lang").agg(F.count_if(ins.condition(value, "empty", None)).alias("empty"), F.count_if(ins.condition(value, "not_empty", None)).alias("filled"))
 
 
-QUERIES = {f.__name__: f for f in (profile_columns, top_values, frequent_values, filter_conditions, filter_null_safe, group_stats, correlation, correlation_constant, duplicate_rows, rows_page, natural_sort, json_values, empty_values)}
+QUERIES = {f.__name__: f for f in (profile_columns, top_values, frequent_values, filter_conditions, filter_null_safe, group_stats, correlation, correlation_constant, duplicate_rows, rows_page, placed_page, placed_pages, mended_props, natural_sort, json_values, empty_values)}
 
 
 def _profile_sql(c: str, number: bool) -> str:
@@ -107,6 +133,9 @@ ORACLES = {
     "correlation_constant": "SELECT count(value) AS pair_count, CAST(NULL AS DOUBLE) AS pearson FROM events",
     "duplicate_rows": "SELECT CAST(count(*) AS BIGINT) AS selected_rows, CAST(count(*) - count(DISTINCT (l_quantity, l_discount, l_returnflag)) AS BIGINT) AS duplicate_rows FROM lineitem",
     "rows_page": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100 OFFSET 200",
+    "placed_page": "SELECT place, o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total_rows, CASE WHEN (SELECT count(*) FROM orders) > 300 THEN CAST(300 AS BIGINT) END AS next_offset FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders) WHERE place BETWEEN 200 AND 299",
+    "placed_pages": "SELECT (place - 1) // 200 AS page, count(*) AS n, arg_min(o_orderkey, place) AS first_key, CAST(sum(o_custkey) AS BIGINT) AS customers FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders) GROUP BY 1",
+    "mended_props": """SELECT event_type, event_id % 5 AS kind, count(json_extract_string(props, '$.k')) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, CASE WHEN count(props) > 0 THEN CASE event_id % 5 WHEN 0 THEN 'bracket left open' WHEN 1 THEN 'other quotes' WHEN 2 THEN 'missing colon' WHEN 3 THEN 'extra comma' ELSE 'words before,missing comma' END ELSE '' END AS said FROM events GROUP BY event_type, event_id % 5""",
     "natural_sort": "SELECT task, row_number() OVER (ORDER BY major, minor) AS rank FROM (SELECT DISTINCT concat(l_orderkey, '.', l_linenumber) AS task, l_orderkey AS major, l_linenumber AS minor FROM lineitem)",
     "json_values": "SELECT event_type, json_keys(props)[1] AS field, CAST(len(json_keys(props)) AS BIGINT) AS fields, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2, 3",
     "empty_values": r"WITH v AS (SELECT lang, text IS NULL OR doc_id % 3 = 0 OR NOT regexp_matches(text, '\S') AS bare FROM documents) SELECT lang, CAST(count(*) FILTER (WHERE bare) AS BIGINT) AS empty, CAST(count(*) FILTER (WHERE NOT bare) AS BIGINT) AS filled FROM v GROUP BY lang",

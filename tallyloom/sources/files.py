@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.repair import mended_objects, mended_values
 from tallyloom.functions.text import stripped
 
 NUMERALS = "一二三四五六七八九十"
@@ -72,12 +73,24 @@ def log_summary(events: DataFrame) -> DataFrame:
 BEGIN, END = "BEGIN_JUDGMENT", "END_JUDGMENT"
 
 
-def json_block(c: Column) -> Column:
-    """The JSON document of an answer, or null: between marker lines, else between markers anywhere, else the whole text; without its code fence."""
+def block_text(c: Column) -> Column:
+    """Where an answer's document stands: between marker lines, else between markers anywhere, else the whole text; without its code fence."""
     lines = F.nullif(F.regexp_extract(c, rf"(?ms)^[ \t]*{BEGIN}[ \t]*\r?\n(.*?)^[ \t]*{END}[ \t]*\r?$", 1), F.lit(""))
     anywhere = F.nullif(F.regexp_extract(c, rf"(?s){BEGIN}\s*(.*?)\s*{END}", 1), F.lit(""))
-    body = F.regexp_replace(F.coalesce(lines, anywhere, c), r"^\s+|\s+$", "")
-    return F.try_parse_json(F.regexp_replace(body, r"(?i)^```(?:json)?\s*|\s*```$", ""))
+    return F.regexp_replace(stripped(F.coalesce(lines, anywhere, c)), r"(?i)^```(?:json)?\s*|\s*```$", "")
+
+
+def json_block(c: Column, lists: bool = False) -> Column:
+    """The JSON document of an answer, or null: an object, or a list too where ``lists`` allows one."""
+    found = F.try_parse_json(block_text(c))
+    kind = F.schema_of_variant(found)
+    return F.when(kind.startswith("OBJECT") | (kind.startswith("ARRAY") if lists else F.lit(False)), found)
+
+
+def mended_block(c: Column, lists: bool = False) -> Column:
+    """json and mended of an answer whose document may be damaged: see ``functions.repair``."""
+    return (mended_values if lists else mended_objects)(block_text(c))
+
 
 def newest(files: DataFrame, keys: list[str], k: int) -> DataFrame:
     return files.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("modified_at"), "file"))).where(F.col("nth") <= k).drop("nth")

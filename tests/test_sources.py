@@ -87,6 +87,8 @@ def test_event_logs(spark, tmp_path):
     answers = spark.createDataFrame([("x BEGIN_JUDGMENT {\"a\": 1} END_JUDGMENT y",), ("```json\n{\"a\": 2}\n```",), ("{\"a\": 3}",), ("none",), ("say BEGIN_JUDGMENT and END_JUDGMENT\nBEGIN_JUDGMENT\n```json\n{\"a\": 4}\n```\nEND_JUDGMENT\n",)], "x string")
     got = [r.a for r in answers.select(F.try_variant_get(files.json_block(F.col("x")), "$.a", "int").alias("a")).collect()]
     assert got == [1, 2, 3, None, 4]
+    odd = spark.createDataFrame([("[1]",), ("BEGIN_JUDGMENT {'a': [1 2] END_JUDGMENT",)], "x string").select(files.json_block(F.col("x")).isNull().alias("none"), files.json_block(F.col("x"), True).isNull().alias("no_list"), files.mended_block(F.col("x"))["json"].alias("m")).collect()
+    assert [tuple(r) for r in odd] == [(True, False, None), (True, True, '{"a": [1, 2]}')]
 
 
 def test_streams(spark, tmp_path):
