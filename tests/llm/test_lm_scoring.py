@@ -16,7 +16,7 @@ def split(text):
 
 
 def brute(rows):
-    docs = [(i, split(t), zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, zlib.crc32((t or "").encode()) % lm.DEV == 0) for i, t in rows]
+    docs = [(i, split(t), zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, bool((t or "").encode().strip()) and zlib.crc32((t or "").encode()) % lm.DEV == 0) for i, t in rows]
 
     def ngrams(chosen):
         one, two = Counter(), Counter()
@@ -93,6 +93,14 @@ def test_empty_tables_and_tables_without_a_fold(spark):
     compare(lm.score_documents(spark, spark.createDataFrame([(9, None)], "doc_id long, text string")), [(9, None)])
 
 
+def test_many_empty_texts_teach_nothing(spark):
+    words = [(i, "word " * 50 + f"{i % 3}") for i in range(40)]
+    rows = [(i + 1000, None if i % 2 else " ") for i in range(400)] + words
+    df = lm.score_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    compare(df, rows)
+    assert all(r.score > r.base_score for r in df.where("doc_id < 1000").collect())
+
+
 def test_one_very_long_word_and_copies_of_one_row(spark, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_BYTES", 4096)
     rows = [(1, "x" * 300_000), (2, "y " + "z" * 100_000)] + [(None, "same text in a third of all rows")] * 40 + [(i, f"text {i} of others") for i in range(10, 60)]
@@ -103,4 +111,5 @@ def test_one_very_long_word_and_copies_of_one_row(spark, monkeypatch):
 def test_a_fold_of_documents_keeps_copies_on_one_side():
     # With the copy of a text among the counts the bigrams would explain it; the fold goes by the text itself.
     assert len({lm.is_dev(b"a text that occurs often") for _ in range(9)}) == 1
+    assert not lm.is_dev(b"") and not any(lm.is_dev(b" " * i + b"\n") for i in range(99))
     assert 50 < sum(lm.is_dev(str(i).encode()) for i in range(1000)) < 250
