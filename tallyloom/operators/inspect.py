@@ -76,6 +76,9 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min("n").alias("min_value"),
         F.max("n").alias("max_value"),
     )
+    # A table without rows has its columns too.
+    names = df.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(columns)], "name string")
+    out = names.join(out, "name", "left").fillna(0, ["nonempty", "empty", "distinct_values", "numeric_count", "noninteger_count"])
     out = out.withColumn("duplicate_nonempty", F.col("nonempty") - F.col("distinct_values"))
     return out.withColumn("mean_value", F.try_divide("sum_value", "numeric_count"))
 
@@ -86,13 +89,30 @@ def top_values(df: DataFrame, column: str, order_cols: list[str], k: int = 25) -
     return df.where(~is_empty(F.col(column))).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"), first).orderBy(F.desc("n"), "first").limit(k).drop("first")
 
 
-def group_stats(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Per group (null is one): rows, and of each column the numeric count, sum (0 of none) and mean (null of none)."""
+def top_lists(df: DataFrame, columns: list[str], order_cols: list[str], k: int = 25) -> DataFrame:
+    """(name, top_values): of each column its ``k`` most frequent nonempty values as text with their counts, as ``top_values``.
+
+    Values meet by value, their counts in a window that each task begins with its own ``k``.
+    """
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("cell"), F.struct(*order_cols).alias("at")).select("cell.*", "at")
+    counted = cells.where(~is_empty(F.col("value"))).groupBy("name", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "first", "value"))
+    best = counted.withColumn("place", place).where(F.col("place") <= k).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("best"))
+    return best.select("name", F.transform("best", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"))
+
+
+def group_stats(df: DataFrame, key: str, columns: list[str], order_cols: list[str] = ()) -> DataFrame:
+    """Per group (null is one): rows, and of each column the numeric count, sum (0 of none) and mean (null of none).
+
+    With ``order_cols``, groups come in the order in which they first appear.
+    """
     aggs = [F.count("*").alias("row_count")]
     for c in columns:
         n = numeric(F.col(c))
         aggs += [F.count(n).alias(f"{c}_count"), F.coalesce(F.sum(n), F.lit(0.0)).alias(f"{c}_sum"), F.avg(n).alias(f"{c}_mean")]
-    return df.groupBy(key).agg(*aggs)
+    if not order_cols:
+        return df.groupBy(key).agg(*aggs)
+    return df.groupBy(key).agg(*aggs, F.min(F.struct(*order_cols)).alias("first_")).orderBy("first_").drop("first_")
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -129,11 +149,39 @@ def inspect(df: DataFrame, request: dict, order_cols: list[str], headers: list[s
     if operation == "rows":
         return paged(rows, order_cols, int(request.get("offset", 0)), int(request.get("limit", 100)))
     if operation in ("summary", "stats"):
-        return profile(rows, names(request.get("columns", headers)))
+        columns = names(request.get("columns", headers))
+        best = top_lists(rows, columns, order_cols)
+        return profile(rows, columns).join(best, "name", "left").withColumn("top_values", F.coalesce("top_values", F.array().cast(best.schema["top_values"].dataType)))
     if operation == "correlation":
         return correlation(rows, *names([request["x"], request["y"]]))
     if operation == "group":
-        return group_stats(rows, *names([request["group_by"]]), names(request.get("columns", [])))
+        return group_stats(rows, *names([request["group_by"]]), names(request.get("columns", [])), order_cols)
     if operation == "duplicates":
-        return duplicate_rows(rows)
+        return duplicate_rows(rows.select(*headers))
     raise ValueError(f"unsupported operation {operation!r}")
+
+
+def answer(df: DataFrame, request: dict, order_cols: list[str], headers: list[str] | None = None, header_row: int = 1) -> DataFrame:
+    """One row: headers, header_row, selected_rows and duplicate_rows (among the header's columns), which every answer
+    begins with, and ``result``, the rows of ``inspect`` as structs in their order.
+
+    Columns of a profile come in the order of the request, groups in that of their first rows, rows in that of the page.
+    """
+    headers = headers or df.columns
+    selected = duplicate_rows(where(df, request.get("filters", []), headers).select(*headers))
+    found = inspect(df, request, order_cols, headers)
+    operation = request.get("operation", "summary")
+    if operation in ("summary", "stats"):
+        wanted = [resolve(c, headers) for c in request.get("columns", headers)]
+        at = F.array_position(F.array(*map(F.lit, wanted)), F.col("name"))
+    elif operation == "group":
+        first = where(df, request.get("filters", []), headers).groupBy(resolve(request["group_by"], headers)).agg(F.min(F.struct(*order_cols)).alias("first_"))
+        key = resolve(request["group_by"], headers)
+        found = found.join(first.withColumnRenamed(key, "key_"), F.col(key).eqNullSafe(F.col("key_"))).drop("key_")
+        at = F.col("first_")
+    else:
+        at = F.struct(*order_cols) if operation == "rows" else F.lit(0)
+    shown = [c for c in found.columns if c not in ("first_", "total_rows")]
+    # An answer is a page, a column's or a group's line each: what a reader can take in, gathered in one row.
+    whole = found.agg(F.array_sort(F.collect_list(F.struct(at.alias("at_"), F.struct(*shown).alias("row_")))).alias("r")).select(F.transform("r", lambda x: x["row_"]).alias("result"))
+    return selected.join(F.broadcast(whole)).select(F.array(*map(F.lit, headers)).alias("headers"), F.lit(header_row).alias("header_row"), "selected_rows", "duplicate_rows", "result")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import items, text
 from tallyloom.operators import contract, inspect, review, validate
 from tallyloom.plans.base import read
-from tallyloom.sources import files, material, office
+from tallyloom.sources import deliveries, files, material, office
 
 
 def discovered_files(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,32 @@ def discovered_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select("task", F.col("dimension").cast("long").alias("dimension"), "dimension_name", "task_name", "rest")
 
 
+def owned_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as files of their customers: who owns each by its name or folder, and how many prefixes match."""
+    return deliveries.owned(_order_files(spark, d), _subjects(spark), ["x"]).select("task", "path", "matches", "owner")
+
+
+def delivery_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with customers' folders of orders: no question or rubric, files of several subjects, no delivery of one."""
+    files_ = _order_files(spark, d)
+    found = deliveries.delivery_violations(files_, deliveries.owned(files_, _subjects(spark), ["x"]), _subjects(spark))
+    return found.groupBy("entity", "rule").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+def _subjects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("alpha", "A"), ("beta", "b"), ("gamma", "BB")], "id string, prefix string")
+
+
+def _order_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file per order in its customer's folder: by price under a folder, by priority with a prefix; the cheapest are
+    questions and rubrics, those of state P temporary."""
+    cents = F.floor(F.col("o_totalprice")).cast("long")
+    folder = F.element_at(F.array(*map(F.lit, ("a-x/", "Bb/sub/", "x1/", "", "c/"))), (cents % 5 + 1).cast("int"))
+    name = F.concat(F.when(F.col("o_orderstatus") == "P", "~$").otherwise(""), F.element_at(F.array(*map(F.lit, ("a", "B", "bb", "s", "X"))), F.left("o_orderpriority", F.lit(1)).cast("int")), F.col("o_orderkey"), F.lit(".txt"))
+    path = F.when(cents % 11 == 0, deliveries.QUESTION).when(cents % 11 == 1, deliveries.RUBRIC).otherwise(F.concat(folder, name))
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("task"), path.alias("path"))
+
+
 def process_rows(spark: SparkSession, d: str) -> DataFrame:
     """Customers as rows of a process sheet, their columns as cells; the labels of some are mapped to tasks."""
     c = read(spark, d, "customer")
@@ -193,11 +219,15 @@ def loss_briefs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        discovered_files, process_rows, worksheet_cells, answer_documents, newest_events, permanent_failures, corrected_balances, correction_problems, lowered_states, quote_problems, accounted_items, review_problems, count_targets, time_reviews, mentioned_ids, blank_rows,
+        discovered_files, process_rows, worksheet_cells, answer_documents, newest_events, permanent_failures, corrected_balances, correction_problems, lowered_states, quote_problems, accounted_items, review_problems, owned_deliveries, delivery_problems, count_targets, time_reviews, mentioned_ids, blank_rows,
         page_evidence, located_text, repeated_records, error_problems, loss_briefs,
     )
 }
 
+_OWNED = """f AS (SELECT o_custkey AS task, CASE CAST(floor(o_totalprice) AS BIGINT) % 11 WHEN 0 THEN '问题描述.txt' WHEN 1 THEN 'rubric.md' ELSE ['a-x/', 'Bb/sub/', 'x1/', '', 'c/'][CAST(floor(o_totalprice) AS BIGINT) % 5 + 1] || CASE WHEN o_orderstatus = 'P' THEN '~$' ELSE '' END || ['a', 'B', 'bb', 's', 'X'][CAST(left(o_orderpriority, 1) AS INT)] || o_orderkey || '.txt' END AS path FROM orders),
+    n AS (SELECT task, path, lower(regexp_extract(path, '[^/]*$')) AS name, lower(string_split(path, '/')[1]) AS first FROM f WHERE path NOT IN ('问题描述.txt', 'rubric.md')),
+    o AS (SELECT task, path, list_filter(['alpha', 'beta', 'gamma'], lambda s: starts_with(name, CASE s WHEN 'alpha' THEN 'a' WHEN 'beta' THEN 'b' ELSE 'bb' END) OR starts_with(first, CASE s WHEN 'alpha' THEN 'a' WHEN 'beta' THEN 'b' ELSE 'bb' END)) AS ids FROM n WHERE NOT starts_with(name, '~$') AND NOT starts_with(name, 'x') AND NOT starts_with(first, 'x'))"""
+
 ORACLES = {
     "discovered_files": """SELECT substr(o_orderpriority, 1, 1) || '.' || o_orderkey AS task, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS dimension, substr(o_orderpriority, 3) AS dimension_name, o_orderstatus AS task_name, 'f' || o_custkey || '.txt' AS rest FROM orders WHERE o_custkey % 7 <> 0""",
     "process_rows": """WITH c AS (SELECT c_custkey AS row, CASE WHEN c_nationkey < 5 THEN c_name ELSE c_nationkey || '.' || c_custkey END AS task_label, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS runtime FROM customer WHERE c_custkey >= 5)
@@ -213,6 +243,12 @@ ORACLES = {
     "lowered_states": """WITH l AS (SELECT DISTINCT ON (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) CAST(round(l_tax * 100) AS BIGINT) AS t, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem) SELECT d / 100 AS old, t || '/100' AS state, count(*) AS n FROM l WHERE t < d GROUP BY ALL""",
     "quote_problems": r"""WITH q AS (SELECT doc_id, source, regexp_replace(CASE WHEN lang = 'de' THEN reverse(substr(text, 20, 60)) ELSE substr(text, 20, 60) END, '\s+', '', 'g') AS q, regexp_replace(text, '\s+', '', 'g') AS t FROM documents WHERE length(text) > 100)
         SELECT doc_id AS id, CASE WHEN source = 'src1' THEN 'none' ELSE CAST(doc_id AS VARCHAR) END AS file FROM q WHERE coalesce(source = 'src1', false) OR NOT contains(t, q)""",
+    "owned_deliveries": f"""WITH {_OWNED} SELECT task, path, CAST(len(ids) AS BIGINT) AS matches, CASE len(ids) WHEN 0 THEN 'source' WHEN 1 THEN ids[1] END AS owner FROM o""",
+    "delivery_problems": f"""WITH {_OWNED}, t AS (SELECT task, max(path = '问题描述.txt') AS q, max(path = 'rubric.md') AS r FROM f GROUP BY task),
+        v AS (SELECT 'task' AS entity, CAST(task AS VARCHAR) AS key, 'no question' AS rule FROM t WHERE NOT q UNION ALL SELECT 'task', CAST(task AS VARCHAR), 'no rubric' FROM t WHERE NOT r
+        UNION ALL SELECT 'file', task || '/' || path, 'several subjects' FROM o WHERE len(ids) > 1
+        UNION ALL SELECT 'task', t.task || '/' || s, 'no delivery' FROM t, (SELECT unnest(['alpha', 'beta', 'gamma']) AS s) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.task = t.task AND len(ids) = 1 AND ids[1] = s))
+        SELECT entity, rule, count(*) AS n, count(DISTINCT key) AS keys FROM v GROUP BY ALL""",
     "accounted_items": r"""WITH c AS (SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity < 8 AND l_linenumber < 6 THEN CASE WHEN l_tax > 0.075 THEN -2 WHEN round(l_tax * 100) < 1 THEN -3 ELSE round(l_tax * 100) END ELSE 1 END AS k FROM lineitem),
         g AS (SELECT id, count(*) AS n, floor(count(*) * 1.5) AS d, sum(k) AS total, arg_min(k, n) FILTER (WHERE k < 0) AS bad FROM c GROUP BY id),
         a AS (SELECT g.*, CASE WHEN o_orderstatus = 'P' OR o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 0 WHEN n = d THEN 1 ELSE 2 END AS asked FROM g JOIN orders ON o_orderkey = id),
