@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,20 +53,32 @@ def label_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
 def overlaps(boxes: DataFrame, group: str, least: float = 0.4) -> DataFrame:
     """Pairs of boxes of one group whose common area is more than ``least`` of the smaller one.
 
-    A group's plane is cut into cells as large as its largest box, so that a box lies in four at most, on average; boxes
-    meet in cells, and a pair counts in the one that holds the first corner of its common area.
+    A box's level is the power of two that its longer side fits into. On the plane of each level there are cells of that
+    size, so that a box lies in four at most; it lies once among the boxes of its own level, and once for each of the
+    group's higher levels among those that these may meet. So a large box makes no large cells for small ones. A pair
+    counts on the higher level of the two, in the cell that holds the first corner of its common area.
     """
-    most = boxes.groupBy(group).agg(F.max("width").alias("w_"), F.max("height").alias("h_")).where("w_ > 0 and h_ > 0")
-    cell = lambda at, size: F.floor(at / F.col(size)).cast("long")
-    upto = lambda start, length, size: F.explode(F.sequence(cell(F.col(start), size), cell(F.col(start) + F.col(length), size)))
-    placed = boxes.join(most, group).withColumn("x_", upto("left", "width", "w_")).withColumn("y_", upto("top", "height", "h_"))
-    a, b = placed.alias("a"), placed.alias("b")
-    side = lambda start, size: F.greatest(F.lit(0.0), F.least(F.col(f"a.{start}") + F.col(f"a.{size}"), F.col(f"b.{start}") + F.col(f"b.{size}")) - F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}")))
+    level = F.ceil(F.log2(F.greatest("width", "height"))).cast("int")
+    sized = boxes.where("width > 0 and height > 0").withColumn("level_", level)
+    levels = sized.groupBy(F.col(group).alias("group_")).agg(F.array_sort(F.collect_set("level_")).alias("levels_"))
+
+    def placed(df: DataFrame, at: str, name: str) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col(at))
+        cells = lambda start, length: F.explode(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor((F.col(start) + F.col(length)) / size).cast("long")))
+        laid = df.withColumn("x_", cells("left", "width")).withColumn("y_", cells("top", "height"))
+        return laid.select(F.struct("id", "left", "top", "width", "height", "level_").alias(name), F.col(group).alias("g_"), F.col(at).alias("at_"), "x_", "y_")
+
+    own = placed(sized, "level_", "a")
+    # At most as many levels as sizes have binary orders.
+    lower = sized.join(levels, F.col(group).eqNullSafe(F.col("group_"))).withColumn("at_", F.explode(F.filter("levels_", lambda x: x >= F.col("level_")))).drop("levels_", "group_")
+    both = own.join(placed(lower, "at_", "b"), ["g_", "at_", "x_", "y_"]).where((F.col("b.level_") < F.col("a.level_")) | (F.col("a.id") < F.col("b.id")))
+    start = lambda c: F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}"))
+    side = lambda c, size: F.greatest(F.lit(0.0), F.least(F.col(f"a.{c}") + F.col(f"a.{size}"), F.col(f"b.{c}") + F.col(f"b.{size}")) - start(c))
     area = lambda x: F.col(f"{x}.width") * F.col(f"{x}.height")
-    both = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.x_") == F.col("b.x_")) & (F.col("a.y_") == F.col("b.y_")) & (F.col("a.id") < F.col("b.id")))
-    corner = lambda start, size, c: F.floor(F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}")) / F.col(f"a.{size}")).cast("long") == F.col(f"a.{c}")
+    corner = lambda c, cell: F.floor(start(c) / F.pow(F.lit(2.0), F.col("at_"))).cast("long") == F.col(cell)
     share = F.try_divide(side("left", "width") * side("top", "height"), F.least(area("a"), area("b")))
-    return both.where(corner("left", "w_", "x_") & corner("top", "h_", "y_")).select(F.col(f"a.{group}").alias(group), F.col("a.id").alias("first"), F.col("b.id").alias("second"), share.alias("share")).where(F.col("share") > least)
+    found = both.where(corner("left", "x_") & corner("top", "y_")).select(F.col("g_").alias(group), F.least("a.id", "b.id").alias("first"), F.greatest("a.id", "b.id").alias("second"), share.alias("share"))
+    return found.where(F.col("share") > least)
 
 
 def upsert(records: DataFrame, patches: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -93,14 +107,15 @@ def closure(spark: SparkSession, edges: DataFrame, write) -> DataFrame:
 
     Only pairs found in the last round are extended, so that the work is that of the new pairs; cycles end by themselves.
     """
-    found = write(edges.select("start", "node").distinct())
-    fresh = found
+    rounds = [write(edges.select("start", "node").distinct())]
     step = edges.select(F.col("start").alias("node"), F.col("node").alias("next"))
     while True:
-        fresh = write(fresh.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(found, ["start", "node"], "left_anti"))
-        if not fresh.limit(1).count():
+        # Each round's pairs are written once; what is known is the union of all rounds.
+        found = reduce(DataFrame.unionByName, rounds)
+        fresh = write(rounds[-1].join(step, "node").select("start", F.col("next").alias("node")).distinct().join(found, ["start", "node"], "left_anti"))
+        if fresh.isEmpty():
             return found
-        found = write(found.unionByName(fresh))
+        rounds.append(fresh)
 
 
 def fingerprints(parts: DataFrame, keys: list[str], fan: int = 1024) -> DataFrame:
