@@ -80,8 +80,10 @@ def unsupported_numbers(prose: DataFrame, authorised: DataFrame, text_col: str =
     token = token.join(given, "token", "left_anti")
     number = lambda c: F.when(F.length(F.substring_index(c, ".", 1)) < 24, c.try_cast("decimal(38,12)"))
     value = given.select(number(F.col("token")).alias("value")).where("value is not null").distinct()
-    shades = value.select(F.explode(F.array(F.struct(F.lit(-1).alias("places"), F.col("value").alias("number")), *(F.struct(F.lit(p).alias("places"), F.round("value", p).cast("decimal(38,12)").alias("number")) for p in range(1, places + 1)))).alias("s")).select("s.places", "s.number").distinct()
     decimals = F.length(F.regexp_extract("token", r"\.(\d+)$", 1))
+    # Of all roundings only those to as many places as some token has can be met.
+    asked = sorted(r["n"] for r in token.select(decimals.alias("n")).distinct().where(F.col("n").between(1, places)).collect())
+    shades = value.select(F.explode(F.array(F.struct(F.lit(-1).alias("places"), F.col("value").alias("number")), *(F.struct(F.lit(p).alias("places"), F.round("value", p).cast("decimal(38,12)").alias("number")) for p in asked))).alias("s")).select("s.places", "s.number").distinct()
     tried = token.withColumn("number", number(F.col("token"))).withColumn("places", F.explode(F.array(F.lit(-1), decimals)))
     found = tried.join(shades, ["places", "number"], "left_semi").select("token").distinct()
     return token.join(found, "token", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import items, numbers
-from tallyloom.operators import resolve, results, scopes, validate
+from tallyloom.operators import report, resolve, results, scopes, validate
 from tallyloom.plans.base import read, rounded
 from tallyloom.sources import config, rubric
 
@@ -100,6 +100,16 @@ def difference_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sides.select("l_orderkey", told.alias("told"))
 
 
+def ceiling_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What the errors of an order's suppliers did to its three flags' sums: lines of high tax are errors, discounts ceilings."""
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("metric"), "l_tax", "l_discount", F.col("l_quantity").cast("decimal(9,2)").alias("q"))
+    errors = li.groupBy("task", "subject", "pos").agg((F.max("l_tax") > 0.05).alias("triggered")).withColumn("id", F.concat(F.lit("E"), "pos"))
+    atoms = F.array_sort(F.collect_set(F.when(F.col("l_discount") > 0.08, F.concat(F.lit("A"), "pos"))))
+    scores = li.groupBy("task", "subject", "metric").agg(F.sum("q").alias("raw"), (F.sum("q") / 2).cast("decimal(12,4)").alias("final"), (F.max("l_discount") > 0.06).alias("capped"), atoms.alias("atoms"))
+    scoped = F.when(F.size("atoms") > 0, F.array(F.struct("atoms", F.lit("0").alias("ceiling")))).otherwise(F.array().cast("array<struct<atoms:array<string>,ceiling:string>>"))
+    return report.ceiling_notes(scores.withColumn("scoped", scoped).withColumn("name", F.concat(F.lit("S|"), "subject")), errors, {"N": "nn", "A": "aa", "R": "rr"})
+
+
 def summary_lines(spark: SparkSession, d: str) -> DataFrame:
     """Rows of priorities' tables: quantities of an order by return flag."""
     li = read(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("metric")).agg(F.sum(F.col("l_quantity").cast("decimal(9,2)")).alias("final"))
@@ -243,7 +253,7 @@ def ratio_texts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        item_verdicts, claim_labels, answer_envelopes, json_digests, patch_conflicts, completed_records, stored_scores, shared_samples, counting_notes, difference_sentences, summary_lines, claim_scopes, process_of_tasks, marked_lines,
+        item_verdicts, claim_labels, answer_envelopes, json_digests, patch_conflicts, completed_records, stored_scores, shared_samples, counting_notes, difference_sentences, ceiling_notes, summary_lines, claim_scopes, process_of_tasks, marked_lines,
         selection_problems, rubric_ceilings, resolution_problems, unsupported_numbers, witness_outcomes, config_problems, task_codes, allowed_files, resumable_work, silent_runs, halved_scopes, decision_problems, ratio_texts,
     )
 }
@@ -276,6 +286,11 @@ ORACLES = {
         t AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A') AS na, count(*) FILTER (WHERE l_returnflag = 'R') AS nr FROM lineitem GROUP BY l_orderkey),
         e AS (SELECT t.*, coalesce(x.told, CASE WHEN t.l_orderkey % 2 = 0 THEN 'seen' ELSE '本项满足规则' END) AS ta, coalesce(y.told, CASE WHEN t.l_orderkey % 2 = 0 THEN 'seen' ELSE '本项满足规则' END) AS tr FROM t LEFT JOIN s x ON x.l_orderkey = t.l_orderkey AND x.flag = 'A' LEFT JOIN s y ON y.l_orderkey = t.l_orderkey AND y.flag = 'R')
         SELECT e.l_orderkey, coalesce(g.told, 'A：' || ta || '；R：' || tr || CASE WHEN na > 0 AND nr > 0 THEN '。具体核验清单和判定见下文。' ELSE '。' END) AS told FROM e LEFT JOIN g ON g.l_orderkey = e.l_orderkey""",
+    "ceiling_notes": r"""WITH e AS (SELECT l_orderkey AS task, l_suppkey AS subject, l_linenumber AS pos FROM lineitem GROUP BY ALL HAVING max(l_tax) > 0.05), i AS (SELECT task, subject, string_agg('E' || pos, '、' ORDER BY pos) AS ids FROM e GROUP BY ALL),
+        s AS (SELECT l_orderkey AS task, l_suppkey AS subject, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS o, CAST(sum(CAST(l_quantity AS DECIMAL(9,2))) AS DECIMAL(12,2)) AS raw, max(l_discount) > 0.06 AS capped, list_sort(list(DISTINCT 'A' || l_linenumber) FILTER (WHERE l_discount > 0.08)) AS atoms FROM lineitem GROUP BY l_orderkey, l_suppkey, l_returnflag),
+        c AS (SELECT task, subject, 0 AS kind, o, ['nn', 'aa', 'rr'][o] || ' ' || raw || ' → ' || CAST(CAST(raw * 50 AS BIGINT) / 100 AS DECIMAL(12,2)) AS t FROM s WHERE capped OR atoms IS NOT NULL UNION ALL SELECT task, subject, 1, o, ['nn', 'aa', 'rr'][o] || '仅对 ' || array_to_string(atoms, '、') || ' 应用局部上限 0' FROM s WHERE atoms IS NOT NULL),
+        g AS (SELECT task, subject, string_agg(t, '；' ORDER BY kind, o) AS t FROM c GROUP BY ALL)
+        SELECT i.task, i.subject, '- S\|' || i.subject || '：触发 ' || ids || '；' || coalesce(t, '') || '。具体依据见该对象的关键错误与封顶记录。' AS line FROM i LEFT JOIN g ON i.task = g.task AND i.subject = g.subject""",
     "summary_lines": """WITH q AS (SELECT l_orderkey, l_returnflag AS m, CAST(CAST(sum(l_quantity) AS DECIMAL(12,2)) AS VARCHAR) AS q FROM lineitem GROUP BY ALL)
         SELECT l_orderkey, '| ' || any_value(o_orderpriority) || ' | ' || l_orderkey || ' | ' || coalesce(max(q) FILTER (WHERE m = 'N') || '%', '') || ' | ' || coalesce(max(q) FILTER (WHERE m = 'A'), '') || ' | ' || coalesce(max(q) FILTER (WHERE m = 'R'), '') || ' |' AS line FROM q JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""",
     "claim_scopes": r"""WITH s AS (SELECT doc_id, trim(regexp_replace(trim(replace(text, '.', '。'), ' '), '\s+', ' ', 'g'), ' ') AS s FROM documents WHERE lang = 'de'), h AS (SELECT doc_id, s, left(s, 500) AS head FROM s), e AS (SELECT *, length(regexp_extract(head, '(?s)^(.*[。；])', 1)) AS stop FROM h),
