@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +15,8 @@ from tallyloom.llm import pretokens
 from tallyloom.llm.common import by_bytes, stored, table, texts
 
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 100_000
+#: Words whose ids a task keeps; they go with the task.
+CACHE_WORDS = 400_000
 SHARD_ROWS = 4096
 
 
@@ -62,14 +62,9 @@ class WordIds:
         return self.pool[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
 
 
-@functools.lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
-def token_ids(docs: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each whole text, without added special tokens, as the library gives them."""
-    pool, tok = _word_ids(path), pretokens.library(path)
+def token_ids(docs: list[str], path: str, pool: WordIds | None = None) -> list[np.ndarray]:
+    """Ids of each whole text, without added special tokens, as the library gives them; ``pool`` keeps those of words."""
+    pool, tok = pool or WordIds(path), pretokens.library(path)
     special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
     # Texts with special strings are rare: the library takes them whole.
     split = [None if "<|" in x and any(s in x for s in special) else pretokens.words(x, path) for x in docs]
@@ -86,9 +81,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     schema = T.StructType([src.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = WordIds(tokenizer)
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(token_ids(texts(batch), tokenizer)):
+            for i, ids in enumerate(token_ids(texts(batch), tokenizer, pool)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
