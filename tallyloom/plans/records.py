@@ -121,7 +121,9 @@ def accounted_items(spark: SparkSession, d: str) -> DataFrame:
     light = F.col("l_quantity") < 8
     count = F.when(light, F.when(F.col("l_tax") > 0.075, "some").otherwise(F.concat(F.lit(" "), F.round(F.col("l_tax") * 100).cast("long"), F.lit("\n"))))
     item = F.struct(members.alias("members"), count.alias("count"), F.when(light, validate.INSPECTED).alias("method"), F.lit("all").alias("scope"), F.when(F.col("l_linenumber") < 6, "here").otherwise("").alias("location"), F.col("l_linenumber").alias("nth"))
-    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", item.alias("item")))).alias("items"), F.count("*").alias("n"))
+    # Of light lines of one number the one that comes first in the table is named.
+    row = F.when(light, F.struct("_metadata.file_path", "_metadata.row_index"))
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row"), item.alias("item")))).alias("items"), F.count("*").alias("n"))
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "BIN").when(F.col("o_orderstatus") == "O", "RATIO").otherwise("CLAIM-RATIO").alias("kind"), F.when(F.col("o_orderpriority") == "1-URGENT", "min(n/5, 1)").otherwise("n").alias("rule"))
     rows = lines.withColumn("items", F.transform("items", lambda x: x["item"])).join(o, "id").withColumn("denominator", F.floor(F.col("n") * 1.5))
     return validate.accounting(rows)
