@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
-from tallyloom.functions.text import stripped
+from tallyloom.functions.text import SPACES, stripped
 from tallyloom.operators.ordered import numbered
 from tallyloom.operators.relate import violations
 from tallyloom.operators.review import witness_check
@@ -32,18 +32,19 @@ def resolution_violations(findings: DataFrame, known: DataFrame, contested: Data
     return out
 
 
-def completed(corrections: DataFrame, records: DataFrame) -> DataFrame:
+def completed(corrections: DataFrame, records: DataFrame, spaces: str = SPACES) -> DataFrame:
     """Corrections made whole: id, state, numerator, denominator, reason, observation, evidence, retained, note.
 
     One that says it changes nothing, and has the former state and operands, is replaced by the former record. A short
-    reason or observation is lengthened by the other where both together say enough and there is evidence.
+    reason or observation is lengthened by the other where both together say enough and there is evidence. ``spaces``
+    don't count at the ends of the two.
     """
     old = records.select("id", *(F.col(c).alias(f"{c}_old") for c in ("state", "numerator", "denominator", "reason", "observation", "evidence")))
     joined = corrections.join(old, "id", "left")
     says = F.lower(stripped(F.coalesce("change", F.lit("")))).rlike(UNCHANGED) | F.coalesce("unchanged", F.lit(False))
     near = F.abs(numbers.state(F.col("state").cast("string")) - numbers.state(F.col("state_old").cast("string"))) <= F.lit("0.000001").cast("decimal(7,6)")
     retained = says & F.coalesce(near, F.lit(False)) & F.col("numerator").eqNullSafe(F.col("numerator_old")) & F.col("denominator").eqNullSafe(F.col("denominator_old"))
-    reason, observation = (stripped(F.coalesce(c, F.lit(""))) for c in ("reason", "observation"))
+    reason, observation = (F.btrim(F.coalesce(c, F.lit("")), F.lit(spaces)) for c in ("reason", "observation"))
     enough = (reason != "") & (observation != "") & (F.length(reason) + F.length(observation) >= 28) & (F.size("evidence") > 0)
     enough = F.coalesce(enough, F.lit(False))
     longer = {"reason": F.when(enough & (F.length(reason) < 20), F.concat(reason, F.lit(GROUNDS), observation)), "observation": F.when(enough & (F.length(observation) < 8), F.concat(observation, F.lit(SEEN), reason))}

@@ -23,3 +23,8 @@ def test_accounted_items_with_two_bad_counts_in_a_line_number(spark, tmp_path):
     typed = "SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity::DOUBLE AS l_quantity, l_tax::DOUBLE AS l_tax FROM"
     got = same(spark, tmp_path, "accounted_items", lineitem=f"{typed} ({lines})", orders=orders)
     assert [r[3] for r in got] == ["no whole count", "a count below one"]
+
+
+def test_completed_records_whose_texts_end_with_a_line_end(spark, tmp_path):
+    told = "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'user', 'a question'), (1, 1, 'assistant', 'Fourteen signs' || chr(10) || repeat('and so on ', 6))) t(conv_id, turn, role, text)"
+    assert same(spark, tmp_path, "completed_records", conversations=told) == [("1-0", False, 15 + 59 + 6, 60)]
