@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
@@ -23,8 +23,8 @@ def _bare(c: str | Column) -> Column:
 
 
 def _times(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with how often their keys stand in the table."""
-    return df.join(df.groupBy(*keys).agg(F.count("*").alias("times_")), keys)
+    """Rows with how often their keys stand in the table; those without a key are left out."""
+    return df.dropna(subset=keys).withColumn("times_", F.count("*").over(Window.partitionBy(*keys)))
 
 
 def _named(review: str, *parts: str) -> Column:
