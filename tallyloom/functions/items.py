@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import short_reason, stripped, summary_text, verdict
+from tallyloom.functions.text import once, short_reason, stripped, summary_text, verdict
 
 # The fields that may hold a claim, and those that name an item in reports, in the order in which they are tried.
 CLAIM_FIELDS = ("claim", "element", "statement", "subject", "item", "name", "claim_group", "checkpoint")
@@ -25,7 +25,7 @@ def _field(c: Column, name: str) -> Column:
 
 def _filled(c: Column) -> Column:
     """Null for what counts as empty: no text, zero, false, an empty list or object."""
-    return F.when(~c.isin("", "0", "0.0", "false", "[]", "{}"), c)
+    return once(c, lambda x: F.when(~x.isin("", "0", "0.0", "false", "[]", "{}"), x))
 
 
 def claim_label(c: Column) -> Column:
@@ -81,20 +81,24 @@ def failed_item(c: Column) -> Column:
     """A failed item as prose: its name, its place unless that is a file of the workspace, and its note or what its outcome says."""
     name = F.coalesce(*(_filled(_field(c, f)) for f in ("claim", "element", "source", "id")), F.lit(UNNAMED))
     outcome = F.lower(stripped(F.coalesce(_outcome(c), F.lit(""))))
-    said = F.when(outcome.startswith("not satisfied"), UNREACHED).when(outcome.startswith("unsupported"), UNSOURCED).otherwise(UNLIKE)
+    said = once(outcome, lambda x: F.when(x.startswith("not satisfied"), UNREACHED).when(x.startswith("unsupported"), UNSOURCED).otherwise(UNLIKE))
     note = F.coalesce(_filled(_field(c, "note")), _filled(_field(c, "reason")), said)
     place = F.coalesce(_filled(_field(c, "location")), _filled(_field(c, "scope")), F.lit(""))
-    place = F.when((place == "") | place.rlike("^(?:extracted|deliveries)/"), "").otherwise(F.concat(F.lit("（"), place, F.lit("）")))
+    place = once(place, lambda x: F.when((x == "") | x.rlike("^(?:extracted|deliveries)/"), "").otherwise(F.concat(F.lit("（"), x, F.lit("）"))))
     return F.concat(name, place, F.lit("："), short_reason(note, 85))
 
 
 def loss_brief(items: Column, numerator: Column, denominator: Column, reason: Column, shown: int = 2) -> Column:
     """A loss in a sentence: its ratio, then its first failed items (JSON texts) and how many more there are, or its whole reason."""
     ratio = F.when(denominator.isNotNull(), F.concat(numerator.cast("string"), F.lit("/"), denominator.cast("string"), F.lit("；"))).otherwise("")
+
+    def told(failed: Column) -> Column:
+        more = F.when(F.size(failed) > shown, F.format_string(MORE_FAILED, F.size(failed) - shown)).otherwise("")
+        said = F.concat(F.array_join(F.transform(F.slice(failed, 1, shown), failed_item), "；"), more, F.lit("。"))
+        return F.when(F.size(failed) > 0, said).otherwise(summary_text(reason))
+
     failed = F.filter(items, lambda x: F.coalesce(~item_passed(x), F.lit(False)))
-    more = F.when(F.size(failed) > shown, F.format_string(MORE_FAILED, F.size(failed) - shown)).otherwise("")
-    told = F.concat(F.array_join(F.transform(F.slice(failed, 1, shown), failed_item), "；"), more, F.lit("。"))
-    return F.concat(ratio, F.when(F.size(failed) > 0, told).otherwise(summary_text(reason)))
+    return F.concat(ratio, once(failed, told))
 
 
 def _list(c: Column) -> Column:

@@ -6,6 +6,7 @@ import difflib
 import html
 import json
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,17 +35,18 @@ def stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def verdict(c: Column) -> Column:
     """True, false or null for a free-text outcome; the first matching prefix decides."""
     s = F.lower(stripped(F.coalesce(c, F.lit(""))))
-    return (
-        F.when(s.rlike(f"^(?:{ZH_NEGATIVE})"), False)
-        .when(s.rlike(f"^(?:{ZH_POSITIVE})"), True)
-        .when(s.rlike(f"^(?:{EN_POSITIVE})"), True)
-        .when(s.rlike(f"^(?:{EN_NEGATIVE})"), False)
-        .when(s.isin("1", "true"), True)
-        .when(s.isin("0", "false"), False)
-    )
+    # One expression finds the word, so that the text is made once; alternatives are tried in this order.
+    words = {w: value for said, value in ((ZH_NEGATIVE, False), (ZH_POSITIVE, True), (EN_POSITIVE, True), (EN_NEGATIVE, False), ("1|true", True), ("0|false", False)) for w in said.split("|")}
+    found = F.regexp_extract(s, rf"^(?:{ZH_NEGATIVE}|{ZH_POSITIVE}|{EN_POSITIVE}|{EN_NEGATIVE}|(?:1|true|0|false)\z)", 0)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in words.items() for x in pair)), found)
 
 
 def duration_seconds(c: Column) -> Column:
@@ -80,9 +82,13 @@ def short_reason(c: Column, limit: int = 145, least: int = 65) -> Column:
     """White space collapsed; a long text ends after the last full stop or semicolon past ``least``, else with an ellipsis."""
     s = stripped(F.regexp_replace(c, r"\s+", " "))
     s = F.regexp_replace(F.regexp_replace(s, KIND_PREFIX, ""), OPERANDS, "")
-    head = F.substring(s, 1, limit)
-    end = F.length(F.regexp_extract(head, r"(?s)^(.*[。；])", 1))
-    return F.when(F.length(s) <= limit, s).when(end > least + 1, F.left(head, end)).otherwise(F.concat(F.regexp_replace(head, r"[，、；。 ]+$", ""), F.lit("……")))
+
+    def cut(s: Column) -> Column:
+        head = F.substring(s, 1, limit)
+        end = F.length(F.regexp_extract(head, r"(?s)^(.*[。；])", 1))
+        return F.when(F.length(s) <= limit, s).when(end > least + 1, F.left(head, end)).otherwise(F.concat(F.regexp_replace(head, r"[，、；。 ]+$", ""), F.lit("……")))
+
+    return once(s, cut)
 
 
 # Fixed value: traces of how a run went, in prose.

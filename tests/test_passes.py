@@ -12,3 +12,7 @@ def plan(spark, name: str) -> str:
 def test_review_problems_groups_lines_once(spark):
     text = plan(spark, "review_problems")
     assert "min(l_tax" not in text and text.count("Window [count(1)") >= 2
+
+
+def test_loss_briefs_judges_an_item_once(spark):
+    assert plan(spark, "loss_briefs").count("get_json_object") < 60
