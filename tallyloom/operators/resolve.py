@@ -53,6 +53,16 @@ def completed(corrections: DataFrame, records: DataFrame, spaces: str = SPACES)
     return joined.select("id", *(value(c) for c in ("state", "numerator", "denominator", "reason", "observation", "evidence")), retained.alias("retained"), note.alias("note"))
 
 
+def inspected(witnesses: DataFrame) -> DataFrame:
+    """Comparison witnesses with their truth (holds), all that is wrong with them (broken), and why they stay unresolved
+    (reason, else null). Needs what ``inventory`` needs."""
+    rows = witness_check(witnesses)
+    bare = lambda c: F.length(stripped(F.coalesce(c, F.lit("")))) == 0
+    more = F.array_compact(F.array(F.when(~F.coalesce(F.col("kind").isin("asserted", "conditional"), F.lit(False)), "kind"), F.when(bare("subject") | bare("scope"), "not bound to a subject and scope")))
+    rows = rows.withColumn("broken", F.concat("broken", more))
+    return rows.withColumn("reason", F.when(F.size("broken") > 0, F.array_join("broken", "; ")).when(F.col("holds").isNull(), "no scalars of one unit"))
+
+
 def inventory(witnesses: DataFrame, keys: list[str], tolerant: bool = True) -> tuple[DataFrame, DataFrame]:
     """(checked, unresolved) comparison witnesses: broken ones, and whole ones without a verdict, are unresolved.
 
@@ -60,13 +70,9 @@ def inventory(witnesses: DataFrame, keys: list[str], tolerant: bool = True) -> t
     without a verdict are checked, with a null verdict, and unresolved too. Unresolved ones are numbered U001 and so on
     for each of ``keys``, those of one delivery.
     """
-    rows = witness_check(witnesses)
-    bare = lambda c: F.length(stripped(F.coalesce(c, F.lit("")))) == 0
-    more = F.array_compact(F.array(F.when(~F.coalesce(F.col("kind").isin("asserted", "conditional"), F.lit(False)), "kind"), F.when(bare("subject") | bare("scope"), "not bound to a subject and scope")))
-    rows = rows.withColumn("broken", F.concat("broken", more))
-    whole = F.size("broken") == 0
-    checked = rows.where(whole if tolerant else F.lit(True))
-    lost = rows.where(~whole | F.col("holds").isNull()).withColumn("reason", F.when(~whole, F.array_join("broken", "; ")).otherwise("no scalars of one unit"))
+    rows = inspected(witnesses)
+    checked = rows.where(F.size("broken") == 0 if tolerant else F.lit(True)).drop("reason")
+    lost = rows.where("reason is not null")
     return checked, numbered(lost, ["id", "reason"], keys, "U%03d", "number").select(*keys, "id", "number", "reason")
 
 

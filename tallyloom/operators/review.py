@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
@@ -94,8 +94,7 @@ def witness_check(witnesses: DataFrame) -> DataFrame:
         return value.isNull() | F.exists(found, lambda x: F.coalesce(near(x), F.lit(False)))
 
     truth = numbers.relation_holds(F.col("left.value"), F.col("operator"), F.col("right.value"), F.col("left.unit"), F.col("right.unit"))
-    times = witnesses.groupBy("id").agg(F.count("*").alias("times"))
-    return witnesses.join(times, "id").select(
+    return witnesses.dropna(subset=["id"]).withColumn("times", F.count("*").over(Window.partitionBy("id"))).select(
         "*",
         truth.alias("holds"),
         F.array_compact(
@@ -148,8 +147,6 @@ def needs_time_review(kind: Column, state: Column, rule: Column, executed_at: Co
 
 def shallow_files(files: DataFrame, keys: list[str], k: int = 12, budget: int = 3000) -> DataFrame:
     """The ``k`` shallowest files of each category, by depth and path, while their names fit a budget of characters."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*keys).orderBy("depth", "file")
     depth = F.length("file") - F.length(F.replace("file", F.lit("/"), F.lit("")))
     top = files.withColumn("depth", depth).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)

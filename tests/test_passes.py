@@ -16,3 +16,7 @@ def test_review_problems_groups_lines_once(spark):
 
 def test_loss_briefs_judges_an_item_once(spark):
     assert plan(spark, "loss_briefs").count("get_json_object") < 60
+
+
+def test_witness_outcomes_reads_lines_once(spark):
+    assert plan(spark, "witness_outcomes").count("parquet") == 1
