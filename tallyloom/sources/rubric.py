@@ -32,7 +32,8 @@ def _rows(lines: DataFrame) -> DataFrame:
     )
     carried = F.last(section, ignorenulls=True).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = lines.withColumn("section", carried).where(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|\s*---"))
-    return rows.withColumn("c", table_cells(F.col("line")))
+    # Exploded, so that conditions on cells are tried on what is made here once, and not pushed below it.
+    return rows.select("*", F.explode(F.array(table_cells(F.col("line")))).alias("c"))
 
 
 def atoms(lines: DataFrame) -> DataFrame:
@@ -75,9 +76,16 @@ def error_rules(lines: DataFrame) -> DataFrame:
     Where a rule names a metric twice the last ceiling counts, and of scopes the last.
     """
     part = _parts(lines)
-    caps = part.where("kind in ('cap', 'open') and metric is not null").groupBy("file", "id", "trigger", "metric").agg(F.max_by("cap", "part").alias("cap"))
-    scopes = part.where("atoms is not null and of.metric is not null").groupBy("file", "id", F.col("of.metric").alias("metric")).agg(F.max_by("atoms", "part").alias("scope"))
-    return caps.join(scopes, ["file", "id", "metric"], "left").select("file", "id", "trigger", "metric", "cap", F.coalesce("scope", F.array().cast("array<string>")).alias("scope"))
+    # Each part as what it says of its own metric and of the one it belongs to: one pass for ceilings and scopes.
+    cap = F.when(F.col("kind").isin("cap", "open"), F.struct("part", "cap"))
+    scope = F.when(F.col("atoms").isNotNull(), F.struct("part", "atoms"))
+    own = F.struct(F.col("metric"), cap.alias("cap_"), F.lit(None).cast("struct<part: int, atoms: array<string>>").alias("scope_"))
+    upper = F.struct(F.col("of.metric").alias("metric"), F.lit(None).cast("struct<part: int, cap: decimal(9,4)>").alias("cap_"), scope.alias("scope_"))
+    said = part.select("file", "id", "trigger", F.explode(F.array(own, upper)).alias("s")).select("file", "id", "trigger", "s.*").where("metric is not null")
+    found = said.groupBy("file", "id", "trigger", "metric").agg(F.max("cap_").alias("cap_"), F.max("scope_").alias("scope_"))
+    last = F.max("scope_").over(Window.partitionBy("file", "id", "metric"))
+    rows = found.withColumn("scope_", last).where("cap_ is not null")
+    return rows.select("file", "id", "trigger", "metric", F.col("cap_.cap").alias("cap"), F.coalesce("scope_.atoms", F.array().cast("array<string>")).alias("scope"))
 
 
 def rubric_violations(atom_rows: DataFrame) -> DataFrame:

@@ -20,3 +20,7 @@ def test_loss_briefs_judges_an_item_once(spark):
 
 def test_witness_outcomes_reads_lines_once(spark):
     assert plan(spark, "witness_outcomes").count("parquet") == 1
+
+
+def test_rubric_ceilings_reads_rules_once_for_ceilings_and_scopes(spark):
+    assert plan(spark, "rubric_ceilings").count("parquet") == 2
