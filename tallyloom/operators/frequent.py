@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,7 +56,8 @@ def frequent_values(spark: SparkSession, df: DataFrame, columns: list[str], orde
 
     Summaries of the tasks are added up. Their k-th highest count is a bound from below for the k-th most frequent value:
     what can't reach it, even with all the errors, is no candidate, and the others are counted exactly. Where the errors
-    themselves reach it, the summaries prove nothing, and all values of that column are counted (``proven`` is false).
+    themselves reach it, the summaries prove nothing (``proven`` is false): all values of that column are counted, without
+    where they stand, and those as frequent as the k-th are the candidates.
     """
     named = {c: f"c{i}" for i, c in enumerate(columns)}
     at = F.struct(*order)
@@ -68,12 +70,16 @@ def frequent_values(spark: SparkSession, df: DataFrame, columns: list[str], orde
     bounds = {x: (0, 1) for x in named.values()} | {r["name"]: (r["error"], r["least"] or 1) for r in errors.join(best, "name", "left").collect()}
     sure = [x for x in named.values() if bounds[x][0] < bounds[x][1]]
     limits = spark.createDataFrame([(x, *bounds[x]) for x in sure], "name string, error long, least long")
-    chosen = write(found.where("value is not null").join(F.broadcast(limits), "name").where("n + error >= least").select("name", "value"))
+    picked = [found.where("value is not null").join(F.broadcast(limits), "name").where("n + error >= least").select("name", "value")]
+    for x in named.values():
+        if x not in sure:
+            every = write(cells.select(F.col(x).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n")))
+            most = [r["n"] for r in every.select("n").orderBy(F.desc("n")).limit(k).collect()]
+            picked.append(every.where(F.col("n") >= min(most, default=1)).select(F.lit(x).alias("name"), "value"))
+    chosen = write(reduce(DataFrame.unionByName, picked))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
-    long = lambda xs: cells.select(F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).alias("value")) for x in xs))).alias("cell"), "at").select("cell.*", "at").where("value is not null")
-    parts = [long(xs) if not exact else long(xs).join(chosen, ["name", "value"], "left_semi") for xs, exact in ((sure, True), ([x for x in named.values() if x not in sure], False)) if xs]
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    counted = rows.groupBy("name", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    long = cells.select(F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).alias("value")) for x in named.values()))).alias("cell"), "at").select("cell.*", "at").where("value is not null")
+    counted = long.join(chosen, ["name", "value"], "left_semi").groupBy("name", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "first", "value"))
     back = F.create_map(*(F.lit(v) for c, x in named.items() for v in (x, c)))
     return counted.withColumn("place", place).where(F.col("place") <= k).select(back[F.col("name")].alias("name"), "place", "value", "n", F.col("name").isin(*sure).alias("proven"))
