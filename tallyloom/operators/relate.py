@@ -102,12 +102,28 @@ def union_distinct(frames: list[DataFrame], content: list[str], key: str) -> Dat
     return whole.groupBy(*content).agg(F.min(key).alias(key))
 
 
+def _doubled(pairs: DataFrame, write) -> DataFrame:
+    """The closure of chains: pairs of up to 2^k steps, extended by leaps of 2^k steps, until none is new."""
+    rounds, leap = [pairs], pairs
+    while True:
+        found = reduce(DataFrame.unionByName, rounds)
+        on = leap.select(F.col("start").alias("node"), F.col("node").alias("next"))
+        fresh = write(found.join(on, "node").select("start", F.col("next").alias("node")).distinct().join(found, ["start", "node"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        rounds.append(fresh)
+        leap = write(leap.join(on, "node").select("start", F.col("next").alias("node")))
+
+
 def closure(spark: SparkSession, edges: DataFrame, write) -> DataFrame:
     """(start, node): all nodes reachable from each start. ``write`` stores a frame and reads it back each round.
 
     Only pairs found in the last round are extended, so that the work is that of the new pairs; cycles end by themselves.
+    Where each start leads to one node alone, rounds double the steps.
     """
     rounds = [write(edges.select("start", "node").distinct())]
+    if rounds[0].groupBy("start").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _doubled(rounds[0], write)
     step = edges.select(F.col("start").alias("node"), F.col("node").alias("next"))
     while True:
         # Each round's pairs are written once; what is known is the union of all rounds.
