@@ -6,11 +6,12 @@ import difflib
 import html
 import json
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,7 @@ KIND_PREFIX, OPERANDS = r"^(?:BIN|RATIO|CLAIM-RATIO|COUNT)(?:规则|判据)?[：
 
 # Fixed value: what counts as white space at the ends of a text.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+SPACE_RANGES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(c: Column) -> Column:
@@ -40,6 +42,13 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that only these are held as Python's texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def verdict(c: Column) -> Column:
     """True, false or null for a free-text outcome; the first matching prefix decides."""
     s = F.lower(stripped(F.coalesce(c, F.lit(""))))
@@ -216,9 +225,19 @@ def whole_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def plain(s: pd.Series) -> pd.Series:
-    """Character references resolved, white space removed: the form in which quotes are compared."""
-    return s.map(lambda x: None if x is None else "".join(html.unescape(x).split()))
+def _resolved(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else html.unescape(x))
+
+
+def plain(c: Column) -> Column:
+    """Character references resolved, white space removed: the form in which quotes are compared.
+
+    Only texts that can hold a reference go through Python.
+    """
+    text = F.coalesce(_resolved(F.when(F.contains(c, F.lit("&")), c)), c)
+    for frequent in " \n":
+        text = F.replace(text, F.lit(frequent), F.lit(""))
+    return F.regexp_replace(text, f"[{SPACE_RANGES}]+", "")
 
 
 class _Reader(HTMLParser):
