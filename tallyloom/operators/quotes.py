@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.text import plain
+from tallyloom.functions.text import plain, slices
 
 LARGEST = 64
 #: Bits of the filter for each key of an item, and at most this many in all (32 MB); beyond, more passes in vain.
@@ -44,7 +44,7 @@ def _keyed(texts: DataFrame, id_col: str, sizes: list[int] | None, wanted: np.nd
     out = T.StructType([texts.schema[id_col], T.StructField("key_", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, s in enumerate(batch.column("plain_").to_pylist()):
                 own = sizes if sizes is not None else [min(LARGEST, 1 << (len(s).bit_length() - 1))] if s else []
