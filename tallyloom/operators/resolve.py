@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tallyloom.functions import numbers
 from tallyloom.functions.text import SPACES, stripped
@@ -15,6 +16,8 @@ from tallyloom.operators.review import witness_check
 LEAST, UNCHANGED = 20, "^(?:维持|保留|不变|unchanged|retain)"
 #: What stands between a short reason and the observation that lengthens it, and the other way round.
 GROUNDS, SEEN = " 判定依据：", " 具体观察："
+#: How numbers are compared: as this decimal, whole (or, where they don't fit it, as text) or rounded to so many places.
+EXACT, WHOLE, AS_TEXT = "decimal(38,12)", -1, -2
 
 
 def resolution_violations(findings: DataFrame, known: DataFrame, contested: DataFrame, errors: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
@@ -80,20 +83,27 @@ def unsupported_numbers(prose: DataFrame, authorised: DataFrame, text_col: str =
     """(token): numbers in prose that are no authorised number, nor one of them rounded half up to as many decimals.
 
     Tokens meet the authorised numbers, and each of their roundings, by equality. Numbers with 24 or more digits before
-    the point can only match as text.
+    the point can only match as text. Prose and numbers are each gone through once.
     """
+    number = lambda c: F.when(F.length(F.substring_index(c, ".", 1)) < 24, c.try_cast(EXACT))
+    key = lambda places, number, text: F.struct(F.lit(places).alias("places"), number.alias("number"), text.alias("text"))
+    none, zero = F.lit(""), F.lit(0).cast(EXACT)
+    value, kind = F.col("value"), authorised.schema[value_col].dataType
+    if isinstance(kind, DecimalType) and kind.precision - kind.scale < 24:
+        given, finer = authorised.select(F.col(value_col).cast(EXACT).alias("value"), none.alias("text")), kind.scale
+    else:
+        given, finer = authorised.select(number(F.col(value_col).cast("string")).alias("value"), F.col(value_col).cast("string").alias("text")), places + 1
+    # To as many places as a number has, or more, its rounding is the number itself.
+    rounded = lambda p: F.round(value, p).cast(EXACT)
+    shades = [F.when(rounded(p) != value, key(p, rounded(p), none)) for p in range(1, min(places + 1, finer))]
+    whole = F.when(value.isNotNull(), key(WHOLE, value, none)).otherwise(key(AS_TEXT, zero, F.col("text")))
+    shades = given.where("value is not null or text <> ''").select(F.explode(F.array(whole, *shades)).alias("s")).where("s is not null").select("s.*").distinct()
     token = prose.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))).alias("token")).distinct()
-    given = authorised.select(F.col(value_col).cast("string").alias("token")).where("token is not null").distinct()
-    token = token.join(given, "token", "left_anti")
-    number = lambda c: F.when(F.length(F.substring_index(c, ".", 1)) < 24, c.try_cast("decimal(38,12)"))
-    value = given.select(number(F.col("token")).alias("value")).where("value is not null").distinct()
-    decimals = F.length(F.regexp_extract("token", r"\.(\d+)$", 1))
-    # Of all roundings only those to as many places as some token has can be met.
-    asked = sorted(r["n"] for r in token.select(decimals.alias("n")).distinct().where(F.col("n").between(1, places)).collect())
-    shades = value.select(F.explode(F.array(F.struct(F.lit(-1).alias("places"), F.col("value").alias("number")), *(F.struct(F.lit(p).alias("places"), F.round("value", p).cast("decimal(38,12)").alias("number")) for p in asked))).alias("s")).select("s.places", "s.number").distinct()
-    tried = token.withColumn("number", number(F.col("token"))).withColumn("places", F.explode(F.array(F.lit(-1), decimals)))
-    found = tried.join(shades, ["places", "number"], "left_semi").select("token").distinct()
-    return token.join(found, "token", "left_anti")
+    decimals, own = F.length(F.regexp_extract("token", r"\.(\d+)$", 1)), number(F.col("token"))
+    keys = F.array(F.when(own.isNotNull(), key(WHOLE, own, none)).otherwise(key(AS_TEXT, zero, F.col("token"))), F.when(own.isNotNull() & decimals.between(1, places), key(decimals, own, none)))
+    tried = token.select("token", F.explode(keys).alias("s")).where("s is not null").select("token", "s.*")
+    met = tried.join(shades.withColumn("met", F.lit(True)), ["places", "number", "text"], "left")
+    return met.groupBy("token").agg(F.max("met").alias("met")).where("met is null").select("token")
 
 
 def narrative_violations(parts: DataFrame, required: list[str], authorised: DataFrame) -> DataFrame:

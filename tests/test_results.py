@@ -158,6 +158,18 @@ def test_prose_is_held_to_its_facts(spark):
     assert got == {("risks", "incomplete"), ("outlook", "incomplete"), ("0.12", "number without a fact"), ("2", "number without a fact")}
 
 
+def test_prose_and_facts_are_gone_through_once(spark):
+    facts = spark.createDataFrame([("1.005",), ("9.995",), ("12.3",), (None,)], "value string").select(F.col("value").cast("decimal(20,3)"))
+    parts = spark.createDataFrame([("1.01 and 1.005, 1.0050 or 1.0; 10.00 but 10.0 and 10, 12.300 and 12.30 and 12, 007 and 0",), (None,)], "text string")
+    spark.sparkContext.setJobGroup("prose", "planning alone")
+    out = resolve.unsupported_numbers(parts, facts)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("prose")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # 1.0 and 10.0 are 1.005 and 9.995 to one place, 10.00 is 9.995 to two; 10 has no places to round to.
+    assert {r.token for r in out.collect()} == {"10", "12", "007", "0"}
+    assert {r.token for r in resolve.unsupported_numbers(parts, facts.select(F.col("value").cast("string"))).collect()} == {"10", "12", "007", "0"}
+
+
 def test_resumed_and_silent_runs(spark):
     import hashlib
 
