@@ -52,19 +52,24 @@ def has_content(e: Column) -> Column:
     return (F.length(F.coalesce(e["quote"], F.lit(""))) > 0) | F.coalesce(seen, F.lit(False))
 
 
-def id_violations(entity: str, given: DataFrame, expected: DataFrame) -> DataFrame:
-    """(entity, key, rule) where ids aren't exactly the expected ones, each once."""
-    counted = given.groupBy("id").agg(F.count("*").alias("n"))
-    grid = expected.select("id").distinct().withColumn("expected", F.lit(True)).join(counted, "id", "full_outer")
-    return violations(grid, entity, F.coalesce(F.col("id").cast("string"), F.lit("null")), {"missing": F.col("n").isNull(), "unknown": F.col("expected").isNull(), "repeated": F.col("n") > 1})
+def id_violations(entity: str, given: DataFrame, expected: DataFrame, parts: int | None = None) -> DataFrame:
+    """(entity, key, rule) where ids aren't exactly the expected ones, each once; a null id is none of them.
+
+    Both sides are counted in one grouping, over ``parts`` partitions where that is given.
+    """
+    both = given.select("id", F.lit(1).alias("given"), F.lit(0).alias("expected")).unionByName(expected.select("id", F.lit(0).alias("given"), F.lit(1).alias("expected")))
+    both = both.repartition(parts, "id") if parts else both
+    side = F.when(F.col("id").isNull(), F.col("given")).alias("side")
+    grid = both.groupBy("id", side).agg(F.sum("given").alias("n"), F.max("expected").alias("expected"))
+    return violations(grid, entity, F.coalesce(F.col("id").cast("string"), F.lit("null")), {"missing": F.col("n") == 0, "unknown": F.col("expected") == 0, "repeated": F.col("n") > 1})
 
 
-def decision_violations(decisions: DataFrame, known_files: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
+def decision_violations(decisions: DataFrame, known_files: DataFrame, atoms: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(entity, key, rule) of decisions joined with their atoms: id, kind, rule, state, numerator, denominator, reason,
     observation, evidence (file, locator, quote, kind, description) and items (label, result).
 
     What is null or can't be read is a violation wherever the rule needs it. With ``atoms`` (id), ids must be exactly
-    theirs, each once.
+    theirs, each once. What needs a shuffle is dealt over ``parts`` partitions where that is given.
     """
     rows = computed(decisions)
     target = F.col("target").try_cast(numbers.PART)
@@ -84,9 +89,11 @@ def decision_violations(decisions: DataFrame, known_files: DataFrame, atoms: Dat
     }
     own = violations(rows, "decision", F.col("id"), rules)
     cited = rows.select("id", F.explode("evidence").alias("e")).select("id", F.col("e.file").alias("file")).where(F.col("file").isNotNull() & ~is_source_url(F.col("file")))
-    lost = cited.join(known_files.select("file"), "file", "left_anti").select(F.lit("decision").alias("entity"), F.col("id").cast("string").alias("key"), F.lit("unknown file").alias("rule")).distinct()
-    found = own.unionByName(lost)
-    return found if atoms is None else found.unionByName(id_violations("decision", decisions, atoms))
+    # A join by sorting takes its number of partitions from the files' side, which is the small one.
+    files = known_files.select("file").repartition(parts, "file") if parts else known_files.select("file")
+    lost = cited.join(files, "file", "left_anti").select(F.lit("decision").alias("entity"), F.col("id").cast("string").alias("key"), F.lit("unknown file").alias("rule"))
+    found = own.unionByName((lost.repartition(parts, "key") if parts else lost).distinct())
+    return found if atoms is None else found.unionByName(id_violations("decision", decisions, atoms, parts))
 
 
 def accepted(decisions: DataFrame, broken: DataFrame) -> DataFrame:

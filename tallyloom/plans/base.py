@@ -14,6 +14,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixed value: how many partitions the rows of one split of a table are dealt out to.
+SHARES = 16
+
+
+def shares(table: DataFrame) -> int:
+    """Over how many partitions a table that was read is dealt: by its splits, so that a task's rows don't grow with it, and
+    no fewer than Spark would take."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARES * table.rdd.getNumPartitions())
+
+
 def rounded(c: str | Column, places: int = 4) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 

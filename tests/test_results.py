@@ -158,6 +158,13 @@ def test_prose_is_held_to_its_facts(spark):
     assert got == {("risks", "incomplete"), ("outlook", "incomplete"), ("0.12", "number without a fact"), ("2", "number without a fact")}
 
 
+def test_ids_are_held_to_the_expected_ones(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    for parts in (None, 8):
+        got = validate.id_violations("x", ids("a", "b", "b", "d", None, None), ids("a", "a", "b", "c", None), parts)
+        assert sorted((r.key, r.rule) for r in got.collect()) == [("b", "repeated"), ("c", "missing"), ("d", "unknown"), ("null", "missing"), ("null", "repeated"), ("null", "unknown")]
+
+
 def test_prose_and_facts_are_gone_through_once(spark):
     facts = spark.createDataFrame([("1.005",), ("9.995",), ("12.3",), (None,)], "value string").select(F.col("value").cast("decimal(20,3)"))
     parts = spark.createDataFrame([("1.01 and 1.005, 1.0050 or 1.0; 10.00 but 10.0 and 10, 12.300 and 12.30 and 12, 007 and 0",), (None,)], "text string")
