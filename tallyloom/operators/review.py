@@ -10,9 +10,10 @@ from tallyloom.functions.text import label_key, plain, signed_numbers, similarit
 from tallyloom.operators.relate import positional_pairs, violations
 
 
-def affected_metrics(errors: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (task, metric) that ceilings of triggered errors touch."""
-    return errors.where("triggered").join(rules, "error").select("task", "metric").distinct()
+def affected_metrics(errors: DataFrame, rules: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct (task, metric) that ceilings of triggered errors touch, dealt over ``parts`` partitions where that is given."""
+    touched = errors.where("triggered").join(rules, "error").select("task", "metric")
+    return (touched.repartition(parts, "task", "metric") if parts else touched).distinct()
 
 
 def eligible(decisions: DataFrame, affected: DataFrame) -> DataFrame:

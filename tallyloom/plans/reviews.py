@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import review, score
-from tallyloom.plans.base import read, rounded
+from tallyloom.plans.base import read, rounded, shares
 from tallyloom.sources import sinks
 
 
@@ -15,8 +15,9 @@ def affected_findings(spark: SparkSession, d: str) -> DataFrame:
     li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
     errors = o.select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") == "F", "E1").otherwise("E2").alias("error"), ((F.col("o_orderstatus") == "F") | (F.col("o_orderpriority") == "1-URGENT")).alias("triggered"))
     rules = spark.createDataFrame([("E1", "R"), ("E1", "A"), ("E2", "N")], "error string, metric string")
-    found = li.select(F.col("l_orderkey").alias("task"), F.col("l_returnflag").alias("metric"), (F.col("l_quantity") / 50).alias("state"), F.col("l_linenumber").cast("long").alias("atom"))
-    return review.eligible(found, review.affected_metrics(errors, rules)).groupBy("task", "metric").agg(F.count("*").alias("n"), F.min("atom").alias("least"))
+    parts = shares(li)
+    found = li.repartition(parts, "l_orderkey", "l_returnflag").select(F.col("l_orderkey").alias("task"), F.col("l_returnflag").alias("metric"), (F.col("l_quantity") / 50).alias("state"), F.col("l_linenumber").cast("long").alias("atom"))
+    return review.eligible(found, review.affected_metrics(errors, rules, parts)).groupBy("task", "metric").agg(F.count("*").alias("n"), F.min("atom").alias("least"))
 
 
 def process_stats(spark: SparkSession, d: str) -> DataFrame:

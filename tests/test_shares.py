@@ -17,11 +17,11 @@ def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-@pytest.mark.parametrize("name", ["decision_problems"])
+@pytest.mark.parametrize("name", ["decision_problems", "affected_findings"])
 def test_shuffles_grow_with_the_table(spark, small_splits, capsys, name):
     splits = spark.read.parquet(f"{D}/lineitem.parquet").rdd.getNumPartitions()
     registry.queries()[name](spark, D).explain()
     found = re.findall(r"hashpartitioning\(([^()]*), (\d+)\)", capsys.readouterr().out)
-    # What comes together at the end for each rule or dimension is a few rows of each task.
-    large = [int(n) for keys, n in found if not re.fullmatch(r"(?:rule|dimension)#\d+", keys)]
+    # What comes together at the end for each rule, dimension or metric is a few rows of each task.
+    large = [int(n) for keys, n in found if not re.fullmatch(r"(?:(?:rule|dimension|metric|spark_grouping_id)#\d+L?(?:, )?)+", keys)]
     assert splits > 8 and large and min(large) >= splits
