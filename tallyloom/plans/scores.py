@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import score
-from tallyloom.plans.base import read, rounded
+from tallyloom.plans.base import read, rounded, shares
 from tallyloom.sources.rubric import rubric_violations
 
 
-def _atoms(spark: SparkSession, d: str) -> DataFrame:
+def _atoms(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """Lines as atoms, where columns are given dealt by these over as many partitions as the table's splits ask for."""
     li = read(spark, d, "lineitem")
+    li = li.repartition(shares(li), *by) if by else li
     return li.select(F.col("l_orderkey").alias("task"), F.col("l_returnflag").alias("metric"), F.col("l_linenumber").alias("atom"), F.col("l_quantity").alias("weight"), F.least(F.col("l_quantity") / 50, F.lit(1.0)).alias("state"), "l_tax")
 
 
@@ -29,7 +31,7 @@ _FINAL = f"{_RAW}, finals AS (SELECT task, metric, raw, least(raw, 4.0) AS final
 
 
 def _finals(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(_atoms(spark, d)).withColumn("final", F.least("raw", F.lit(4.0))).join(_tasks(spark, d), "task")
+    return _scores(_atoms(spark, d, "l_orderkey")).withColumn("final", F.least("raw", F.lit(4.0))).join(_tasks(spark, d), "task")
 
 
 def weighted_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -95,20 +97,20 @@ def diff_extrema_ties(spark: SparkSession, d: str) -> DataFrame:
 
 def topk_losses(spark: SparkSession, d: str) -> DataFrame:
     """The three worst lines of each order that lost something: lowest state, then largest weight, then first."""
-    lost = _atoms(spark, d).where("state < 1")
+    lost = _atoms(spark, d, "l_orderkey").where("state < 1")
     out = score.lowest(lost, ["task"], [F.col("state"), F.col("weight").desc(), F.col("atom")], 3)
     return out.select("task", F.col("atom").cast("long").alias("atom"), rounded("state").alias("state"), F.col("rank").cast("long").alias("rank"))
 
 
 def weakest_atoms(spark: SparkSession, d: str) -> DataFrame:
-    joined = _atoms(spark, d).join(_tasks(spark, d), "task")
+    joined = _atoms(spark, d, "l_orderkey").join(_tasks(spark, d), "task")
     out = score.lowest(joined, ["dimension", "metric"], [F.col("state"), F.col("weight").desc(), F.col("task"), F.col("atom")], 8)
     return out.select("dimension", "metric", "task", F.col("atom").cast("long").alias("atom"), F.col("rank").cast("long").alias("rank"))
 
 
 def first_losses(spark: SparkSession, d: str) -> DataFrame:
     """Per dimension the four orders of lowest quality, each with its first loss."""
-    first = score.lowest(_atoms(spark, d).where("state < 1"), ["task"], [F.col("state"), F.col("atom")], 1).select("task", "atom")
+    first = score.lowest(_atoms(spark, d, "l_orderkey").where("state < 1"), ["task"], [F.col("state"), F.col("atom")], 1).select("task", "atom")
     low = score.lowest(quality_mean(spark, d).join(first, "task"), ["dimension"], [F.col("quality_mean"), F.col("task")], 4)
     return low.select("dimension", "task", F.col("atom").cast("long").alias("atom"), "quality_mean")
 

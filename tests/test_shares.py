@@ -17,7 +17,7 @@ def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-@pytest.mark.parametrize("name", ["decision_problems", "affected_findings"])
+@pytest.mark.parametrize("name", ["decision_problems", "affected_findings", "first_losses", "topk_losses", "weakest_atoms", "quality_mean", "weighted_rollup", "dim_mean_vs_global_mean"])
 def test_shuffles_grow_with_the_table(spark, small_splits, capsys, name):
     splits = spark.read.parquet(f"{D}/lineitem.parquet").rdd.getNumPartitions()
     registry.queries()[name](spark, D).explain()
