@@ -11,8 +11,9 @@ from tallyloom.operators.relate import positional_pairs, violations
 
 
 def affected_metrics(errors: DataFrame, rules: DataFrame, parts: int | None = None) -> DataFrame:
-    """Distinct (task, metric) that ceilings of triggered errors touch, dealt over ``parts`` partitions where that is given."""
-    touched = errors.where("triggered").join(rules, "error").select("task", "metric")
+    """Distinct (task, metric) that ceilings of triggered errors touch, dealt over ``parts`` partitions where that is given;
+    ``rules`` are a literal table, few errors, so that a shuffle by error would leave a task or two with all rows."""
+    touched = errors.where("triggered").join(F.broadcast(rules), "error").select("task", "metric")
     return (touched.repartition(parts, "task", "metric") if parts else touched).distinct()
 
 

@@ -11,10 +11,14 @@ D = "/root/testdata/sf0.01"
 
 @pytest.fixture
 def small_splits(spark):
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
-    yield
-    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Tables this small would all be broadcast.
+    wanted = {"spark.sql.files.maxPartitionBytes": "32k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for conf in (wanted, before):
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        if conf is wanted:
+            yield
 
 
 @pytest.mark.parametrize("name", ["decision_problems", "affected_findings", "first_losses", "topk_losses", "weakest_atoms", "quality_mean", "weighted_rollup", "dim_mean_vs_global_mean"])
